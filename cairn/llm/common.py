@@ -27,3 +27,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = GROUP_B
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8; null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+#: White space (Unicode White_Space) as ``\\s`` of the splitting pattern sees it; fixed values.
+SPACE = (
+    "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
