@@ -127,22 +127,33 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "token_id
     return docs.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; only digests leave the worker."""
+def encoded_with_digests(docs: DataFrame, path: str, ids: str | None = "token_ids", leaf: int = LEAF) -> DataFrame:
+    """``docs`` and n_tokens, the ids (unless ``ids`` is None), ids_sha256 and decoded_sha256 of each row."""
+    added = [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()), ("decoded_sha256", pa.string(), T.StringType())]
+    if ids:
+        added.insert(1, (ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType(), False)))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, kind, False) for name, _, kind in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path, leaf)
         for batch in batches:
             for part in slices(batch):
-                n, ids, decoded = [], [], []
+                made: dict[str, list] = {name: [] for name, *_ in added}
                 for x in part.column("text").to_pylist():
                     tokens = coder.encode(x or "")
-                    n.append(len(tokens))
-                    ids.append(hashlib.sha256(as_bytes(tokens)).hexdigest())
-                    decoded.append(hashlib.sha256(coder.decode(tokens)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    made["n_tokens"].append(len(tokens))
+                    if ids:
+                        made[ids].append(tokens)
+                    made["ids_sha256"].append(hashlib.sha256(as_bytes(tokens)).hexdigest())
+                    made["decoded_sha256"].append(hashlib.sha256(coder.decode(tokens)).hexdigest())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(made[name], kind) for name, kind, _ in added)], [*part.schema.names, *made])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+def digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
+    return encoded_with_digests(docs.select("doc_id", "text"), path, None, leaf).drop("text")
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
