@@ -7,10 +7,11 @@
    each, so an estimate is never too small, and a window in two documents always has an anchor estimated at two or
    more. The shards keep one bit a counter: whether it reached two. They are broadcast if they are small, else
    shuffled to the anchors; either way an anchor meets the shard of its hash.
-3. Exact grouping. Only windows whose anchor is estimated as repeated are emitted, with a 128-bit hash of their words,
-   and grouped: the smallest doc_id of each group is found by partial aggregation and joined to the occurrences in
-   other documents. These joins are plain exchanges on both sides, which adaptive execution splits where a passage
-   stands in a large part of the corpus.
+3. Exact grouping. Only windows whose anchor is estimated as repeated are grouped, by 128-bit hashes of their words:
+   first whole runs of windows with one anchor, then, window by window, what differs between such runs. The smallest
+   doc_id of each group is found by partial aggregation and joined to the occurrences in other documents. These
+   joins are plain exchanges on both sides, which adaptive execution splits where a passage stands in a large part of
+   the corpus.
 4. The covered words of each document are removed.
 
 Defined cases: null and empty texts have no words; fewer than SPAN words make no window; of rows that share a doc_id
@@ -214,67 +215,130 @@ def _test_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- exact grouping ----------------------------------------------------------------------------------------------
 
 
-def _candidates(span: int, gram: int):
-    """Windows (w1, w2, doc_id, key, start) whose anchor is among the document's repeated ones."""
+def _edges(words: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The words joined by spaces, and where each begins; one place more for the end and its space."""
+    return b" ".join(words), np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+
+
+def _digests(joined: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    of = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([of(joined[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+
+
+def _blocks(span: int, gram: int):
+    """Runs of windows that share an anchor estimated as repeated: (anchor, h1, h2, doc_id, key, start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
+                out = []
                 for doc_id, key, text, hot in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), utf8(part), part.column("hot"), strict=True):
                     words = text.split()
                     anchor = window_anchors(word_hashes(words), span, gram)
-                    starts = np.flatnonzero(np.isin(anchor, hot.values.to_numpy().view(np.uint64)))
-                    if not len(starts):
+                    if not len(anchor):
                         continue
-                    joined = b" ".join(words)
-                    edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
-                    ends = (edges[starts + span] - 1).tolist()
-                    of = xxhash.xxh3_128_digest
-                    digest = np.frombuffer(b"".join(of(joined[a:b]) for a, b in zip(edges[starts].tolist(), ends, strict=True)), "<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.full(len(starts), doc_id, np.int64)), pa.array(np.full(len(starts), key, np.int64)), pa.array(starts.astype(np.int32))], ["w1", "w2", "doc_id", "key", "start"])
+                    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+                    n = np.diff(np.concatenate((first, [len(anchor)])))
+                    keep = np.isin(anchor[first], hot.values.to_numpy().view(np.uint64))
+                    first, n = first[keep], n[keep]
+                    if len(first):
+                        joined, edges = _edges(words)
+                        h = _digests(joined, edges[first], edges[first + n - 1 + span] - 1)
+                        out.append((anchor[first].view(np.int64), h[:, 0], h[:, 1], np.full(len(first), doc_id, np.int64), np.full(len(first), key, np.int64), first.astype(np.int32), n.astype(np.int32)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["anchor", "h1", "h2", "doc_id", "key", "start", "n"])
+
+    return run
+
+
+def _windows(span: int):
+    """The windows of the given runs: (w1, w2, doc_id, key, start)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, max_bytes=1 << 18):
+                out = []
+                for doc_id, key, text, runs in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), utf8(part), part.column("runs"), strict=True):
+                    rows = runs.values
+                    first, n = rows.field("start").to_numpy(), rows.field("n").to_numpy()
+                    starts = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    joined, edges = _edges(text.split())
+                    w = _digests(joined, edges[starts], edges[starts + span] - 1)
+                    out.append((w[:, 0], w[:, 1], np.full(len(starts), doc_id, np.int64), np.full(len(starts), key, np.int64), starts.astype(np.int32)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["w1", "w2", "doc_id", "key", "start"])
 
     return run
 
 
-def repeated_starts(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Stored:
-    """(doc_id, key, starts array<int>): where windows begin that a document with a smaller doc_id also has."""
+def _per_document(rows: DataFrame, name: str) -> Stored:
+    return store(rows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("runs")), name)
+
+
+def _size(runs: Stored) -> int:
+    return runs.df.agg(F.sum(32 + 8 * F.size("runs"))).first()[0] or 0
+
+
+def _named(runs: Stored) -> DataFrame:
+    """Renamed, so that no column of the documents clashes."""
+    return broadcast_if_small(runs.df.withColumnsRenamed({"doc_id": "__of", "key": "__key", "runs": "__runs"}), _size(runs))
+
+
+def _of_row(docs: DataFrame) -> Column:
+    return (docs["doc_id"] == F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+
+
+def repeated_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Stored:
+    """(doc_id, key, runs array<struct<start, n>>): runs of windows that a document with a smaller doc_id also has.
+
+    Runs of windows that share an anchor are grouped first, by the hash of all their words: where an earlier document
+    has the same run, all its windows are repeated. What is left to compare window by window are the first
+    occurrences of different runs with the same anchor, such as the ends of a shared passage.
+    """
     found = store(anchors(docs, span, gram), "anchors")
     total = found.df.agg(F.sum(F.size("anchors"))).first()[0] or 0
     hot = store(repeated_anchors(found, total), "repeated")
     found.remove()
     size = hot.df.agg(F.sum(16 + 8 * F.size("hot"))).first()[0] or 0
     few = hot.df.groupBy("doc_id").agg(F.flatten(F.collect_list("hot")).alias("hot"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(broadcast_if_small(few, size), "doc_id")
-    windows = store(texts.mapInArrow(_candidates(span, gram), "w1 bigint, w2 bigint, doc_id bigint, key bigint, start int"), "windows")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    blocks = store(texts.join(broadcast_if_small(few, size), "doc_id").mapInArrow(_blocks(span, gram), "anchor bigint, h1 bigint, h2 bigint, doc_id bigint, key bigint, start int, n int"), "blocks")
+    same = store(blocks.df.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "same")
+    mixed = store(same.df.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("mixed")), "mixed")
+    kinds = store(same.df.join(mixed.df, "anchor", "left").where("mixed or first < last").select("anchor", "h1", "h2", "first", F.coalesce("mixed", F.lit(False)).alias("mixed")), "kinds")
+    judged = store(blocks.df.join(kinds.df, ["anchor", "h1", "h2"]).where("doc_id > first or mixed").select("doc_id", "key", "start", "n", F.expr("doc_id > first").alias("gone")), "judged")
+    for old in (hot, blocks, same, mixed, kinds):
+        old.remove()
+    open_ = _per_document(judged.df.where("not gone"), "open")
+    rest = texts.join(_named(open_), (F.col("doc_id") == F.col("__of")) & (F.col("key") == F.col("__key"))).select("doc_id", "key", "text", F.col("__runs").alias("runs"))
+    windows = store(rest.mapInArrow(_windows(span), "w1 bigint, w2 bigint, doc_id bigint, key bigint, start int"), "windows")
     least = windows.df.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     least = store(least.select("w1", "w2", "first"), "firsts")
-    later = windows.df.join(least.df, ["w1", "w2"]).where("doc_id > first").select("doc_id", "key", "start")
-    starts = store(later.groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")), "starts")
-    for old in (hot, windows, least):
+    later = windows.df.join(least.df, ["w1", "w2"]).where("doc_id > first").select("doc_id", "key", "start", F.lit(1).alias("n"))
+    runs = _per_document(judged.df.where("gone").select("doc_id", "key", "start", "n").unionByName(later), "runs")
+    for old in (judged, open_, windows, least):
         old.remove()
-    return starts
+    return runs
 
 
-def covered(n: int, starts: np.ndarray, span: int) -> np.ndarray:
-    """Which of ``n`` words a window covers that begins at one of ``starts``."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + span, n), -1)
-    return np.cumsum(edge[:n]) > 0
+def covered(n_words: int, first: np.ndarray, n: np.ndarray, span: int) -> np.ndarray:
+    """Which of ``n_words`` words are in one of the ``n`` windows from ``first`` on."""
+    edge = np.zeros(n_words + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + n - 1 + span, -1)
+    return np.cumsum(edge[:n_words]) > 0
 
 
-def _with_starts(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    starts = repeated_starts(docs, span, gram)
-    size = starts.df.agg(F.sum(24 + 4 * F.size("starts"))).first()[0] or 0
-    found = broadcast_if_small(starts.df.withColumnsRenamed({"doc_id": "__of", "key": "__key", "starts": "__starts"}), size)
-    return docs.join(found, (docs["doc_id"] == F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left").drop("__of", "__key")
+def _with_runs(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """``docs`` and ``__runs`` as the last column."""
+    return docs.join(_named(repeated_runs(docs, span, gram)), _of_row(docs), "left").drop("__of", "__key")
 
 
-def _kept(words: list[bytes], starts: pa.Scalar, span: int, gram: int) -> tuple[list[bytes], int]:
-    if not starts.is_valid:
+def _kept(words: list[bytes], runs: pa.Scalar, span: int) -> tuple[list[bytes], int]:
+    if not runs.is_valid:
         return words, 0
-    at = starts.values.to_numpy()
-    gone = covered(len(words), at[at + span <= len(words)], span)
+    rows = runs.values
+    gone = covered(len(words), rows.field("start").to_numpy(), rows.field("n").to_numpy(), span)
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
@@ -285,28 +349,28 @@ def digests(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 words, removed, kept = [], [], []
-                for text, starts in zip(utf8(part), part.column("__starts"), strict=True):
+                for text, runs in zip(utf8(part), part.column("__runs"), strict=True):
                     own = text.split()
-                    rest, n = _kept(own, starts, span, gram)
+                    rest, n = _kept(own, runs, span)
                     words.append(len(own)), removed.append(n), kept.append(hashlib.sha256(b" ".join(rest)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_starts(docs.select("doc_id", "text"), span, gram)
+    joined = _with_runs(docs.select("doc_id", "text"), span, gram)
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``: the words kept, joined by one space, where any went."""
-    joined = _with_starts(docs, span, gram)
+    joined = _with_runs(docs, span, gram)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = []
-                for text, starts in zip(part.column("text"), part.column("__starts"), strict=True):
-                    if starts.is_valid:
-                        rest, n = _kept((text.as_py() or "").encode().split(), starts, span, gram)
+                for text, runs in zip(part.column("text"), part.column("__runs"), strict=True):
+                    if runs.is_valid:
+                        rest, n = _kept((text.as_py() or "").encode().split(), runs, span)
                         texts.append(b" ".join(rest).decode() if n else text.as_py())
                     else:
                         texts.append(text.as_py())
