@@ -35,5 +35,5 @@ def same_rows(spark, query, sql: str, sf_dir: str) -> int:
     got = sorted((tuple(plain(r[n]) for n in names) for r in frame.collect()), key=repr)
     assert len(got) == len(want), (len(got), len(want))
     for g, w in zip(got, want, strict=True):
-        assert g == w
+        assert g == w, (names, g, w)
     return len(got)
