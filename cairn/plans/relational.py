@@ -19,7 +19,7 @@ def order_revenue(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey"))
     rows = items.join(orders, "l_orderkey").join(customers, "c_custkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
-    return rows.groupBy("c_mktsegment", "n_name").agg(F.round(F.sum("r"), 2).alias("revenue"), F.count("*").alias("lines"))
+    return rows.groupBy("c_mktsegment", "n_name").agg(F.round(F.sum("r"), 0).alias("revenue"), F.count("*").alias("lines"))
 
 
 def customers_without_orders(spark, sf_dir):
@@ -135,7 +135,7 @@ def validation_counts(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (order_revenue, customers_without_orders, customers_with_urgent_orders, customer_orders_left, same_supplier_pairs, alias_join, filtered_aggregates, ordered_lists, latest_per_user, event_props, priority_cases, sample_by_hash, token_statistics, date_differences, benchmark_overlap, output_binding, validation_counts)}
 _GRAM = "select distinct {k}, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as g from (select {k}, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from {t}) where len(w) >= 8"
 ORACLES = {
-    "order_revenue": "select c_mktsegment, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as lines from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all",
+    "order_revenue": "select c_mktsegment, n_name, round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue, count(*) as lines from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all",
     "customers_without_orders": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
     "customers_with_urgent_orders": "select c_custkey, c_mktsegment from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')",
     "customer_orders_left": "select c_custkey, count(o_orderkey) as orders, round(max(o_totalprice), 2) as largest from customer left join orders on o_custkey = c_custkey group by 1",
