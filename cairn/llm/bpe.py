@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cairn.llm.common import SPACE, slices
+from cairn.llm.common import SPACE, bounded, slices
 from cairn.session import table
 
 #: Code points of a leaf of the tree, and of the first window at a cut.
@@ -124,7 +124,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "token_id
                 column = pa.array([coder.encode(x or "") for x in part.column(text).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids])
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def encoded_with_digests(docs: DataFrame, path: str, ids: str | None = "token_ids", leaf: int = LEAF) -> DataFrame:
@@ -148,7 +148,7 @@ def encoded_with_digests(docs: DataFrame, path: str, ids: str | None = "token_id
                     made["decoded_sha256"].append(hashlib.sha256(coder.decode(tokens)).hexdigest())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(made[name], kind) for name, kind, _ in added)], [*part.schema.names, *made])
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Texts are handed to the kernels in groups of about so many bytes, so that memory does not follow the batch size.
 GROUP_BYTES = 2 << 20
+#: Rows of texts that Spark sends to a Python worker at once.
+BATCH_ROWS = 1000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -24,6 +27,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = GROUP_B
             yield batch.slice(a, b - a)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, to be sent to Python in batches of BATCH_ROWS rows at most, where the session has no smaller number.
+
+    Whole texts of ten thousand rows, Spark's default, would take up to hundreds of megabytes in each worker and as
+    much again in its executor.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8; null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import slices, utf8
+from cairn.llm.common import bounded, slices, utf8
 from cairn.session import table
 
 #: For long windows and for short ones: bytes, windows of a neighbourhood, of how many of these a feature must be the
@@ -172,7 +172,7 @@ def digests(docs: DataFrame, text: str = "text", name: str = "digest") -> DataFr
                 made = pa.array(digest_all(utf8(part, text)), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 # --- each document beside the next one ---------------------------------------------------------------------------
@@ -243,7 +243,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     ghost = F.struct(F.col("goes").alias("range"), F.lit(True).alias("head"))
     rows = rows.withColumn("range", range_of("doc_id")).select(F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("at"), "doc_id", "tie", "text")
     rows = rows.select("at.range", "at.head", "doc_id", "tie", "text").repartition("range").sortWithinPartitions("range", "head", F.col("doc_id").desc_nulls_last(), "tie")
-    return rows.select("range", "head", "doc_id", "text").mapInArrow(_compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return bounded(rows.select("range", "head", "doc_id", "text")).mapInArrow(_compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

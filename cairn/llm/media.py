@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from cairn.llm.common import slices, utf8
+from cairn.llm.common import bounded, slices, utf8
 from cairn.session import table
 from cairn.storage import scratch
 
@@ -152,7 +152,7 @@ def write_archives(docs: DataFrame, folder: str) -> int:
 
     store, root = _open(folder)
     store.create_dir(root, recursive=True)
-    done = docs.select("doc_id", "text").mapInArrow(run, "name string, bytes bigint, members bigint").collect()  # a row for 16 MB
+    done = bounded(docs.select("doc_id", "text")).mapInArrow(run, "name string, bytes bigint, members bigint").collect()  # a row for 16 MB
     with store.open_output_stream(f"{root}/{MANIFEST}") as out:
         out.write(json.dumps([[r.name, r.bytes] for r in done]).encode())
     return sum(r.members for r in done)
@@ -252,7 +252,7 @@ def described(media: DataFrame) -> DataFrame:
                     rows.append((int(doc_id) if doc_id else None, int(rest[:-4]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(samples)))
                 yield pa.RecordBatch.from_pylist([dict(zip(_DESCRIBED.names, r, strict=True)) for r in rows], schema=_DESCRIBED)
 
-    return media.select("member", "media", "error").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return bounded(media.select("member", "media", "error")).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 _DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import slices, utf8
+from cairn.llm.common import bounded, slices, utf8
 from cairn.operators.graph import connected_components
 from cairn.session import table
 from cairn.storage import Stored, store
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([fingerprint(x, shingle) for x in utf8(part)], pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 # --- the tree: parallel arrays; a child below zero is shard -1-child --------------------------------------------

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import slices, utf8
+from cairn.llm.common import bounded, slices, utf8
 from cairn.session import table
 from cairn.storage import Stored, broadcast_if_small, store
 
@@ -38,6 +38,8 @@ from cairn.storage import Stored, broadcast_if_small, store
 SPAN, GRAM = 50, 25
 #: Rows of counters of the sketch, and the anchors that a shard is planned for, with four counters an anchor and row.
 DEPTH, SHARD_ANCHORS = 5, 1 << 14
+#: Anchors that one partial sketch adds up.
+PARTIAL_ANCHORS = 1 << 19
 _COUNTERS = 4 * SHARD_ANCHORS
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +102,7 @@ def anchors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
                 found = pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(own, pa.int64())], ["doc_id", "anchors"])
                 yield found.filter(pa.array([len(x) > 0 for x in own]))
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id bigint, anchors array<bigint>")
+    return bounded(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInArrow(run, "doc_id bigint, anchors array<bigint>")
 
 
 # --- the sketch --------------------------------------------------------------------------------------------------
@@ -117,21 +119,29 @@ def _shard_of(h: Column, shards: int) -> Column:
 def partial_sketches(found: DataFrame, shards: int) -> DataFrame:
     """(shard, cells binary): the counters that a partition's anchors touch, as (row, counter) codes, twice if twice or more."""
 
+    def touched(parts: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(parts)
+        shard = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        h, shard = h[order], shard[order]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        names, cells = [], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            codes, n = np.unique(np.concatenate([_cells(h[a:b], r) + r * _COUNTERS for r in range(DEPTH)]), return_counts=True)
+            names.append(int(shard[a]))
+            cells.append(np.sort(np.concatenate((codes, codes[n > 1]))).astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(cells, pa.binary())], ["shard", "cells"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            h = batch.column("anchors").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(h):
-                continue
-            shard = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            h, shard = h[order], shard[order]
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-            names, cells = [], []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                codes, n = np.unique(np.concatenate([_cells(h[a:b], r) + r * _COUNTERS for r in range(DEPTH)]), return_counts=True)
-                names.append(int(shard[a]))
-                cells.append(np.sort(np.concatenate((codes, codes[n > 1]))).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(cells, pa.binary())], ["shard", "cells"])
+            held.append(batch.column("anchors").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            n += len(held[-1])
+            if n >= PARTIAL_ANCHORS:
+                yield touched(held)
+                held, n = [], 0
+        if n:
+            yield touched(held)
 
     return found.select("anchors").mapInArrow(run, "shard bigint, cells binary")
 
@@ -166,23 +176,20 @@ def _estimated(found: DataFrame, merged: Stored, shards: int) -> DataFrame:
         joined = parts.join(merged.df, "shard").select("own", "bits")
         hits = joined.mapInArrow(_test_lists, "doc_id bigint, h bigint")
         return hits.groupBy("doc_id").agg(F.collect_list("h").alias("hot"))
-    sketch = {r.shard: bytes(r.bits) for r in merged.df.toLocalIterator()}
-    shared = found.sparkSession.sparkContext.broadcast(sketch)
+    width = DEPTH * _COUNTERS // 8
+    whole = bytearray(shards * width)
+    for r in merged.df.toLocalIterator():
+        whole[r.shard * width : (r.shard + 1) * width] = r.bits
+    shared = found.sparkSession.sparkContext.broadcast(bytes(whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {k: np.frombuffer(v, np.uint8) for k, v in shared.value.items()}
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             lists = batch.column("anchors")
             h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             shard = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-            hot = np.zeros(len(h), bool)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                who = order[a:b]
-                hot[who] = _test(bits[int(shard[who[0]])], h[who])
-            lengths = np.array([len(x) for x in lists], np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), lengths)[hot]
+            hot = _test(bits, h, shard * width)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())[hot]
             n = np.bincount(owner, minlength=batch.num_rows)
             column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(h[hot].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "hot"]).filter(pa.array(n > 0))
@@ -195,11 +202,12 @@ def _estimated(found: DataFrame, merged: Stored, shards: int) -> DataFrame:
 SKETCH_BROADCAST, SALT_ROWS = 48 << 20, 1 << 16
 
 
-def _test(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _test(bits: np.ndarray, h: np.ndarray, at: np.ndarray | int = 0) -> np.ndarray:
+    """Whether all counters of each anchor reached two; ``at`` is where its shard begins."""
     out = np.ones(len(h), bool)
     for r in range(DEPTH):
         cell = _cells(h, r) + r * _COUNTERS
-        out &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+        out &= (bits[at + (cell >> 3)] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
     return out
 
 
@@ -356,7 +364,7 @@ def digests(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     joined = _with_runs(docs.select("doc_id", "text"), span, gram)
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return bounded(joined).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -378,7 +386,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
                 columns[at] = pa.array(texts, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
 
-    return joined.mapInArrow(run, docs.schema)
+    return bounded(joined).mapInArrow(run, docs.schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import SPACE, slices
+from cairn.llm.common import SPACE, bounded, slices
 from cairn.session import table
 
 PIECE, BATCH_BYTES, LIMIT = 1 << 15, 1 << 20, 1024
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 n = count(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
