@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the same ordinary text and toxic text. A
-document is cut into windows of WINDOW words; a window's distance is how many bytes shorter the toxic dictionary
-compresses it. What both dictionaries hold costs the same with either, so distances come from toxic text alone. The
+Two zstandard dictionaries are trained: one on ordinary text, one on the same ordinary text and toxic text. In place
+of the toxic text the ordinary dictionary has bytes that match nothing, so that what both hold lies equally far back
+and costs the same with either. A document is cut into windows of WINDOW words; a window's distance is how many bytes
+shorter the toxic dictionary compresses it, and comes from toxic text alone. The
 largest distance of a document, the excess of its windows over chance, and how many windows it has go through a
 logistic calibration learnt on labelled rows that neither dictionary has seen.
 
@@ -29,12 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import slices, utf8
+from cairn.llm.common import bounded, slices, utf8
 from cairn.llm.labelled import held_out, sample
 from cairn.session import table
 
 #: Words of a window; bytes of ordinary text in the dictionaries; compression level.
-WINDOW, ORDINARY_BYTES, LEVEL = 16, 40_000, 6
+WINDOW, ORDINARY_BYTES, LEVEL = 16, 100_000, 9
 #: Labelled rows of a class that dictionaries and calibration are fitted on, at most.
 DICTIONARY_ROWS, CALIBRATION_ROWS = {1: 1200, 0: 2000}, {1: 1500, 0: 4000}
 #: A stem has STEM bytes, the space before the word included. It counts as toxic when seen in MIN_SEEN distinct
@@ -160,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         rest += own[n:].tolist() or own.tolist()
     words = [b" " + w for t in learn[0][:600] for w in t.lower().split()]
     ordinary = b"".join(words[i] for i in rng.permutation(len(words))[: ORDINARY_BYTES // 4])[:ORDINARY_BYTES] or b" " * 16
-    model = Model(ordinary, ordinary + b"".join(toxic_words(learn[1], learn[0])), None, prior)
+    toxic = b"".join(toxic_words(learn[1], learn[0]))
+    filler = rng.integers(128, 192, len(toxic), dtype=np.uint8).tobytes()  # bytes that begin no character
+    model = Model(filler + ordinary, toxic + ordinary, None, prior)
     x, y = Scorer(model).features([texts[i] for i in rest]), y[rest]
     share = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
     model.weights = tuple(logistic(x, y, share).tolist())
@@ -177,7 +180,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 score = scorer.scores(utf8(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return bounded(docs.select("doc_id", held_out().alias("held_out"), "text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -189,7 +192,7 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
             for part in slices(batch):
                 yield part.filter(pa.array(scorer.scores(utf8(part)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
