@@ -7,9 +7,10 @@ take is left for the nodes above, whose own split saw the whole subtree's capaci
 its seeded epochs: in epoch e its documents are ordered by the hash of seed, epoch and doc_id, an epoch begins when
 the one before is used up, and documents are taken while their tokens end within the budget.
 
-Only DataFrame and SQL functions are used. A leaf's running sum is never computed in one task: hashes are cut into
-ranges, the ranges are summed by partial aggregation, and rows are only ordered within the one range in which a
-leaf's budget ends, some RANGE_ROWS of them. What is joined to the documents has one row a leaf.
+Only DataFrame and SQL functions are used. A leaf's running sum is never computed in one task: ranges of hashes are
+summed by partial aggregation, the one in which a leaf's budget ends is found digit by digit from sixteen sums at a
+time, and rows are only ordered within that range, some RANGE_ROWS of them. What is joined to the documents has one
+row a leaf.
 
 Tokens are words between ASCII white space. Defined cases: documents without any word have no tokens and are taken
 where the prefix reaches them; null domain, lang or source is a node named ``(none)``; a null text has no words;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.session import table
-from cairn.storage import broadcast_if_small, store
+from cairn.storage import Stored, broadcast_if_small, store
 
 #: Levels of the tree.
 LEVELS = ("domain", "lang", "source")
@@ -91,27 +92,46 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent:
     leaf = list(LEVELS)
     tree = store(with_tree(docs, domain), "tree")
     rows = tree.df.count()
-    digits = max(1, min(7, math.ceil(math.log(max(1, rows) / RANGE_ROWS, 16)))) if rows else 1
+    levels = max(1, math.ceil(math.log(max(1, rows) / RANGE_ROWS, 16)))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     passes = tree.df.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn("rank", key)
-    code = F.col("epoch").cast("bigint") * F.lit(16**digits) + F.conv(F.substring("rank", 1, digits), 16, 10).cast("bigint")
-    passes = passes.withColumn("range", code)
-    sums = store(passes.groupBy(*leaf, "range").agg(F.sum("tokens").cast("bigint").alias("n")), "ranges")
-    capacity = store(sums.df.groupBy(*leaf).agg(F.sum("n").cast("bigint").alias("cap")), "capacity")
+    capacity = store(tree.df.groupBy(*leaf).agg((F.sum("tokens") * epochs).cast("bigint").alias("cap")), "capacity")
     single = (capacity.df.agg(F.sum("cap")).first()[0] or 0) // epochs
     chosen = store(budgets(capacity.df, single * percent // 100, weights), "leaf-budgets")
-    along = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    places = sums.df.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).join(chosen.df, leaf)
-    end = places.where("before + n > budget").groupBy(*leaf).agg(F.min(F.struct("range", "before")).alias("end"))
-    ends = store(chosen.df.join(end, leaf, "left").select(*leaf, "budget", F.col("end.range").alias("end"), "end.before"), "ends")
-    taken = passes.join(broadcast_if_small(ends.df, ends.df.count() * 200), leaf)
+    ends = _ends(passes, chosen, leaf, levels)
+    taken = passes.join(_small(ends), leaf)
+    at, head = F.col("end.epoch"), F.substring("rank", 1, levels)
     keep = ["doc_id", *leaf, "tokens", "tie", "epoch", "budget"]
-    inside = taken.where("end is null or range < end").select(*keep)
+    inside = taken.where(F.col("end").isNull() | (F.col("epoch") < at) | ((F.col("epoch") == at) & (head < F.col("end.range")))).select(*keep)
     order = Window.partitionBy(*leaf).orderBy("rank", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, -1)
-    last = taken.where("range = end").withColumn("place", F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    last = taken.where((F.col("epoch") == at) & (head == F.col("end.range"))).withColumn("place", F.col("end.before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     return inside.unionByName(last.where("place + tokens <= budget").select(*keep))
 
 
+def _small(leaves: Stored) -> DataFrame:
+    """One row a leaf, broadcast while there are few enough."""
+    return broadcast_if_small(leaves.df, leaves.df.count() * 200)
+
+
+def _ends(passes: DataFrame, chosen: Stored, leaf: list[str], levels: int) -> Stored:
+    """(leaf, budget, end struct<epoch, range, before>): the epoch and range of hashes in which each leaf's budget ends.
+
+    The range is found digit by digit: each level sums the sixteen parts of the range found so far, and only these
+    sums, sixteen a leaf (and epoch, at first), are accumulated. ``end`` is null where everything fits.
+    """
+    ends = store(chosen.df.select(*leaf, "budget", F.lit(None).cast("struct<epoch:int,range:string,before:bigint>").alias("end")), "ends")
+    along = Window.partitionBy(*leaf).orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
+    for level in range(1, levels + 1):
+        part = passes.join(_small(ends), leaf)
+        if level > 1:
+            part = part.where((F.col("epoch") == F.col("end.epoch")) & (F.substring("rank", 1, level - 1) == F.col("end.range")))
+        sums = store(part.groupBy(*leaf, "epoch", F.substring("rank", 1, level).alias("range")).agg(F.sum("tokens").cast("bigint").alias("n"), F.first("budget").alias("budget"), F.first("end.before").alias("base")), "ranges")
+        places = sums.df.withColumn("before", F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("n").over(along), F.lit(0)))
+        end = places.where("before + n > budget").groupBy(*leaf).agg(F.min(F.struct("epoch", "range", "before")).alias("end"))
+        ends = store(chosen.df.select(*leaf, "budget").join(end, leaf, "left"), "ends")
+    return ends
+
+
 def kept_once(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
     """The documents that a single pass takes, with all their columns."""
     taken = store(mix(docs, weights, percent, 1, seed).select(F.col("doc_id").alias("__of"), F.col("tie").alias("__tie")).distinct(), "taken").df
