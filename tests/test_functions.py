@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cairn.functions import html as H
 from cairn.functions import jsonguard as J
 from cairn.functions import media as M
+from cairn.functions import ocr as O
 from cairn.operators import evaluation as V
 from cairn.operators import prompts as R
 
@@ -91,3 +92,26 @@ def test_macro_scores(spark):
     assert (none.accuracy, none.macro_f1) == (0, 0)
     half = score([("l0", "l0"), ("l0", "l1")])
     assert half.accuracy == 0.5 and math.isclose(half.macro_f1, (2 / 3) / 14)
+
+
+def test_damage_and_calls(spark):
+    found = {"vehicle_visible": True, "target_vehicle_clear": True, "damage_visible": True, "damaged_parts": ["door", " "], "damage_types": [], "evidence_summary": "dent", "finding_determinate": True, "evidence_limitations": [], "severity_hint": "minor", "confidence": 0.9, "other": 1}
+    assert json.loads(J.damage(json.dumps(found)))["damaged_parts"] == ["door"]
+    for change in ({"finding_determinate": False}, {"evidence_limitations": ["blur", "blur"]}, {"severity_hint": "odd"}, {"damage_visible": 1}):
+        assert json.loads(J.or_error(J.damage, J.NO_DAMAGE)(json.dumps(found | change)))["status"] == "invalid_response"
+    call = {"problem_category": "praise", "customer_sentiment": "positive", "sentiment_score": 0.5, "urgency": "low", "key_issues": [], "customer_request": "none", "resolution_status": "resolved", "requires_followup": False, "agent_attitude": "professional", "summary": "fine", "confidence": 1}
+    assert json.loads(J.call_analysis(json.dumps(call)))["status"] == "success"
+    rows = spark.createDataFrame([(json.dumps(call),), ("x",)], "raw string").select(J.guarded(F.col("raw"), J.or_error(J.call_analysis, J.NO_ANALYSIS))["json"].alias("j"))
+    assert sorted(json.loads(r.j)["status"] for r in rows.collect()) == ["invalid_response", "success"]
+
+
+def test_ocr(spark):
+    lines = [{"text": "Claimant Name:", "confidence": 0.9, "bbox": [0, 20, 50, 30]}, {"txt": "Ada", "score": 1.5, "box": [[60, 21], [90, 21], [90, 31], [60, 31]]}, ["CLAIM NO. C-1", 0.8, [0, 0, 50, 10]], [[0, 40, 40, 50], "Loss date", 0.7], {"text": "03/04/2024", "confidence": True, "bbox": [45, 41, 90, 51]}, {"text": " "}]
+    got = json.loads(O.observations(json.dumps({"results": lines})))
+    assert [x["text"] for x in got["text_lines"]] == ["CLAIM NO. C-1", "Claimant Name:", "Ada", "Loss date", "03/04/2024"] and got["mean_confidence"] == 0.68
+    assert json.loads(O.fields(json.dumps(got))) == {"claim_number": "C-1", "claimant_name": "Ada", "loss_date": "03/04/2024"}
+    assert json.loads(O.observations("bad"))["status"] == "unreadable" and json.loads(O.fields(None))["claim_number"] == ""
+    rows = spark.createDataFrame([("C-1", json.dumps(lines)), ("C-2", json.dumps(lines)), ("C-3", None)], "claim_id string, raw string").withColumn("ocr", O.observations_json("raw")).withColumn("f", O.fields_json("ocr"))
+    rows = rows.withColumn("q", O.document_quality(F.col("ocr"), F.col("f"), F.col("claim_id"), ["claim_number", "loss_date"], 0.5)).withColumn("d", O.loss_date(F.get_json_object("f", "$.loss_date")).cast("string"))
+    got = {r.claim_id: (r.q.failure_reasons, r.d) for r in rows.collect()}
+    assert got == {"C-1": ([], "2024-03-04"), "C-2": (["claim_number_mismatch"], "2024-03-04"), "C-3": (["ocr_unreadable", "ocr_confidence_below_threshold", "required_fields_missing"], None)}
