@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,9 +20,14 @@ PERMUTATIONS, BANDS, SHINGLE, PRIME = 64, 8, 5, 2**31 - 1
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
+@functools.cache
+def _combining() -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))) + "]+")
+
+
 def normalize(text: str) -> str:
     """Lower case without accents; whatever is neither letter nor digit becomes one space."""
-    bare = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    bare = text if text.isascii() else _combining().sub("", unicodedata.normalize("NFD", text))
     return _NOT_WORD.sub(" ", bare.lower()).strip()
 
 
@@ -39,11 +45,16 @@ def permutations(n: int = PERMUTATIONS) -> tuple[tuple[int, int], ...]:
     return tuple((draw("a", i) + 1, draw("b", i)) for i in range(n))
 
 
-def affine_signature(parts: list[str]) -> list[int]:
-    """Minima of affine permutations of one 28-bit hash a shingle; all zero without shingles."""
+def shingle_codes(parts: list[str]) -> list[int]:
+    """60 bits of each shingle's digest."""
+    return [int(hashlib.md5(p.encode()).hexdigest()[:15], 16) for p in parts]
+
+
+def affine_signature(parts: list[str], codes: list[int] | None = None) -> list[int]:
+    """Minima of affine permutations of the first 28 bits of each shingle's digest; all zero without shingles."""
     if not parts:
         return [0] * PERMUTATIONS
-    h = np.array([int(hashlib.md5(p.encode()).hexdigest()[:7], 16) for p in parts], np.int64)
+    h = np.array(shingle_codes(parts) if codes is None else codes, np.int64) >> 32
     a, b = (np.array(x, np.int64)[:, None] for x in zip(*permutations(), strict=True))
     least = np.full(PERMUTATIONS, PRIME, np.int64)
     for at in range(0, len(h), 4096):
@@ -51,7 +62,7 @@ def affine_signature(parts: list[str]) -> list[int]:
     return least.tolist()
 
 
-def blake2b_signature(parts: list[str], seed: int = 42) -> list[int]:
+def blake2b_signature(parts: list[str], codes: list[int] | None = None, seed: int = 42) -> list[int]:
     """Minima of 64-bit keyed digests, as signed 64-bit patterns; all zero without shingles."""
     if not parts:
         return [0] * PERMUTATIONS
@@ -71,7 +82,7 @@ def band_keys(signature: list[int], bands: int = BANDS) -> list[str]:
 def fingerprints(docs: DataFrame, hash: str = "affine", text: str = "text") -> DataFrame:
     """``docs`` without the text, and normalized_sha256, token_count, unique_tokens, shingles, signature, bands.
 
-    ``shingles`` are 63-bit hashes of the distinct shingles; ``bands`` is empty for texts without tokens, which
+    ``shingles`` are 60-bit hashes of the distinct shingles; ``bands`` is empty for texts without tokens, which
     therefore never become candidates.
     """
     keep = [f for f in docs.schema.fields if f.name != text]
@@ -89,8 +100,8 @@ def fingerprints(docs: DataFrame, hash: str = "affine", text: str = "text") -> D
                     plain = normalize(value or "")
                     tokens = plain.split()
                     parts = shingles(tokens)
-                    signature = sign(parts)
-                    codes = [int(hashlib.md5(p.encode()).hexdigest()[:15], 16) for p in parts]
+                    codes = shingle_codes(parts)
+                    signature = sign(parts, codes)
                     rows.append((hashlib.sha256(plain.encode()).hexdigest(), len(tokens), len(set(tokens)), codes, signature, band_keys(signature) if parts else []))
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]

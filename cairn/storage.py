@@ -6,6 +6,8 @@ read goes to the shared store. Nothing here uses a machine-local folder unless `
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cached_property
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="cairn-")
+        folder = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _fallback[app] = f"file://{folder}"
     return _fallback[app]
 
 
