@@ -56,14 +56,14 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``."""
+    """(doc_id, key, fp): one row for each row of ``docs``; ``key`` is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([fingerprint(x, shingle) for x in utf8(part)], pa.int64())], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([fingerprint(x, shingle) for x in utf8(part)], pa.int64())], ["doc_id", "key", "fp"])
 
-    return bounded(docs.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return bounded(docs.select("doc_id", F.xxhash64("text").alias("key"), "text")).mapInArrow(run, "doc_id bigint, key bigint, fp bigint")
 
 
 # --- the tree: parallel arrays; a child below zero is shard -1-child --------------------------------------------
@@ -263,7 +263,7 @@ def _in_blocks(dealt: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 3, shard: int = SHARD, task: int = TASK) -> DataFrame:
-    """(doc_id, fp, component_id), one row a document; the component is the smallest doc_id that links reach."""
+    """(doc_id, key, fp, component_id), one row a document; the component is the smallest doc_id that links reach."""
     prints = store(fingerprints(docs, shingle), "fingerprints")
     groups = store(prints.df.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "groups")
     found = links(spark, groups.df, groups.df.count(), radius, shard, task)
@@ -273,17 +273,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shing
     named = store(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "components")
     whole = groups.df.join(named.df, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     whole: Stored = store(whole, "named")
-    return prints.df.join(whole.df, "fp").select("doc_id", "fp", "component_id")
+    return prints.df.join(whole.df, "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """The documents without those that are near copies of one with a smaller doc_id.
 
-    Of rows that share a doc_id as well as a component, all stay; rows without a doc_id stay.
+    Rows that share a doc_id are judged each by its own text; those that also share a component all stay, as do rows
+    without a doc_id.
     """
     found = near_duplicates(docs.sparkSession, docs, radius, shingle)
-    gone = store(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "copies").df
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    gone = store(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone"), "key").distinct(), "copies").df
+    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["key"]), "left_anti")
 
 
 def hexadecimal(fp) -> F.Column:

@@ -87,5 +87,7 @@ def test_links_find_all_pairs_of_a_dense_ball(spark, shard, task):
 def test_keep_first_and_empty_table(spark):
     frame = spark.createDataFrame([(5, "one two three four", "x", 0.0), (3, "one two three four", "y", 1.0), (None, None, None, None), (9, "quite another text here", "z", 2.0)], SCHEMA)
     assert sorted((r.doc_id or -1) for r in simhash.keep_first(frame).collect()) == [-1, 3, 9]
+    twice = frame.unionByName(spark.createDataFrame([(5, "a text of its own that nothing else is like", "x", 0.0)], SCHEMA))
+    assert sorted((r.doc_id or -1) for r in simhash.keep_first(twice).collect()) == [-1, 3, 5, 9]
     assert simhash.near_duplicates(spark, frame.limit(0)).count() == 0
     assert simhash.keep_first(frame.limit(0)).columns == frame.columns
