@@ -37,7 +37,7 @@ WEIGHTS: dict[str, dict[str, int]] = {"domain": {"web": 5, "books": 2, "code": 2
 #: Share of all single-pass tokens that the production mix may take, in hundredths; passes over a leaf; seed.
 PERCENT, EPOCHS, SEED = 80, 2, 2026
 #: Rows that a range of a leaf should hold on average if leaves were even.
-RANGE_ROWS = 4096
+RANGE_ROWS = 256
 
 _WORD = r"[^ \t\n\x0B\f\r]+"
 
