@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, mixing, simhash, substring_dedup, toxicity
+from cairn.llm import bpe, mixing, near_copies, substring_dedup, toxicity
 from cairn.session import table
 from cairn.storage import store
 
@@ -27,7 +27,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    """Links of five-word Jaccard similarity 0.8 or more, exactly; the rule of ``simhash`` is that of op1 alone."""
+    return near_copies.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
