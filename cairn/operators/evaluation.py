@@ -45,6 +45,20 @@ def keyword_intent(text: Column, keywords: dict[str, list[str]], other: str = "o
     return F.when(F.size(best) == 1, best[0]["intent"]).otherwise(other)
 
 
-def transcript_problem(text: Column) -> Column:
-    """Why a transcript is not to be trusted: it is empty, or something repeats four times in a row; else null."""
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "empty").when(text.rlike(r"(.{2,20})\1{3,}"), "repetition")
+#: White space as Python's ``\s`` sees it, as a class of Java's patterns.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def transcript_problem(text: Column, segments: Column | None = None, duration_ms: Column | None = None) -> Column:
+    """Why a transcript is not to be trusted, else null: it is empty, or something repeats four times in a row, white
+    space aside; with ``segments`` (array of structs with start_ms and end_ms), also times outside the recording or
+    segments out of order. A missing time or duration counts as outside."""
+    bare = F.regexp_replace(text, _SPACE, "")
+    found = F.when(F.coalesce(bare, F.lit("")) == "", "empty").when(bare.rlike(r"(.{2,20})\1{3,}"), "repetition")
+    if segments is None:
+        return found
+    duration = F.lit(None).cast("bigint") if duration_ms is None else duration_ms
+    inside = lambda w: (w["start_ms"] >= 0) & (w["start_ms"] <= w["end_ms"]) & (w["end_ms"] <= duration)
+    starts = F.transform(segments, lambda w: w["start_ms"])
+    found = found.when(F.exists(segments, lambda w: ~F.coalesce(inside(w), F.lit(False))), "outside_recording")
+    return found.when(starts != F.array_sort(starts), "out_of_order")
