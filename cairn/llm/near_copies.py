@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import bounded, slices, utf8
 from cairn.operators.graph import connected_components
+from cairn.operators.similar import search
 from cairn.storage import broadcast_if_small, store, stored_bytes
 
 #: Words of a shingle, and the similarity in hundredths from which two texts are near copies.
@@ -103,54 +104,12 @@ def _prints(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return bounded(docs.select("doc_id", F.xxhash64("text").alias("key"), "text")).mapInArrow(run, "doc_id bigint, key bigint, code bigint, n bigint, prefix array<bigint>")
 
 
-def search(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (reached, from) that span the components of all pairs of the wanted similarity."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    offsets = np.concatenate(([0], np.cumsum(sizes)))
-    waiting = np.ones(len(sets), bool)
-    alive = starts = owners = None
-
-    def index() -> None:
-        nonlocal alive, starts, owners
-        alive = np.flatnonzero(waiting)
-        local = np.repeat(np.cumsum(waiting) - 1, sizes)
-        kept = np.repeat(waiting, sizes)
-        order = np.argsort(ids[kept], kind="stable")
-        owners = local[kept][order]
-        starts = np.concatenate(([0], np.cumsum(np.bincount(ids[kept], minlength=len(names)))))
-
-    index()
-    links, left = [], len(sets)
-    for seed in range(len(sets)):
-        if not waiting[seed]:
-            continue
-        waiting[seed] = False
-        left -= 1
-        frontier = [seed]
-        while frontier and left:
-            if left * 2 < len(alive):
-                index()
-            at = frontier.pop()
-            mine = ids[offsets[at] : offsets[at + 1]]
-            lengths = starts[mine + 1] - starts[mine]
-            steps = np.arange(lengths.sum()) + np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-            shared = np.bincount(owners[steps], minlength=len(alive))
-            near = alive[(shared > 0) & (100 * shared >= percent * (sizes[at] + sizes[alive] - shared))]
-            near = near[waiting[near]]
-            waiting[near] = False
-            left -= len(near)
-            links += [(int(x), at) for x in near]
-            frontier += near.tolist()
-    return links
-
-
 def _task_links(percent: int):
     def run(data: pa.Table) -> pa.Table:
         codes, first = np.unique(data.column("code").to_numpy(), return_index=True)
         column = data.column("found").combine_chunks()
         values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-        found = search([values[ends[i] : ends[i + 1]] for i in first], percent) if len(first) > 1 else []
+        found = search([values[ends[i] : ends[i + 1]] for i in first], percent / 100) if len(first) > 1 else []
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": codes[a], "b": codes[b]})
 

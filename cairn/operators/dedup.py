@@ -2,21 +2,27 @@
 
 Two ways lead from fingerprints to clusters. ``candidate_pairs`` lists every pair that shares a band, as the audit
 tables need it, and refuses to start when the number of pairs would exceed a budget. ``clusters`` first folds texts
-with equal shingle sets into one class, so a page copied a million times costs one row and no pairs; only classes are
-paired. Equal texts share all bands and have similarity one, so both give the same clusters.
+with equal shingle sets into one class, so a page copied a million times costs one row and no pairs; classes are then
+linked within each bucket without listing pairs and without a budget. Equal texts share all bands and have similarity
+one, so both give the same clusters.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.operators.graph import connected_components
+from cairn.operators.similar import search
 from cairn.storage import store
 
 #: Similarity from which a pair is a duplicate; pairs that candidates may come to.
 THRESHOLD, PAIR_BUDGET = 0.7, 1_000_000
+#: Classes of a bucket that one task searches; a fuller bucket is dealt into blocks, every two of which meet.
+BLOCK = 4096
 
 
 class PairBudgetExceeded(RuntimeError):
@@ -68,7 +74,26 @@ def scored_pairs(pairs: DataFrame, prints: DataFrame, threshold: float = THRESHO
     return both.select("left_id", "right_id", "shared_bands", "shingle_jaccard", "signature_overlap", "is_duplicate", reason.alias("reason"))
 
 
-def clusters(prints: DataFrame, threshold: float = THRESHOLD, budget: int = PAIR_BUDGET) -> DataFrame:
+def bucket_links(heads: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that span the components of all duplicate pairs which share a band; pairs are never listed."""
+    bands = exploded_bands(heads)
+    buckets = collision_buckets(bands).select("band", "key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != own) | (F.col("blocks") == 1))
+    dealt = bands.join(buckets, ["band", "key"]).select("doc_id", "band", "key", F.explode(F.transform(others, lambda j: F.struct(F.least(j, own).alias("x"), F.greatest(j, own).alias("y")))).alias("t"))
+    tasks = dealt.join(heads.select("doc_id", "shingles"), "doc_id").select("doc_id", "band", "key", "t.x", "t.y", "shingles")
+
+    def run(data: pa.Table) -> pa.Table:
+        ids, column = data.column("doc_id").combine_chunks(), data.column("shingles").combine_chunks()
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        found = np.array(search([values[a:b] for a, b in zip(ends, ends[1:], strict=False)], threshold), np.int64).reshape(-1, 2)
+        return pa.table({"a": ids.take(pa.array(found[:, 0])), "b": ids.take(pa.array(found[:, 1]))})
+
+    kind = heads.schema["doc_id"].dataType.simpleString()
+    return tasks.groupBy("band", "key", "x", "y").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def clusters(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, cluster_id, cluster_size); a cluster is named after its smallest doc_id."""
     keyed = prints.withColumn("class", F.sha2(F.concat_ws(",", F.array_sort("shingles").cast("array<string>")), 256))
     keyed = keyed.withColumn("class", F.when(F.size("shingles") == 0, F.concat(F.lit("empty-"), F.col("doc_id").cast("string"))).otherwise(F.col("class")))
@@ -76,8 +101,7 @@ def clusters(prints: DataFrame, threshold: float = THRESHOLD, budget: int = PAIR
     least = folded.df.groupBy("class").agg(F.min("doc_id").alias("first"))
     firsts = store(least.withColumnRenamed("class", "c"), "class-firsts")
     heads = store(folded.df.join(firsts.df, (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("first"))).select("doc_id", "shingles", "signature", "bands"), "class-heads")
-    pairs = scored_pairs(candidate_pairs(heads.df, budget), heads.df, threshold).where("is_duplicate")
-    parts = connected_components(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    parts = connected_components(bucket_links(heads.df, threshold))
     named = store(firsts.df.join(parts, F.col("first") == F.col("node"), "left").select("c", F.coalesce("component", "first").alias("root")), "class-roots")
     members = store(folded.df.select("doc_id", "class").join(named.df, F.col("class") == F.col("c")).select("doc_id", "root"), "members")
     sizes = members.df.groupBy("root").agg(F.count("*").alias("cluster_size")).withColumnRenamed("root", "r")
