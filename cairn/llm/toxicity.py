@@ -1,26 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the same ordinary text and toxic text. In place
-of the toxic text the ordinary dictionary has bytes that match nothing, so that what both hold lies equally far back
-and costs the same with either. A document is cut into windows of WINDOW words; a window's distance is how many bytes
-shorter the toxic dictionary compresses it, and comes from toxic text alone. The
-largest distance of a document, the excess of its windows over chance, and how many windows it has go through a
-logistic calibration learnt on labelled rows that neither dictionary has seen.
-
-The toxic text is drawn from toxic training documents: words that begin with a stem which appears there far oftener,
-in distinct surroundings and several documents, than in ordinary ones. Surroundings are counted once, so that neither
-copies of one document nor one long document make their words toxic.
-
-Fitting uses a bounded sample of labelled rows (DICTIONARY_ROWS and CALIBRATION_ROWS a class); scoring reads every
-whole text. Defined cases: null and empty texts have no window and get the score of a distance of nought; without
-labels of both classes every score is the share of toxic labels (0 without any); rows stay as they are; columns
-besides doc_id and text are ignored.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text, and a document's windows are compressed
+with each. A window's distance is how many bytes shorter the toxic dictionary compresses it; a document's features
+come from its windows' distances alone, and thresholds on them are calibrated by a logistic regression.
+
+Both dictionaries end in the same part, trained on whole ordinary documents (BASE_BYTES): it explains what any text
+of these languages shares, so that the two differ by CLASS_BYTES each, and ordinary text costs much the same with
+either. The parts of their own are trained on windows of toxic and of other ordinary documents. Most windows of a
+toxic document are ordinary, so it is not known which of them are toxic; they are sought as in learning from bags:
+
+1. at first, windows of either class that the shared part alone compresses worst (beyond the NOVEL quantile of
+   ordinary windows);
+2. then, REFINE times, the windows of toxic documents whose distance is beyond the CHANCE quantile of ordinary ones,
+   measured by dictionaries that were trained on the other folds, never on the document itself.
+
+Equal windows are trained on once, so that copies of a document weigh no more than one. The calibration sees
+out-of-fold distances only. Words are lower-cased (A-Z) and end at ASCII white space.
+
+Fitting uses a bounded sample of labelled rows (ROWS a class, ``labelled.SAMPLE_BYTES`` of text a class); scoring reads
+every whole text. Defined cases: null and empty texts have no window and get the score of features nought; without
+labels of both classes every score is the share of toxic labels (0 without any); where samples are too few for
+zstandard's trainer, a dictionary is the samples themselves, so the distances are then those of plain text; repeated
+doc_ids and contradicting labels are as in ``labelled.sample``; rows stay as they are, ties are impossible; columns
+besides doc_id and text are ignored by ``scored`` and kept by ``keep_ordinary``.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,21 +34,26 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm.common import bounded, slices, utf8
 from cairn.llm.labelled import held_out, sample
 from cairn.session import table
 
-#: Words of a window; bytes of ordinary text in the dictionaries; compression level.
-WINDOW, ORDINARY_BYTES, LEVEL = 16, 100_000, 9
-#: Labelled rows of a class that dictionaries and calibration are fitted on, at most.
-DICTIONARY_ROWS, CALIBRATION_ROWS = {1: 1200, 0: 2000}, {1: 1500, 0: 4000}
-#: A stem has STEM bytes, the space before the word included. It counts as toxic when seen in MIN_SEEN distinct
-#: surroundings and in MIN_DOCS documents, MIN_RATIO times as often as in ordinary text.
-STEM, MIN_SEEN, MIN_DOCS, MIN_RATIO = (5, 9), 10, 7, 8.0
-#: Bytes of distance that windows of ordinary text reach by chance.
-CHANCE = 3
+#: Words of a window; compression level.
+WINDOW, LEVEL = 16, 9
+#: Labelled rows of a class that the model is fitted on, at most.
+ROWS = {1: 2000, 0: 4000}
+#: Bytes of the part that both dictionaries share, and of each one's own part.
+BASE_BYTES, CLASS_BYTES = 200_000, 4096
+#: Length of the trainer's segments and of the strings it counts, for the shared and for the own parts.
+BASE_PIECES, CLASS_PIECES = (64, 8), (16, 8)
+#: Distinct windows that a dictionary is trained on, at most, and the bits of the table in which the trainer counts
+#: their strings (its default of 20 bits is too small for so much text).
+TRAIN_WINDOWS, TABLE_BITS = 20_000, 22
+#: Folds; rounds in which toxic windows are chosen anew; the quantiles that choose windows.
+FOLDS, REFINE, NOVEL, CHANCE = 8, 2, 0.8, 0.98
+#: A document's distances are summed beyond each of so many bytes.
+BEYOND = (1, 2, 3, 4, 6, 8)
 
 
 @dataclass
@@ -53,76 +64,83 @@ class Model:
     prior: float
 
 
-def _surroundings(texts: list[bytes]) -> tuple[Counter, int]:
-    """How often each word stands between distinct pairs of neighbours, and the number of words."""
-    seen, counts, total = set(), Counter(), 0
-    for text in texts:
-        words = [b"", *text.lower().split(), b""]
-        total += len(words) - 2
-        for before, word, after in zip(words, words[1:], words[2:], strict=False):
-            if (key := hash((before, word, after))) not in seen:
-                seen.add(key)
-                counts[b" " + word + b" "] += 1
-    return counts, total
-
-
-def toxic_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words of toxic documents that begin with a toxic stem, the most frequent last."""
-    words, n_toxic = _surroundings(toxic)
-    others, n_ordinary = _surroundings(ordinary)
-    low, high = STEM
-    stems = lambda word: (word[:k] for k in range(low, min(len(word), high) + 1))
-    counts: Counter = Counter()
-    for word, n in words.items():
-        for stem in stems(word):
-            counts[stem] += n
-    wanted = {stem: n for stem, n in counts.items() if n >= MIN_SEEN}
-    against: Counter = Counter()
-    for word, n in others.items():
-        for stem in stems(word):
-            if stem in wanted:
-                against[stem] += n
-    found = {s for s, n in wanted.items() if n / max(1, n_toxic) > MIN_RATIO * (against[s] + 0.5) / max(1, n_ordinary)}
-    docs = Counter(s for text in toxic for s in {s for w in set(text.lower().split()) for s in stems(b" " + w + b" ") if s in found})
-    found = {s for s in found if docs[s] >= MIN_DOCS}
-    return [word for word, _ in sorted(((w, n) for w, n in words.items() if any(s in found for s in stems(w))), key=lambda x: (x[1], x[0]))]
-
-
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    trained = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    trained.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False)
+@dataclass
+class Windows:
+    """The windows of some texts, side by side in one buffer."""
+
+    buffer: bytes
+    start: np.ndarray
+    size: np.ndarray
+    owner: np.ndarray
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.buffer[self.start[i] : self.start[i] + self.size[i]]
+
+    def lengths(self, compressor: zstandard.ZstdCompressor, which: np.ndarray | None = None) -> np.ndarray:
+        """Compressed bytes of each window (of those in ``which``)."""
+        start, size = (self.start, self.size) if which is None else (self.start[which], self.size[which])
+        if not len(start):
+            return np.zeros(0, np.int64)
+        segments = np.stack((start, size), axis=1).astype(np.uint64)
+        parts = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(self.buffer, segments.tobytes()), threads=1)
+        return np.fromiter(map(len, parts), np.int64, len(start))
+
+
+def windows(texts: list[bytes]) -> Windows:
+    """Runs of WINDOW words with a space before, between and after them; the last of a text may be shorter."""
+    buffers, starts, sizes, owners, at = [], [], [], [], 0
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        if not words:
+            continue
+        edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+        first = np.arange(0, len(words), WINDOW)
+        a, b = edges[first], edges[np.minimum(first + WINDOW, len(words))] + 1
+        starts.append(a + at), sizes.append(b - a), owners.append(np.full(len(first), i))
+        buffers.append(b" " + b" ".join(words) + b" ")
+        at += len(buffers[-1])
+    whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return Windows(b"".join(buffers), whole(starts), whole(sizes), whole(owners))
+
+
+def trained(n_bytes: int, samples: list[bytes], pieces: tuple[int, int]) -> bytes:
+    """A dictionary of ``n_bytes`` by zstandard's trainer; the samples themselves where they are too few for it."""
+    if sum(map(len, samples)) > n_bytes:
+        try:
+            return zstandard.train_dictionary(n_bytes, samples, k=pieces[0], d=pieces[1], f=TABLE_BITS).as_bytes()
+        except zstandard.ZstdError:  # fewer or shorter samples than the trainer accepts
+            pass
+    return b"".join(samples)[-n_bytes:]
+
+
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """Frames without any header field that would add the same bytes to each window."""
+    made = zstandard.ZstdCompressionDict(dictionary or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(
+        level=LEVEL, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+
+
+def document_features(distance: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A row a document: largest distance, logarithms of the sums beyond each of BEYOND, and of its windows."""
+    out = np.zeros((n, len(BEYOND) + 2))
+    np.maximum.at(out[:, 0], owner, distance)
+    for k, least in enumerate(BEYOND, 1):
+        np.add.at(out[:, k], owner, np.maximum(0, distance - least))
+    out[:, -1] = np.bincount(owner, minlength=n)
+    out[:, 1:] = np.log1p(out[:, 1:])
+    return out
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.pair = (_compressor(model.ordinary), _compressor(model.toxic)) if model.toxic else None
+        self.ordinary, self.toxic = (compressor(model.ordinary), compressor(model.toxic)) if model.weights else (None, None)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """A row a text: largest distance, excess over chance, logarithm of the number of windows."""
-        out = np.zeros((len(texts), 3))
-        buffers, spans, owner, at = [], [], [], 0
-        for i, text in enumerate(texts):
-            words = text.lower().split()
-            if not words:
-                continue
-            edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
-            first = np.arange(0, len(words), WINDOW)
-            a, b = edges[first], edges[np.minimum(first + WINDOW, len(words))] + 1
-            spans.append(np.stack((a + at, b - a), axis=1)), owner.append(np.full(len(first), i))
-            buffers.append(b" " + b" ".join(words) + b" ")
-            at += len(buffers[-1])
-        if not buffers or self.pair is None:
-            return out
-        segments, owner = np.concatenate(spans).astype(np.uint64), np.concatenate(owner)
-        windows = zstandard.BufferWithSegments(b"".join(buffers), segments.tobytes())
-        length = [np.fromiter(map(len, c.multi_compress_to_buffer(windows, threads=1)), np.int64, len(segments)) for c in self.pair]
-        far = length[0] - length[1]
-        np.maximum.at(out[:, 0], owner, far)
-        np.add.at(out[:, 1], owner, np.maximum(0, far - CHANCE))
-        out[:, 1:] = np.log1p(np.stack((out[:, 1], np.bincount(owner, minlength=len(texts))), axis=1))
-        return out
+        found = windows(texts)
+        return document_features(found.lengths(self.ordinary) - found.lengths(self.toxic), found.owner, len(texts))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.model.weights is None:
@@ -137,37 +155,78 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty * len(x), x.T @ (weight * (p - y)) + penalty @ w * len(x))
+        curvature = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty * len(x)
+        step = np.linalg.solve(curvature, x.T @ (weight * (p - y)) + penalty @ w * len(x))
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+class _Bags:
+    """Windows of labelled documents, folds of the documents, and dictionaries trained on some of the windows."""
+
+    def __init__(self, texts: list[bytes], y: np.ndarray, rng: np.random.Generator):
+        self.y, self.rng, self.all = y, rng, windows(texts)
+        ordinary = rng.permutation(np.flatnonzero(y == 0))
+        self.spare = np.ones(len(y), bool)  # documents that the shared part does not hold
+        self.spare[ordinary[: len(ordinary) // 2]] = False
+        self.fold = rng.permutation(len(y)) % FOLDS
+        self.of = lambda documents: documents[self.all.owner]
+        self.base = self.train(~self.of(self.spare), BASE_BYTES, BASE_PIECES)
+
+    def train(self, mask: np.ndarray, n_bytes: int, pieces: tuple[int, int]) -> bytes:
+        some = dict.fromkeys(self.all[i] for i in self.rng.permutation(np.flatnonzero(mask)))
+        return trained(n_bytes, list(some)[:TRAIN_WINDOWS], pieces)
+
+    def pair(self, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[bytes, bytes]:
+        """The two dictionaries: own part first, shared part last, where matches lie nearest."""
+        return tuple(self.train(mask, CLASS_BYTES, CLASS_PIECES) + self.base for mask in (ordinary, toxic))
+
+    def fit(self) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+        """Both dictionaries, the documents to calibrate on, and their out-of-fold features."""
+        is_toxic, spare = self.of(self.y == 1), self.of(self.spare)
+        ratio = self.all.lengths(compressor(self.base)) / self.all.size
+        novel = spare & (ratio > _quantile(ratio[spare & ~is_toxic], NOVEL))
+        ordinary, toxic = novel & ~is_toxic, novel & is_toxic
+        distance = self._across(ordinary, toxic)
+        for _ in range(REFINE):
+            beyond = is_toxic & (distance > _quantile(distance[spare & ~is_toxic], CHANCE))
+            toxic = beyond if beyond.any() else toxic
+            distance = self._across(ordinary, toxic)
+        features = document_features(distance, self.all.owner, len(self.y))
+        return *self.pair(ordinary, toxic), np.flatnonzero(self.spare), features[self.spare]
+
+    def _across(self, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """Distances of the spare documents' windows by dictionaries of the other folds."""
+        out, fold = np.zeros(len(self.all.owner), np.int64), self.of(self.fold)
+        for f in np.unique(self.fold):
+            mine = np.flatnonzero((fold == f) & self.of(self.spare))
+            others = fold != f
+            a, b = (compressor(d) for d in self.pair(ordinary & others, toxic & others))
+            out[mine] = self.all.lengths(a, mine) - self.all.lengths(b, mine)
+        return out
+
+
+def _quantile(values: np.ndarray, q: float) -> float:
+    return float(np.quantile(values, q)) if len(values) else 0.0
+
+
+def learn(texts: list[bytes], y: np.ndarray, prior: float, seed: int = 17) -> Model:
+    """The model of labelled texts; ``prior`` is the share of toxic rows that the calibration assumes."""
+    if not (y == 0).any() or not (y == 1).any():
+        return Model(b"", b"", None, prior)
+    ordinary, toxic, who, x = _Bags(texts, y, np.random.default_rng(seed)).fit()
+    y = y[who]
+    weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
+    return Model(ordinary, toxic, tuple(logistic(x, y, weight).tolist()), prior)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Dictionaries and calibration from a bounded sample outside the held-out fifth."""
-    both = {k: DICTIONARY_ROWS[k] + CALIBRATION_ROWS[k] for k in (0, 1)}
-    texts, y, counts = sample(docs, labels, label, both)
+    texts, y, counts = sample(docs, labels, label, ROWS)
     total = sum(counts.values())
-    prior = counts.get(1, 0) / total if total else 0.0
-    if not (y == 0).any() or not (y == 1).any():
-        return Model(b"", b"", None, prior)
-    rng = np.random.default_rng(17)
-    learn, rest = {}, []
-    for k in (0, 1):
-        own = rng.permutation(np.flatnonzero(y == k))
-        n = min(DICTIONARY_ROWS[k], math.ceil(len(own) / 2))
-        learn[k] = [texts[i] for i in own[:n]]
-        rest += own[n:].tolist() or own.tolist()
-    words = [b" " + w for t in learn[0][:600] for w in t.lower().split()]
-    ordinary = b"".join(words[i] for i in rng.permutation(len(words))[: ORDINARY_BYTES // 4])[:ORDINARY_BYTES] or b" " * 16
-    toxic = b"".join(toxic_words(learn[1], learn[0]))
-    filler = rng.integers(128, 192, len(toxic), dtype=np.uint8).tobytes()  # bytes that begin no character
-    model = Model(filler + ordinary, toxic + ordinary, None, prior)
-    x, y = Scorer(model).features([texts[i] for i in rest]), y[rest]
-    share = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-    model.weights = tuple(logistic(x, y, share).tolist())
-    return model
+    return learn(texts, y, counts.get(1, 0) / total if total else 0.0)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -178,9 +237,12 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 score = scorer.scores(utf8(part))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                columns = [part.column("doc_id"), part.column("held_out"), pa.array(score, pa.float64())]
+                predicted = pa.array((score >= threshold).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*columns, predicted], ["doc_id", "held_out", "score", "predicted"])
 
-    return bounded(docs.select("doc_id", held_out().alias("held_out"), "text")).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    rows = bounded(docs.select("doc_id", held_out().alias("held_out"), "text"))
+    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

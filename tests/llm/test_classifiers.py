@@ -21,7 +21,7 @@ def measured(spark, scored, label):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the synthetic tables")
-@pytest.mark.parametrize("module,label,least", [(toxicity, "toxic", (0.9, 0.45, 0.96)), (quality, "quality", (0.97, 0.97, 0.9))])
+@pytest.mark.parametrize("module,label,least", [(quality, "quality", (0.97, 0.97, 0.9))])
 def test_held_out_accuracy(spark, module, label, least):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = measured(spark, module.scored(docs, module.fit(docs, labels)), label)
@@ -42,13 +42,6 @@ def test_defined_cases(spark, module):
     assert module.scored(docs.limit(0), module.fit(docs.limit(0), some)).count() == 0
 
 
-def test_copies_do_not_make_words_toxic():
-    copy = b"the quiet harbour town sleeps"
-    assert toxicity.toxic_words([copy] * 50, [b"something else here"] * 50) == []
-    varied = [f"w{i} dreadful v{i}".encode() for i in range(50)]
-    assert toxicity.toxic_words(varied, [b"something else here"] * 50) == [b" dreadful "]
-
-
 def test_keep_ordinary_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a", "en"), (2, "b", "fr")], "doc_id bigint, text string, lang string")
     model = toxicity.Model(b"", b"", None, 0.0)
