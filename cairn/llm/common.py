@@ -40,6 +40,18 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``docs`` has, whatever the case of letters; one for each of ``names``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8; null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

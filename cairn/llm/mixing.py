@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairn.llm.common import fresh
 from cairn.session import table
 from cairn.storage import Stored, broadcast_if_small, store
 
@@ -134,9 +135,10 @@ def _ends(passes: DataFrame, chosen: Stored, leaf: list[str], levels: int) -> St
 
 def kept_once(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
     """The documents that a single pass takes, with all their columns."""
-    taken = store(mix(docs, weights, percent, 1, seed).select(F.col("doc_id").alias("__of"), F.col("tie").alias("__tie")).distinct(), "taken").df
+    of, tie = fresh(docs, "__of", "__tie")
+    taken = store(mix(docs, weights, percent, 1, seed).select(F.col("doc_id").alias(of), F.col("tie").alias(tie)).distinct(), "taken").df
     taken = broadcast_if_small(taken, taken.count() * 56)
-    same = docs["doc_id"].eqNullSafe(taken["__of"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == taken["__tie"])
+    same = docs["doc_id"].eqNullSafe(taken[of]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == taken[tie])
     return docs.join(taken, same, "left_semi")
 
 

@@ -1,5 +1,9 @@
-"""Near copies by exact similarity: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of
-0.8 or more are linked, and one text of each linked group stays.
+"""Near copies of five-word shingles: SimHash trees, completed to all pairs of a Jaccard similarity of 0.8 or more.
+
+Texts are linked where their SimHash fingerprints (of the same shingles) differ by RADIUS bits at most, found by the
+vantage-point trees of ``simhash``; and, since a similarity of 0.8 lies some ten bits apart, where no tree of 64-bit
+fingerprints can prune (README has figures), also where the sets of shingles have that similarity. One text of each
+linked group stays.
 
 Shingles stand as 64-bit hashes. Equal sets are folded first. Shingles are put in one order for all texts: those that
 are not known as frequent by hash, then the others, rare ones first. Two sets of the wanted similarity share one of
@@ -13,8 +17,10 @@ pair. A group beyond TASK_ROWS or TASK_SHINGLES is dealt into blocks, every two
 
 The order comes from document frequencies in a bounded sample; it only decides how large the rough groups are.
 
-Words are those of ``simhash.fingerprint``: A-Z count as a-z, words end at ASCII white space; a shorter text is one
-shingle; texts without words are copies of each other.
+Words are those of ``simhash.fingerprint``: A-Z count as a-z, words end at ASCII white space. Defined cases: a shorter
+text is one shingle; null, empty and blank texts have no shingles and are copies of each other; rows that share a
+doc_id are judged each by its own text; which row of a group stays is stated in ``simhash.without_copies``; an empty
+table gives an empty one; other columns, whatever their names, pass through ``keep_first``.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm import simhash
 from cairn.llm.common import bounded, slices, utf8
 from cairn.operators.graph import connected_components
 from cairn.operators.similar import search
@@ -34,6 +41,8 @@ from cairn.storage import broadcast_if_small, store, stored_bytes
 
 #: Words of a shingle, and the similarity in hundredths from which two texts are near copies.
 SHINGLE, PERCENT = 5, 80
+#: Bits in which fingerprints that the trees link differ at most.
+RADIUS = 2
 #: Shingles taken from a set that is mostly not frequent, and the share of it from which this holds, in hundredths.
 FIRST, RARE_PERCENT = 40, 60
 #: About so many shingles are counted for the order, and so many of the most frequent are sent to all tasks (6 MB).
@@ -42,8 +51,8 @@ SAMPLE, FREQUENT = 1 << 23, 1 << 19
 TASK_ROWS, TASK_SHINGLES = 1 << 14, 1 << 22
 
 
-def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct XXH64 hashes of one UTF-8 text's word shingles, in ascending order."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 hashes of one UTF-8 text's word shingles, repeats included."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -53,7 +62,13 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     k = min(shingle, len(words))
     total = len(words) - k + 1
     of = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((of(joined[a:b], 42) for a, b in zip(starts[:total].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, total))
+    places = zip(starts[:total].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return np.fromiter((of(joined[a:b], 42) for a, b in places), np.uint64, total)
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes, in ascending order."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -90,18 +105,26 @@ def _frequencies(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _prints(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, key, code, n, prefix), a row a document: hashes of the text and of its set, its size and its prefix."""
+    """(doc_id, key, code, n, fp, prefix), a row a document: hashes of the text and of its set, the set's size, the
+    fingerprint and the prefix."""
     frequent, counts = _frequencies(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = [shingle_set(x, shingle) for x in utf8(part)]
+                sets, prints = [], []
+                for x in utf8(part):
+                    hashes = shingle_hashes(x, shingle)
+                    prints.append(simhash.majority(hashes))
+                    sets.append(np.unique(hashes))
                 codes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
                 firsts = pa.array([prefix(s, frequent, counts, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(codes), pa.array([len(s) for s in sets], pa.int64()), firsts], ["doc_id", "key", "code", "n", "prefix"])
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                columns = [part.column("doc_id"), part.column("key"), pa.array(codes), sizes, pa.array(prints, pa.int64()), firsts]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "code", "n", "fp", "prefix"])
 
-    return bounded(docs.select("doc_id", F.xxhash64("text").alias("key"), "text")).mapInArrow(run, "doc_id bigint, key bigint, code bigint, n bigint, prefix array<bigint>")
+    rows = bounded(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"))
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, code bigint, n bigint, fp bigint, prefix array<bigint>")
 
 
 def _task_links(percent: int):
@@ -152,23 +175,32 @@ def links(spark: SparkSession, docs: DataFrame, prints: DataFrame, shingle: int
     return found.df
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = TASK_ROWS, shingles: int = TASK_SHINGLES) -> DataFrame:
-    """(doc_id, key, component_id), one row a document; the component is the smallest doc_id that links reach."""
+def tree_links(spark: SparkSession, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between codes that span the components of all fingerprints within ``radius``."""
+    groups = store(prints.groupBy("fp").agg(F.min("code").alias("least")), "groups")
+    near = simhash.links(spark, groups.df, groups.df.count(), radius)
+    named = lambda side: groups.df.select(F.col("fp").alias(side), F.col("least").alias(f"code_{side}"))
+    across = near.join(named("a"), "a").join(named("b"), "b").select(F.col("code_a").alias("a"), F.col("code_b").alias("b"))
+    same = prints.select("fp", "code").distinct().join(groups.df, "fp").where("code <> least")
+    return across.unionByName(same.select(F.col("code").alias("a"), F.col("least").alias("b")))
+
+
+def near_copies(
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = TASK_ROWS, shingles: int = TASK_SHINGLES
+) -> DataFrame:
+    """(doc_id, key, component_id, group), one row a document; component_id is the smallest doc_id that links reach,
+    group names the component also where no row of it has a doc_id."""
     spark = docs.sparkSession
     prints = store(_prints(docs, shingle, percent), "prints").df
-    parts = connected_components(links(spark, docs, prints, shingle, percent, rows, shingles))
+    found = links(spark, docs, prints, shingle, percent, rows, shingles).unionByName(tree_links(spark, prints))
+    parts = connected_components(found)
     sets = prints.groupBy("code").agg(F.min("doc_id").alias("least_id")).join(parts.withColumnRenamed("node", "code"), "code", "left")
     sets = store(sets.select("code", "least_id", F.coalesce("component", "code").alias("component")), "sets").df
     least = sets.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return prints.join(sets.join(least, "component").select("code", "component_id"), "code").select("doc_id", "key", "component_id")
+    named = sets.join(least, "component").select("code", "component_id", F.col("component").alias("group"))
+    return prints.join(named, "code").select("doc_id", "key", "component_id", "group")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that near copies link to one with a smaller doc_id.
-
-    Rows that share a doc_id are judged each by its own text; those that also share a component all stay, as do rows
-    without a doc_id.
-    """
-    found = near_copies(docs, shingle, percent)
-    gone = store(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone"), "key").distinct(), "copies").df
-    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["key"]), "left_anti")
+    """The documents with one row of each linked group; all columns as they are."""
+    return simhash.without_copies(docs, near_copies(docs, shingle, percent))

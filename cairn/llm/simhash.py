@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded, slices, utf8
+from cairn.llm.common import bounded, fresh, slices, utf8
 from cairn.operators.graph import connected_components
 from cairn.session import table
-from cairn.storage import Stored, store
+from cairn.storage import Stored, broadcast_if_small, store
 
 #: Fingerprints a shard should hold, and what one task compares at most: a fuller shard is dealt out in blocks.
 SHARD, TASK = 2048, 16384
@@ -46,13 +46,18 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
-    of = xxhash.xxh64_intdigest
-    votes, total = np.zeros(64, np.int64), len(words) - k + 1
-    first, last = starts[:total].tolist(), ends[k - 1 :].tolist()
-    for at in range(0, total, 1 << 16):
-        h = np.array([of(joined[a:b], seed) for a, b in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)], "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > total, bitorder="little").view("<i8")[0])
+    of, total = xxhash.xxh64_intdigest, len(words) - k + 1
+    places = zip(starts[:total].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return majority(np.fromiter((of(joined[a:b], seed) for a, b in places), "<u8", total))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit value of the bits set in over half the hashes; 0 for none."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -208,8 +213,8 @@ def _shard_links(radius: int):
 def links(spark: SparkSession, prints: DataFrame, count: int, radius: int = 2, shard: int = SHARD, task: int = TASK) -> DataFrame:
     """(a, b): links whose connected components are those of all pairs of ``prints.fp`` within ``radius``.
 
-    ``prints`` has distinct fingerprints, ``count`` of them. The tree is fitted on a bounded sample by hash (16 a
-    shard, at most 16 x MAX_SHARDS, 8 MB); it only decides how evenly points are dealt, not which links are found.
+    ``prints`` has distinct fingerprints, ``count`` of them. The tree is fitted on a bounded sample by hash (24 a
+    shard, at most 24 x MAX_SHARDS, 13 MB); it only decides how evenly points are dealt, not which links are found.
     """
     shards = 1
     while shards * shard < count and shards < MAX_SHARDS:
@@ -263,28 +268,53 @@ def _in_blocks(dealt: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 3, shard: int = SHARD, task: int = TASK) -> DataFrame:
-    """(doc_id, key, fp, component_id), one row a document; the component is the smallest doc_id that links reach."""
+    """(doc_id, key, fp, component_id, group), one row a document; component_id is the smallest doc_id that links reach,
+    group a fingerprint that names the component also where no row of it has a doc_id."""
     prints = store(fingerprints(docs, shingle), "fingerprints")
     groups = store(prints.df.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "groups")
     found = links(spark, groups.df, groups.df.count(), radius, shard, task)
     parts = connected_components(found)
     named = groups.df.join(parts.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = store(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "components")
-    whole = groups.df.join(named.df, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    named = store(named.select("fp", "component").join(least, "component").select("fp", "component", "component_id"), "components")
+    whole = groups.df.join(named.df, "fp", "left")
+    whole = whole.select("fp", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("component", "fp").alias("group"))
     whole: Stored = store(whole, "named")
-    return prints.df.join(whole.df, "fp").select("doc_id", "key", "fp", "component_id")
+    for old in (groups, named):
+        old.remove()
+    return prints.df.join(whole.df, "fp").select("doc_id", "key", "fp", "component_id", "group")
+
+
+def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of ``found`` (doc_id, key, group): that of the smallest doc_id, rows without
+    one last, then of the smallest hash of the text, and of rows equal in both that of the smallest hash of all columns.
+    """
+    of, key, stay = fresh(docs, "__of", "__key", "__stays")
+    rows = store(found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n")), "rows-of-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
+    stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))
+    marks = rows.df.join(rows.df.groupBy("group").agg(first), "group").withColumn("stays", stays).where("n > 1 or not stays")
+    marks = marks.select(F.col("doc_id").alias(of), F.col("key").alias(key), F.col("stays").alias(stay))
+    marks = store(marks, "copies")
+    rows.remove()
+    counts = {r[0]: r[1] for r in marks.df.groupBy(stay).count().collect()}
+    same = docs["doc_id"].eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"]) == F.col(key))
+    gone, repeated = (broadcast_if_small(marks.df.where(F.col(stay) == s), 32 * counts.get(s, 0)) for s in (False, True))
+    kept = docs.join(gone, same, "left_anti")
+    if not counts.get(True):
+        return kept
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    one = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")
+    folded = kept.join(repeated, same).groupBy(of, key).agg(one).select("row.*")
+    return kept.join(repeated, same, "left_anti").unionByName(folded)
 
 
 def keep_first(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The documents without those that are near copies of one with a smaller doc_id.
+    """The documents with one row of each group of near copies, as ``without_copies`` chooses it.
 
-    Rows that share a doc_id are judged each by its own text; those that also share a component all stay, as do rows
-    without a doc_id.
+    Rows that share a doc_id are judged each by its own text. Columns of any other name pass through.
     """
-    found = near_duplicates(docs.sparkSession, docs, radius, shingle)
-    gone = store(found.where("component_id < doc_id").select(F.col("doc_id").alias("gone"), "key").distinct(), "copies").df
-    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["key"]), "left_anti")
+    return without_copies(docs, near_duplicates(docs.sparkSession, docs, radius, shingle))
 
 
 def hexadecimal(fp) -> F.Column:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded, slices, utf8
+from cairn.llm.common import bounded, fresh, slices, utf8
 from cairn.session import table
 from cairn.storage import Stored, broadcast_if_small, store
 
@@ -109,7 +109,8 @@ def anchors(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
 
 
 def _cells(h: np.ndarray, row: int) -> np.ndarray:
-    return (_mix(h + np.uint64(row + 1) * _ODD) % np.uint64(_COUNTERS)).astype(np.int64)
+    step = np.uint64((row + 1) * int(_ODD) & (1 << 64) - 1)
+    return (_mix(h + step) % np.uint64(_COUNTERS)).astype(np.int64)
 
 
 def _shard_of(h: Column, shards: int) -> Column:
@@ -287,13 +288,12 @@ def _size(runs: Stored) -> int:
     return runs.df.agg(F.sum(32 + 8 * F.size("runs"))).first()[0] or 0
 
 
-def _named(runs: Stored) -> DataFrame:
-    """Renamed, so that no column of the documents clashes."""
-    return broadcast_if_small(runs.df.withColumnsRenamed({"doc_id": "__of", "key": "__key", "runs": "__runs"}), _size(runs))
-
-
-def _of_row(docs: DataFrame) -> Column:
-    return (docs["doc_id"] == F.col("__of")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+def _beside(docs: DataFrame, runs: Stored, how: str) -> tuple[DataFrame, str]:
+    """``docs`` joined to the runs of each row, as the last column, and that column's name, which no other has."""
+    of, key, name = fresh(docs, "__of", "__key", "__runs")
+    named = broadcast_if_small(runs.df.select(F.col("doc_id").alias(of), F.col("key").alias(key), F.col("runs").alias(name)), _size(runs))
+    joined = docs.join(named, (docs["doc_id"] == named[of]) & (F.xxhash64(docs["text"]) == named[key]), how)
+    return joined.drop(named[of], named[key]), name
 
 
 def repeated_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Stored:
@@ -318,7 +318,8 @@ def repeated_runs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Stored
     for old in (hot, blocks, same, mixed, kinds):
         old.remove()
     open_ = _per_document(judged.df.where("not gone"), "open")
-    rest = texts.join(_named(open_), (F.col("doc_id") == F.col("__of")) & (F.col("key") == F.col("__key"))).select("doc_id", "key", "text", F.col("__runs").alias("runs"))
+    rest, name = _beside(texts, open_, "inner")
+    rest = rest.select("doc_id", "key", "text", F.col(name).alias("runs"))
     windows = store(rest.mapInArrow(_windows(span), "w1 bigint, w2 bigint, doc_id bigint, key bigint, start int"), "windows")
     least = windows.df.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     least = store(least.select("w1", "w2", "first"), "firsts")
@@ -337,11 +338,6 @@ def covered(n_words: int, first: np.ndarray, n: np.ndarray, span: int) -> np.nda
     return np.cumsum(edge[:n_words]) > 0
 
 
-def _with_runs(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """``docs`` and ``__runs`` as the last column."""
-    return docs.join(_named(repeated_runs(docs, span, gram)), _of_row(docs), "left").drop("__of", "__key")
-
-
 def _kept(words: list[bytes], runs: pa.Scalar, span: int) -> tuple[list[bytes], int]:
     if not runs.is_valid:
         return words, 0
@@ -357,26 +353,27 @@ def digests(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 words, removed, kept = [], [], []
-                for text, runs in zip(utf8(part), part.column("__runs"), strict=True):
+                for text, runs in zip(utf8(part), part.column(name), strict=True):
                     own = text.split()
                     rest, n = _kept(own, runs, span)
                     words.append(len(own)), removed.append(n), kept.append(hashlib.sha256(b" ".join(rest)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_runs(docs.select("doc_id", "text"), span, gram)
+    rows = docs.select("doc_id", "text")
+    joined, name = _beside(rows, repeated_runs(rows, span, gram), "left")
     return bounded(joined).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``: the words kept, joined by one space, where any went."""
-    joined = _with_runs(docs, span, gram)
+    joined, name = _beside(docs, repeated_runs(docs, span, gram), "left")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = []
-                for text, runs in zip(part.column("text"), part.column("__runs"), strict=True):
+                for text, runs in zip(part.column("text"), part.column(name), strict=True):
                     if runs.is_valid:
                         rest, n = _kept((text.as_py() or "").encode().split(), runs, span)
                         texts.append(b" ".join(rest).decode() if n else text.as_py())

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
-import corpus_pipeline as P
+from test_simhash import brute_fingerprint
+
 from cairn.llm import near_copies
+from cairn.llm import pipeline as P
 
 SCHEMA = "doc_id bigint, text string, lang string"
 
@@ -16,12 +18,12 @@ def grams(text):
 
 
 def brute(rows):
-    """The smallest doc_id of each row's component of links of 0.8 or more."""
-    sets = [grams(r[1]) for r in rows]
+    """The smallest doc_id of each row's component of links of 0.8 or more, or of fingerprints within two bits."""
+    sets, prints = [grams(r[1]) for r in rows], [brute_fingerprint(r[1], 5) for r in rows]
     part = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 2:
                 part = [part[i] if p == part[j] else p for p in part]
     return {r[0]: min(s[0] for s, q in zip(rows, part, strict=True) if q == p) for r, p in zip(rows, part, strict=True)}
 
@@ -58,6 +60,16 @@ def test_components_match_brute_force(spark, rows, shingles):
     assert got == want and 25 < len(set(want.values())) < len(data) - 25
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, copies without a doc_id, and columns named as the operator's own."""
+    text = "one two three four five six"
+    rows = [(4, text, "a", 1), (4, text, "a", 1), (4, text, "b", 2), (None, text, "c", 3), (9, text.upper(), "d", 4), (None, "alone", "e", 5), (None, "alone", "e", 5), (9, "other words altogether in here", "f", 6)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, key string, `group` int")
+    got = sorted(((r.doc_id or -1), r.text, r.key) for r in near_copies.keep_first(frame).collect())
+    assert [g[:2] for g in got] == [(-1, "alone"), (4, text), (9, "other words altogether in here")]
+    assert near_copies.keep_first(frame).columns == frame.columns
+
+
 def test_empty_table_and_null_ids(spark):
     frame = spark.createDataFrame([(5, "one two three four", "x"), (3, "one two three four", "y"), (None, None, None), (9, "quite another text here", "z")], SCHEMA)
     assert sorted((r.doc_id or -1) for r in near_copies.keep_first(frame).collect()) == [-1, 3, 9]

@@ -13,12 +13,12 @@ from cairn.llm import simhash
 SCHEMA = "doc_id bigint, text string, component_id string, fp double"
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, shingle=3):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not words:
         return 0
-    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    grams = [" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
     hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
@@ -87,6 +87,8 @@ def test_links_find_all_pairs_of_a_dense_ball(spark, shard, task):
 def test_keep_first_and_empty_table(spark):
     frame = spark.createDataFrame([(5, "one two three four", "x", 0.0), (3, "one two three four", "y", 1.0), (None, None, None, None), (9, "quite another text here", "z", 2.0)], SCHEMA)
     assert sorted((r.doc_id or -1) for r in simhash.keep_first(frame).collect()) == [-1, 3, 9]
+    clash = frame.withColumnsRenamed({"component_id": "gone", "fp": "key"}).unionByName(spark.createDataFrame([(3, "one two three four", "y", 1.0)], "doc_id bigint, text string, gone string, key double"))
+    assert sorted(((r.doc_id or -1), r.gone) for r in simhash.keep_first(clash).collect() if r.doc_id) == [(3, "y"), (9, "z")]
     twice = frame.unionByName(spark.createDataFrame([(5, "a text of its own that nothing else is like", "x", 0.0)], SCHEMA))
     assert sorted((r.doc_id or -1) for r in simhash.keep_first(twice).collect()) == [-1, 3, 5, 9]
     assert simhash.near_duplicates(spark, frame.limit(0)).count() == 0
