@@ -1,70 +1,10 @@
-"""From raw documents to token ids: reject toxic ones, keep one of each near-duplicate group, cut out repeated
-passages, mix sources to target weights, encode.
-
-Every stage reads what its predecessor kept, as written Parquet, and its decisions take effect. All but the last return
-the columns of ``documents``; the last returns ids and digests. Only the first stage reads another table (``labels``),
-and learns from the rows outside the held-out fifth alone.
-"""
+"""The corpus pipeline: ``STAGES``, ``run`` and ``ORACLE_SQL`` of ``cairn.llm.pipeline``, registered as ``pipeline``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cairn.llm import bpe, mixing, near_copies, substring_dedup, toxicity
-from cairn.session import table
-from cairn.storage import store
-
-#: Share of the kept tokens that the mix may take, in hundredths; its weights are those of ``mixing.WEIGHTS``.
-MIX_PERCENT = 90
-
-
-def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.keep_ordinary(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Links of five-word Jaccard similarity 0.8 or more, exactly; the rule of ``simhash`` is that of op1 alone."""
-    return near_copies.keep_first(docs)
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that loses all its words stays, with an empty text."""
-    kept = substring_dedup.without_repeats(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast("bigint"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.kept_once(docs, percent=MIX_PERCENT)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens, token_ids, ids_sha256, decoded_sha256."""
-    return bpe.encoded_with_digests(docs.select("doc_id", "lang", "source", "n_chars", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).drop("text")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", reject_toxic),
-    ("simhash_near_dedup", near_dedup),
-    ("substring_dedup", cut_repeats),
-    ("mixing", mix_sources),
-    ("byte_level_bpe", encode),
-]
-
-#: No SQL: learnt scores, fingerprints and token ids are not expressible in it. tests/llm holds each stage against a
-#: plain version of it.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name).df
-    return docs
+from cairn.llm.pipeline import ORACLE_SQL, STAGES, run
 
+__all__ = ["ORACLES", "ORACLE_SQL", "QUERIES", "STAGES", "run"]
 
 QUERIES = {"pipeline": run}
 ORACLES = {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
