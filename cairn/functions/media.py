@@ -1,140 +1,122 @@
-"""Features of training assets: text, documents, SVG images and WAV audio, and whether they may be released."""
+"""Features of training assets: text, documents, SVG images and WAV audio, and whether they may be released.
+
+Content is decoded, hashed and judged by Spark's own functions; only two small readers are Python: the root element of
+an SVG image and the header of a WAV recording, each called with nothing for rows of another kind.
+"""
 
 from __future__ import annotations
 
-import base64
-import binascii
-import hashlib
 import io
-import json
-import re
 import wave
-import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+import xml.parsers.expat
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Limits and penalties of the rules; fixed values.
 MIN_SIDE, MIN_SECONDS, MIN_TOKENS, ACCEPT, LICENSE_PENALTY = 512, 0.005, 4, 0.8, 0.25
+#: What a flag costs, by modality; fixed values.
+FLAG_COST = {"text": 0.4, "document": 1.0, "image": 0.5, "audio": 0.5}
+#: Runs of white space as Python's ``str.split`` sees it.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
-SCHEMA = "record_id string, modality string, license_id string, mime_type string, content_text string, content_sha256 string, byte_size bigint, token_count bigint, base_score double, base_flags array<string>, width bigint, height bigint, duration_seconds double, sample_rate bigint"
-_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-
+_SVG = T.StructType([T.StructField(c, T.StringType()) for c in ("root", "width", "height", "box")])
+_WAV = T.StructType([T.StructField("error", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("channels", "sample_rate", "sample_width_bytes")), T.StructField("frame_count", T.LongType())])
 
-def payload(row: dict) -> bytes:
-    """What the row carries: base64 content, line breaks or not, before text; a hash that is expected must match."""
-    coded = "".join((row.get("content_base64") or "").split())
-    data = base64.b64decode(coded, validate=True) if coded else (row.get("text") or "").encode()
-    expected = (row.get("expected_sha256") or "").strip().lower()
-    if expected and hashlib.sha256(data).hexdigest() != expected:
-        raise ValueError(f"content of {row.get('record_id')} does not have the expected hash")
-    return data
 
+def tokens(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9_]+"), F.lit(0))).cast("bigint")
 
-def tokens(text: str) -> int:
-    return len(re.findall(r"[a-zA-Z0-9_]+", text))
 
-
-def _side(value: str | None) -> int | None:
-    found = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(?:px)?\s*", value or "")
-    return int(float(found[1])) if found else None
+def first_element(data: bytes | None) -> tuple[str, dict[str, str]] | None:
+    """Name and attributes of an XML document's root; None where it is not well-formed."""
+    seen: list[tuple[str, dict[str, str]]] = []
+    parser = xml.parsers.expat.ParserCreate(namespace_separator=" ")
+    parser.StartElementHandler = lambda name, values: seen or seen.append((name.rpartition(" ")[2], values))
+    try:
+        parser.Parse(data or b"", True)
+    except xml.parsers.expat.ExpatError:
+        return None
+    return seen[0]
 
 
-def svg_size(data: bytes) -> tuple[int | None, int | None]:
-    """Width and height of an SVG, from its attributes or else its view box; raises ParseError if it is none."""
-    root = ET.fromstring(data)
-    if root.tag.rpartition("}")[2] != "svg":
-        raise ET.ParseError("not an svg")
-    width, height = _side(root.get("width")), _side(root.get("height"))
-    box = re.split(r"[\s,]+", (root.get("viewBox") or "").strip())
-    if len(box) == 4 and all(re.fullmatch(r"-?\d+(\.\d+)?", x) for x in box):
-        width, height = width or int(float(box[2])), height or int(float(box[3]))
-    return width, height
+@F.pandas_udf(_SVG)
+def svg_roots(content: pd.Series) -> pd.DataFrame:
+    found = [first_element(x) or (None, {}) for x in content]
+    return pd.DataFrame([(name, v.get("width"), v.get("height"), v.get("viewBox")) for name, v in found], columns=["root", "width", "height", "box"], dtype="object")
 
 
-def _decoded(data: bytes, flags: list[str]) -> str:
+def wav_header(content: bytes | None) -> tuple[str | None, int | None, int | None, int | None, int | None]:
+    """(error, channels, sample rate, bytes a sample, frames) of a WAV file's header."""
     try:
-        return data.decode()
-    except UnicodeDecodeError:
-        flags.append("invalid_utf8")
-        return data.decode(errors="replace")
+        with wave.open(io.BytesIO(content or b"")) as sound:
+            found = sound.getnchannels(), sound.getframerate(), sound.getsampwidth(), sound.getnframes()
+    except (EOFError, wave.Error) as e:
+        return type(e).__name__, None, None, None, None
+    return ("invalid_wave_header" if min(found[:3]) <= 0 else None), *found
 
 
-def _text(row: dict, data: bytes, flags: list[str], metrics: dict) -> tuple[str, float]:
-    text = " ".join(_decoded(data, flags).split())
-    if tokens(text) < MIN_TOKENS:
-        flags.append("text_too_short")
-    return text, 1 - 0.4 * len(flags)
+@F.pandas_udf(_WAV)
+def wav_headers(content: pd.Series) -> pd.DataFrame:
+    rows = pd.DataFrame([wav_header(x) for x in content], columns=["error", "channels", "sample_rate", "sample_width_bytes", "frame_count"])
+    return rows.astype({"channels": "Int32", "sample_rate": "Int32", "sample_width_bytes": "Int32", "frame_count": "Int64"})
 
 
-def _document(row: dict, data: bytes, flags: list[str], metrics: dict) -> tuple[str, float]:
-    text = _decoded(data, flags).strip()
-    if not text:
-        flags.append("empty_document")
-    return text, float(bool(text))
-
-
-def _image(row: dict, data: bytes, flags: list[str], metrics: dict) -> tuple[str, float]:
-    try:
-        if row.get("mime_type") != "image/svg+xml":
-            raise ET.ParseError("only svg is decoded")
-        width, height = metrics["width"], metrics["height"] = svg_size(data)
-        if not width or not height:
-            flags.append("missing_dimensions")
-        elif min(width, height) < MIN_SIDE:
-            flags.append("low_resolution")
-    except ET.ParseError:
-        flags.append("invalid_image")
-    return row.get("text") or "", 1 - 0.5 * len(flags)
-
-
-def _audio(row: dict, data: bytes, flags: list[str], metrics: dict) -> tuple[str, float]:
-    try:
-        with wave.open(io.BytesIO(data)) as sound:
-            rate = sound.getframerate()
-            if rate <= 0:
-                raise wave.Error("no sample rate")
-            seconds = sound.getnframes() / rate
-        metrics["duration_seconds"], metrics["sample_rate"] = round(seconds, 4), rate
-        if seconds < MIN_SECONDS:
-            flags.append("audio_too_short")
-    except (EOFError, wave.Error):
-        flags.append("invalid_audio")
-    return row.get("text") or "", 1 - 0.5 * len(flags)
-
-
-KERNELS: dict[str, Callable] = {"text": _text, "document": _document, "image": _image, "audio": _audio}
+def svg_size(root: Column) -> Column:
+    """struct<width, height> of an SVG's root: its lengths in pixels, or else those of its view box."""
+    length = lambda c: F.nullif(F.regexp_extract(F.coalesce(root[c], F.lit("")), r"^\s*(\d+(?:\.\d+)?)\s*(?:px)?\s*$", 1), F.lit("")).try_cast("double").cast("int")
+    side = lambda i: F.nullif(F.regexp_extract(F.coalesce(root["box"], F.lit("")), r"^\s*(?:-?\d+(?:\.\d+)?[\s,]+){2}(-?\d+(?:\.\d+)?)[\s,]+(-?\d+(?:\.\d+)?)\s*$", i), F.lit("")).try_cast("double").cast("int")
+    either = lambda c, i: F.coalesce(F.nullif(length(c), F.lit(0)), side(i), length(c)).cast("bigint")
+    return F.struct(either("width", 1).alias("width"), either("height", 2).alias("height"))
 
 
 def asset_features(assets: DataFrame) -> DataFrame:
-    """``SCHEMA`` of rows with record_id, modality, mime_type, license_id, text, content_base64, expected_sha256."""
-    wanted = ["record_id", "modality", "license_id", "mime_type", "text", "content_base64", "expected_sha256"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out = []
-                for row in batch.slice(at, 64).to_pylist():
-                    flags, metrics = [], dict.fromkeys(("width", "height", "duration_seconds", "sample_rate"))
-                    if row["modality"] not in KERNELS:
-                        raise ValueError(f"unknown modality {row['modality']}")
-                    try:
-                        data = payload(row)
-                    except binascii.Error:
-                        data = b""
-                        flags.append("invalid_base64")
-                    text, score = KERNELS[row["modality"]](row, data, flags, metrics)
-                    out.append({**{k: row[k] for k in ("record_id", "modality", "license_id", "mime_type")}, "content_text": text, "content_sha256": hashlib.sha256(data).hexdigest(), "byte_size": len(data), "token_count": tokens(text), "base_score": score, "base_flags": flags, **metrics})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
-
-    return assets.select(*wanted).mapInArrow(run, SCHEMA)
-
-
-_KINDS = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
-_ARROW = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in SCHEMA.split(", ")])
+    """Features of rows with record_id, modality, mime_type, license_id, text, content_base64, expected_sha256.
+
+    What a row carries is its base64 content, line breaks or not, before its text. A hash that is expected and differs,
+    and a modality that is not known, fail the query.
+    """
+    kind, c = F.col("modality"), F.col
+    coded = F.regexp_replace(F.coalesce("content_base64", F.lit("")), r"\s+", "")
+    rows = assets.select("record_id", "modality", "license_id", "mime_type", "text", "expected_sha256", coded.alias("coded"))
+    data = F.when(c("coded") == "", F.coalesce("text", F.lit("")).cast("binary")).otherwise(F.try_to_binary("coded", F.lit("base64")))
+    rows = rows.withColumn("broken", data.isNull()).withColumn("data", F.coalesce(data, F.lit("").cast("binary"))).drop("coded")
+    rows = rows.withColumn("content_sha256", F.sha2("data", 256))
+    expected = F.lower(F.trim(F.coalesce("expected_sha256", F.lit(""))))
+    differs = F.raise_error(F.concat(F.lit("content of "), c("record_id"), F.lit(" does not have the expected hash")))
+    unknown = F.raise_error(F.concat(F.lit("unknown modality "), F.coalesce(kind, F.lit("null"))))
+    checked = F.when(~F.coalesce(kind.isin(*FLAG_COST), F.lit(False)), unknown).when((expected != "") & ~c("broken") & (expected != c("content_sha256")), differs)
+    rows = rows.withColumn("content_sha256", F.coalesce(checked.cast("string"), c("content_sha256")))
+    rows = rows.withColumn("svg", svg_roots(F.when((kind == "image") & (c("mime_type") == "image/svg+xml"), c("data"))))
+    rows = rows.withColumn("wav", wav_headers(F.when(kind == "audio", c("data"))))
+    is_svg = F.coalesce(c("svg.root") == "svg", F.lit(False))
+    rows = rows.withColumn("size", F.when(is_svg, svg_size(c("svg"))))
+    said = c("data").cast("string")
+    rows = rows.withColumn("utf8", F.is_valid_utf8(said)).withColumn("said", F.make_valid_utf8(said))
+    folded = F.trim(F.regexp_replace("said", SPACE, " "))
+    stripped = F.regexp_replace("said", f"^{SPACE}|{SPACE}$", "")
+    rows = rows.withColumn("content_text", F.when(kind == "text", folded).when(kind == "document", stripped).otherwise(F.coalesce("text", F.lit(""))))
+    read = F.col("wav.error").isNull()
+    seconds = F.when(read, c("wav.frame_count") / c("wav.sample_rate"))
+    rows = rows.withColumn("seconds", seconds).withColumn("token_count", tokens(c("content_text")))
+    least, plain = F.least("size.width", "size.height"), kind.isin("text", "document")
+    rules = (
+        (c("broken"), "invalid_base64"), (plain & ~c("utf8"), "invalid_utf8"), ((kind == "text") & (c("token_count") < MIN_TOKENS), "text_too_short"),
+        ((kind == "document") & (c("content_text") == ""), "empty_document"), ((kind == "image") & ~is_svg, "invalid_image"),
+        ((kind == "image") & is_svg & ((F.coalesce("size.width", F.lit(0)) == 0) | (F.coalesce("size.height", F.lit(0)) == 0)), "missing_dimensions"),
+        ((kind == "image") & is_svg & (least > 0) & (least < MIN_SIDE), "low_resolution"), ((kind == "audio") & ~read, "invalid_audio"),
+        ((kind == "audio") & (c("seconds") < MIN_SECONDS), "audio_too_short"),
+    )
+    rows = rows.withColumn("base_flags", F.array_compact(F.array(*(F.when(holds, flag) for holds, flag in rules))))
+    cost = F.create_map(*(F.lit(x) for pair in FLAG_COST.items() for x in pair))
+    score = F.when(kind == "document", (c("content_text") != "").cast("double")).otherwise(1 - F.try_element_at(cost, kind) * F.size("base_flags"))
+    return rows.select(
+        "record_id", "modality", "license_id", "mime_type", "content_text", "content_sha256", F.octet_length("data").cast("bigint").alias("byte_size"), "token_count",
+        score.alias("base_score"), "base_flags", c("size.width").alias("width"), c("size.height").alias("height"), F.round("seconds", 4).alias("duration_seconds"),
+        F.when(read, c("wav.sample_rate").cast("bigint")).alias("sample_rate"),
+    )
 
 
 def released(features: DataFrame) -> DataFrame:
@@ -161,10 +143,46 @@ PHOTO_RULES = (("too_dark", "brightness_mean < 45", 0.25), ("too_bright", "brigh
 
 
 def photo_quality(photos: DataFrame) -> DataFrame:
-    """``photos`` and issue_flags, quality_score, needs_review, from metric columns alone."""
+    """``photos`` and issue_flags, quality_score, needs_review, from metric columns alone.
+
+    A photo that failed to decode (``decode_ok`` false, where there is such a column) has score 0 and one flag.
+    """
     flags = F.array_compact(F.array(*[F.when(F.expr(rule), name) for name, rule, _ in PHOTO_RULES]))
     cost: Column = F.lit(0.0)
-    for name, rule, price in PHOTO_RULES:
+    for _, rule, price in PHOTO_RULES:
         cost = cost + F.when(F.coalesce(F.expr(rule), F.lit(False)), price).otherwise(0.0)
     score = F.round(F.greatest(F.lit(0.0), 1 - cost), 6)
-    return photos.withColumn("issue_flags", flags).withColumn("quality_score", score).withColumn("needs_review", (F.col("quality_score") < 0.6) | (F.size("issue_flags") > 0))
+    if "decode_ok" in photos.columns:
+        broken = ~F.coalesce("decode_ok", F.lit(False))
+        flags, score = F.when(broken, F.array(F.lit("decode_error"))).otherwise(flags), F.when(broken, 0.0).otherwise(score)
+    rows = photos.withColumn("issue_flags", flags).withColumn("quality_score", score)
+    return rows.withColumn("needs_review", (F.col("quality_score") < 0.6) | (F.size("issue_flags") > 0))
+
+
+#: The other profile: reason, what holds; fixed values. Too bright is only told where a photo is not too dark.
+MEAN_RULES = (
+    ("resolution_too_low", "width < 640 or height < 480"), ("too_dark", "brightness < 0.10"), ("too_bright", "brightness >= 0.10 and brightness > 0.95"), ("low_contrast", "contrast < 10.0"),
+    ("low_detail", "sharpness < 1.5"), ("quality_score_below_threshold", "score < 0.40"),
+)
+
+
+def photo_quality_means(photos: DataFrame) -> DataFrame:
+    """``photos`` and photo_quality_json: the mean of four scores, of resolution, brightness (0 to 1), contrast and
+    sharpness (mean absolute change of brightness along both axes), and the reasons that make a photo unusable.
+
+    Columns: width, height, brightness, contrast, sharpness, error_type (null where the photo was decoded).
+    """
+    one = lambda *parts: F.least(F.lit(1.0), *parts)
+    scores = (
+        one(F.col("width") / 1280.0, F.col("height") / 960.0), F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("brightness") - 0.5) / 0.5),
+        one(F.col("contrast") / 40.0), one(F.col("sharpness") / 8.0),
+    )
+    rows = photos.withColumn("score", sum(scores[1:], scores[0]) / 4.0)
+    reasons = F.array_compact(F.array(*(F.when(F.expr(rule), name) for name, rule in MEAN_RULES)))
+    broken = F.struct(F.lit("decode_error").alias("status"), F.lit(False).alias("photo_usable"), F.lit(0.0).alias("quality_score"), F.array(F.lit("image_decode_failed")).alias("quality_reasons"), "error_type")
+    sound = F.struct(
+        F.lit("success").alias("status"), "width", "height", *(F.round(c, 4).alias(c) for c in ("brightness", "contrast", "sharpness")), F.round("score", 4).alias("quality_score"),
+        (F.size(reasons) == 0).alias("photo_usable"), reasons.alias("quality_reasons"),
+    )
+    json = F.when(F.col("error_type").isNotNull(), F.to_json(broken)).otherwise(F.to_json(sound))
+    return rows.withColumn("photo_quality_json", json).drop("score")

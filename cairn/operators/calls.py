@@ -42,23 +42,50 @@ def analysis_facts(analyses: DataFrame) -> DataFrame:
     return analyses.select("call_id", *(_get(j, path.get(name, name), kinds[type(value)]).alias(name) for name, value in ABSENT.items()))
 
 
-def call_audit_report(calls: DataFrame, probes: DataFrame, transcripts: DataFrame, analyses: DataFrame) -> DataFrame:
-    """One row a call, whatever is known of it, and why it needs review: left joins by call, defaults where nothing is trusted."""
+def call_audit_report(calls: DataFrame, probes: DataFrame, transcripts: DataFrame, analyses: DataFrame, config: dict[str, str] | None = None) -> DataFrame:
+    """One row a call, whatever is known of it, and why it needs review: left joins by call, defaults where nothing is trusted.
+
+    ``config`` holds what the run was made with (engine, models, ...): one column each, the same in every row.
+    """
     rows = calls.join(call_facts(probes), "call_id", "left").join(transcript_facts(transcripts), "call_id", "left").join(analysis_facts(analyses), "call_id", "left")
     defaults = {"asr_status": "not_transcribed", "transcript_text": "", "transcript_usable": False, "transcript_failure_reasons_json": "[]"} | ABSENT
     rows = rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
     verdict = F.when(~F.coalesce("audio_usable", F.lit(False)), "review_unusable_audio").when(~F.col("transcript_usable"), "review_low_quality_transcript").when(F.col("analysis_status") != "success", "review_invalid_analysis").otherwise("audited")
-    return rows.withColumn("review_disposition", verdict)
-
+    return rows.withColumns({"review_disposition": verdict} | {c: F.lit(v) for c, v in (config or {}).items()})
 
-def transcript_gate(text: Column, confidence: Column, shortest: int = 10, least: float = 0.5) -> Column:
-    """The transcript quality object as JSON: usable if long enough and of a language told with confidence."""
-    length = F.char_length(F.trim(F.coalesce(text, F.lit(""))))
-    reasons = F.array_compact(F.array(F.when(length < shortest, "too_short"), F.when(F.coalesce(confidence, F.lit(0.0)) < least, "low_language_confidence")))
-    return F.to_json(F.struct((F.size(reasons) == 0).alias("transcript_usable"), length.alias("text_length"), confidence.alias("language_confidence"), reasons.alias("failure_reasons")))
 
+def transcript_gate(text: Column, confidence: Column, status: Column, shortest: int = 10) -> Column:
+    """The transcript quality object as JSON: usable if the recogniser succeeded and the text is long enough.
 
-def audio_gate(duration: Column, lowest: float = 1.0, highest: float = 900.0) -> Column:
-    """The probe object as JSON: usable between the two lengths in seconds."""
-    reasons = F.array_compact(F.array(F.when(duration < lowest, "too_short"), F.when(duration > highest, "too_long"), F.when(duration.isNull(), "unreadable")))
-    return F.to_json(F.struct(F.when(duration.isNull(), "failed").otherwise("success").alias("status"), (F.size(reasons) == 0).alias("audio_usable"), duration.alias("duration_seconds"), reasons.alias("quality_reasons")))
+    The confidence in the language is reported and decides nothing.
+    """
+    length = F.char_length(F.trim(F.coalesce(text, F.lit(""))))
+    heard = F.coalesce(status, F.lit("unknown"))
+    reasons = F.array_compact(F.array(F.when(heard != "success", "asr_unsuccessful"), F.when(length < shortest, "transcript_too_short")))
+    return F.to_json(F.struct(
+        (F.size(reasons) == 0).alias("transcript_usable"), heard.alias("asr_status"), length.alias("text_length"), F.lit(shortest).alias("min_text_chars"),
+        F.round(F.coalesce(confidence, F.lit(0.0)), 4).alias("language_confidence"), reasons.alias("failure_reasons"),
+    ))
+
+
+def audio_gate(header: Column, shortest: float = 1.0, longest: float = 900.0) -> Column:
+    """The probe object as JSON, of a struct as ``media.wav_headers`` gives it: usable between two lengths in seconds."""
+    seconds = header["frame_count"] / header["sample_rate"]
+    reasons = F.array_compact(F.array(F.when(seconds < shortest, "audio_too_short"), F.when(seconds > longest, "audio_too_long")))
+    broken = F.to_json(F.struct(F.lit("decode_error").alias("status"), F.lit(False).alias("audio_usable"), header["error"].alias("error_type")))
+    sound = F.to_json(F.struct(
+        F.lit("success").alias("status"), *(header[c].alias(c) for c in ("channels", "sample_rate", "sample_width_bytes", "frame_count")),
+        F.round(seconds, 4).alias("duration_seconds"), (F.size(reasons) == 0).alias("audio_usable"), reasons.alias("quality_reasons"),
+    ))
+    return F.when(header["error"].isNotNull(), broken).otherwise(sound)
+
+
+def transcribed(text: Column, language: Column, usable: Column, engine: str, model: str) -> Column:
+    """The transcript object as JSON; a recording that is not usable is never heard."""
+    heard = lambda value, none: F.when(usable, value).otherwise(none)
+    said = F.trim(F.coalesce(text, F.lit("")))
+    return F.to_json(F.struct(
+        heard("success", "unusable_audio").alias("status"), heard(said, "").alias("text"), heard(F.coalesce(language, F.lit("")), "").alias("language"),
+        heard(F.when(F.coalesce(language, F.lit("")) != "", 1.0).otherwise(0.0), 0.0).alias("language_probability"),
+        heard((said != "").cast("int"), 0).alias("segment_count"), F.lit(engine).alias("engine"), F.lit(model).alias("model"),
+    ))

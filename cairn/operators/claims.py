@@ -6,14 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Supported roles: media type, folder of the canonical path, extension; fixed values.
 ROLES = {"damage_photo": ("image/jpeg", "photos", "jpg"), "supporting_document": ("image/png", "documents", "png")}
 #: Parts and kinds of damage that say nothing, and severities by weight; fixed values.
 MEANINGLESS = ("", "unknown", "none", "none_visible", "no_damage")
 SEVERITY = {"total_loss": 5, "severe": 4, "moderate": 3, "minor": 2, "none": 1}
-MIN_CONFIDENCE, MIN_PHOTO_SCORE = 0.80, 0.40
+#: From which confidence a finding counts, below which a photo is asked for anew, and the least score of a photo.
+MIN_CONFIDENCE, CONFIDENCE_FLOOR, MIN_PHOTO_SCORE = 0.80, 0.40, 0.40
 #: Dispositions by priority: name, confidence, reason, action; fixed values.
 OUTCOMES = {
     "request_more_materials": ("0.95", "We need additional or clearer materials before we can continue reviewing this claim.", "Request replacement or additional materials from the claimant."),
@@ -29,7 +29,6 @@ REASONS = (
 )
 
 _MATERIAL = "array<struct<file_id:string,file_order:string,role:string,media_type:string,bucket:string,object_key:string>>"
-_DAMAGE = "status string, vehicle_visible boolean, target_vehicle_clear boolean, damage_visible boolean, finding_determinate boolean, confidence double, damaged_parts array<string>, damage_types array<string>, severity_hint string, uncertainty_reasons array<string>"
 
 
 def _any(*flags: Column) -> Column:
@@ -43,17 +42,21 @@ def _all(*flags: Column) -> Column:
 def claim_materials(claims: DataFrame) -> DataFrame:
     """A row a material of each claim's JSON list, with its place, and whether its locator may be trusted.
 
-    Ids and orders repeated within a claim are found by a window over the claim; a locator must be the canonical path
-    of its role, so that metadata cannot send a read elsewhere.
+    Ids and orders repeated within a claim are found in its list, before it is exploded; a locator must be the
+    canonical path of its role, so that metadata cannot send a read elsewhere.
     """
-    rows = claims.select("claim_id", F.posexplode(F.from_json("materials_json", _MATERIAL)).alias("material_index", "m")).select("claim_id", "material_index", "m.*")
-    rows = rows.withColumn("file_order", F.expr("try_cast(file_order as int)"))
+    listed = claims.select("claim_id", F.from_json("materials_json", _MATERIAL).alias("ms"))
+    place = lambda x: x.try_cast("int")
+    listed = listed.withColumns({"ids": F.transform("ms", lambda m: m["file_id"]), "places": F.transform("ms", lambda m: place(m["file_order"]))})
+    rows = listed.select("claim_id", "ids", "places", F.posexplode("ms").alias("material_index", "m")).select("claim_id", "ids", "places", "material_index", "m.*")
+    rows = rows.withColumn("file_order", place(F.col("file_order")))
     supported, path = F.lit(False), F.lit(None).cast("string")
     for role, (media, folder, extension) in ROLES.items():
         supported = supported | ((F.col("role") == role) & (F.col("media_type") == media))
         path = F.when(F.col("role") == role, F.concat(F.lit("claims/"), "claim_id", F.lit(f"/{folder}/"), "file_id", F.lit(f".{extension}"))).otherwise(path)
-    twice = lambda c: F.col(c).isNotNull() & (F.count("*").over(Window.partitionBy("claim_id", c)) > 1)
-    rows = rows.withColumn("supported", F.coalesce(supported, F.lit(False))).withColumn("duplicate_file_id", twice("file_id")).withColumn("duplicate_file_order", twice("file_order"))
+    twice = lambda among, c: F.coalesce(F.size(F.filter(among, lambda x: x == F.col(c))) > 1, F.lit(False))
+    rows = rows.withColumns({"supported": F.coalesce(supported, F.lit(False)), "duplicate_file_id": twice("ids", "file_id"), "duplicate_file_order": twice("places", "file_order")})
+    rows = rows.drop("ids", "places")
     named = (F.trim("file_id") != "") & (F.trim("bucket") != "") & (F.col("file_order") > 0)
     valid = F.col("supported") & named & ~F.col("duplicate_file_id") & ~F.col("duplicate_file_order") & (F.col("object_key") == path)
     return rows.withColumn("locator_valid", F.coalesce(valid, F.lit(False)))
@@ -90,68 +93,126 @@ def material_facts(claims: DataFrame, materials: DataFrame, objects: DataFrame,
 
 
 def damage_results(answers: DataFrame) -> DataFrame:
-    """Per-photo model answers (claim_id, file_id, file_order, damage_json) typed, and whether they are clear either way."""
-    rows = answers.withColumn("d", F.from_json("damage_json", _DAMAGE)).select("claim_id", "file_id", "file_order", "d.*")
+    """Per-photo model answers (claim_id, file_id, file_order, damage_json) typed, and whether they are clear either way.
+
+    Each field is read on its own: one of a wrong type is null and spoils no other.
+    """
+    text = lambda field: F.get_json_object("damage_json", f"$.{field}")
+    listed = lambda field: F.from_json(text(field), "array<string>")
+    rows = answers.select(
+        "claim_id", "file_id", "file_order", "damage_json", text("status").alias("status"),
+        *(text(f).try_cast("boolean").alias(f) for f in ("vehicle_visible", "target_vehicle_clear", "damage_visible", "finding_determinate")),
+        text("confidence").try_cast("double").alias("confidence"), text("severity_hint").alias("severity_hint"),
+        text("damaged_parts").alias("parts_json"), text("damage_types").alias("types_json"),
+        listed("damaged_parts").alias("damaged_parts"), listed("damage_types").alias("damage_types"),
+        F.coalesce(listed("uncertainty_reasons"), F.array().cast("array<string>")).alias("uncertainty_reasons"),
+    )
     says = lambda c: F.coalesce(F.size(F.filter(c, lambda x: ~F.lower(F.trim(x)).isin(*MEANINGLESS))) > 0, F.lit(False))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    doubts = F.when(yes("finding_determinate"), 0).otherwise(F.greatest(F.coalesce(F.size("uncertainty_reasons"), F.lit(0)), F.lit(0)))
-    rows = rows.withColumns({"success": F.coalesce(F.col("status") == "success", F.lit(False)), "parts": says("damaged_parts"), "kinds": says("damage_types"), "doubts": doubts, "damaged": yes("damage_visible")})
-    clear = F.coalesce(_all(F.col("success"), yes("finding_determinate"), F.col("confidence") >= MIN_CONFIDENCE, yes("vehicle_visible"), yes("target_vehicle_clear"), F.col("doubts") == 0), F.lit(False))
-    positive = _all(clear, F.col("damaged"), F.col("parts"), F.col("kinds"), F.coalesce(F.col("severity_hint").isin("minor", "moderate"), F.lit(False)))
-    negative = _all(clear, ~F.col("damaged"), ~F.col("parts"), ~F.col("kinds"), F.coalesce(F.col("severity_hint").isin("none", "unknown"), F.lit(False)))
-    return rows.withColumn("positive", positive).withColumn("negative", negative)
+    rows = rows.withColumns({
+        "success": F.coalesce(F.col("status") == "success", F.lit(False)), "parts": says("damaged_parts"), "kinds": says("damage_types"),
+        "reasons": F.size("uncertainty_reasons"), "doubts": F.when(yes("finding_determinate"), 0).otherwise(F.size("uncertainty_reasons")),
+        "damaged": yes("damage_visible"), "visible": yes("vehicle_visible"), "clear": yes("target_vehicle_clear"),
+    })
+    sure = _all(F.col("success"), yes("finding_determinate"), F.col("confidence") >= MIN_CONFIDENCE, F.col("visible"), F.col("clear"), F.col("doubts") == 0)
+    hint = lambda *names: F.col("severity_hint").isin(*names)
+    positive = _all(sure, F.col("damaged"), F.col("parts"), F.col("kinds"), hint("minor", "moderate"))
+    negative = _all(sure, ~F.col("damaged"), ~F.col("parts"), ~F.col("kinds"), hint("none", "unknown"))
+    return rows.withColumns({name: F.coalesce(flag, F.lit(False)) for name, flag in (("positive", positive), ("negative", negative))})
 
 
 def damage_facts(results: DataFrame) -> DataFrame:
-    """One row a claim with model results: counts, agreement, worst severity and lowest confidence."""
-    n, ok = F.count_if, F.col("success")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    """One row a claim with model results: counts, agreement, worst severity, lowest confidence, and what was said.
+
+    Of the parts and types those of the most confident answer stand, of equal confidence those of the first file.
+    """
+    ok, confidence = F.col("success"), F.col("confidence")
     weight = reduce(lambda out, kv: F.when(F.col("severity_hint") == kv[0], kv[1]).otherwise(out), SEVERITY.items(), F.lit(0))
+    any_ = lambda flag: F.coalesce(F.bool_or(ok & F.coalesce(flag, F.lit(False))), F.lit(False))
+    surest = lambda c: F.max_by(c, F.when(ok & confidence.isNotNull() & F.col(c).isNotNull(), F.struct("confidence", -F.col("file_order"))))
+    said = F.sort_array(F.collect_list(F.when(ok, F.struct("file_order", "file_id", "uncertainty_reasons"))))
+    total = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).cast("bigint")
     return results.groupBy("claim_id").agg(
-        F.count("*").alias("model_result_count"), n(ok).alias("successful_model_result_count"), n(F.col("positive")).alias("positive_damage_result_count"), n(F.col("negative")).alias("negative_damage_result_count"),
-        ((n(ok & F.col("damaged")) > 0) & (n(ok & ~F.col("damaged")) > 0)).alias("conflicting_damage_results"), F.bool_or(ok & ~yes("vehicle_visible")).alias("any_vehicle_not_visible"),
-        F.bool_or(ok & ~yes("target_vehicle_clear")).alias("any_target_vehicle_unclear"), F.bool_or(ok & (F.col("doubts") > 0)).alias("any_damage_has_uncertainty"), F.bool_or(ok & ~yes("finding_determinate")).alias("any_damage_model_uncertain"),
-        F.bool_or(ok & yes_severe()).alias("any_high_severity_risk"), F.max(F.when(ok & F.col("severity_hint").isNotNull(), F.struct(weight.alias("w"), "severity_hint")))["severity_hint"].alias("severity_hint"),
-        F.min(F.when(ok, F.col("confidence"))).alias("damage_confidence"), F.coalesce(F.bool_or(ok & (F.col("confidence") < MIN_CONFIDENCE)), F.lit(False)).alias("any_model_confidence_below_floor"),
+        F.count("*").alias("model_result_count"), F.count_if(ok).alias("successful_model_result_count"),
+        F.count_if("positive").alias("positive_damage_result_count"), F.count_if("negative").alias("negative_damage_result_count"),
+        ((F.count_if(ok & F.col("damaged")) > 0) & (F.count_if(ok & ~F.col("damaged")) > 0)).alias("conflicting_damage_results"),
+        F.min_by("damage_json", F.struct("file_order", "file_id")).alias("damage_result_json"),
+        F.bool_and(F.when(ok, F.col("visible"))).alias("vehicle_visible"), F.bool_and(F.when(ok, F.col("clear"))).alias("target_vehicle_clear"),
+        F.bool_or(F.when(ok, F.col("damaged"))).alias("damage_visible"), surest("parts_json").alias("damaged_parts_json"), surest("types_json").alias("damage_types_json"),
+        F.max(F.when(ok & F.col("severity_hint").isNotNull(), F.struct(weight.alias("w"), "severity_hint")))["severity_hint"].alias("severity_hint"),
+        F.to_json(F.flatten(F.transform(said, lambda x: x["uncertainty_reasons"]))).alias("uncertainty_reasons_json"),
+        F.min(F.when(ok, confidence)).alias("damage_confidence"), any_(F.col("parts")).alias("meaningful_damaged_parts"), any_(F.col("kinds")).alias("meaningful_damage_types"),
+        total("reasons").alias("uncertainty_reason_count"), total("doubts").alias("blocking_uncertainty_reason_count"),
+        any_(confidence < CONFIDENCE_FLOOR).alias("any_model_confidence_below_floor"),
+        any_((confidence >= CONFIDENCE_FLOOR) & (confidence < MIN_CONFIDENCE)).alias("any_damage_model_uncertain"),
+        any_(~F.col("visible")).alias("any_vehicle_not_visible"), any_(~F.col("clear")).alias("any_target_vehicle_unclear"),
+        any_(F.col("doubts") > 0).alias("any_damage_has_uncertainty"), any_(F.col("severity_hint").isin("severe", "total_loss")).alias("any_high_severity_risk"),
     )
 
 
-def yes_severe() -> Column:
-    return F.coalesce(F.col("severity_hint").isin("severe", "total_loss"), F.lit(False))
+def claim_facts(materials: DataFrame, damage: DataFrame) -> DataFrame:
+    """Facts of a claim's materials and, where a model ran, of its answers: the defaults of a claim without any."""
+    rows = materials.join(damage.withColumn("model_was_run", F.lit(True)), "claim_id", "left")
+    ran = F.coalesce("model_was_run", F.lit(False))
+    counts = [c for c in damage.columns if c.endswith("_count")]
+    flags = [c for c in damage.columns if c.startswith(("any_", "meaningful_", "conflicting_"))]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts} | {c: F.coalesce(c, F.lit(False)) for c in flags} | {"model_was_run": ran})
+    rows = rows.withColumns({c: F.coalesce(c, F.lit("[]")) for c in ("damaged_parts_json", "damage_types_json", "uncertainty_reasons_json")})
+    whole = ran & (F.col("successful_model_result_count") == F.col("model_result_count"))
+    status = F.when(~F.col("model_was_run"), "not_run").when(F.col("all_model_results_successful"), "success").otherwise("failed")
+    rows = rows.withColumn("severity_hint", F.coalesce("severity_hint", F.lit("unknown"))).withColumn("all_model_results_successful", whole)
+    return rows.withColumn("model_status", status)
 
 
-def dispositions(facts: DataFrame, damage: DataFrame) -> DataFrame:
-    """claim_id, disposition, confidence, reason code, summary, action, blocking and risk counts.
+#: Which signals ask for materials, and which for a review.
+ASKS = ("bad_material", "no_photo", "no_document", "photo_unreadable", "photo_poor", "document_unreadable", "input_unusable")
+RISKS = ("output_failed", "model_uncertain", "vehicle_hidden", "target_unclear", "damage_uncertain", "severe_risk", "conflict")
+
 
-    Materials come before manual review, that before denial, that before approval; what matches none is for review.
+def decision_facts(facts: DataFrame) -> DataFrame:
+    """``claim_facts`` and the signals of the rules, the rule that holds (ask, review, deny, approve), and counts.
+
+    Materials come before manual review, that before denial, that before approval.
     """
-    c = F.col
-    rows = facts.join(damage, "claim_id", "left").withColumn("ran", c("model_result_count").isNotNull())
-    for name in ("model_result_count", "successful_model_result_count", "positive_damage_result_count", "negative_damage_result_count"):
-        rows = rows.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
-    told = lambda name: c("ran") & F.coalesce(c(name), F.lit(False))
+    c, told = F.col, lambda name: F.col("model_was_run") & F.col(name)
     photos, documents, usable = c("required_photo_count"), c("required_document_count"), c("usable_photo_count")
     bad = (c("unsupported_material_count") > 0) | (c("invalid_material_count") > 0)
-    agreed = c("ran") & (c("successful_model_result_count") == c("model_result_count"))
+    poor = (usable < photos) | (F.coalesce(c("best_photo_quality_score"), F.lit(0.0)) < MIN_PHOTO_SCORE)
+    rows = facts.withColumns({
+        "bad_material": bad, "no_photo": photos == 0, "no_document": documents == 0,
+        "photo_unreadable": (photos > 0) & (c("readable_photo_count") < photos), "photo_poor": (photos > 0) & (c("readable_photo_count") == photos) & poor,
+        "document_unreadable": (documents > 0) & (c("usable_document_count") < documents), "input_unusable": bad | told("any_model_confidence_below_floor"),
+        "output_failed": c("model_was_run") & ~c("all_model_results_successful"), "model_uncertain": told("any_damage_model_uncertain"),
+        "vehicle_hidden": told("any_vehicle_not_visible"), "target_unclear": told("any_target_vehicle_unclear"),
+        "damage_uncertain": told("any_damage_has_uncertainty"), "severe_risk": told("any_high_severity_risk"), "conflict": c("conflicting_damage_results"),
+    })
+    positive, negative = c("positive_damage_result_count"), c("negative_damage_result_count")
+    complete = _all(c("required_materials_present"), c("model_input_usable"), c("all_model_results_successful"), c("model_result_count") == usable, ~c("conflict"))
     rows = rows.withColumns({
-        "bad_material": bad, "no_photo": photos == 0, "no_document": documents == 0, "photo_unreadable": (photos > 0) & (c("readable_photo_count") < photos),
-        "photo_poor": (photos > 0) & (c("readable_photo_count") == photos) & ((usable < photos) | (F.coalesce(c("best_photo_quality_score"), F.lit(0.0)) < MIN_PHOTO_SCORE)),
-        "document_unreadable": (documents > 0) & (c("usable_document_count") < documents), "input_unusable": bad | told("any_model_confidence_below_floor"), "output_failed": c("ran") & ~agreed,
-        "model_uncertain": told("any_damage_model_uncertain"), "vehicle_hidden": told("any_vehicle_not_visible"), "target_unclear": told("any_target_vehicle_unclear"), "damage_uncertain": told("any_damage_has_uncertainty"),
-        "severe_risk": told("any_high_severity_risk"), "conflict": told("conflicting_damage_results"),
+        "may_deny": complete & (negative == usable) & (positive == 0),
+        "may_approve": complete & (positive >= 1) & (positive == c("successful_model_result_count")) & (negative == 0),
+        "ask": _any(*(c(x) for x in ASKS)),
     })
-    complete = _all(c("required_materials_present"), c("model_input_usable"), agreed, c("model_result_count") == usable, ~c("conflict"))
-    rows = rows.withColumn("may_deny", complete & (c("negative_damage_result_count") == usable) & (c("positive_damage_result_count") == 0))
-    rows = rows.withColumn("may_approve", complete & (c("positive_damage_result_count") >= 1) & (c("positive_damage_result_count") == c("successful_model_result_count")) & (c("negative_damage_result_count") == 0))
-    risks = ("output_failed", "model_uncertain", "vehicle_hidden", "target_unclear", "damage_uncertain", "severe_risk", "conflict")
-    rows = rows.withColumn("ask", _any(*(c(x) for x in ("bad_material", "no_photo", "no_document", "photo_unreadable", "photo_poor", "document_unreadable", "input_unusable"))))
-    rows = rows.withColumn("review", ~c("ask") & (_any(*(c(x) for x in risks)) | (~c("may_deny") & ~c("may_approve"))))
-    rows = rows.withColumn("deny", ~c("ask") & ~c("review") & c("may_deny")).withColumn("approve", ~c("ask") & ~c("review") & ~c("may_deny") & c("may_approve"))
+    rows = rows.withColumn("review", ~c("ask") & (_any(*(c(x) for x in RISKS)) | (~c("may_deny") & ~c("may_approve"))))
+    settled = ~c("ask") & ~c("review")
+    return rows.withColumns({
+        "deny": settled & c("may_deny"), "approve": settled & ~c("may_deny") & c("may_approve"),
+        "blocking_condition_count": (c("ask") | c("review")).cast("int"), "risk_flag_count": reduce(lambda a, b: a + b, (c(x).cast("int") for x in RISKS)),
+    })
+
+
+def dispositions(facts: DataFrame, damage: DataFrame) -> DataFrame:
+    """claim_id, disposition, confidence, reason code, summary, action, blocking and risk counts.
+
+    What matches no rule is for review. The reason is that of the first signal of ``REASONS`` that holds.
+    """
+    c = F.col
+    rows = decision_facts(claim_facts(facts, damage))
     name = F.when(c("ask"), "request_more_materials").when(c("review"), "manual_review").when(c("deny"), "deny_claim").when(c("approve"), "approve_for_payment").otherwise("manual_review")
     reason = reduce(lambda out, r: F.when(c(r[0]), r[1]).otherwise(out), reversed(REASONS), F.lit("open_review_tasks"))
     pick = lambda i: reduce(lambda out, kv: F.when(c("disposition") == kv[0], kv[1][i]).otherwise(out), OUTCOMES.items(), F.lit(None))
     rows = rows.withColumn("disposition", name)
     return rows.select(
-        "claim_id", "disposition", pick(0).cast("decimal(4,2)").alias("disposition_confidence"), reason.alias("primary_reason_code"), pick(1).alias("reason_summary"), pick(2).alias("next_action"),
-        (c("ask") | c("review")).cast("int").alias("blocking_condition_count"), reduce(lambda a, b: a + b, (c(x).cast("int") for x in risks)).alias("risk_flag_count"),
+        "claim_id", "disposition", pick(0).cast("decimal(4,2)").alias("disposition_confidence"), reason.alias("primary_reason_code"),
+        pick(1).alias("reason_summary"), pick(2).alias("next_action"), "blocking_condition_count", "risk_flag_count",
     )

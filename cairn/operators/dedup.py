@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairn.operators.graph import connected_components
 from cairn.operators.similar import search
@@ -63,10 +62,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def scored_pairs(pairs: DataFrame, prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``pairs`` and shingle_jaccard, signature_overlap, is_duplicate, reason."""
-    side = lambda s: prints.select(F.col("doc_id").alias(f"{s}_id"), F.col("shingles").alias(f"{s}_shingles"), F.col("signature").alias(f"{s}_signature"))
+    """``pairs`` and shingle_jaccard, signature_overlap, is_duplicate, reason. Only texts that are in a pair are sent."""
+    pairs = store(pairs, "pairs").df
+    ids = pairs.select(F.explode(F.array("left_id", "right_id")).alias("doc_id")).distinct()
+    few = store(prints.select("doc_id", "shingles", "signature").join(ids, "doc_id", "left_semi"), "paired").df
+    side = lambda s: few.select(F.col("doc_id").alias(f"{s}_id"), F.col("shingles").alias(f"{s}_shingles"), F.col("signature").alias(f"{s}_signature"))
     both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-    agree = F.aggregate(F.zip_with("left_signature", "right_signature", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    agree = F.aggregate(F.zip_with("left_signature", "right_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     both = both.withColumn("shingle_jaccard", jaccard(F.col("left_shingles"), F.col("right_shingles")))
     both = both.withColumn("signature_overlap", agree / F.size("left_signature")).withColumn("is_duplicate", F.col("shingle_jaccard") >= threshold)
     reason = F.when(F.col("shingle_jaccard") == 1.0, "exact_shingle_match").when(F.col("is_duplicate"), "jaccard_match")
@@ -94,24 +96,28 @@ def bucket_links(heads: DataFrame, threshold: float = THRESHOLD, block: int = BL
 
 
 def clusters(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, cluster_id, cluster_size); a cluster is named after its smallest doc_id."""
-    keyed = prints.withColumn("class", F.sha2(F.concat_ws(",", F.array_sort("shingles").cast("array<string>")), 256))
-    keyed = keyed.withColumn("class", F.when(F.size("shingles") == 0, F.concat(F.lit("empty-"), F.col("doc_id").cast("string"))).otherwise(F.col("class")))
-    folded = store(keyed.select("doc_id", "class", "shingles", "signature", "bands"), "classes")
-    least = folded.df.groupBy("class").agg(F.min("doc_id").alias("first"))
-    firsts = store(least.withColumnRenamed("class", "c"), "class-firsts")
-    heads = store(folded.df.join(firsts.df, (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("first"))).select("doc_id", "shingles", "signature", "bands"), "class-heads")
-    parts = connected_components(bucket_links(heads.df, threshold))
+    """(doc_id, cluster_id, cluster_size); a cluster is named after its smallest doc_id.
+
+    Shingles stay in ``prints``, which is best a stored table: only those of texts that share a bucket are sent on.
+    """
+    digest = F.sha2(F.concat_ws(",", F.array_sort("shingles").cast("array<string>")), 256)
+    empty = F.concat(F.lit("empty-"), F.col("doc_id").cast("string"))
+    folded = store(prints.select("doc_id", F.when(F.size("shingles") == 0, empty).otherwise(digest).alias("class")), "classes")
+    firsts = store(folded.df.groupBy("class").agg(F.min("doc_id").alias("first")).withColumnRenamed("class", "c"), "class-firsts")
+    heads = prints.join(firsts.df.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    parts = connected_components(bucket_links(heads, threshold))
     named = store(firsts.df.join(parts, F.col("first") == F.col("node"), "left").select("c", F.coalesce("component", "first").alias("root")), "class-roots")
-    members = store(folded.df.select("doc_id", "class").join(named.df, F.col("class") == F.col("c")).select("doc_id", "root"), "members")
+    members = store(folded.df.join(named.df, F.col("class") == F.col("c")).select("doc_id", "root"), "members")
+    for old in (folded, firsts, named):
+        old.remove()
     sizes = members.df.groupBy("root").agg(F.count("*").alias("cluster_size")).withColumnRenamed("root", "r")
     return members.df.join(sizes, F.col("root") == F.col("r")).select("doc_id", F.concat(F.lit("cluster-"), F.col("root").cast("string")).alias("cluster_id"), "cluster_size")
 
 
-def representatives(members: DataFrame, order: list[Column]) -> DataFrame:
-    """The first member of each cluster in ``order``, found by partial aggregation rather than by sorting clusters."""
-    rank = Window.partitionBy("cluster_id").orderBy(*order)
-    return members.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank")
+def representatives(members: DataFrame, order: Column) -> DataFrame:
+    """The member of each cluster with the smallest ``order`` (a struct), by partial aggregation: no cluster is sorted."""
+    first = F.min_by(F.struct(*members.columns), order).alias("m")
+    return members.groupBy("cluster_id").agg(first).select("m.*")
 
 
 def candidate_summary(docs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -25,28 +25,48 @@ def set_overlap(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     return _rates(rows.agg(F.count_if(hit).alias("tp"), F.count_if(~hit & p).alias("fp"), F.count_if(~hit & a).alias("fn"), F.count_if(~p & ~a).alias("tn")))
 
 
-def macro_scores(rows: DataFrame, labels: list[str], predicted: str = "predicted", actual: str = "actual") -> DataFrame:
-    """accuracy and macro_f1 over ``labels``; a label that never occurs counts as nought, a null prediction as wrong."""
-    spark = rows.sparkSession
-    known = spark.createDataFrame([(x,) for x in labels], "label string")
-    either = rows.select(F.explode(F.array_distinct(F.array_compact(F.array(predicted, actual)))).alias("label"), predicted, actual)
-    counts = either.groupBy("label").agg(F.count_if(F.col(predicted) == F.col(actual)).alias("tp"), F.count_if((F.col(predicted) == F.col("label")) & ~F.col(predicted).eqNullSafe(F.col(actual))).alias("fp"), F.count_if((F.col(actual) == F.col("label")) & ~F.col(predicted).eqNullSafe(F.col(actual))).alias("fn"))
-    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
-    macro = known.join(counts, "label", "left").agg(F.avg(f1).alias("macro_f1"))
-    return rows.agg(F.avg(F.coalesce((F.col(predicted) == F.col(actual)).cast("double"), F.lit(0.0))).alias("accuracy"), F.count("*").alias("records")).join(macro)
+#: White space as Python's ``\s`` sees it, as a class of Java's patterns.
+_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def macro_scores(
+    rows: DataFrame, labels: list[str], predicted: str = "predicted", actual: str = "actual", queues: dict[str, str] | None = None
+) -> DataFrame:
+    """accuracy, macro_f1 over ``labels``, queue_accuracy and records, as one row; a label that never occurs counts as
+    nought, a null prediction as wrong. ``queues`` tells the queue of a label; any other value is a queue of its own.
+
+    Rows are counted by pairs of labels first, values of no label folded into one: what is left is small.
+    """
+    known = lambda c: F.when(F.col(c).isin(labels), F.col(c))
+    of = F.create_map(*(F.lit(x) for pair in (queues or {"": ""}).items() for x in pair))
+    queue = lambda c: F.coalesce(F.try_element_at(of, F.col(c)), F.col(c))
+    right = lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))
+    pairs = rows.groupBy(known(predicted).alias("p"), known(actual).alias("a")).agg(
+        F.count("*").alias("n"), F.sum(right(F.col(predicted), F.col(actual))).alias("same"), F.sum(right(queue(predicted), queue(actual))).alias("queued")
+    )
+    table = pairs.agg(F.collect_list(F.struct(F.coalesce("p", F.lit("")).alias("p"), F.coalesce("a", F.lit("")).alias("a"), "n")).alias("t"), *(F.sum(c).alias(c) for c in ("n", "same", "queued")))
+    total = lambda keep: F.aggregate(F.filter("t", keep), F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["n"])
+
+    def f1(label: str) -> Column:
+        hit, said, true = total(lambda x: (x["p"] == label) & (x["a"] == label)), total(lambda x: x["p"] == label), total(lambda x: x["a"] == label)
+        return F.coalesce(F.try_divide(2 * hit, said + true), F.lit(0.0))
+
+    macro = sum((f1(x) for x in labels), F.lit(0.0)) / len(labels)
+    share = lambda c: F.try_divide(F.col(c), F.col("n"))
+    return table.select(share("same").alias("accuracy"), macro.alias("macro_f1"), share("queued").alias("queue_accuracy"), F.coalesce("n", F.lit(0)).alias("records"))
 
 
 def keyword_intent(text: Column, keywords: dict[str, list[str]], other: str = "other") -> Column:
-    """The intent with the most keyword hits, if one alone has them; native array expressions."""
-    low = F.lower(text)
-    hits = F.array(*[F.struct(sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0)).alias("n"), F.lit(name).alias("intent")) for name, words in keywords.items()])
-    top = F.array_max(F.transform(hits, lambda h: h["n"]))
-    best = F.filter(hits, lambda h: (h["n"] == top) & (h["n"] > 0))
-    return F.when(F.size(best) == 1, best[0]["intent"]).otherwise(other)
+    """The intent with the most keywords in the text, white space aside, if one alone has them; native, read once."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _SPACE, "")
+    start = F.struct(F.lit(0).alias("n"), F.lit(other).alias("intent"))
 
+    def best(t: Column) -> Column:
+        hits = F.array(*(F.struct(sum((t.contains(w).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(name).alias("intent")) for name, words in keywords.items()))
+        tie = lambda top, h: F.struct(top["n"].alias("n"), F.when((h["n"] == top["n"]) & (h["n"] > 0), other).otherwise(top["intent"]).alias("intent"))
+        return F.aggregate(hits, start, lambda top, h: F.when(h["n"] > top["n"], h).otherwise(tie(top, h)))["intent"]
 
-#: White space as Python's ``\s`` sees it, as a class of Java's patterns.
-_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    return F.transform(F.array(bare), best)[0]
 
 
 def transcript_problem(text: Column, segments: Column | None = None, duration_ms: Column | None = None) -> Column:

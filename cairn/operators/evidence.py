@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Kinds of evidence; fixed values.
+MODALITIES = ("text", "image", "audio", "document")
 #: Days after which evidence is stale at review, and flags that do not block; fixed values.
 FRESHNESS_DAYS = 30
 #: Order of the review queue.
@@ -64,3 +68,40 @@ def review_queue(context: DataFrame) -> DataFrame:
 
 def status_summary(context: DataFrame) -> DataFrame:
     return context.groupBy("review_state").agg(F.count("*").alias("cases"), F.sum("evidence_count").cast("bigint").alias("evidence_records"))
+
+
+def _told(table: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(check, violations) of rules about single rows, in one pass."""
+    once = table.agg(*(F.count_if(F.coalesce(rule, F.lit(False))).alias(f"r{i}") for i, rule in enumerate(rules.values())))
+    return once.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.col(f"r{i}").alias("violations")) for i, name in enumerate(rules)))).alias("x")).select("x.*")
+
+
+def _rows(name: str, rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+
+
+def source_integrity(cases: DataFrame, requirements: DataFrame, evidence: DataFrame, assets: DataFrame) -> DataFrame:
+    """(check, violations): the eighteen named counts that must all be nought before anything is governed."""
+    c = F.col
+    blank = lambda name: F.trim(F.coalesce(name, F.lit(""))) == ""
+    any_blank = lambda *names: reduce(lambda a, b: a | b, map(blank, names))
+    twice = lambda table, *keys: table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    known = cases.select("case_id").distinct()
+    checks = [
+        _told(cases, {"empty case field": any_blank("case_id", "account_id", "business_question"), "case with invalid review date": c("review_due_at").isNull()}),
+        _rows("duplicate case_id", twice(cases, "case_id")),
+        _told(requirements, {"empty requirement field": any_blank("case_id", "evidence_type"), "unsupported requirement modality": ~c("evidence_type").isin(*MODALITIES)}),
+        _rows("duplicate requirement", twice(requirements, "case_id", "evidence_type")),
+        _told(evidence, {
+            "empty evidence field": any_blank("record_id", "case_id", "asset_id", "source_system", "evidence_title"), "evidence with invalid observation date": c("observed_at").isNull(),
+            "evidence with incomplete claim": blank("claim_key") != blank("claim_value"),
+        }),
+        _rows("duplicate evidence record_id", twice(evidence, "record_id")),
+        _told(assets, {"empty asset field": any_blank("asset_id", "modality", "source_uri", "license_id", "mime_type", "expected_sha256"), "invalid asset SHA-256": ~c("expected_sha256").rlike("^[0-9a-fA-F]{64}$")}),
+        _rows("duplicate asset_id", twice(assets, "asset_id")),
+        _rows("requirement with unknown case", requirements.join(known, "case_id", "left_anti")), _rows("evidence with unknown case", evidence.join(known, "case_id", "left_anti")),
+        _rows("evidence with unknown asset", evidence.join(assets.select("asset_id").distinct(), "asset_id", "left_anti")),
+        _rows("case without requirement", cases.join(requirements.select("case_id").distinct(), "case_id", "left_anti")),
+        _rows("evidence observed after review date", evidence.join(cases.select("case_id", "review_due_at"), "case_id").where(c("observed_at") > c("review_due_at"))),
+    ]
+    return reduce(DataFrame.unionByName, checks)

@@ -1,51 +1,204 @@
-"""Model operators: prompts answered by a pluggable prompter in Arrow batches, with retry and an error budget."""
+"""Model operators: batches mapped by functions or by classes built once a worker, prompts, judgments, SQL functions.
+
+What a function given to these operators must keep to: it reads nothing but its arguments and what its class built in
+``__init__``; it gives one result for each row and in their order (``map_batches`` may give any rows); it keeps no state
+from one batch to the next that its results depend on, since tasks are repeated and batches cut anywhere; and it opens
+clients and models in its worker, never in the driver.
+"""
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from dataclasses import dataclass, field
+from typing import Any, Protocol
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_BUILT: dict[str, Any] = {}
+
+
+def once_a_worker(build: Callable[[], Any], name: str) -> Any:
+    """What ``build`` makes, kept by the worker's process under ``name``: later tasks of the same worker find it."""
+    if name not in _BUILT:
+        _BUILT[name] = build()
+    return _BUILT[name]
+
+
+_count = iter(range(1 << 62))
+
+
+def _name(of: object) -> str:
+    """A name for what one call of an operator builds; made on the driver, so that all its tasks share it."""
+    return f"{getattr(of, '__qualname__', type(of).__name__)}-{time.time_ns()}-{next(_count)}"
+
+
+def map_batches(rows: DataFrame, work: Callable | type, schema: str, batch_size: int = 1000) -> DataFrame:
+    """Rows mapped by ``work(pa.RecordBatch) -> pa.RecordBatch`` in batches of at most ``batch_size`` rows.
+
+    ``work`` is a function, or a class whose instances are such functions: then it is built once a worker.
+    """
+    name = _name(work)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = once_a_worker(work, name) if isinstance(work, type) else work
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                yield call(batch.slice(at, batch_size))
+
+    return rows.mapInArrow(run, schema)
+
+
+def register_function(spark: SparkSession, name: str, work: Callable | type, returns: str) -> None:
+    """``work(*values)``, or an instance of it that each worker builds once, as a function of SQL; Arrow batches in and out."""
+    built = _name(work)
+
+    def run(*columns: pd.Series) -> pd.Series:
+        call = once_a_worker(work, built) if isinstance(work, type) else work
+        values = [None if v is None else v for v in (call(*row) for row in zip(*columns, strict=True))]
+        return pd.Series(values, dtype="object")
+
+    spark.udf.register(name, F.pandas_udf(run, returns))
 
 
 class Prompter(Protocol):
-    """Answers prompts, one for one; built once a worker, so that a model is loaded once."""
+    """Answers prompts, one for one; ``system`` is the instruction that stands before each."""
+
+    def answer(self, prompts: list[str], system: str | None = None) -> list[str]: ...
+
+
+def messages(*parts: Column | str) -> Column:
+    """Columns and texts joined to one prompt; null where a column is."""
+    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+
 
-    def answer(self, prompts: list[str]) -> list[str]: ...
+class Refused(ValueError):
+    """An answer is not of the wanted form."""
 
 
-def prompt(rows: DataFrame, build: Callable[[], Prompter], key: str, text: str, validate: Callable[[str], str] | None = None, stricter: str = "") -> DataFrame:
+def _parser(schema: T.StructType) -> Callable[[str], dict]:
+    """Answers as objects with exactly the fields of a schema, of its types."""
+    kinds = {T.StringType: str, T.BooleanType: bool, T.LongType: int, T.IntegerType: int, T.DoubleType: (int, float)}
+
+    def parse(answer: str) -> dict:
+        try:
+            value = json.loads(answer)
+        except (TypeError, ValueError) as e:
+            raise Refused("the answer is not JSON") from e
+        if not isinstance(value, dict) or set(value) != set(schema.names):
+            raise Refused(f"the answer has not the fields {', '.join(schema.names)}")
+        for f in schema.fields:
+            wanted, v = kinds.get(type(f.dataType)), value[f.name]
+            odd = wanted is not bool and isinstance(v, bool)
+            if not (v is None and f.nullable) and wanted and (odd or not isinstance(v, wanted)):
+                raise Refused(f"{f.name} is not {f.dataType.simpleString()}")
+            if wanted == (int, float) and v is not None:
+                value[f.name] = float(v)
+        return value
+
+    return parse
+
+
+def prompt(
+    rows: DataFrame, build: Callable[[], Prompter], key: str, text: str | Column, validate: Callable[[str], Any] | None = None, stricter: str = "", *,
+    system: str | None = None, returns: str | None = None, on_error: str = "row", batch_size: int = 32, parts: int | None = None,
+) -> DataFrame:
     """(key, response, status, error) of each row; a null prompt is skipped.
 
-    An answer that ``validate`` refuses is asked for once more with ``stricter`` before the prompt; what is refused
-    twice is a row with an error. Rows are bound by key, never by order.
+    ``text`` is a column or an expression such as ``messages``. ``returns`` is a schema: answers must be JSON objects of
+    it, and the response is a struct. An answer that ``validate`` or the schema refuses is asked for once more with
+    ``stricter`` before the prompt (the prompt again where it is empty); what is refused twice is a row with an error,
+    or, with ``on_error="raise"``, an error of the query that names the row. Rows are bound by key, never by order. The
+    prompter is built once a worker; ``parts`` bounds how many tasks ask at once.
     """
-    kind = rows.schema[key].dataType.simpleString()
+    if on_error not in ("row", "raise"):
+        raise ValueError("on_error is row or raise")
+    kind, name = rows.schema[key].dataType.simpleString(), _name(build)
+    shape = T.StructType.fromDDL(returns) if returns else None
+    parse = _parser(shape) if shape else (lambda answer: answer)
+    accept = lambda answer: validate(parse(answer)) if validate else parse(answer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prompter = None
-        for batch in batches:
-            keys, asked = batch.column(0), batch.column(1).to_pylist()
-            out: list[tuple] = [(None, "skipped", None)] * len(asked)
-            todo = [i for i, p in enumerate(asked) if p is not None]
-            for lead in ("", stricter) if stricter else ("",):
-                if not todo:
-                    break
-                prompter = prompter or build()
-                again = []
-                for i, answer in zip(todo, prompter.answer([lead + asked[i] for i in todo]), strict=True):
-                    try:
-                        out[i] = (validate(answer) if validate else answer, "success", None)
-                    except ValueError as e:
-                        out[i] = (None, "invalid_response", str(e))
-                        again.append(i)
-                todo = again
-            response, status, error = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(response, pa.string()), pa.array(status, pa.string()), pa.array(error, pa.string())], [key, "response", "status", "error"])
-
-    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, response string, status string, error string")
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size):
+                batch = whole.slice(at, batch_size)
+                keys, asked = batch.column(0), batch.column(1).to_pylist()
+                out: list[tuple] = [(None, "skipped", None)] * len(asked)
+                todo = [i for i, p in enumerate(asked) if p is not None]
+                for lead in ("", stricter):
+                    if not todo:
+                        break
+                    again = []
+                    prompter = once_a_worker(build, name)
+                    extra = {"system": system} if system else {}
+                    for i, answer in zip(todo, prompter.answer([lead + asked[i] for i in todo], **extra), strict=True):
+                        try:
+                            good = accept(answer)
+                            out[i] = (json.dumps(good) if shape else good, "success", None)
+                        except ValueError as e:
+                            out[i] = (None, "invalid_response", str(e))
+                            again.append(i)
+                    todo = again
+                if todo and on_error == "raise":
+                    raise Refused(f"{key} {keys[todo[0]].as_py()}: {out[todo[0]][2]}")
+                response, status, error = zip(*out, strict=True) if out else ((), (), ())
+                columns = [keys, *(pa.array(c, pa.string()) for c in (response, status, error))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "response", "status", "error"])
+
+    asked = rows.select(key, (F.col(text) if isinstance(text, str) else text).alias("__prompt"))
+    asked = asked.repartition(parts) if parts else asked
+    made = asked.mapInArrow(run, f"`{key}` {kind}, response string, status string, error string")
+    return made.withColumn("response", F.from_json("response", shape)) if shape else made
+
+
+# --- judgments ---------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Question:
+    """What is judged: ``kind`` is yes_no, choice (of ``options``) or scale (places 0.. of ``options``)."""
+
+    instructions: str
+    kind: str = "yes_no"
+    options: tuple[str, ...] = field(default=())
+
+    def asked(self, name: str) -> str:
+        listed = "; ".join(f"{i}: {o}" if self.kind == "scale" else o for i, o in enumerate(self.options))
+        return f"{name} ({self.kind}): {self.instructions}" + (f" [{listed}]" if listed else "")
+
+    def checked(self, name: str, value: Any) -> Any:
+        fine = {
+            "yes_no": isinstance(value, bool), "choice": value in self.options,
+            "scale": isinstance(value, int) and not isinstance(value, bool) and 0 <= value < len(self.options),
+        }[self.kind]
+        if not fine:
+            raise Refused(f"{name} is not an answer of kind {self.kind}")
+        return value
+
+    @property
+    def type(self) -> str:
+        return {"yes_no": "boolean", "choice": "string", "scale": "bigint"}[self.kind]
+
+
+def judge(rows: DataFrame, build: Callable[[], Prompter], key: str, state: Column, questions: dict[str, Question], **options: Any) -> DataFrame:
+    """(key, response struct of one field a question, status, error): each question answered about a row's state.
+
+    ``state`` is a struct: nothing else of the row is shown to the model. Where it is null the row is skipped. Answers
+    are typed and held against the questions' kinds; options are those of ``prompt``.
+    """
+    lead = "Answer as one JSON object with these fields.\n" + "\n".join(q.asked(n) for n, q in questions.items()) + "\n"
+
+    def validate(value: dict) -> dict:
+        return {n: q.checked(n, value[n]) for n, q in questions.items()}
+
+    text = F.when(state.isNotNull(), F.concat(F.lit(lead), F.to_json(state)))
+    shape = ", ".join(f"`{n}` {q.type}" for n, q in questions.items())
+    return prompt(rows, build, key, text, validate, returns=shape, **options)
 
 
 class ErrorBudgetExceeded(RuntimeError):
@@ -67,5 +220,31 @@ class TablePrompter:
     def __init__(self, answers: dict[str, str]):
         self.answers = answers
 
-    def answer(self, prompts: list[str]) -> list[str]:
+    def answer(self, prompts: list[str], system: str | None = None) -> list[str]:
         return [self.answers.get(p, "") for p in prompts]
+
+
+class HttpPrompter:
+    """Answers of a service that takes ``{"model", "messages"}`` as JSON and gives ``choices[0].message.content``."""
+
+    def __init__(self, url: str, model: str, key: str = "", timeout: float = 60.0, retries: int = 3, wait: float = 1.0):
+        self.url, self.model, self.key, self.timeout, self.retries, self.wait = url, model, key, timeout, retries, wait
+
+    def answer(self, prompts: list[str], system: str | None = None) -> list[str]:
+        return [self._one([*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": p}]) for p in prompts]
+
+    def _one(self, said: list[dict]) -> str:
+        import urllib.error
+        import urllib.request
+
+        body = json.dumps({"model": self.model, "messages": said}).encode()
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        for attempt in range(self.retries):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout) as response:
+                    return json.loads(response.read())["choices"][0]["message"]["content"]
+            except (urllib.error.URLError, TimeoutError):
+                if attempt + 1 == self.retries:
+                    raise
+                time.sleep(self.wait * 2**attempt)
+        raise AssertionError("no attempt was made")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.storage import store
+
 #: Which document type each evidence role may carry; fixed values.
 ROLE_DOCUMENTS = {"expert_recommendation": "recommendation_record", "committee_minutes": "committee_minutes"}
 
@@ -21,6 +23,36 @@ def valid_scores(scores: DataFrame, suppliers: DataFrame) -> DataFrame:
     return scores.where("score between 0 and 100").join(suppliers.select("project_id", "supplier_id"), ["project_id", "supplier_id"])
 
 
+def matrix_problems(scores: DataFrame, experts: DataFrame, suppliers: DataFrame, project: DataFrame) -> DataFrame:
+    """(project_id, problem): why a project's scores may not be judged; no row where nothing is wrong.
+
+    ``incomplete_matrix``: not every expert scored every supplier of the project; ``duplicate_score``: one did twice;
+    ``score_out_of_range``; ``unknown_supplier`` or ``unknown_expert``: a score that belongs to neither list;
+    ``declared_winner_differs``: the declared winner has not the highest average (of equal ones the smallest id).
+    Sizes are compared, so the full matrix is never listed.
+    """
+    named = lambda frame, c: frame.select("project_id", c, F.lit(True).alias(f"known_{c}")).distinct()
+    size = lambda frame, c, n: frame.groupBy("project_id").agg(F.countDistinct(c).alias(n))
+    rows = scores.join(named(experts, "expert_id"), ["project_id", "expert_id"], "left").join(named(suppliers, "supplier_id"), ["project_id", "supplier_id"], "left")
+    both = F.col("known_expert_id").isNotNull() & F.col("known_supplier_id").isNotNull()
+    cells = rows.groupBy("project_id", "expert_id", "supplier_id").agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("score").between(0, 100), F.lit(False))).alias("out"),
+        F.count_if(F.col("known_supplier_id").isNull()).alias("no_supplier"), F.count_if(F.col("known_expert_id").isNull()).alias("no_expert"), F.max(both).alias("known"),
+    )
+    seen = cells.groupBy("project_id").agg(
+        F.count_if("known").alias("cells"), F.max("n").alias("most"), F.sum("out").alias("out"), F.sum("no_supplier").alias("no_supplier"), F.sum("no_expert").alias("no_expert"),
+    )
+    winner = _winner(scores.groupBy("project_id", "supplier_id").agg(F.avg("score").alias("a")), "winner", "a").select("project_id", "winner")
+    all_ = project.select("project_id", F.col("original_winner_supplier_id").alias("declared")).join(seen, "project_id", "left").join(winner, "project_id", "left")
+    all_ = all_.join(size(experts, "expert_id", "e"), "project_id", "left").join(size(suppliers, "supplier_id", "s"), "project_id", "left")
+    nought = lambda c: F.coalesce(F.col(c), F.lit(0))
+    problems = F.array_compact(F.array(
+        F.when(nought("cells") != nought("e") * nought("s"), "incomplete_matrix"), F.when(nought("most") > 1, "duplicate_score"), F.when(nought("out") > 0, "score_out_of_range"),
+        F.when(nought("no_supplier") > 0, "unknown_supplier"), F.when(nought("no_expert") > 0, "unknown_expert"), F.when(~F.col("declared").eqNullSafe(F.col("winner")), "declared_winner_differs"),
+    ))
+    return all_.select("project_id", F.explode(problems).alias("problem"))
+
+
 def conflict_facts(validated: DataFrame) -> DataFrame:
     """Typed facts of (project_id, file_id, role, fact_json) rows whose document type belongs to their trusted role."""
     bound = F.lit(False)
@@ -52,7 +84,7 @@ def matched_signals(facts: DataFrame, project: DataFrame, suppliers: DataFrame)
 
 def score_metrics(facts: DataFrame, project: DataFrame, suppliers: DataFrame, scores: DataFrame) -> DataFrame:
     """One row a matched signal: the expert's score, the peers' mean, and the winners with and without the expert."""
-    signal = matched_signals(facts, project, suppliers)
+    signal = store(matched_signals(facts, project, suppliers), "signals").df  # few rows, read three times
     keys = ["project_id", "flagged_expert_id", "related_supplier_id"]
     related = signal.select(*keys).distinct().join(scores.withColumnRenamed("supplier_id", "related_supplier_id"), ["project_id", "related_supplier_id"])
     own = F.col("expert_id") == F.col("flagged_expert_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -75,6 +77,63 @@ def schema_errors(table: DataFrame, contract: StructType, exact: bool = True) ->
     return out
 
 
+def invariants(counts: dict[str, int], *rules: tuple[str, Callable[[dict[str, int]], bool]]) -> list[str]:
+    """Names of the rules about row counts that do not hold, with the counts they were told."""
+    return [f"{name}: {counts}" for name, holds in rules if not holds(counts)]
+
+
+def row_counts(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of each table, in one action."""
+    parts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    return {r.name: r.n for r in reduce(DataFrame.unionByName, parts).collect()}
+
+
+def expected_results(actual: DataFrame, expected: dict[str, object], digits: int = 6) -> list[str]:
+    """Differences of a one-row summary from its pinned results; numbers are compared after rounding."""
+    row = actual.first()
+    found = row.asDict() if row else {}
+    plain = lambda v: round(float(v), digits) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else v
+    return [f"{k}: expected {v}, found {found.get(k)}" for k, v in expected.items() if k not in found or plain(found[k]) != plain(v)]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a column of a published table must hold; each part is checked only where it is given."""
+
+    required: bool = False
+    one_of: tuple = ()
+    between: tuple | None = None
+    pattern: str | None = None
+    refers_to: tuple[DataFrame, str] | None = None
+
+
+def mart_contract(name: str, table: DataFrame, schema: StructType, rules: dict[str, Rule], key: tuple[str, ...] = ()) -> Report:
+    """Schema, key, required columns, sets of values, ranges, patterns and references of a table, all failures together.
+
+    Timestamps must be of a type with a time zone where the schema says so: a schema that differs fails before rows are
+    read. Row rules are counted in one pass; each reference and the key are one more.
+    """
+    wrong = schema_errors(table, schema)
+    if wrong:
+        return Report(errors=[f"{name}: {w}" for w in wrong])
+    told, checks = [], []
+    for c, rule in rules.items():
+        empty = F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+        if rule.required:
+            told.append((f"{c}_missing", empty))
+        if rule.one_of:
+            told.append((f"{c}_unknown", F.col(c).isNotNull() & ~F.col(c).isin(*rule.one_of)))
+        if rule.between:
+            told.append((f"{c}_out_of_range", F.col(c).isNotNull() & ~F.col(c).between(*rule.between)))
+        if rule.pattern:
+            told.append((f"{c}_malformed", F.col(c).isNotNull() & ~F.col(c).rlike(rule.pattern)))
+        if rule.refers_to:
+            checks.append(orphans(name, table.where(F.col(c).isNotNull()), c, *rule.refers_to))
+    checks += [counted(name, table, *told)] if told else []
+    checks += [duplicate_keys(name, table, *key)] if key else []
+    return report(checks) if checks else Report()
+
+
 def ensure_columns(table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """``table`` with the columns that it lacks."""
     return table.withColumns({n: c for n, c in defaults.items() if n not in table.columns})

@@ -12,15 +12,16 @@ from cairn.session import table
 
 
 def _assets(spark, sf_dir: str) -> DataFrame:
-    """Every document as an asset: two thirds as they are, the others as SVG images of a size by id."""
-    docs = table(spark, sf_dir, "documents")
-    kind = F.when(F.col("doc_id") % 3 == 0, "text").when(F.col("doc_id") % 3 == 1, "document").otherwise("image")
+    """Every document as a text or a document, and beside it an SVG image of a size by its id."""
+    docs = table(spark, sf_dir, "documents", spread=True)
+    number = F.col("doc_id").cast("string")
+    license_ = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("source")).alias("license_id")
     side = (F.col("doc_id") % 700 + 300).cast("string")
     svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="'), side, F.lit('px" height="800"/>'))
-    return docs.select(
-        F.col("doc_id").cast("string").alias("record_id"), kind.alias("modality"), F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("source")).alias("license_id"), F.when(kind == "image", "image/svg+xml").otherwise("text/plain").alias("mime_type"),
-        F.when(kind == "image", "").otherwise(F.col("text")).alias("text"), F.when(kind == "image", F.base64(svg.cast("binary"))).otherwise("").alias("content_base64"), F.when(kind == "image", F.sha2(svg, 256)).otherwise("").alias("expected_sha256"),
-    )
+    kind = F.when(F.col("doc_id") % 2 == 0, "text").otherwise("document").alias("modality")
+    written = docs.select(number.alias("record_id"), kind, license_, F.lit("text/plain").alias("mime_type"), "text", F.lit("").alias("content_base64"), F.lit("").alias("expected_sha256"))
+    drawn = docs.select(F.concat(F.lit("img-"), number).alias("record_id"), F.lit("image").alias("modality"), license_, F.lit("image/svg+xml").alias("mime_type"), F.lit("").alias("text"), F.base64(svg.cast("binary")).alias("content_base64"), F.sha2(svg, 256).alias("expected_sha256"))
+    return written.unionByName(drawn)
 
 
 def asset_release(spark, sf_dir):
@@ -77,21 +78,39 @@ def claim_summary(spark, sf_dir):
     return P.claim_summary(claims, files, photos, spans, P.review_tasks(claims, files, photos, spans))
 
 
+def photo_quality_means(spark, sf_dir):
+    """The profile that takes the mean of four scores; some photos did not decode."""
+    q = F.col("l_quantity")
+    photos = table(spark, sf_dir, "lineitem").select(
+        (q * 40).cast("int").alias("width"), F.lit(800).alias("height"), (F.col("l_discount") * 10).alias("brightness"), (q * 1.0).alias("contrast"), (F.col("l_tax") * 50).alias("sharpness"), F.when(q == 50, "OSError").alias("error_type"),
+    )
+    json = lambda name: F.get_json_object("photo_quality_json", f"$.{name}")
+    rows = M.photo_quality_means(photos).select(json("status").alias("status"), json("photo_usable").alias("usable"), json("quality_reasons").alias("reasons"), json("quality_score").cast("double").alias("score"))
+    return rows.groupBy("status", "usable", "reasons").agg(F.count("*").alias("photos"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
 def html_blocks(spark, sf_dir):
-    return H.page_blocks(table(spark, sf_dir, "pages"))
+    return H.page_blocks(table(spark, sf_dir, "pages", spread=True))
+
+
+def html_block_ids(spark, sf_dir):
+    """The first block of each page with the id of a captured page's block."""
+    rows = H.page_blocks(table(spark, sf_dir, "pages", spread=True)).where("block_index = 0")
+    return rows.select("page_id", H.block_ids(F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")), F.col("block_index")).alias("doc_id"))
 
 
 def page_domains(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(H.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"))
 
 
-_ASSETS = f"""with a as (select doc_id::varchar as record_id, case doc_id % 3 when 0 then 'text' when 1 then 'document' else 'image' end as modality, case when doc_id % 10 = 0 then '' else source end as license_id, '<svg xmlns="http://www.w3.org/2000/svg" width="' || (doc_id % 700 + 300) || 'px" height="800"/>' as svg, text, doc_id % 700 + 300 as w from documents),
+_ASSETS = f"""with a as (select doc_id::varchar as record_id, case doc_id % 2 when 0 then 'text' else 'document' end as modality, case when doc_id % 10 = 0 then '' else source end as license_id, '' as svg, text, 0 as w from documents
+union all select 'img-' || doc_id, 'image', case when doc_id % 10 = 0 then '' else source end, '<svg xmlns="http://www.w3.org/2000/svg" width="' || (doc_id % 700 + 300) || 'px" height="800"/>', '', doc_id % 700 + 300 from documents),
 b as (select *, case when modality = 'image' then svg else text end as raw, len(regexp_extract_all(case when modality = 'image' then '' else text end, '[a-zA-Z0-9_]+'))::bigint as token_count from a),
 c as (select *, modality = 'text' and token_count < {M.MIN_TOKENS} as short, modality = 'document' and trim(regexp_replace(text, '\\s+', '', 'g')) = '' as bare, modality = 'image' and w < {M.MIN_SIDE} as low, license_id = '' as nolic from b),
 d as (select *, round(greatest(0, (case when short then 0.6 when bare then 0.0 when low then 0.5 else 1.0 end)::double - case when nolic then {M.LICENSE_PENALTY} else 0 end), 3) as quality_score, concat_ws(',', case when short then 'text_too_short' end, case when bare then 'empty_document' end, case when low then 'low_resolution' end, case when nolic then 'missing_license' end) as risk_flags from c),
 r as (select record_id, modality, license_id, sha256(raw) as content_sha256, strlen(raw) as byte_size, token_count, case when modality = 'image' then w end as width, case when modality = 'image' then 800 end as height, quality_score, risk_flags, case when risk_flags = '' and quality_score >= {M.ACCEPT} then 'accepted' else 'rejected' end as decision from d) """
 _PHOTOS = f"""with p as (select distinct {", ".join(f"{e} as {n}" for n, e in _PHOTO.items())} from lineitem),
-q as materialized (select *, concat_ws(',', {", ".join(f"case when {rule} then '{name}' end" for name, rule, _ in M.PHOTO_RULES)}) as issue_flags, round(greatest(0, 1 - {" - ".join(f"(case when {rule} then {price} else 0 end)::double" for _, rule, price in M.PHOTO_RULES)}), 6) as quality_score from p),
+q as materialized (select * replace (case when decode_ok then issue_flags else 'decode_error' end as issue_flags, case when decode_ok then quality_score else 0.0 end as quality_score) from (select *, concat_ws(',', {", ".join(f"case when {rule} then '{name}' end" for name, rule, _ in M.PHOTO_RULES)}) as issue_flags, round(greatest(0, 1 - {" - ".join(f"(case when {rule} then {price} else 0 end)::double" for _, rule, price in M.PHOTO_RULES)}), 6) as quality_score from p)),
 r as materialized (select *, quality_score < 0.6 or issue_flags <> '' as flagged, quality_score < 0.6 or issue_flags <> '' or not decode_ok as needs_review, row_number() over (partition by claim_id, perceptual_hash, decode_ok order by ordinal, file_id) as place from q),
 spans as materialized (select 'C' || o_orderkey as claim_id, 'd' || o_orderkey as file_id, unnest([1, 2]) as k, o_orderkey % 8 = 0 as bare from orders where o_orderkey % 4 = 0),
 s as materialized (select claim_id, file_id, case k when 1 then 'question_1' else 'answer_1' end as field_name, case when k = 1 then 'w v' when bare then '' else 'ok' end as field_value, case k when 1 then 'question' else 'answer' end as field_type, case k when 1 then '0.0,0.0,5.0,9.0' else '3.0,3.0,3.0,4.0' end as bbox, k = 1 as valid_bbox, 'evidence:document_span:' || file_id || ':1' as evidence_node_id, k = 2 as needs_review from spans),
@@ -103,10 +122,15 @@ union all select claim_id, 'task:document_field_review:' || evidence_node_id, 'd
 union all select claim_id, 'task:missing_material_review:' || claim_id, 'missing_material_review', 'high', null, 'evidence:claim:' || claim_id, 'open' from lacks),
 files as materialized (select claim_id, file_id from r union all select distinct claim_id, file_id from s) """
 QUERIES = {
-    "asset_release": asset_release, "asset_release_summary": asset_release_summary, "photo_quality": photo_quality, "packet_form_spans": form_spans, "packet_review_tasks": review_tasks, "packet_node_counts": evidence_node_counts,
+    "asset_release": asset_release, "asset_release_summary": asset_release_summary, "photo_quality": photo_quality, "photo_quality_means": photo_quality_means, "html_block_ids": html_block_ids, "packet_form_spans": form_spans, "packet_review_tasks": review_tasks, "packet_node_counts": evidence_node_counts,
     "packet_claim_summary": claim_summary, "html_blocks": html_blocks, "page_domains": page_domains,
 }
 ORACLES = {
+    "photo_quality_means": """with p as (select (l_quantity * 40)::int as w, 800 as h, l_discount * 10 as b, l_quantity * 1.0 as c, l_tax * 50 as s, l_quantity = 50 as broken from lineitem),
+q as (select *, (least(1, w / 1280, h / 960) + greatest(0, 1 - abs(b - 0.5) / 0.5) + least(1, c / 40) + least(1, s / 8)) / 4 as score from p),
+r as (select *, '[' || concat_ws(',', case when w < 640 or h < 480 then '"resolution_too_low"' end, case when b < 0.1 then '"too_dark"' when b > 0.95 then '"too_bright"' end, case when c < 10 then '"low_contrast"' end, case when s < 1.5 then '"low_detail"' end, case when score < 0.4 then '"quality_score_below_threshold"' end) || ']' as why from q)
+select case when broken then 'decode_error' else 'success' end as status, case when broken then 'false' else (why = '[]')::varchar end as usable, case when broken then '["image_decode_failed"]' else why end as reasons, count(*) as photos, round(avg(case when broken then 0 else round(score, 4) end), 4) as mean_score from r group by 1, 2, 3""",
+
     "asset_release": _ASSETS + "select * from r",
     "asset_release_summary": _ASSETS + "select modality, count(*) as raw_assets, count(*) filter (decision = 'accepted') as released_assets, count(*) filter (decision = 'rejected') as rejected_assets, round(avg(quality_score), 3) as average_quality, sum(byte_size)::bigint as total_bytes from r group by 1",
     "photo_quality": _PHOTOS + "select file_id, issue_flags, quality_score, flagged as needs_review from r",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import claims as C
 from cairn.session import table
+from cairn.storage import store
 
 #: Columns of a line read as a material; the same text runs in Spark and in the oracle.
 _LINE = {
@@ -20,15 +21,22 @@ _LINE = {
     "found": "l_quantity <> 46",
     "readable": "l_quantity <> 45",
     "usable": "l_discount < 0.095",
-    "score": "round(1 - l_tax * 4, 2)",
-    "damaged": "l_orderkey % 4 <> 0",
-    "sure": "l_tax < 0.075",
-    "severity": "case when l_orderkey % 4 = 0 then 'none' when l_quantity = 44 then 'severe' else 'minor' end",
+    "score": "round(1 - l_tax * 8, 2)",
+    "answered": "case when l_quantity = 43 then 'invalid_response' else 'success' end",
+    "seen": "l_quantity <> 42",
+    "clear": "l_quantity <> 41",
+    "damaged": "l_orderkey % 4 <> 0 and l_quantity <> 40",
+    "kind": "case when l_orderkey % 4 = 0 or l_quantity = 40 then ' None ' when l_quantity = 36 then 'unknown' else concat('door ', l_linenumber) end",
+    "sure": "l_discount <> 0.05",
+    "confidence": "cast(case when l_tax >= 0.075 then 0.39 when l_tax >= 0.065 then 0.4 when l_tax >= 0.055 then 0.79 when l_tax >= 0.045 then 0.8 else 0.9 end as double)",
+    "severity": "case when l_orderkey % 4 = 0 or l_quantity = 40 then 'none' when l_quantity = 44 then 'severe' when l_quantity = 39 then 'total_loss' when l_quantity = 38 then 'unknown' when l_quantity = 37 then 'moderate' else 'minor' end",
+    "doubts": "case when l_discount <> 0.05 then 0 when l_linenumber % 2 = 1 then 2 else 1 end",
 }
 
 
 def inputs(spark, sf_dir: str) -> dict[str, DataFrame]:
     items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *(f"{e} as {n}" for n, e in _LINE.items()))
+    items = store(items, "claim-lines").df
     key = F.concat(F.lit("claims/"), "claim_id", F.lit("/"), "folder", F.lit("/"), "file_id", F.lit("."), "ext")
     material = F.struct(F.col("seq").alias("n"), "file_id", F.col("l_linenumber").cast("string").alias("file_order"), "role", F.col("media").alias("media_type"), F.lit("b").alias("bucket"), key.alias("object_key"))
     lists = items.groupBy("claim_id").agg(F.array_sort(F.collect_list(material)).alias("m"))
@@ -36,9 +44,12 @@ def inputs(spark, sf_dir: str) -> dict[str, DataFrame]:
     materials = C.claim_materials(claims)
     photo = F.to_json(F.struct(F.when(F.col("readable"), "success").otherwise("failed").alias("status"), F.col("usable").alias("photo_usable"), F.col("score").alias("quality_score")))
     objects = items.select("claim_id", F.col("seq").alias("material_index"), F.col("found").alias("object_exists"), photo.alias("photo_quality_json"), F.to_json(F.struct(F.col("usable").alias("document_usable"))).alias("document_quality_json"))
-    facts = C.material_facts(claims, materials, objects)
-    parts = F.when(F.col("damaged"), F.array(F.lit("door"))).otherwise(F.array(F.lit(" None ")))
-    answer = F.to_json(F.struct(F.lit("success").alias("status"), F.lit(True).alias("vehicle_visible"), F.lit(True).alias("target_vehicle_clear"), F.col("damaged").alias("damage_visible"), F.col("sure").alias("finding_determinate"), F.when(F.col("sure"), 0.9).otherwise(0.82).alias("confidence"), parts.alias("damaged_parts"), parts.alias("damage_types"), F.col("severity").alias("severity_hint"), F.when(F.col("sure"), F.array().cast("array<string>")).otherwise(F.array(F.lit("blur"))).alias("uncertainty_reasons")))
+    facts = store(C.material_facts(claims, materials, objects), "claim-facts").df  # read for the gate and for the rules
+    reasons = F.when(F.col("doubts") == 0, F.array().cast("array<string>")).when(F.col("doubts") == 1, F.array(F.lit("blur"))).otherwise(F.array(F.lit("blur"), F.lit("occlusion")))
+    answer = F.to_json(F.struct(
+        F.col("answered").alias("status"), F.col("seen").alias("vehicle_visible"), F.col("clear").alias("target_vehicle_clear"), F.col("damaged").alias("damage_visible"),
+        F.col("sure").alias("finding_determinate"), "confidence", F.array("kind").alias("damaged_parts"), F.array("kind").alias("damage_types"), F.col("severity").alias("severity_hint"), reasons.alias("uncertainty_reasons"),
+    ))
     answers = items.where("role = 'damage_photo'").select("claim_id", "file_id", F.col("l_linenumber").alias("file_order"), answer.alias("damage_json"))
     answers = answers.join(facts.where("model_input_usable").select("claim_id"), "claim_id", "left_semi")
     return {"claims": claims, "materials": materials, "facts": facts, "results": C.damage_results(answers)}
@@ -53,7 +64,14 @@ def claim_material_facts(spark, sf_dir):
 
 
 def claim_damage_facts(spark, sf_dir):
-    return C.damage_facts(inputs(spark, sf_dir)["results"])
+    return C.damage_facts(inputs(spark, sf_dir)["results"]).drop("damage_result_json")
+
+
+def claim_facts(spark, sf_dir):
+    """Claims with and without a model run side by side: the defaults of those without."""
+    i = inputs(spark, sf_dir)
+    rows = C.claim_facts(i["facts"], C.damage_facts(i["results"]))
+    return rows.select("claim_id", "model_was_run", "model_status", "all_model_results_successful", "model_result_count", "severity_hint", "damaged_parts_json", "any_damage_model_uncertain", "damage_confidence")
 
 
 def claim_disposition(spark, sf_dir):
@@ -73,10 +91,18 @@ facts as materialized (select 'C' || o_orderkey as claim_id, {", ".join(f"coales
   best_photo_quality_score, primary_photo_file_id, primary_document_file_id from orders left join agg on agg.claim_id = 'C' || o_orderkey),
 gated as materialized (select *, required_photo_count > 0 and required_document_count > 0 as required_materials_present, unsupported_material_count + invalid_material_count = 0 and required_photo_count > 0 and required_document_count > 0 and available_photo_count = required_photo_count
   and available_document_count = required_document_count and readable_photo_count = required_photo_count and usable_photo_count = required_photo_count and usable_document_count = required_document_count as model_input_usable from facts),
-answers as (select i.* from items i join gated using (claim_id) where model_input_usable and role = 'damage_photo'),
-damage as materialized (select claim_id, count(*) as model_result_count, count(*) as successful_model_result_count, count(*) filter (damaged and sure and severity = 'minor') as positive_damage_result_count, count(*) filter (not damaged and sure) as negative_damage_result_count,
-  bool_or(damaged) and bool_or(not damaged) as conflicting_damage_results, false as any_vehicle_not_visible, false as any_target_vehicle_unclear, bool_or(not sure) as any_damage_has_uncertainty, bool_or(not sure) as any_damage_model_uncertain,
-  bool_or(severity = 'severe') as any_high_severity_risk, arg_max(severity, case severity when 'severe' then 4 when 'minor' then 2 else 1 end) as severity_hint, min(case when sure then 0.9::double else 0.82::double end) as damage_confidence, false as any_model_confidence_below_floor from answers group by 1)
+answers as (select i.*, answered = 'success' as ok, case when sure then 0 else doubts end as blocking, lower(trim(kind)) not in ('', 'unknown', 'none', 'none_visible', 'no_damage') as told from items i join gated using (claim_id) where model_input_usable and role = 'damage_photo'),
+judged as (select *, ok and sure and confidence >= 0.8 and seen and clear and damaged and told and severity in ('minor', 'moderate') as pos, ok and sure and confidence >= 0.8 and seen and clear and not damaged and not told and severity in ('none', 'unknown') as neg from answers),
+damage as materialized (select claim_id, count(*) as model_result_count, count(*) filter (ok) as successful_model_result_count, count(*) filter (pos) as positive_damage_result_count, count(*) filter (neg) as negative_damage_result_count,
+  count(*) filter (ok and damaged) > 0 and count(*) filter (ok and not damaged) > 0 as conflicting_damage_results, bool_and(seen) filter (ok) as vehicle_visible, bool_and(clear) filter (ok) as target_vehicle_clear, bool_or(damaged) filter (ok) as damage_visible,
+  '["' || first(kind order by confidence desc, file_order) filter (ok) || '"]' as damaged_parts_json, '["' || first(kind order by confidence desc, file_order) filter (ok) || '"]' as damage_types_json,
+  first(severity order by case severity when 'total_loss' then 5 when 'severe' then 4 when 'moderate' then 3 when 'minor' then 2 when 'none' then 1 else 0 end desc) filter (ok) as severity_hint,
+  coalesce(to_json(flatten(list((['blur', 'occlusion'])[:doubts] order by file_order, file_id) filter (ok)))::varchar, '[]') as uncertainty_reasons_json, min(confidence) filter (ok) as damage_confidence,
+  coalesce(bool_or(told) filter (ok), false) as meaningful_damaged_parts, coalesce(bool_or(told) filter (ok), false) as meaningful_damage_types,
+  coalesce(sum(doubts) filter (ok), 0)::bigint as uncertainty_reason_count, coalesce(sum(blocking) filter (ok), 0)::bigint as blocking_uncertainty_reason_count,
+  count(*) filter (ok and confidence < 0.4) > 0 as any_model_confidence_below_floor, count(*) filter (ok and confidence >= 0.4 and confidence < 0.8) > 0 as any_damage_model_uncertain,
+  count(*) filter (ok and not seen) > 0 as any_vehicle_not_visible, count(*) filter (ok and not clear) > 0 as any_target_vehicle_unclear, count(*) filter (ok and blocking > 0) > 0 as any_damage_has_uncertainty,
+  count(*) filter (ok and severity in ('severe', 'total_loss')) > 0 as any_high_severity_risk from judged group by 1)
 """
 
 
@@ -84,19 +110,28 @@ def _texts(i: int) -> str:
     return "case disposition " + " ".join(f"when '{k}' then '{v[i]}'" for k, v in C.OUTCOMES.items()) + " end"
 
 
-QUERIES = {"claim_materials": claim_materials, "claim_material_facts": claim_material_facts, "claim_damage_facts": claim_damage_facts, "claim_disposition": claim_disposition}
+QUERIES = {
+    "claim_materials": claim_materials, "claim_material_facts": claim_material_facts, "claim_damage_facts": claim_damage_facts,
+    "claim_facts": claim_facts, "claim_disposition": claim_disposition,
+}
 ORACLES = {
     "claim_materials": _BASE + "select claim_id, material_index, file_id, file_order, role, media as media_type, object_key, supported, duplicate_file_id, duplicate_file_order, ok as locator_valid from valid",
     "claim_material_facts": _BASE + "select * from gated",
     "claim_damage_facts": _BASE + "select * from damage",
+    "claim_facts": _BASE
+    + """select claim_id, d.claim_id is not null as model_was_run, case when d.claim_id is null then 'not_run' when successful_model_result_count = model_result_count then 'success' else 'failed' end as model_status,
+  coalesce(successful_model_result_count = model_result_count, false) as all_model_results_successful, coalesce(model_result_count, 0) as model_result_count, coalesce(severity_hint, 'unknown') as severity_hint,
+  coalesce(damaged_parts_json, '[]') as damaged_parts_json, coalesce(any_damage_model_uncertain, false) as any_damage_model_uncertain, damage_confidence from gated left join damage d using (claim_id)""",
     "claim_disposition": _BASE
-    + f""", s as (select g.*, d.model_result_count is not null as ran, coalesce(model_result_count, 0) as mrc, coalesce(positive_damage_result_count, 0) as pos, coalesce(negative_damage_result_count, 0) as neg, coalesce(any_damage_has_uncertainty, false) as unsure, coalesce(any_high_severity_risk, false) as severe, coalesce(conflicting_damage_results, false) as conflict,
-  unsupported_material_count + invalid_material_count > 0 as bad, required_photo_count > 0 and readable_photo_count < required_photo_count as unread, required_photo_count > 0 and readable_photo_count = required_photo_count and (usable_photo_count < required_photo_count or coalesce(best_photo_quality_score, 0) < {C.MIN_PHOTO_SCORE}) as poor,
-  required_document_count > 0 and usable_document_count < required_document_count as docbad from gated g left join damage d using (claim_id)),
-t as (select *, bad or required_photo_count = 0 or required_document_count = 0 or unread or poor or docbad as ask, model_input_usable and ran and mrc = usable_photo_count and not conflict and neg = usable_photo_count and pos = 0 as may_deny,
-  model_input_usable and ran and mrc = usable_photo_count and not conflict and pos >= 1 and pos = mrc and neg = 0 as may_approve from s),
-u as (select *, case when ask then 'request_more_materials' when unsure or severe or conflict or (not may_deny and not may_approve) then 'manual_review' when may_deny then 'deny_claim' else 'approve_for_payment' end as disposition from t)
+    + f""", s as (select g.*, d.claim_id is not null as ran, coalesce(model_result_count, 0) as mrc, coalesce(successful_model_result_count, 0) as good, coalesce(positive_damage_result_count, 0) as pos, coalesce(negative_damage_result_count, 0) as neg,
+  coalesce(any_damage_has_uncertainty, false) as unsure, coalesce(any_damage_model_uncertain, false) as weak, coalesce(any_model_confidence_below_floor, false) as under, coalesce(any_vehicle_not_visible, false) as hidden, coalesce(any_target_vehicle_unclear, false) as unclear,
+  coalesce(any_high_severity_risk, false) as severe, coalesce(conflicting_damage_results, false) as conflict, unsupported_material_count + invalid_material_count > 0 as bad, required_photo_count > 0 and readable_photo_count < required_photo_count as unread,
+  required_photo_count > 0 and readable_photo_count = required_photo_count and (usable_photo_count < required_photo_count or coalesce(best_photo_quality_score, 0) < 0.4) as poor, required_document_count > 0 and usable_document_count < required_document_count as docbad from gated g left join damage d using (claim_id)),
+t as (select *, ran and good < mrc as failed, bad or under or required_photo_count = 0 or required_document_count = 0 or unread or poor or docbad as ask, required_materials_present and model_input_usable and ran and good = mrc and mrc = usable_photo_count and not conflict as complete from s),
+u as (select *, failed or weak or hidden or unclear or unsure or severe or conflict as risky, complete and neg = usable_photo_count and pos = 0 as may_deny, complete and pos >= 1 and pos = good and neg = 0 as may_approve from t),
+v as (select *, case when ask then 'request_more_materials' when risky or (not may_deny and not may_approve) then 'manual_review' when may_deny then 'deny_claim' else 'approve_for_payment' end as disposition from u)
 select claim_id, disposition, ({_texts(0)})::decimal(4, 2) as disposition_confidence, case when bad then 'model_input_unusable' when required_photo_count = 0 then 'missing_required_photo' when required_document_count = 0 then 'missing_required_document' when unread then 'photo_unreadable' when poor then 'photo_quality_too_low'
-  when docbad then 'document_field_unreadable' when unsure then 'damage_model_uncertain' when severe then 'high_severity_or_total_loss_risk' when disposition = 'deny_claim' then 'no_visible_vehicle_damage' when disposition = 'approve_for_payment' then 'clear_low_risk_damage' else 'open_review_tasks' end as primary_reason_code,
-  {_texts(1)} as reason_summary, {_texts(2)} as next_action, (disposition in ('request_more_materials', 'manual_review'))::int as blocking_condition_count, unsure::int * 2 + severe::int + conflict::int as risk_flag_count from u""",
+  when docbad then 'document_field_unreadable' when under then 'model_input_unusable' when failed then 'model_output_failed' when weak then 'damage_model_uncertain' when hidden then 'vehicle_not_visible' when unclear then 'target_vehicle_unclear' when unsure then 'damage_model_uncertain'
+  when severe then 'high_severity_or_total_loss_risk' when disposition = 'deny_claim' then 'no_visible_vehicle_damage' when disposition = 'approve_for_payment' then 'clear_low_risk_damage' else 'open_review_tasks' end as primary_reason_code,
+  {_texts(1)} as reason_summary, {_texts(2)} as next_action, (disposition in ('request_more_materials', 'manual_review'))::int as blocking_condition_count, failed::int + weak::int + hidden::int + unclear::int + unsure::int + severe::int + conflict::int as risk_flag_count from v""",
 }

@@ -12,7 +12,7 @@ from cairn.storage import store
 
 
 def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "source", "n_chars", "text")
     return store(T.fingerprints(docs), "prints").df
 
 
@@ -25,7 +25,8 @@ def _members(prints: DataFrame) -> DataFrame:
 
 
 def _chosen(members: DataFrame) -> DataFrame:
-    return D.representatives(members, [F.col("n_chars").desc(), F.col("token_count").desc(), F.col("doc_id")])
+    falling = lambda c: F.struct(F.col(c).isNull(), -F.col(c))
+    return D.representatives(members, F.struct(falling("n_chars"), falling("token_count"), "doc_id"))
 
 
 def fingerprint_counts(spark, sf_dir):
@@ -59,7 +60,7 @@ def representatives(spark, sf_dir):
 def cluster_inspection(spark, sf_dir):
     prints = _prints(spark, sf_dir)
     members = store(_members(prints), "cluster-members").df
-    found = D.cluster_inspection(members, _chosen(members), _scored(prints))
+    found = D.cluster_inspection(members, _chosen(members), store(_scored(prints), "scored").df)
     return found.withColumn("weakest_shingle_jaccard", F.round("weakest_shingle_jaccard", 6)).withColumn("weakest_signature_overlap", F.round("weakest_signature_overlap", 6))
 
 
@@ -70,7 +71,7 @@ def candidate_summary(spark, sf_dir):
 
 def domain_summary(spark, sf_dir):
     prints = _prints(spark, sf_dir)
-    return D.domain_summary(prints.select("doc_id", F.col("source").alias("domain")), _scored(prints))
+    return D.domain_summary(prints.select("doc_id", F.col("source").alias("domain")), store(_scored(prints), "scored").df)
 
 
 def duplicate_summary(spark, sf_dir):

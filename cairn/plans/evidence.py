@@ -64,6 +64,31 @@ def status_summary(spark, sf_dir):
     return E.status_summary(E.agent_context(*inputs(spark, sf_dir)))
 
 
+#: Columns of four tables with some rows of every kind of violation; the same text runs in Spark and in the oracle.
+_CASES = {
+    "case_id": "case when o_orderkey % 97 = 0 then concat('K', o_orderkey - 1) else concat('K', o_orderkey) end", "account_id": "case when o_custkey % 50 = 0 then ' ' else concat('c', o_custkey) end",
+    "business_question": "o_orderpriority", "review_due_at": "case when o_orderkey % 89 = 0 then null else cast(o_orderdate as date) end",
+}
+_NEEDS = {
+    "case_id": "case when o_orderkey % 103 = 0 then 'X' when o_orderkey % 107 = 0 then '' else concat('K', o_orderkey) end",
+    "evidence_type": "case o_orderkey % 6 when 0 then 'text' when 1 then 'image' when 2 then 'audio' when 3 then 'document' when 4 then 'image' else 'video' end",
+}
+_PROOFS = {
+    "record_id": "case when l_quantity = 50 then 'twice' else concat_ws('-', l_orderkey, l_linenumber) end", "case_id": "case when l_quantity = 49 then 'X' else concat('K', l_orderkey) end",
+    "asset_id": "case when l_quantity = 48 then 'zz' else concat('a', l_partkey) end", "source_system": "case when l_quantity = 47 then null else 's' end", "evidence_title": "l_returnflag",
+    "observed_at": "case when l_quantity = 46 then null else cast(l_shipdate as date) end", "claim_key": "case when l_quantity = 45 then '' else 'k' end", "claim_value": "case when l_quantity >= 44.5 and l_quantity < 46 then 'v' when l_quantity < 2 then null else 'w' end",
+}
+_MEDIA = {
+    "asset_id": "concat('a', case when p_partkey % 13 = 0 then p_partkey - 1 else p_partkey end)", "modality": "'image'", "source_uri": "p_name", "license_id": "case when p_partkey % 17 = 0 then '' else 'l' end", "mime_type": "'image/png'",
+    "expected_sha256": "case when p_partkey % 20 = 0 then 'short' else repeat('aB', 32) end",
+}
+
+
+def source_integrity(spark, sf_dir):
+    made = lambda name, columns: table(spark, sf_dir, name).selectExpr(*(f"{e} as {n}" for n, e in columns.items()))
+    return E.source_integrity(made("orders", _CASES), made("orders", _NEEDS), made("lineitem", _PROOFS), made("part", _MEDIA))
+
+
 _SUMS = ("evidence", "source", "modality", "rejected_asset", "risk", "blocking_risk", "stale_evidence", "missing_evidence", "conflict")
 _BASE = f"""with f as materialized (select *, case_id || '-' || seq as record_id from (select {", ".join(f"{e} as {n}" for n, e in _ITEM.items())} from lineitem)),
 cases as (select 'K' || o_orderkey as case_id, 'c' || o_custkey as account_id, (o_orderdate::date + 90)::date as review_due_at from orders),
@@ -78,8 +103,23 @@ context as materialized (select c.case_id, account_id, review_due_at::varchar as
   case when coalesce(missing_evidence_count, 0) > 0 or coalesce(conflict_count, 0) > 0 or coalesce(blocking_risk_count, 0) > 0 then 'blocked' when coalesce(stale_evidence_count, 0) > 0 or coalesce(risk_count, 0) > 0 then 'needs_review' else 'ready' end as review_state
   from cases c left join rollup using (case_id) left join (select case_id, count(*) as missing_evidence_count from gaps group by 1) using (case_id) left join (select case_id, count(*) as conflict_count from conflicts group by 1) using (case_id))
 """
-QUERIES = {"evidence_gaps": evidence_gaps, "evidence_conflicts": evidence_conflicts, "evidence_agent_context": agent_context, "evidence_review_queue": review_queue, "evidence_status_summary": status_summary}
+_cols = lambda columns: ", ".join(f"{e} as {n}" for n, e in columns.items())
+_blank = lambda *names: " or ".join(f"trim(coalesce({n}, '')) = ''" for n in names)
+_INTEGRITY = f"""with c as (select {_cols(_CASES)} from orders), r as (select {_cols(_NEEDS)} from orders), e as (select {_cols(_PROOFS)} from lineitem), a as (select {_cols(_MEDIA)} from part) """ + " union all ".join(
+    f"""select '{name}' as "check", count(*) as violations from {rows}"""
+    for name, rows in {
+        "empty case field": f"c where {_blank('case_id', 'account_id', 'business_question')}", "case with invalid review date": "c where review_due_at is null", "duplicate case_id": "(select 1 from c group by case_id having count(*) > 1)",
+        "empty requirement field": f"r where {_blank('case_id', 'evidence_type')}", "unsupported requirement modality": "r where evidence_type not in ('text', 'image', 'audio', 'document')", "duplicate requirement": "(select 1 from r group by case_id, evidence_type having count(*) > 1)",
+        "empty evidence field": f"e where {_blank('record_id', 'case_id', 'asset_id', 'source_system', 'evidence_title')}", "evidence with invalid observation date": "e where observed_at is null",
+        "evidence with incomplete claim": "e where (trim(coalesce(claim_key, '')) = '') <> (trim(coalesce(claim_value, '')) = '')", "duplicate evidence record_id": "(select 1 from e group by record_id having count(*) > 1)",
+        "empty asset field": f"a where {_blank('asset_id', 'modality', 'source_uri', 'license_id', 'mime_type', 'expected_sha256')}", "invalid asset SHA-256": "a where not regexp_matches(expected_sha256, '^[0-9a-fA-F]{64}$')",
+        "duplicate asset_id": "(select 1 from a group by asset_id having count(*) > 1)", "requirement with unknown case": "r where not exists (select 1 from c where c.case_id = r.case_id)", "evidence with unknown case": "e where not exists (select 1 from c where c.case_id = e.case_id)",
+        "evidence with unknown asset": "e where not exists (select 1 from a where a.asset_id = e.asset_id)", "case without requirement": "c where not exists (select 1 from r where r.case_id = c.case_id)", "evidence observed after review date": "e join c using (case_id) where observed_at > review_due_at",
+    }.items()
+)
+QUERIES = {"evidence_source_integrity": source_integrity, "evidence_gaps": evidence_gaps, "evidence_conflicts": evidence_conflicts, "evidence_agent_context": agent_context, "evidence_review_queue": review_queue, "evidence_status_summary": status_summary}
 ORACLES = {
+    "evidence_source_integrity": _INTEGRITY,
     "evidence_gaps": _BASE + "select * from gaps",
     "evidence_conflicts": _BASE + "select * from conflicts",
     "evidence_agent_context": _BASE + "select * from context",

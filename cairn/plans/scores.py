@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from cairn.operators import scores as S
 from cairn.session import table
+from cairn.storage import store
 
 
 def inputs(spark, sf_dir: str) -> dict[str, DataFrame]:
-    items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), F.year("l_shipdate").cast("string")).alias("project_id"), F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("expert_id"), F.concat(F.lit("S"), (F.col("l_suppkey") % 6).cast("string")).alias("supplier_id"), "l_quantity", F.year("l_shipdate").alias("y"))
-    scores = items.groupBy("project_id", "expert_id", "supplier_id").agg(F.round(F.avg("l_quantity") * 2, 1).alias("score"))
-    years = items.select("project_id", "y").distinct()
-    suppliers = scores.select("project_id", "supplier_id").distinct().select("*", F.concat(F.lit("Supplier "), "supplier_id").alias("supplier_name"), F.to_json(F.array(F.concat(F.lit("alias-"), "supplier_id"))).alias("aliases_json"))
+    """The score matrix is small beside the lines it comes from: it is stored, and all else is made from it."""
+    year = F.year("l_shipdate")
+    items = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("P"), year.cast("string")).alias("project_id"), F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("expert_id"),
+        F.concat(F.lit("S"), (F.col("l_suppkey") % 6).cast("string")).alias("supplier_id"), "l_quantity", year.alias("y"),
+    )
+    matrix = store(items.groupBy("project_id", "y", "expert_id", "supplier_id").agg(F.round(F.avg("l_quantity") * 2, 1).alias("score")), "matrix").df
+    scores = matrix.drop("y")
+    names = matrix.select("project_id", "supplier_id").distinct()
+    suppliers = names.select("*", F.concat(F.lit("Supplier "), "supplier_id").alias("supplier_name"), F.to_json(F.array(F.concat(F.lit("alias-"), "supplier_id"))).alias("aliases_json"))
     best = S._winner(scores.groupBy("project_id", "supplier_id").agg(F.avg("score").alias("a")), "original_winner_supplier_id", "a").drop("a")
-    project = years.join(best, "project_id").select("project_id", F.concat(F.lit("Audit "), "project_id").alias("title"), "original_winner_supplier_id", F.lit(1.0).alias("score_bias_threshold"), F.lit(0.75).alias("ai_min_confidence"))
+    years = store(matrix.select("project_id", "y").distinct().join(best, "project_id"), "years").df
+    project = years.select("project_id", F.concat(F.lit("Audit "), "project_id").alias("title"), "original_winner_supplier_id", F.lit(1.0).alias("score_bias_threshold"), F.lit(0.75).alias("ai_min_confidence"))
     name = F.when(F.col("y") % 2 == 0, F.concat(F.lit("Supplier S"), (F.col("y") % 6).cast("string"))).otherwise(F.concat(F.lit("alias-S"), (F.col("y") % 6).cast("string")))
     expert = F.concat(F.lit("E"), (F.col("y") % 4 + 1).cast("string"))
 
@@ -28,13 +36,24 @@ def inputs(spark, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _metrics(i: dict[str, DataFrame]) -> DataFrame:
-    return S.score_metrics(i["facts"], i["project"], i["suppliers"], i["scores"])
+    return store(S.score_metrics(i["facts"], i["project"], i["suppliers"], i["scores"]), "metrics").df
 
 
 def conflict_facts(spark, sf_dir):
     return inputs(spark, sf_dir)["facts"].withColumn("confidence", F.round("confidence", 6))
 
 
+def matrix_problems(spark, sf_dir):
+    """The matrix with some scores left out, some doubled, and a supplier and an expert that no list has."""
+    i = inputs(spark, sf_dir)
+    experts = i["scores"].select("project_id", "expert_id").distinct()
+    year = F.substring("project_id", 2, 4).cast("int")
+    scores = i["scores"].where(~((year % 2 == 0) & (F.col("expert_id") == "E3") & (F.col("supplier_id") == "S1")))
+    again = i["scores"].where((year % 3 == 0) & (F.col("expert_id") == "E1"))
+    odd = i["project"].where(year % 5 == 0).select("project_id", F.lit("E99").alias("expert_id"), F.lit("S99").alias("supplier_id"), F.lit(101.0).alias("score"))
+    return S.matrix_problems(scores.unionByName(again).unionByName(odd.select(*scores.columns)), experts, i["suppliers"], i["project"])
+
+
 def score_metrics(spark, sf_dir):
     m = _metrics(inputs(spark, sf_dir))
     return m.withColumn("recommendation_confidence", F.round("recommendation_confidence", 6)).withColumn("minutes_confidence", F.round("minutes_confidence", 6))
@@ -68,8 +87,17 @@ _RULES = "\nunion all\n".join(
         (S.AWARD, "project_id", "1", "1", """'["rec-' || project_id || '","min-' || project_id || '"]'""", "changed"),
     )
 )
-QUERIES = {"score_conflict_facts": conflict_facts, "score_metrics": score_metrics, "score_audit_findings": audit_findings, "score_audit_summary": audit_summary}
+QUERIES = {"score_conflict_facts": conflict_facts, "score_matrix_problems": matrix_problems, "score_metrics": score_metrics, "score_audit_findings": audit_findings, "score_audit_summary": audit_summary}
 ORACLES = {
+    "score_matrix_problems": _BASE
+    + """, bad as (select * from scores where not (substr(project_id, 2, 4)::int % 2 = 0 and expert_id = 'E3' and supplier_id = 'S1') union all select * from scores where substr(project_id, 2, 4)::int % 3 = 0 and expert_id = 'E1'
+union all select project_id, 'E99', 'S99', 101.0 from years where substr(project_id, 2, 4)::int % 5 = 0),
+size as (select project_id, count(distinct expert_id) * count(distinct supplier_id) as want from scores group by 1), cell as (select project_id, expert_id, supplier_id, count(*) as n from bad group by all),
+win as (select project_id, supplier_id, row_number() over (partition by project_id order by avg(score) desc, supplier_id) as rn from bad group by 1, 2)
+select project_id, 'incomplete_matrix' as problem from size left join (select project_id, count(*) as n from cell where expert_id <> 'E99' group by 1) using (project_id) where coalesce(n, 0) <> want
+union all select distinct project_id, 'duplicate_score' from cell where n > 1 union all select distinct project_id, 'score_out_of_range' from bad where not score between 0 and 100
+union all select distinct project_id, 'unknown_supplier' from bad where supplier_id = 'S99' union all select distinct project_id, 'unknown_expert' from bad where expert_id = 'E99'
+union all select b.project_id, 'declared_winner_differs' from base b left join win w on w.project_id = b.project_id and w.rn = 1 where b.declared is distinct from w.supplier_id""",
     "score_conflict_facts": _BASE
     + """ select project_id, 'rec-' || project_id as file_id, 'expert_recommendation' as role, 'recommendation_record' as document_type, expert_id, label as supplier_name, true as recommended, true as participated, recused, 'quote' as evidence_quote, round(confidence, 6) as confidence from base
 union all select project_id, 'min-' || project_id, 'committee_minutes', 'committee_minutes', expert_id, label, true, true, recused, 'quote', round(confidence, 6) from base where bound""",

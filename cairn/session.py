@@ -11,6 +11,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts go to Python workers: a batch is bounded by rows and by bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -25,6 +28,13 @@ def build_session(name: str = "cairn", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables below ``sf_dir``, which may be on any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the Parquet tables below ``sf_dir``, which may be on any store that Spark reads.
+
+    ``spread``: for work that takes far longer than a shuffle of the rows. A small table may be a single row group,
+    which one task would read; where a scan has fewer tasks than there are cores, its rows are dealt out. Large tables
+    have more and are read as they lie.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if spread and rows.rdd.getNumPartitions() < cores else rows

@@ -1,17 +1,21 @@
-"""File sources: delimited text as strings, JSON lines, Parquet unions, binary objects, snapshots."""
+"""Sources: delimited text, JSON, Parquet unions, tables in memory, JDBC, binary objects, pinned snapshots."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.operators.validation import nulls_as_empty
+from cairn.storage import _path
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -20,9 +24,69 @@ def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> Data
     return nulls_as_empty(spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"'))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of a known schema; a line that breaks it fails the query."""
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+def read_jsonl(spark: SparkSession, path: str, schema: str, optional: bool = False) -> DataFrame:
+    """JSON lines of a known schema; a line that breaks it fails the query with its file and number.
+
+    Lines are counted from where a split of the file begins: from its first line in files that are read whole, else
+    the message also names the byte. ``optional``: nothing at ``path`` is an empty table.
+    """
+    wanted = T.StructType.fromDDL(schema)
+    if optional and not exists(spark, path):
+        return spark.createDataFrame([], wanted)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, n = None, 0
+        for batch in batches:
+            lines = []
+            for at in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                here, n = (here, n + 1) if at == here else (at, 1)
+                lines.append(n)
+            yield batch.append_column("line", pa.array(lines, pa.int64()))
+
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    rows = rows.mapInArrow(numbered, "file string, start bigint, value string, line bigint").where("trim(value) <> ''")
+    with_error = T.StructType([*wanted.fields, T.StructField("_corrupt", T.StringType())])
+    rows = rows.withColumn("x", F.from_json("value", with_error, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    place = F.concat(F.col("file"), F.when(F.col("start") > 0, F.concat(F.lit(" from byte "), F.col("start").cast("string"))).otherwise(""), F.lit(" line "), F.col("line").cast("string"))
+    checked = F.when(F.col("x._corrupt").isNotNull(), F.raise_error(F.concat(place, F.lit(": not an object of the schema"))).cast(with_error)).otherwise(F.col("x"))
+    return rows.select(checked.alias("x")).select(*(F.col("x")[f.name].alias(f.name) for f in wanted.fields))
+
+
+def read_json_auto(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """JSON with an inferred schema: lines of objects, or (``multiline``) files that hold one object or array each."""
+    return spark.read.json(path, multiLine=multiline)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _path(spark, path)
+    return bool(store.globStatus(at))
+
+
+def from_arrow(spark: SparkSession, table: pa.Table, name: str | None = None) -> DataFrame:
+    """A table in memory as a frame, and as a view of this session where ``name`` is given."""
+    rows = spark.createDataFrame(table)
+    if name:
+        rows.createOrReplaceTempView(name)
+    return rows
+
+
+def create_table_as(spark: SparkSession, name: str, query: str) -> DataFrame:
+    """The result of a query as a table of the catalog, replaced if it is there."""
+    spark.sql(f"drop table if exists {name}")
+    spark.sql(query).write.saveAsTable(name)
+    return spark.table(name)
+
+
+def read_jdbc_snapshot(
+    spark: SparkSession, url: str, table: str, properties: dict[str, str], order: list[str] | None = None, ranges: tuple[str, int, int, int] | None = None
+) -> DataFrame:
+    """A table or query over JDBC; ``ranges`` (column, lowest, highest, parts) reads it in parallel, ``order`` sorts it."""
+    if ranges:
+        column, low, high, parts = ranges
+        rows = spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)
+    else:
+        rows = spark.read.jdbc(url, table, properties=properties)
+    return rows.orderBy(*order) if order else rows
 
 
 def read_json_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -46,19 +110,26 @@ def attach_objects(manifest: DataFrame, objects: DataFrame, key: str = "object_k
     return manifest.join(objects, key, "left").withColumn("file_exists", F.col("length").isNotNull())
 
 
-def nested(column: str) -> Column:
-    """A field of a struct column, so that only it is read."""
-    return F.col(column)
-
-
 class SnapshotError(RuntimeError):
     """A file is not the one that was pinned."""
 
 
-def verify_snapshot(path: str, contract: dict) -> dict:
-    """Size, hash and (for lines) number of records of a local file against its contract; returns what was found."""
-    data = Path(path).read_bytes()
-    found = {"bytes": len(data), "sha256": hashlib.sha256(data).hexdigest(), "lines": data.count(b"\n")}
+def verify_snapshot(path: str, contract: dict, id_column: str | None = None) -> dict:
+    """Size, hash and number of records of a pinned file on the driver's disk against its contract; what was found.
+
+    Records are the rows of a Parquet file, by its footer, or the lines of any other. ``contract["records"]`` may be a
+    number or, with ``id_column``, the list of record ids that a Parquet file must hold. The file is read in pieces.
+    """
+    with open(path, "rb") as file:
+        digest = hashlib.file_digest(file, "sha256").hexdigest()
+    found: dict = {"bytes": Path(path).stat().st_size, "sha256": digest}
+    if path.endswith(".parquet"):
+        found["rows"] = pq.read_metadata(path).num_rows
+        if id_column:
+            found["records"] = sorted(pq.read_table(path, columns=[id_column]).column(0).to_pylist())
+    else:
+        with open(path, "rb") as file:
+            found["lines"] = sum(piece.count(b"\n") for piece in iter(lambda: file.read(1 << 20), b""))
     wrong = [f"{k}: expected {contract[k]}, found {found[k]}" for k in found if k in contract and contract[k] != found[k]]
     if wrong:
         raise SnapshotError(f"{path}: " + "; ".join(wrong))

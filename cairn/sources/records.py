@@ -1,21 +1,25 @@
-"""A data source of raw web records, one partition for each byte range of an archive that a manifest names.
+"""A data source of raw web records: partitions are runs of byte ranges of an archive that a manifest names.
 
-The manifest gives for each record: path, offset, length, and optionally url and sha256. A partition reads exactly its
-range, parses one record (header lines, an empty line, HTTP headers, an empty line, the body) and checks that it is
+The manifest gives for each record: path, offset, length, and optionally url, record_id, digest and sha256. A task reads exactly
+its ranges through one handle, parses each record (header lines, an empty line, HTTP headers, an empty line, the body) and checks that it is
 the record asked for. Ranges of one archive that overlap are an error of the manifest, found before anything is read.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
 from collections.abc import Iterator
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cairn.storage import open_store
+
+#: Bytes and records of one task.
+TASK_BYTES, TASK_RECORDS = 32 << 20, 256
 SCHEMA = "path string, offset bigint, length bigint, url string, record_id string, captured_at string, content_type string, html binary"
 
 
@@ -48,35 +52,67 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return record, fields(http), body
 
 
-class _Spec(InputPartition):
-    def __init__(self, spec: dict):
-        self.spec = spec
+class _Specs(InputPartition):
+    def __init__(self, specs: list[dict]):
+        self.specs = specs
+
+
+def packed(specs: list[dict], most_bytes: int = TASK_BYTES, most_records: int = TASK_RECORDS) -> list[list[dict]]:
+    """Specs of one archive side by side, in tasks of a bounded number of records and bytes."""
+    out: list[list[dict]] = []
+    size = 0
+    for s in sorted(specs, key=lambda s: (s["path"], s["offset"])):
+        fits = out and out[-1][-1]["path"] == s["path"] and len(out[-1]) < most_records and size + s["length"] <= most_bytes
+        if not fits:
+            out.append([])
+            size = 0
+        out[-1].append(s)
+        size += s["length"]
+    return out
+
+
+def payload_digest(http_body: bytes) -> str:
+    """The digest that a record's header states for its payload."""
+    return "sha1:" + base64.b32encode(hashlib.sha1(http_body).digest()).decode()
+
+
+def checked(s: dict, data: bytes) -> tuple:
+    """The row of one record, once it is the one that its spec asks for."""
+    at = f"the record at {s['offset']} of {s['path']}"
+    if len(data) != s["length"]:
+        raise RecordError(f"{s['path']} has no {s['length']} bytes at {s['offset']}")
+    if s.get("sha256") and hashlib.sha256(data).hexdigest() != s["sha256"]:
+        raise RecordError(f"{at} has another hash")
+    record, http, body = parse_record(data)
+    url, record_id = record.get("warc-target-uri", ""), record.get("warc-record-id", "")
+    if s.get("url") and url != s["url"]:
+        raise RecordError(f"{at} is of {url}, not {s['url']}")
+    if s.get("record_id") and record_id != s["record_id"]:
+        raise RecordError(f"{at} is {record_id}, not {s['record_id']}")
+    stated = record.get("warc-payload-digest")
+    if (stated and stated != payload_digest(body)) or (s.get("digest") and s["digest"] != payload_digest(body)):
+        raise RecordError(f"{at} has another payload digest")
+    kind = http.get("content-type", "")
+    if "html" not in kind.lower():
+        raise RecordError(f"{url} is {kind or 'of no type'}, not html")
+    return s["path"], s["offset"], s["length"], url, record_id, record.get("warc-date", ""), kind, body
 
 
 class RecordReader(DataSourceReader):
     def __init__(self, specs: list[dict]):
         self.specs = validate_specs(specs)
 
-    def partitions(self) -> list[_Spec]:
-        return [_Spec(s) for s in self.specs]
+    def partitions(self) -> list[_Specs]:
+        return [_Specs(part) for part in packed(self.specs)]
 
-    def read(self, partition: _Spec) -> Iterator[tuple]:
-        s = partition.spec
-        store, path = fs.FileSystem.from_uri(s["path"])
+    def read(self, partition: _Specs) -> Iterator[tuple]:
+        """The records of one archive through one handle, each by its own range."""
+        if partition is None or not getattr(partition, "specs", None):
+            return
+        store, path = open_store(partition.specs[0]["path"])
         with store.open_input_file(path) as file:
-            data = file.read_at(s["length"], s["offset"])
-        if len(data) != s["length"]:
-            raise RecordError(f"{s['path']} has no {s['length']} bytes at {s['offset']}")
-        if s.get("sha256") and hashlib.sha256(data).hexdigest() != s["sha256"]:
-            raise RecordError(f"the record at {s['offset']} of {s['path']} has another hash")
-        record, http, body = parse_record(data)
-        url = record.get("warc-target-uri", "")
-        if s.get("url") and url != s["url"]:
-            raise RecordError(f"the record at {s['offset']} of {s['path']} is of {url}, not {s['url']}")
-        kind = http.get("content-type", "")
-        if "html" not in kind.lower():
-            raise RecordError(f"{url} is {kind or 'of no type'}, not html")
-        yield s["path"], s["offset"], s["length"], url, record.get("warc-record-id", ""), record.get("warc-date", ""), kind, body
+            for s in partition.specs:
+                yield checked(s, file.read_at(s["length"], s["offset"]))
 
 
 class RecordSource(DataSource):

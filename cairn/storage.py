@@ -1,7 +1,7 @@
 """Tables written to the folder that all executors share, and size-checked broadcasts.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: a lost executor loses nothing, since a later
-read goes to the shared store. Nothing here uses a machine-local folder unless ``spark.checkpoint.dir`` is unset.
+read goes to the shared store. A machine-local folder is used in local mode alone.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from functools import cached_property
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,16 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where ``spark.checkpoint.dir`` is unset, as in tests."""
+    """The cluster's shared folder, of ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder in local mode, as in tests; on a cluster an error, since each executor
+    would write to its own disk and rows would be missing without a word.
+    """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         folder = tempfile.mkdtemp(prefix="cairn-")
@@ -44,14 +51,31 @@ def _path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Schemes of Spark's file systems and the names that pyarrow gives the same stores; fixed values.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "hdfs": "hdfs", "viewfs": "viewfs"}
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system and path of a folder or object that Spark names by ``uri``, for reads and writes in tasks.
+
+    A Databricks path is its mount below /dbfs; a path without a scheme is local.
+    """
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "dbfs" and colon:
+        return fs.LocalFileSystem(), "/dbfs/" + rest.lstrip("/")
+    if colon and "/" not in scheme:
+        return fs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}:{rest}")
+    return fs.LocalFileSystem(), uri
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
-    at, fs = _path(spark, path)
-    return fs.getContentSummary(at).getLength()
+    at, store = _path(spark, path)
+    return store.getContentSummary(at).getLength()
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    at, fs = _path(spark, path)
-    fs.delete(at, True)
+    at, store = _path(spark, path)
+    store.delete(at, True)
 
 
 class Stored:

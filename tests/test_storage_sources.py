@@ -25,7 +25,7 @@ def test_csv_strings_and_round_trip(spark, tmp_path):
 
 def test_jsonl_and_parquet(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\nbroken\n')
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="line 2"):
         files.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int").collect()
     assert files.read_json_lenient(spark, str(tmp_path / "a.jsonl"), "a int").cache().where("_corrupt is not null").count() == 1
     target = f"file://{tmp_path}/table"
@@ -102,3 +102,105 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_jsonl_errors_tell_file_and_line(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": 2}\nbroken\n')
+    with pytest.raises(Exception, match=r"a\.jsonl line 4"):
+        files.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int").collect()
+    (tmp_path / "b.jsonl").write_text('{"a": 1, "b": "x"}\n{"a": null}\n')
+    assert [tuple(r) for r in files.read_jsonl(spark, str(tmp_path / "b.jsonl"), "a int, b string").collect()] == [(1, "x"), (None, None)]
+    assert files.read_jsonl(spark, str(tmp_path / "none.jsonl"), "a int", optional=True).count() == 0
+    with pytest.raises(Exception):
+        files.read_jsonl(spark, str(tmp_path / "none.jsonl"), "a int").collect()
+    (tmp_path / "c.json").write_text('[{"k": {"x": 1}},\n {"k": {"x": 2}}]')
+    assert sorted(r.x for r in files.read_json_auto(spark, str(tmp_path / "c.json"), multiline=True).select("k.x").collect()) == [1, 2]
+
+
+def test_tables_in_memory_and_of_queries(spark):
+    import pyarrow as pa
+
+    files.from_arrow(spark, pa.table({"k": [1, 2], "v": ["a", None]}), "in_memory")
+    for _ in range(2):
+        assert files.create_table_as(spark, "kept", "select k + 1 as k from in_memory where v is not null").first().k == 2
+    spark.sql("drop table kept")
+
+
+def test_jdbc_snapshot_is_replaced_whole(spark):
+    url, properties = "jdbc:derby:memory:cairn;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(1, "a"), (2, "b")], "ID int, NOTE string").write.jdbc(url, "SNAP", properties=properties)
+    sinks.write_jdbc_snapshot(spark.createDataFrame([(i, f"n{i}") for i in range(5, 0, -1)], "ID int, NOTE string"), url, "SNAP", properties)
+    rows = files.read_jdbc_snapshot(spark, url, "SNAP", properties, order=["ID"], ranges=("ID", 1, 5, 2)).collect()
+    assert [tuple(r) for r in rows] == [(i, f"n{i}") for i in range(1, 6)]
+    with pytest.raises(Exception):
+        sinks.write_jdbc_snapshot(spark.createDataFrame([(9, "x", 1)], "ID int, NOTE string, MORE int"), url, "SNAP", properties)
+    assert files.read_jdbc_snapshot(spark, url, "SNAP", properties).count() == 5
+    with pytest.raises(ValueError):
+        sinks.write_jdbc_snapshot(spark.range(1), url, "SNAP; drop", properties)
+
+
+def test_sorted_keys_and_atomic_formats(spark, tmp_path):
+    rows = spark.sql("select 1 as id, named_struct('b', 1, 'a', array(named_struct('z', 1, 'y', cast(null as int)))) as s, map('k2', 1, 'k1', 2) as m")
+    flat = sinks.flat(rows).first()
+    assert (flat.s, flat.m) == ('{"a":[{"y":null,"z":1}],"b":1}', '{"k1":2,"k2":1}')
+    target = f"file://{tmp_path}/lines"
+    sinks.write_jsonl_atomic(rows, target)
+    with pytest.raises(Exception):
+        sinks.write_jsonl_atomic(rows.select(F.raise_error(F.lit("x"))), target)
+    assert spark.read.json(target).count() == 1
+    both = f"file://{tmp_path}/both"
+    sinks.write_dual(spark.range(4), both)
+    with pytest.raises(Exception):
+        sinks.write_dual(spark.range(2).select(F.raise_error(F.lit("x")).alias("id")), both)
+    sinks.write_dual(spark.range(3), both)
+    assert spark.read.parquet(f"{both}/parquet").count() == spark.read.json(f"{both}/jsonl").count() == 3
+    sinks.write_ordered(spark.range(1000).orderBy(F.rand(1)), f"file://{tmp_path}/ordered", F.col("id").desc())
+    assert [r.id for r in spark.read.parquet(f"file://{tmp_path}/ordered").collect()][:1] == [999]
+
+
+def test_batches_replace_each_other(spark, tmp_path):
+    folder = f"file://{tmp_path}/batches"
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "key string, n int")
+    assert sinks.publish_batch(rows, folder, "key", "first")["objects"] == 2
+    assert sinks.publish_batch(rows.limit(1), folder, "key", "second")["batch"] == "second"
+    assert json.loads((tmp_path / "batches/_summary.json").read_text())["objects"] == 1
+    assert sorted(p.name for p in (tmp_path / "batches").iterdir() if p.is_dir()) == ["second"]
+
+
+def test_record_tasks_and_identity(spark, tmp_path):
+    specs = [{"path": f"file:///a{i % 2}", "offset": i * 10, "length": 10} for i in range(9)]
+    tasks = records.packed(specs, most_bytes=30, most_records=2)
+    assert sorted(s["offset"] for t in tasks for s in t) == [i * 10 for i in range(9)]
+    assert all(len(t) <= 2 and len({s["path"] for s in t}) == 1 for t in tasks) and len(records.packed(specs)) == 2
+    data = record("http://h/1", b"<p>1</p>")
+    (tmp_path / "r.gz").write_bytes(data)
+    spec = {"path": f"{tmp_path}/r.gz", "offset": 0, "length": len(data)}
+    good = spec | {"record_id": "<r>", "digest": records.payload_digest(b"<p>1</p>")}
+    assert records.read_records(spark, [good]).count() == 1
+    for odd in ({"record_id": "<other>"}, {"digest": "sha1:other"}, {"sha256": "0"}):
+        with pytest.raises(Exception, match="record at 0"):
+            records.read_records(spark, [spec | odd]).collect()
+
+
+def test_stores_by_scheme():
+    from pyarrow import fs
+
+    from cairn.storage import open_store
+
+    assert open_store("dbfs:/tmp/x")[1] == "/dbfs/tmp/x" and open_store("/tmp/x")[1] == "/tmp/x" and open_store("file:///tmp/x")[1] == "/tmp/x"
+    store, path = open_store("s3a://bucket/key?region=us-east-1")
+    assert isinstance(store, fs.S3FileSystem) and path == "bucket/key"
+
+
+def test_contracts(spark):
+    parent = spark.createDataFrame([("p1",)], "pid string")
+    rows = spark.createDataFrame([(1, "open", 5.0, "p1"), (1, "odd", 50.0, "p9"), (2, None, None, None)], "k int, state string, score double, pid string")
+    rules = {"state": V.Rule(required=True, one_of=("open", "closed")), "score": V.Rule(between=(0, 10)), "pid": V.Rule(pattern=r"^p\d$", refers_to=(parent, "pid"))}
+    found = V.mart_contract("mart", rows, rows.schema, rules, ("k",))
+    assert found.facts == {"mart.state_missing": 1, "mart.state_unknown": 1, "mart.score_out_of_range": 1, "mart.pid_malformed": 0, "mart.orphan_pid": 1, "mart.duplicate_key": 1}
+    assert V.mart_contract("mart", rows, StructType.fromDDL("k int"), rules).errors == ["mart: unknown column state", "mart: unknown column score", "mart: unknown column pid"]
+    counts = V.row_counts({"raw": spark.range(5), "kept": spark.range(3), "gone": spark.range(1)})
+    rule = ("raw = kept + gone", lambda n: n["raw"] == n["kept"] + n["gone"])
+    assert V.invariants(counts, rule) == [f"raw = kept + gone: {counts}"] and V.invariants(counts | {"gone": 2}, rule) == []
+    summary = spark.sql("select 18L as pairs, cast(0.9348 as decimal(10,4)) as ratio")
+    assert V.expected_results(summary, {"pairs": 18, "ratio": 0.9348}) == [] and V.expected_results(summary, {"pairs": 17, "none": 1}) == ["pairs: expected 17, found 18", "none: expected 1, found None"]

@@ -37,7 +37,7 @@ def test_golden_corpus(spark, hash):
     assert len(scored) == 18 and sum(r.shingle_jaccard == 1 for r in scored) == 6
     clusters = D.clusters(prints)
     assert sorted(r["count"] for r in clusters.groupBy("cluster_id").count().collect()) == [1] * 6 + [3] * 6
-    chosen = D.representatives(clusters, [F.col("doc_id")])
+    chosen = D.representatives(clusters, F.col("doc_id"))
     assert chosen.count() == 12
     summary = D.candidate_summary(prints, pairs).first()
     assert summary.possible_pair_rows == 276
