@@ -4,19 +4,22 @@ Documents are the leaves of a domain-language-source tree. A budget of tokens go
 node's share is split among its children by their weights, none above what its documents can give in the allowed
 passes; what a child cannot take goes to its siblings in proportion to their weights, and only what no sibling can
 take is left for the nodes above, whose own split saw the whole subtree's capacity. Then each leaf takes a prefix of
-its seeded epochs: in epoch e its documents are ordered by the hash of seed, epoch and doc_id, an epoch begins when
+its seeded epochs: in epoch e its documents are ordered by the hash of seed, epoch, doc_id and text, an epoch begins when
 the one before is used up, and documents are taken while their tokens end within the budget.
 
 Only DataFrame and SQL functions are used. A leaf's running sum is never computed in one task: ranges of hashes are
 summed by partial aggregation, the one in which a leaf's budget ends is found digit by digit from sixteen sums at a
-time, and rows are only ordered within that range, some RANGE_ROWS of them. What is joined to the documents has one
-row a leaf.
+time, each time among the rows of the range found before, and rows are only ordered within the last range, some
+RANGE_ROWS of them. Rows that are equal in all that matters here are one row with a count, so copies do not pile up
+in one range. What is joined to the documents has one row a leaf. The children of one node are filled by windows over
+one task each: a node may have millions of children, not more (README has figures).
 
 Tokens are words between ASCII white space. Defined cases: documents without any word have no tokens and are taken
 where the prefix reaches them; null domain, lang or source is a node named ``(none)``; a null text has no words;
-weights not given are 1, and a weight of nought leaves a node out; rows that share a doc_id come in the order of
-their texts' hashes; rows without a doc_id come as if it were empty; an empty table gives an empty result; other
-columns are ignored by ``mix`` and kept by ``kept_once``.
+weights not given are 1, and a weight of nought leaves a node out; rows that share a doc_id have places of their own
+by their texts; of equal rows as many are taken as fit; rows without a doc_id come as if it were empty; very long texts
+are only counted and hashed; an empty table gives an empty result; other columns are ignored by ``mix`` and kept by
+``kept_once``, which keeps all of equal rows or none.
 """
 
 from __future__ import annotations
@@ -80,33 +83,51 @@ def budgets(capacity: DataFrame, total: int, weights: dict[str, dict[str, int]],
     return at
 
 
+#: Equal rows that are listed at once.
+COPIES = 1 << 16
+
+
 def with_tree(docs: DataFrame, domain: Column | None = None) -> DataFrame:
-    """doc_id, the levels, tokens, and a hash of the text that orders rows of one doc_id."""
+    """doc_id, the levels, tokens, a hash of the text, and ``n``: how many rows are equal in these."""
     name = lambda c: F.coalesce(c, F.lit("(none)"))
     domain = domain_of(F.col("source")) if domain is None else domain
     tokens = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint")
-    return docs.select("doc_id", name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), tokens.alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
+    rows = docs.select(
+        "doc_id", name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"),
+        tokens.alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"),
+    )
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Each row ``n`` times, without ``n``; runs of COPIES, so that no list is long."""
+    runs = rows.where("n > 0").withColumn("run", F.explode(F.expr(f"sequence(0, (n - 1) div {COPIES})")))
+    return runs.withColumn("copy", F.explode(F.expr(f"sequence(1, least({COPIES}, n - run * {COPIES}))"))).drop("n", "run", "copy")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, domain: Column | None = None
+) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, tie, epoch, budget): a row for each time that a document is taken."""
     leaf = list(LEVELS)
     tree = store(with_tree(docs, domain), "tree")
     rows = tree.df.count()
     levels = max(1, math.ceil(math.log(max(1, rows) / RANGE_ROWS, 16)))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tie"))
     passes = tree.df.select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn("rank", key)
-    capacity = store(tree.df.groupBy(*leaf).agg((F.sum("tokens") * epochs).cast("bigint").alias("cap")), "capacity")
+    capacity = store(tree.df.groupBy(*leaf).agg((F.sum(F.col("tokens") * F.col("n")) * epochs).cast("bigint").alias("cap")), "capacity")
     single = (capacity.df.agg(F.sum("cap")).first()[0] or 0) // epochs
     chosen = store(budgets(capacity.df, single * percent // 100, weights), "leaf-budgets")
     ends = _ends(passes, chosen, leaf, levels)
     taken = passes.join(_small(ends), leaf)
     at, head = F.col("end.epoch"), F.substring("rank", 1, levels)
-    keep = ["doc_id", *leaf, "tokens", "tie", "epoch", "budget"]
+    keep = ["doc_id", *leaf, "tokens", "tie", "epoch", "budget", "n"]
     inside = taken.where(F.col("end").isNull() | (F.col("epoch") < at) | ((F.col("epoch") == at) & (head < F.col("end.range")))).select(*keep)
     order = Window.partitionBy(*leaf).orderBy("rank", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, -1)
-    last = taken.where((F.col("epoch") == at) & (head == F.col("end.range"))).withColumn("place", F.col("end.before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    return inside.unionByName(last.where("place + tokens <= budget").select(*keep))
+    last = taken.where((F.col("epoch") == at) & (head == F.col("end.range")))
+    last = last.withColumn("left", F.col("budget") - F.col("end.before") - F.coalesce(F.sum(F.col("tokens") * F.col("n")).over(order), F.lit(0)))
+    fits = F.when(F.col("left") < 0, 0).when(F.col("tokens") == 0, F.col("n")).otherwise(F.least("n", F.expr("left div greatest(tokens, 1)")))
+    return _listed(inside.unionByName(last.withColumn("n", fits.cast("bigint")).select(*keep)))
 
 
 def _small(leaves: Stored) -> DataFrame:
@@ -118,18 +139,30 @@ def _ends(passes: DataFrame, chosen: Stored, leaf: list[str], levels: int) -> St
     """(leaf, budget, end struct<epoch, range, before>): the epoch and range of hashes in which each leaf's budget ends.
 
     The range is found digit by digit: each level sums the sixteen parts of the range found so far, and only these
-    sums, sixteen a leaf (and epoch, at first), are accumulated. ``end`` is null where everything fits.
+    sums, sixteen a leaf (and epoch, at first), are accumulated. The second level keeps the rows of its ranges, a
+    sixteenth or less, for the next, and so on. ``end`` is null where everything fits.
     """
-    ends = store(chosen.df.select(*leaf, "budget", F.lit(None).cast("struct<epoch:int,range:string,before:bigint>").alias("end")), "ends")
+    empty = F.lit(None).cast("struct<epoch:int,range:string,before:bigint>").alias("end")
+    ends = store(chosen.df.select(*leaf, "budget", empty), "ends")
     along = Window.partitionBy(*leaf).orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
+    rows, kept = passes.select(*leaf, "epoch", "rank", (F.col("tokens") * F.col("n")).alias("tokens")), None
     for level in range(1, levels + 1):
-        part = passes.join(_small(ends), leaf)
+        part = rows.join(_small(ends), leaf)
         if level > 1:
             part = part.where((F.col("epoch") == F.col("end.epoch")) & (F.substring("rank", 1, level - 1) == F.col("end.range")))
-        sums = store(part.groupBy(*leaf, "epoch", F.substring("rank", 1, level).alias("range")).agg(F.sum("tokens").cast("bigint").alias("n"), F.first("budget").alias("budget"), F.first("end.before").alias("base")), "ranges")
+            if level < levels:
+                before, kept = kept, store(part.select(*rows.columns), "within")
+                rows, part = kept.df, kept.df.join(_small(ends), leaf)
+                if before is not None:
+                    before.remove()
+        range_ = F.substring("rank", 1, level).alias("range")
+        sums = part.groupBy(*leaf, "epoch", range_).agg(F.sum("tokens").cast("bigint").alias("n"), F.first("budget").alias("budget"), F.first("end.before").alias("base"))
+        sums = store(sums, "ranges")
         places = sums.df.withColumn("before", F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("n").over(along), F.lit(0)))
         end = places.where("before + n > budget").groupBy(*leaf).agg(F.min(F.struct("epoch", "range", "before")).alias("end"))
         ends = store(chosen.df.select(*leaf, "budget").join(end, leaf, "left"), "ends")
+    if kept is not None:
+        kept.remove()
     return ends
 
 
@@ -169,7 +202,7 @@ b{i + 1} as (select {", ".join(keys)}, (case when is_full then cap else greatest
     return (
         sql
         + f""",
-passes as (select *, md5(concat_ws('|', '{SEED}', epoch, coalesce(doc_id::varchar, ''))) as rank from tree, range({EPOCHS}) as e(epoch)),
+passes as (select *, md5(concat_ws('|', '{SEED}', epoch, coalesce(doc_id::varchar, ''), tie)) as rank from tree, range({EPOCHS}) as e(epoch)),
 placed as (select *, coalesce(sum(tokens) over (partition by domain, lang, source order by epoch, rank, doc_id nulls first, tie rows between unbounded preceding and 1 preceding), 0) as place from passes)
 select doc_id, domain, lang, source, tokens, epoch::int as epoch, budget from placed join b3 using (domain, lang, source) where place + tokens <= budget"""
     )

@@ -1,7 +1,9 @@
 """The two native operators against their SQL, and their defined cases."""
 
+import hashlib
 import os
 import random
+import re
 
 import pytest
 from oracle import same_rows
@@ -52,22 +54,42 @@ def test_budgets_fill_siblings_before_ancestors(spark):
         assert got == want
 
 
+def plain_mix(rows, budgets, epochs, seed):
+    """Documents taken leaf by leaf and epoch by epoch in the order of their hashes, one row at a time."""
+    taken, spent = [], {}
+    for epoch in range(epochs):
+        order = []
+        for doc_id, text, lang, source, *_ in rows:
+            number = int((re.search(r"([0-9]{1,9})$", source or "") or [0, 0])[1])
+            leaf = (("web", "books", "code", "forum")[number % 4], lang or "(none)", source or "(none)")
+            tie = hashlib.md5((text or "").encode()).hexdigest()
+            rank = hashlib.md5("|".join([str(seed), str(epoch), "" if doc_id is None else str(doc_id), tie]).encode()).hexdigest()
+            order.append((rank, doc_id is not None, doc_id or 0, tie, leaf, len((text or "").split()), doc_id))
+        for *_, tie, leaf, tokens, doc_id in sorted(order):
+            at = spent.get(leaf, 0)
+            if at + tokens <= budgets.get(leaf, -1):
+                taken.append((doc_id, *leaf, tokens, tie, epoch))
+            spent[leaf] = at + tokens
+    return sorted(taken, key=repr)
+
+
 @pytest.mark.parametrize("rows_a_range", [4096, 1])
 def test_prefix_of_epochs(spark, monkeypatch, rows_a_range):
+    """Ties, rows without an id, equal rows, a very long text and a hot source, against one row at a time."""
     monkeypatch.setattr(mixing, "RANGE_ROWS", rows_a_range)
-    rows = [(i, "w " * (i % 7), "en", f"src{i % 3}", 0) for i in range(200)] + [(5, "tie tie", "en", "src2", 1), (None, None, None, None, 2), (None, "a b", None, "odd", 3)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, tokens int")
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    rows = [(i, "w " * (i % 7), "en", f"src{i % 3}", 0) for i in range(200)] + [(5, "tie tie", "en", "src2", 1), (None, None, None, None, 2), (None, "a b", None, "odd", 3), (900, "long " * 5000, "en", "src1", 4)]
+    rows += [(7, "equal rows here", "en", "src1", k) for k in range(10)] + [(None, "no id", "de", "src4", k) for k in range(40)] + [(None, f"no id {k}", "de", "src4", k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n int")
     for percent, epochs in ((50, 1), (80, 2), (250, 3), (0, 1)):
         got = mixing.mix(docs, percent=percent, epochs=epochs).collect()
-        spent = {}
-        for r in got:
-            spent[r.domain, r.lang, r.source] = spent.get((r.domain, r.lang, r.source), 0) + r.tokens
-            assert r.tokens == len((next(t for d, t, *_ in rows if d == r.doc_id and mixing.__name__)  or "").split()) or r.doc_id in (5, None)
-        for r in got:
-            assert spent[r.domain, r.lang, r.source] <= r.budget
-        assert len(got) == len({(r.doc_id, r.tie, r.epoch) for r in got})
-    everything = mixing.mix(docs, percent=300, epochs=3).count()
-    assert everything == 3 * len(rows)
+        tree = {}
+        for r in mixing.with_tree(docs).collect():
+            tree[r.domain, r.lang, r.source] = tree.get((r.domain, r.lang, r.source), 0) + r.tokens * r.n * epochs
+        cap = spark.createDataFrame([(*k, v) for k, v in tree.items()], "domain string, lang string, source string, cap bigint")
+        budgets = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(cap, sum(tree.values()) // epochs * percent // 100, mixing.WEIGHTS).collect()}
+        assert sorted(((r.doc_id, r.domain, r.lang, r.source, r.tokens, r.tie, r.epoch) for r in got), key=repr) == plain_mix(rows, budgets, epochs, mixing.SEED)
+    assert mixing.mix(docs, percent=300, epochs=3).count() == 3 * len(rows)
     assert mixing.mix(docs.limit(0)).count() == 0
     kept = mixing.kept_once(docs, percent=60)
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
@@ -87,3 +109,10 @@ def test_preference_cases(spark):
     assert (got[2].chosen_id, got[2].rejected_id, got[2].prompt, got[2].chosen, got[2].rejected) == (4, None, "", "<||>\nlone<|end|>\n", "")
     assert got[3].chosen_mask == "14-23,37-46"
     assert preference.formatted(frame.limit(0), F.expr("conv_id div 2"), F.expr("conv_id % 2 = 0")).count() == 0
+
+
+def test_preference_of_very_long_turns(spark):
+    long = "wörd " * 200_000
+    frame = spark.createDataFrame([(0, 0, "user", long), (1, 0, "user", long), (0, 1, "assistant", long), (1, 1, "assistant", long + "!")], "conv_id bigint, turn bigint, role string, text string")
+    (row,) = preference.formatted(frame, F.expr("conv_id div 2"), F.expr("conv_id % 2 = 0")).collect()
+    assert row.prompt_turns == 1 and long in row.prompt and long in row.chosen and row.rejected.endswith("!<|end|>\n")
