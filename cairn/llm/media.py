@@ -1,15 +1,17 @@
 """Media columns: payloads stored as images in archives, and read back by a data source of its own.
 
 A payload is stored as a greyscale PNG of 8-bit samples, WIDTH a line, without loss. Writers put the images of a task
-into archives (ZIP, members stored as they are) in the shared folder, through temporary names; only archives of tasks
-that ended well are named in the folder's manifest, so attempts that were lost or repeated leave no rows behind.
-
-The data source plans partitions from the manifest alone: byte ranges of about RANGE_BYTES of each archive. A task
-reads its archive's directory, takes the members whose header begins in its range, and streams payload batches
-through Arrow. A member is fetched by its offset, on its own: a failed read or checksum is tried again with a fresh
-handle, and what stays broken becomes a row with an error instead of failing the other members. Archives are bounded
-(ARCHIVE_BYTES), and so are the directories that a task reads. Paths are opened through pyarrow's file systems, so
-the folder may be on any store that they know.
+into archives (ZIP, members stored as they are) in the shared folder, through temporary names. The folder's manifest is
+a Parquet table that the same job writes: Spark commits only the rows of tasks that ended well, so attempts that were
+lost or repeated name no archive, and ``remove_orphans`` deletes what they left.
+
+The data source plans partitions from the manifest alone: byte ranges of archives, as many of them as make about
+RANGE_BYTES, so neither the archives' number nor their sizes decide how many tasks there are. A task reads an
+archive's directory, takes the members whose header begins in its range, and streams payload batches through Arrow. A
+member is fetched by its offset, on its own, through the range's handle: a failed read or checksum is tried again with
+a fresh one, and what stays broken becomes a row with an error instead of failing the other members. Archives are
+bounded (ARCHIVE_BYTES and one member), and so are the directories that a task reads. Paths are opened through
+``storage.open_store``, so the folder may be on any store that pyarrow knows.
 
 Defined cases: a null text is an empty one; the payload of an empty text is one block of fill bytes; rows stay as
 they are, repeated or null ids too; other columns are ignored; an empty table writes no archive and reads no rows.
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import json
 import struct
 import uuid
 import zipfile
@@ -28,20 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cairn.llm.common import bounded, slices, utf8
 from cairn.session import table
-from cairn.storage import scratch
+from cairn.storage import open_store, scratch
 
 #: A payload is a positive multiple of BLOCK bytes, filled up with FILL; an image has WIDTH samples a line.
 BLOCK, FILL, WIDTH = 576, 255, 24
-#: Bytes of an archive and of a partition's range, and of a batch of payloads.
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 64 << 20, 8 << 20, 4 << 20
+#: Bytes of an archive, of a partition's ranges, and of a batch of payloads.
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 16 << 20, 4 << 20
 TRIES = 3
-MANIFEST = "manifest.json"
+MANIFEST = "manifest.parquet"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -102,15 +105,11 @@ def feature(samples: np.ndarray) -> str:
 # --- archives ----------------------------------------------------------------------------------------------------
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
-
-
 class _Archives:
     """Writes members into archives of bounded size; names them only once they are whole."""
 
     def __init__(self, folder: str):
-        self.store, self.root = _open(folder)
+        self.store, self.root = open_store(folder)
         self.done: list[tuple[str, int, int]] = []
         self.n, self.buffer, self.zip = 0, None, None
 
@@ -120,7 +119,7 @@ class _Archives:
             self.zip = zipfile.ZipFile(self.buffer, "w", zipfile.ZIP_STORED)
         self.zip.writestr(zipfile.ZipInfo(name), data)
         self.n += 1
-        if self.buffer.tell() >= ARCHIVE_BYTES // 4:
+        if self.buffer.tell() >= ARCHIVE_BYTES:
             self.close()
 
     def close(self) -> None:
@@ -150,67 +149,105 @@ def write_archives(docs: DataFrame, folder: str) -> int:
         names, sizes, members = zip(*archives.done, strict=True) if archives.done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.int64())], ["name", "bytes", "members"])
 
-    store, root = _open(folder)
+    store, root = open_store(folder)
     store.create_dir(root, recursive=True)
-    done = bounded(docs.select("doc_id", "text")).mapInArrow(run, "name string, bytes bigint, members bigint").collect()  # a row for 16 MB
-    with store.open_output_stream(f"{root}/{MANIFEST}") as out:
-        out.write(json.dumps([[r.name, r.bytes] for r in done]).encode())
-    return sum(r.members for r in done)
+    rows = bounded(docs.select("doc_id", "text")).mapInArrow(run, "name string, bytes bigint, members bigint")
+    rows.write.parquet(f"{folder}/{MANIFEST}")
+    return docs.sparkSession.read.parquet(f"{folder}/{MANIFEST}").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+
+
+def named_archives(folder: str) -> pa.Table:
+    """The manifest: name and bytes of each archive, by name."""
+    store, root = open_store(folder)
+    return ds.dataset(f"{root}/{MANIFEST}", filesystem=store, format="parquet").to_table(columns=["name", "bytes"]).sort_by("name")
+
 
+def remove_orphans(folder: str) -> int:
+    """Deletes archives that the manifest does not name, once no writer is at work; returns how many there were."""
+    store, root = open_store(folder)
+    known = set(named_archives(folder).column("name").to_pylist())
+    found = [f for f in store.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name.endswith(".zip") and f.base_name not in known]
+    for f in found:
+        store.delete_file(f.path)
+    return len(found)
 
-class _Range(InputPartition):
-    def __init__(self, name: str, start: int, end: int):
-        self.name, self.start, self.end = name, start, end
+
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
+
+
+def planned(names: list[str], sizes: list[int], range_bytes: int) -> list[list[tuple[str, int, int]]]:
+    """Byte ranges (name, start, end) of archives: large archives are cut, small ones share a partition."""
+    out: list[list[tuple[str, int, int]]] = []
+    left = 0
+    for name, size in zip(names, sizes, strict=True):
+        at = 0
+        while at < size:
+            if left <= 0:
+                out.append([])
+                left = range_bytes
+            end = min(size, at + left)
+            out[-1].append((name, at, end))
+            left -= end - at
+            at = end
+    return out
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, folder: str, range_bytes: int):
         self.folder, self.range_bytes = folder, range_bytes
 
-    def partitions(self) -> list[_Range]:
-        store, root = _open(self.folder)
-        with store.open_input_file(f"{root}/{MANIFEST}") as file:
-            archives = json.loads(file.read())
-        return [_Range(name, a, min(a + self.range_bytes, size)) for name, size in archives for a in range(0, size, self.range_bytes)]
+    def partitions(self) -> list[_Ranges]:
+        known = named_archives(self.folder)
+        return [_Ranges(r) for r in planned(known.column("name").to_pylist(), known.column("bytes").to_pylist(), self.range_bytes)]
 
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if partition is None or not hasattr(partition, "name"):
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        if partition is None or not getattr(partition, "ranges", None):
             return
-        with self._handle(partition) as file, zipfile.ZipFile(file) as directory:
-            members = [m for m in directory.infolist() if partition.start <= m.header_offset < partition.end]
         rows, size = [], 0
-        for m in members:
-            data, error = self._member(partition, m)
-            rows.append((m.filename, partition.name, m.header_offset, data, error))
-            size += len(data or b"")
-            if size >= BATCH_BYTES:
-                yield self._batch(rows)
-                rows, size = [], 0
+        for name, start, end in partition.ranges:
+            with self._handle(name) as file:
+                with zipfile.ZipFile(file) as directory:
+                    members = [m for m in directory.infolist() if start <= m.header_offset < end]
+                for m in members:
+                    data, error = self._member(file, name, m)
+                    rows.append((m.filename, name, m.header_offset, data, error))
+                    size += len(data or b"")
+                    if size >= BATCH_BYTES:
+                        yield self._batch(rows)
+                        rows, size = [], 0
         if rows:
             yield self._batch(rows)
 
-    def _handle(self, partition: _Range):
-        store, root = _open(self.folder)
-        return store.open_input_file(f"{root}/{partition.name}")
+    def _handle(self, name: str) -> pa.NativeFile:
+        store, root = open_store(self.folder)
+        return store.open_input_file(f"{root}/{name}")
 
-    def _member(self, partition: _Range, m: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
-        """One member by its offset, tried on its own."""
+    def _member(self, file: pa.NativeFile, name: str, m: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        """One member by its offset: through the open handle, and if that fails through fresh ones."""
         error = None
-        for _ in range(TRIES):
+        for attempt in range(TRIES):
             try:
-                with self._handle(partition) as file:
-                    head = file.read_at(30, m.header_offset)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member at this offset")
-                    skip = sum(struct.unpack("<HH", head[26:30]))
-                    data = file.read_at(m.compress_size, m.header_offset + 30 + skip)
-                if len(data) != m.compress_size or zlib.crc32(data) != m.CRC:
-                    raise ValueError("checksum of the member differs")
-                return data, None
+                if not attempt:
+                    return self._fetched(file, m), None
+                with self._handle(name) as fresh:
+                    return self._fetched(fresh, m), None
             except (OSError, ValueError, struct.error) as e:
                 error = str(e)[:200]
         return None, error
 
+    @staticmethod
+    def _fetched(file: pa.NativeFile, m: zipfile.ZipInfo) -> bytes:
+        head = file.read_at(30, m.header_offset)
+        if head[:4] != b"PK\x03\x04":
+            raise ValueError("no member at this offset")
+        skip = sum(struct.unpack("<HH", head[26:30]))
+        data = file.read_at(m.compress_size, m.header_offset + 30 + skip)
+        if len(data) != m.compress_size or zlib.crc32(data) != m.CRC:
+            raise ValueError("checksum of the member differs")
+        return data
+
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         member, archive, offset, data, error = zip(*rows, strict=True)
