@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Texts are handed to the kernels in groups of about so many bytes, so that memory does not follow the batch size.
 GROUP_BYTES = 2 << 20
-#: Rows of texts that Spark sends to a Python worker at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of texts that Spark sends to a Python worker at once; a single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -28,15 +28,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = GROUP_B
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """``docs``, to be sent to Python in batches of BATCH_ROWS rows at most, where the session has no smaller number.
+    """``docs``, to be sent to Python in batches of BATCH_ROWS rows and BATCH_BYTES bytes at most.
 
-    Whole texts of ten thousand rows, Spark's default, would take up to hundreds of megabytes in each worker and as
-    much again in its executor.
+    Sessions of ``session.build_session`` have both settings; in any other session a larger bound is lowered here, and
+    stays so, since Spark reads it when the plan runs. Whole texts of ten thousand rows, Spark's default, would take up
+    to hundreds of megabytes in each worker and as much again in its executor.
     """
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(name, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    conf = docs.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{name}"))
+        if now <= 0 or now > most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return docs
 
 

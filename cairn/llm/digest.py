@@ -11,14 +11,17 @@ with its best partner, weighted by its features.
 All this is local: equal texts have equal digests, and a digest does not depend on the corpus.
 
 Defined cases: null is an empty text; an empty text has an empty digest, which is like another empty one (1) and
-unlike any other (0); a text no longer than a window is one feature; the next document of the query is the next lower
-doc_id, or of equal ids the next in the order of the texts' hashes, and after the last comes the first; rows without a doc_id come
-last; other columns are ignored.
+unlike any other (0); a text no longer than a window is one feature; very long texts are ranked in pieces; the next
+document of the query is the next lower doc_id, or of equal ids the next in the order of the texts' hashes, and after
+the last comes the first; rows without a doc_id come last; of rows equal in both, each but the last is followed by its
+equal; an empty table gives an empty result; other columns are ignored by the query and kept by ``digests``, but for one
+named as the digest, which it replaces.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -32,6 +35,7 @@ from pyspark.sql import types as T
 
 from cairn.llm.common import bounded, slices, utf8
 from cairn.session import table
+from cairn.storage import broadcast_if_small, store
 
 #: For long windows and for short ones: bytes, windows of a neighbourhood, of how many of these a feature must be the
 #: rarest, pairs of equal bytes that are typical of text, their spread, and from how many on a window is too plain.
@@ -164,6 +168,7 @@ def printable(digest_: bytes) -> str:
 
 def digests(docs: DataFrame, text: str = "text", name: str = "digest") -> DataFrame:
     """``docs`` and a binary digest of each row's text."""
+    docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,73 +182,109 @@ def digests(docs: DataFrame, text: str = "text", name: str = "digest") -> DataFr
 
 # --- each document beside the next one ---------------------------------------------------------------------------
 
-#: Documents that a range of ids should hold; ranges at most, 16 sampled ids each.
+#: Documents that a range should hold; ranges at most, 16 sampled documents each.
 RANGE_ROWS, MAX_RANGES = 1000, 1 << 17
+#: Equal rows that are given out at once.
+REPEATS = 4096
 
 
-def _cuts(docs: DataFrame) -> np.ndarray:
-    """Ids at which ranges of about RANGE_ROWS documents begin, ascending, from a bounded sample by hash."""
-    ids = docs.select("doc_id").where("doc_id is not null")
-    rows = ids.count()
+def _place(doc_id: int | None, tie: int) -> tuple[bool, int, int]:
+    """Where a document stands in the order: descending ids, those without one last, then ascending hashes."""
+    return doc_id is None, 0 if doc_id is None else -doc_id, tie
+
+
+def _cuts(keys: DataFrame, rows: int) -> list[tuple[bool, int, int]]:
+    """Places at which ranges of about RANGE_ROWS documents begin, in order, from a bounded sample by hash."""
     want = min(MAX_RANGES, rows // RANGE_ROWS)
     if want < 2:
-        return np.zeros(0, np.int64)
+        return []
     share = int(min(1.0, 16 * want / rows) * (1 << 30))
-    few = np.sort(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).toArrow().column("doc_id").to_numpy())
-    return np.unique(few[np.linspace(0, len(few), want, endpoint=False).astype(int)[1:]]) if len(few) else np.zeros(0, np.int64)
+    few = keys.where(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 30)) < share).select("doc_id", "tie").toArrow()
+    places = sorted(map(_place, few.column("doc_id").to_pylist(), few.column("tie").to_pylist()))
+    return sorted({places[i] for i in np.linspace(0, len(places), want, endpoint=False).astype(int)[1:]}) if places else []
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one range after another, in order, each range ended by the document that follows it (``head``)."""
+    """Rows of one range after another, in order, each range ended by the document that follows it (``head``).
+
+    ``n`` equal rows come as one: all but the last are followed by themselves.
+    """
     held = None
     for batch in batches:
         for part in slices(batch, max_bytes=1 << 20):
-            texts = part.column("text").to_pylist()
             pairs = []
-            for head, doc_id, text, own in zip(part.column("head").to_pylist(), part.column("doc_id").to_pylist(), texts, digest_all(utf8(part)), strict=True):
-                if head and held is None:
-                    continue  # a repeated row of the same head
+            columns = (part.column(c).to_pylist() for c in ("head", "doc_id", "n", "text"))
+            for head, doc_id, n, text, own in zip(*columns, digest_all(utf8(part)), strict=True):
                 now = (doc_id, text or "", own)
                 if held is not None:
-                    pairs.append((held, now))
+                    pairs.append((held, now, 1))
+                if n > 1 and not head:
+                    pairs.append((now, now, n - 1))
                 held = None if head else now
-            changed = [edited(a[1], b[1]).encode() for a, b in pairs]
-            rows = [
-                (a[0], len(a[1]), hashlib.sha256(c).hexdigest(), printable(a[2]), printable(d), likeness(a[2], d), likeness(a[2], b[2]))
-                for (a, b), c, d in zip(pairs, changed, digest_all(changed), strict=True)
-            ]
+            changed = [edited(a[1], b[1]).encode() for a, b, _ in pairs]
+            rows = []
+            for (a, b, n), c, d in zip(pairs, changed, digest_all(changed), strict=True):
+                row = (a[0], len(a[1]), hashlib.sha256(c).hexdigest(), printable(a[2]), printable(d), likeness(a[2], d), likeness(a[2], b[2]))
+                for at in range(0, n, REPEATS):
+                    rows += [row] * min(REPEATS, n - at)
+                    if len(rows) >= REPEATS:
+                        yield _table(rows)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COMPARED, strict=True)], schema=_COMPARED)
+                yield _table(rows)
+
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COMPARED, strict=True)], schema=_COMPARED)
 
+
+_RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _COMPARED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
-    Documents are dealt into ranges of ids, so that texts are shuffled once. The first document of each range is also
-    sent to the range before it in the order (the one above it), whose last document it follows; the first of all is
-    sent to the last range. Ranges are sorted within their tasks, by Spark's sort, which spills.
+    Documents are dealt into ranges of the order by doc_id and text, so that texts are shuffled once and neither one
+    doc_id nor rows without one fill a range. The first document of each range is also sent to the range before it,
+    whose last document it follows; the first of all is sent to the last range. Ranges are sorted within their tasks,
+    by Spark's sort, which spills. Equal rows are found by their keys alone and only they are folded.
     """
-    cuts = _cuts(docs)
+    spark = docs.sparkSession
+    base = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    keys = store(base.groupBy("doc_id", "tie").agg(F.count("*").alias("n")), "keys")
+    rows = keys.df.count()
+    cuts = _cuts(keys.df, rows)
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="right")).astype("int32"))
-
-    order = F.struct(F.col("doc_id").isNull().alias("a"), (-F.col("doc_id")).alias("b"), F.col("tie").alias("c"))
-    base = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    least = docs.select("doc_id", F.xxhash64("text").alias("tie")).withColumn("range", range_of("doc_id")).groupBy("range").agg(F.min(order).alias("o")).orderBy("range").collect()  # a row a range
-    first = {r.range: r.o for r in least}
-    above = dict(zip(first, [*list(first)[1:], *list(first)[:1]], strict=True))  # where a range's first document is next
-    heads = docs.sparkSession.createDataFrame([(None if o.a else -o.b, o.c, above[k]) for k, o in first.items()], "h_id bigint, h_tie bigint, goes int")
-    rows = base.join(F.broadcast(heads), base["doc_id"].eqNullSafe(heads["h_id"]) & base["tie"].eqNullSafe(heads["h_tie"]), "left")
-    own = F.struct(F.col("range"), F.lit(False).alias("head"))
-    ghost = F.struct(F.col("goes").alias("range"), F.lit(True).alias("head"))
-    rows = rows.withColumn("range", range_of("doc_id")).select(F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, ghost))).alias("at"), "doc_id", "tie", "text")
-    rows = rows.select("at.range", "at.head", "doc_id", "tie", "text").repartition("range").sortWithinPartitions("range", "head", F.col("doc_id").desc_nulls_last(), "tie")
-    return bounded(rows.select("range", "head", "doc_id", "text")).mapInArrow(_compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def range_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        named = [None if missing else int(i) for i, missing in zip(ids, ids.isna(), strict=True)]
+        return pd.Series([bisect.bisect_right(cuts, _place(i, int(t))) for i, t in zip(named, ties, strict=True)], dtype="int32")
+
+    exact = lambda c: F.col(c).cast("decimal(20,0)")  # noqa: E731  # pandas would make doubles of ids beside nulls
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.bitwise_not("doc_id").alias("b"), F.col("tie").alias("c"))
+    first = keys.df.withColumn("range", range_of(exact("doc_id"), "tie")).groupBy("range").agg(F.min(F.struct(order.alias("o"), "doc_id", "tie")).alias("x"))
+    first = [(r["range"], r.x.doc_id, r.x.tie) for r in first.orderBy("range").collect()]  # a row a range, MAX_RANGES at most
+    if not first:
+        return spark.createDataFrame([], _RESULT)
+    before = [first[-1][0], *(r for r, *_ in first[:-1])]
+    heads = spark.createDataFrame([(i, t, goes) for (_, i, t), goes in zip(first, before, strict=True)], "h_id bigint, h_tie bigint, goes int")
+    again = keys.df.where("n > 1")
+    repeats = again.count()
+    if repeats:
+        again = broadcast_if_small(again.select(F.col("doc_id").alias("r_id"), F.col("tie").alias("r_tie"), "n"), 24 * repeats)
+        same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie"))
+        folded = base.join(again, same).groupBy("doc_id", "tie").agg(F.min("text").alias("text"), F.first("n").alias("n"))
+        base = base.join(again, same, "left_anti").withColumn("n", F.lit(1).cast("bigint")).unionByName(folded)
+    else:
+        base = base.withColumn("n", F.lit(1).cast("bigint"))
+    at_head = base["doc_id"].eqNullSafe(heads["h_id"]) & base["tie"].eqNullSafe(heads["h_tie"])
+    rows = base.join(F.broadcast(heads), at_head, "left").withColumn("range", range_of(exact("doc_id"), "tie"))  # 20 bytes a range
+    own, ghost = F.struct(F.col("range"), F.lit(False).alias("head")), F.struct(F.col("goes").alias("range"), F.lit(True).alias("head"))
+    places = F.explode(F.when(F.col("goes").isNull(), F.array(own)).otherwise(F.array(own, ghost)))
+    rows = rows.select(places.alias("at"), "doc_id", "tie", "text", "n").select("at.range", "at.head", "doc_id", "tie", "text", "n")
+    rows = rows.repartition("range").sortWithinPartitions("range", "head", F.col("doc_id").desc_nulls_last(), "tie")
+    return bounded(rows.select("range", "head", "doc_id", "text", "n")).mapInArrow(_compared, _RESULT)
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

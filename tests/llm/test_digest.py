@@ -6,6 +6,7 @@ import statistics
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -69,3 +70,87 @@ def test_ties_single_and_empty(spark):
     (only,) = D.beside_next(spark.createDataFrame([(7, "abcdef")], schema)).collect()
     assert only.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and only.near_next == 1.0
     assert D.digests(frame).columns == ["doc_id", "text", "digest"]
+    assert dict(D.digests(frame.selectExpr("*", "1 as digest")).dtypes)["digest"] == "binary"
+
+
+@pytest.mark.parametrize("range_rows", [1000, 3])
+def test_rows_without_ids_and_equal_rows(spark, monkeypatch, range_rows):
+    """Many rows of no id, of one id, and many equal rows: each has the next of the whole order."""
+    monkeypatch.setattr(D, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(D, "REPEATS", 4)
+    rows = [(None, f"text number {i} of none") for i in range(20)] + [(7, f"text number {i} of seven") for i in range(20)] + [(5, "equal")] * 11 + [(None, None)] * 3 + [(9, None), (-(2**63), "least"), (2**63 - 1, "most")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    ties = {(r.doc_id, r.text): r.t for r in frame.selectExpr("doc_id", "text", "xxhash64(text) as t").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), ties[r]))
+    want = []
+    for (d, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+        a, b = a or "", b or ""
+        k = len(a) // 3
+        want.append((str(d), len(a), hashlib.sha256((a[: len(a) - k] + b[:k]).encode()).hexdigest(), D.likeness(D.digest(a.encode()), D.digest(b.encode()))))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.near_next) for r in D.beside_next(frame).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def plain_features(text, kind):
+    """The windows that are the rarest, leftmost among equals, of enough of the neighbourhoods they lie in."""
+    width, neighbours, popular, typical, spread, plain = kind
+    if len(text) <= width:
+        return [text] if text else []
+    rank = []
+    for i in range(len(text) - width + 1):
+        window = text[i : i + width]
+        pairs = sum(window[a] == window[b] for a in range(width) for b in range(a))
+        rank.append(0 if pairs > plain else min(4095, 1 + abs(pairs - typical) * 16 // spread))
+    n = len(rank)
+    votes = [0] * n
+    if n <= neighbours:
+        votes[max(range(n), key=lambda i: (rank[i], -i))] = neighbours
+    else:
+        for a in range(n - neighbours + 1):
+            votes[max(range(a, a + neighbours), key=lambda i: (rank[i], -i))] += 1
+    chosen = [i for i in range(n) if votes[i] >= popular] or [i for i in range(n) if votes[i]]
+    return [text[i : i + width] for i in chosen]
+
+
+def plain_filters(text):
+    """Sets of bit numbers, and numbers of features, filter by filter."""
+    found = plain_features(text, D.LONG)
+    if len(text) < D.SHORT_BYTES:
+        found = found + plain_features(text, D.SHORT)
+    if len(text) < D.TINY_BYTES:
+        found = found + plain_features(text, D.TINY)
+    distinct = list(dict.fromkeys(found))
+    parts = [distinct[i : i + D.FILTER_FEATURES] for i in range(0, len(distinct), D.FILTER_FEATURES)]
+    bits = lambda x: {int.from_bytes(xxhash.xxh3_128_digest(x)[2 * k : 2 * k + 2], "little") % D.FILTER_BITS for k in range(D.HASHES)}
+    return [(set().union(*map(bits, p)), len(p)) for p in parts]
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    if (len(a), sum(n for _, n in a)) > (len(b), sum(n for _, n in b)):
+        a, b = b, a
+
+    def pair(x, y):
+        most, chance = min(len(x), len(y)), len(x) * len(y) / D.FILTER_BITS
+        cut = chance + 0.15 * (most - chance)
+        return min(1.0, max(0.0, (len(x & y) - cut) / max(most - cut, 1e-9)))
+
+    return sum(max(pair(x, y) for y, _ in b) * n for x, n in a) / sum(n for _, n in a)
+
+
+def test_votes_filters_and_likeness_by_a_plain_version():
+    rng = random.Random(12)
+    texts = [b"", b"a", b"abcdefgh", b"b" * 200, *(words(rng, n).encode() for n in (3, 12, 30, 90, 160, 400, 3000))]
+    texts += [D.edited(a.decode(), b.decode()).encode() for a, b in zip(texts, texts[1:], strict=False)]
+    filters = [plain_filters(t) for t in texts]
+    for text, want in zip(texts, filters, strict=True):
+        made = D.digest(text)
+        size = D.FILTER_BITS // 8 + 2
+        got = [made[i : i + size] for i in range(0, len(made), size)]
+        assert len(got) == len(want)
+        for g, (bits, n) in zip(got, want, strict=True):
+            assert int.from_bytes(g[:2], "little") == n and set(np.flatnonzero(np.unpackbits(np.frombuffer(g[2:], np.uint8))).tolist()) == bits
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert abs(D.likeness(D.digest(a), D.digest(b)) - plain_likeness(filters[i], filters[j])) < 1e-9
