@@ -8,14 +8,17 @@ such a place do not depend on the other side. A text without any such place is e
 associative, and any tree gives the tokens of the whole text. Decoding concatenates bytes up the same kind of tree.
 
 Defined cases: null and empty texts have no tokens; rows are kept as they are, repeated ids too; columns other than
-doc_id and text are ignored by the query and kept by ``encoded``.
+doc_id and text are ignored by the query and kept by ``encoded`` and ``encoded_with_digests``, but for columns named as
+those that these add, which they replace.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,65 +43,67 @@ def encoding(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.En
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+_SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
+
+
+@functools.cache
+def token_sizes(path: str) -> np.ndarray:
+    """Bytes of each token by its id."""
+    known = encoding(path)
+    out = np.zeros(known.n_vocab, np.int64)
+    for token in known.token_byte_values():
+        out[known.encode_single_token(token)] = len(token)
+    return out
+
+
 class Coder:
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
         self.encoding, self.leaf, self.window = encoding(path), leaf, window
+        self.sizes = token_sizes(path)
 
     def encode(self, text: str) -> list[int]:
-        return self._tree(text, 0, len(text))
+        if len(text) <= self.leaf:
+            return self.encoding.encode_ordinary(text)
+        return self._tree(text, 0, len(text), [m.start() for m in _SAFE.finditer(text)])
 
-    def _tree(self, text: str, a: int, b: int) -> list[int]:
-        if b - a <= self.leaf:
+    def _tree(self, text: str, a: int, b: int, safe: list[int]) -> list[int]:
+        """The tokens of text[a:b]; ``safe`` are the places of the whole text that no match crosses.
+
+        A part without such a place would be encoded whole at its join, so it is not halved.
+        """
+        inside = bisect.bisect_right(safe, a)
+        if b - a <= self.leaf or inside == len(safe) or safe[inside] >= b:
             return self.encoding.encode_ordinary(text[a:b])
         cut = (a + b) // 2
-        return self.join(text, a, cut, b, self._tree(text, a, cut), self._tree(text, cut, b))
+        return self.join(text, a, cut, b, self._tree(text, a, cut, safe), self._tree(text, cut, b, safe), safe)
 
-    def join(self, text: str, a: int, cut: int, b: int, left: list[int], right: list[int]) -> list[int]:
-        """The tokens of text[a:b] from those of text[a:cut] and text[cut:b]."""
+    def join(self, text: str, a: int, cut: int, b: int, left: list[int], right: list[int], safe: list[int]) -> list[int]:
+        """The tokens of text[a:b] from those of text[a:cut] and text[cut:b]: a window around the cut is encoded anew,
+        twice as wide each time, until it reaches places on both sides that no match crosses."""
         if a == cut or cut == b:
             return left or right
-        if text[cut] in SPACE and text[cut - 1] not in SPACE:
+        after = bisect.bisect_left(safe, cut)
+        if after < len(safe) and safe[after] == cut:
             return left + right
-        reach = self.window
-        while True:
-            lo, hi = self._safe_before(text, max(a, cut - reach), cut, a), self._safe_after(text, cut, min(b, cut + reach), b)
-            if lo is not None and hi is not None:
-                break
+        before, reach = safe[after - 1] if after and safe[after - 1] > a else a, self.window
+        after = safe[after] if after < len(safe) and safe[after] < b else b
+        while max(a, cut - reach) > before or min(b, cut + reach) < after:
             reach *= 2
-        middle = self.encoding.encode_ordinary(text[lo:hi])
-        keep = len(left) - self._count_back(left, len(text[lo:cut].encode()))
-        skip = self._count(right, len(text[cut:hi].encode()))
+        middle = self.encoding.encode_ordinary(text[before:after])
+        keep = len(left) - self._count(left[::-1], len(text[before:cut].encode()))
+        skip = self._count(right, len(text[cut:after].encode()))
         return left[:keep] + middle + right[skip:]
 
-    @staticmethod
-    def _safe_before(text: str, lo: int, cut: int, a: int) -> int | None:
-        """The last place in (lo, cut) that no match crosses, or the start of the left half once it is reached."""
-        for i in range(cut - 1, lo, -1):
-            if text[i] in SPACE and text[i - 1] not in SPACE:
-                return i
-        return a if lo == a else None
-
-    @staticmethod
-    def _safe_after(text: str, cut: int, hi: int, b: int) -> int | None:
-        for i in range(cut + 1, hi):
-            if text[i] in SPACE and text[i - 1] not in SPACE:
-                return i
-        return b if hi == b else None
-
     def _count(self, tokens: list[int], n_bytes: int) -> int:
-        """How many tokens take the first ``n_bytes``."""
-        size, n = self.encoding.decode_single_token_bytes, 0
-        while n_bytes > 0:
-            n_bytes -= len(size(tokens[n]))
-            n += 1
-        return n
-
-    def _count_back(self, tokens: list[int], n_bytes: int) -> int:
-        size, n = self.encoding.decode_single_token_bytes, 0
+        """How many tokens take the first ``n_bytes``; sizes are added up in runs that double."""
+        done, run = 0, 64
         while n_bytes > 0:
-            n += 1
-            n_bytes -= len(size(tokens[-n]))
-        return n
+            sums = np.cumsum(self.sizes[tokens[done : done + run]])
+            if sums[-1] >= n_bytes:
+                return done + int(np.searchsorted(sums, n_bytes)) + 1
+            n_bytes -= int(sums[-1])
+            done, run = done + run, run * 2
+        return done
 
     def decode(self, tokens: list[int], leaf: int = 1 << 14) -> bytes:
         """The bytes of the tokens, concatenated up the tree."""
@@ -115,6 +120,7 @@ def as_bytes(tokens: list[int]) -> bytes:
 
 def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", leaf: int = LEAF) -> DataFrame:
     """``docs`` and an array<int> of token ids; the vocabulary is read by each worker from ``path``."""
+    docs = docs.drop(ids)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +138,7 @@ def encoded_with_digests(docs: DataFrame, path: str, ids: str | None = "token_id
     added = [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()), ("decoded_sha256", pa.string(), T.StringType())]
     if ids:
         added.insert(1, (ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType(), False)))
+    docs = docs.drop(*(name for name, *_ in added))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, kind, False) for name, _, kind in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Encoding and counting against the libraries' own results on whole texts."""
 
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -49,6 +50,10 @@ def test_digests(spark):
 def test_encoded_keeps_columns_and_empty_table(spark):
     frame = spark.createDataFrame([(1, "a b", 5)], "doc_id bigint, text string, leaf int")
     assert bpe.encoded(frame, MULTI).columns == ["doc_id", "text", "leaf", "token_ids"]
+    clash = spark.createDataFrame([(1, "a b", "old", 7, "old")], "doc_id bigint, text string, token_ids string, n_tokens int, ids_sha256 string")
+    assert bpe.encoded(clash, MULTI).columns == ["doc_id", "text", "n_tokens", "ids_sha256", "token_ids"]
+    row = bpe.encoded_with_digests(clash, MULTI).first()
+    assert (row.n_tokens, len(row.token_ids), len(row.ids_sha256)) == (2, 2, 64)
     assert bpe.encoded(frame.limit(0), MULTI).count() == bpe.digests(frame.limit(0), MULTI).count() == 0
 
 
@@ -60,6 +65,34 @@ def test_counts_equal_the_library(name):
     assert token_counts.counter(path)(texts) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
 
 
+def test_long_texts_without_a_safe_place_are_not_slow():
+    import time
+
+    coder = bpe.Coder(MULTI)
+    for text in ("x" * 200_000, "ab1!" * 50_000, " " * 200_000, "日本語" * 60_000):
+        began = time.time()
+        whole = coder.encoding.encode_ordinary(text)
+        once = time.time() - began
+        began = time.time()
+        assert coder.encode(text) == whole
+        assert time.time() - began < 3 * once + 0.5
+
+
+def test_only_plain_byte_level_vocabularies_are_counted_by_ranks():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        described = json.load(file)
+    ranks = token_counts.as_ranks(described)
+    assert len(ranks) == 50256 and ranks[b" the"] and token_counts.BYTE_LEVEL == public_tokenizers.PATTERN
+    model, merges = described["model"], described["model"]["merges"]
+    for change in (
+        {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": described["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": model | {"ignore_merges": True}},
+        {"model": model | {"merges": [merges[1], merges[0], *merges[2:]]}}, {"model": model | {"merges": merges[:-1]}}, {"added_tokens": [described["added_tokens"][0] | {"special": False}]},
+    ):
+        assert token_counts.as_ranks(described | change) is None
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        assert token_counts.as_ranks(json.load(file)) is None
+
+
 def test_pieces_rejoin_and_are_safe(monkeypatch):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in [*ODD, long_text(5, 3000), "!?\x1c\x1d" * 50 + " a\x1f b" * 30]:
@@ -77,7 +110,12 @@ def test_sentencepiece_counts():
 
 
 def test_token_count_rows(spark):
-    frame = spark.createDataFrame([(1, "word " * 2000, None), (2, None, "x"), (2, "", "y"), (None, "é", "z")], "doc_id bigint, text string, n_bytes string")
-    got = sorted(((r.doc_id or -1), r.n_bytes, r.over_limit) for r in token_counts.token_counts(frame, public_tokenizers.path("byte_bpe_50k.json")).collect())
-    assert got == [(-1, 2, False), (1, 10000, True), (2, 0, False), (2, 0, False)]
-    assert token_counts.token_counts(frame.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [(1, "word " * 2000), (2, None), (2, ""), (2, "twice"), (None, "é"), (4, "x" * 70_000), (5, "<|endoftext|> in between <|endoftext|>"), (6, "a" + " the" * 1023), (7, "a" + " the" * 1024)]
+    frame = spark.createDataFrame([(d, t, None) for d, t in texts], "doc_id bigint, text string, n_bytes string")
+    got = sorted(((r.doc_id or -1), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(frame, path).collect())
+    count = lambda t: len(library.encode(t or "", add_special_tokens=False))
+    assert got == sorted(((d or -1), len((t or "").encode()), count(t), count(t) > 1024) for d, t in texts)
+    assert {n: o for d, _, n, o in got if d in (6, 7)} == {1024: False, 1025: True}
+    assert token_counts.token_counts(frame.limit(0), path).count() == 0
