@@ -34,7 +34,8 @@ def test_defined_cases(spark, module):
     docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(["", None, "a b c " * 50_000, "same", "same"])] + [(None, "no id", None, None)], "doc_id bigint, text string, score string, held_out double")
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     some = spark.createDataFrame([(2, 1, 0), (3, 0, 1), (4, None, None), (None, 1, 1)], none.schema)
-    for labels in (none, some):
+    twice = some.unionByName(some).unionByName(spark.createDataFrame([(2, 0, 1)], some.schema))  # repeated and contradicting
+    for labels in (none, some, twice):
         rows = module.scored(docs, module.fit(docs, labels)).collect()
         assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
         same = [r.score for r in rows if r.doc_id in (3, 4)]
@@ -46,3 +47,36 @@ def test_keep_ordinary_keeps_columns(spark):
     docs = spark.createDataFrame([(1, "a", "en"), (2, "b", "fr")], "doc_id bigint, text string, lang string")
     model = toxicity.Model(b"", b"", None, 0.0)
     assert toxicity.keep_ordinary(docs, model).columns == docs.columns and toxicity.keep_ordinary(docs, model).count() == 2
+
+
+def test_weights_are_at_the_minimum_of_the_pairs_loss():
+    """Bradley-Terry by a plain loss: no step in any direction lowers it, and its slope is nought."""
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.4, 1, (300, 4)), rng.normal(0, 1, (300, 4))
+    w = quality.bradley_terry(good, bad)
+
+    def loss(v):
+        far = (good - bad) @ v
+        return sum(np.log1p(np.exp(-f)) for f in far) + 0.5 * 1e-3 * len(far) * (v @ v)
+
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-4
+        assert loss(w) <= loss(w + step) and loss(w) <= loss(w - step)
+        assert abs(loss(w + step) - loss(w - step)) / 2e-4 < 1e-3
+
+
+def test_threshold_is_the_quantile_with_the_fewest_errors(spark):
+    """The fitted scores beside every other threshold on the labelled rows."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1, 400):
+        good = int(rng.random() < 0.6)
+        marks = rng.integers(0, 12 if good else 30)
+        rows.append((i, "plain words here. " * 8 + "### $$ " * int(marks), good))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels)
+    learnt = [(t.encode(), g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 5]
+    scores, y = model.scores([t for t, _ in learnt]), np.array([g for _, g in learnt])
+    errors = lambda cut: int(((scores >= cut) != y).sum())
+    assert errors(quality.ACCEPT) == min(errors(c) for c in [0, *scores, 2])
