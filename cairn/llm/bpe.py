@@ -164,7 +164,7 @@ def digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
 
 
 def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return digests(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES = {"op5_byte_level_bpe": op5_byte_level_bpe}

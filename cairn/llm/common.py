@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,8 @@ def bounded(docs: DataFrame) -> DataFrame:
     """
     conf = docs.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = int(conf.get(f"spark.sql.execution.arrow.{name}"))
+        number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", conf.get(f"spark.sql.execution.arrow.{name}").lower()).groups()
+        now = int(number) << 10 * " kmg".index(unit or " ")
         if now <= 0 or now > most:
             conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return docs

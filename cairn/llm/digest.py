@@ -288,7 +288,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return beside_next(table(spark, sf_dir, "documents"))
+    return beside_next(table(spark, sf_dir, "documents", spread=True))
 
 
 QUERIES = {"op4_document_fingerprints": op4_document_fingerprints}

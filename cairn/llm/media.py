@@ -297,7 +297,7 @@ _DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("paylo
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "archives")
-    write_archives(table(spark, sf_dir, "documents"), folder)
+    write_archives(table(spark, sf_dir, "documents", spread=True), folder)
     return described(read_archives(spark, folder))
 
 

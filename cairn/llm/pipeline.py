@@ -83,4 +83,4 @@ def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return apply(spark, table(spark, sf_dir, "documents", spread=True), sf_dir)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import bounded, fresh, slices, utf8
 from cairn.operators.graph import connected_components
 from cairn.session import table
-from cairn.storage import Stored, broadcast_if_small, store
+from cairn.storage import Stored, broadcast_if_small, store, stored_bytes
 
 #: Fingerprints a shard should hold, and what one task compares at most: a fuller shard is dealt out in blocks.
 SHARD, TASK = 2048, 16384
@@ -292,11 +292,14 @@ def without_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
     of, key, stay = fresh(docs, "__of", "__key", "__stays")
     rows = store(found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n")), "rows-of-groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
+    several = rows.df.groupBy("group").agg(first, F.sum("n").alias("size")).where("size > 1").select("group", "one")
+    several = store(several, "firsts")  # its own exchange on both sides of the join, which adaptive execution can split
     stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("key") == F.col("one.key"))
-    marks = rows.df.join(rows.df.groupBy("group").agg(first), "group").withColumn("stays", stays).where("n > 1 or not stays")
+    few = broadcast_if_small(several.df, stored_bytes(found.sparkSession, several.path) * 4)
+    marks = rows.df.join(few, "group").withColumn("stays", stays).where("n > 1 or not stays")
     marks = marks.select(F.col("doc_id").alias(of), F.col("key").alias(key), F.col("stays").alias(stay))
     marks = store(marks, "copies")
-    rows.remove()
+    rows.remove(), several.remove()
     counts = {r[0]: r[1] for r in marks.df.groupBy(stay).count().collect()}
     same = docs["doc_id"].eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"]) == F.col(key))
     gone, repeated = (broadcast_if_small(marks.df.where(F.col(stay) == s), 32 * counts.get(s, 0)) for s in (False, True))
@@ -322,7 +325,7 @@ def hexadecimal(fp) -> F.Column:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark, table(spark, sf_dir, "documents"))
+    found = near_duplicates(spark, table(spark, sf_dir, "documents", spread=True))
     return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 

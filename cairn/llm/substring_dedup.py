@@ -4,8 +4,10 @@
    windows share wherever they are. A document's distinct anchors are some 1/14 of its windows.
 2. Count-min prefilter. Each partition adds its documents' anchors into a sketch, kept sparse and cut into shards by
    hash; the shards' counts are merged by addition. A shard has DEPTH rows of counters, four an anchor or more in
-   each, so an estimate is never too small, and a window in two documents always has an anchor estimated at two or
-   more. The shards keep one bit a counter: whether it reached two. They are broadcast if they are small, else
+   each. An anchor's estimate is never below the number of its documents, and every document with a window has the
+   window's anchor, so it is never below the number of documents of any window it stands for: the sketch
+   overestimates window counts, and a window in two documents is always estimated at two or more (the tests hold
+   estimates against exact window counts; README has the cost of a sketch of single windows). The shards keep one bit a counter: whether it reached two. They are broadcast if they are small, else
    shuffled to the anchors; either way an anchor meets the shard of its hash.
 3. Exact grouping. Only windows whose anchor is estimated as repeated are grouped, by 128-bit hashes of their words:
    first whole runs of windows with one anchor, then, window by window, what differs between such runs. The smallest
@@ -387,7 +389,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents", spread=True))
 
 
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}

@@ -84,3 +84,27 @@ def test_without_repeats_keeps_columns(spark):
     got = {r.doc_id: (r.text, r.starts, r.hot) for r in S.without_repeats(frame).collect()}
     assert got == {2: ("start end", "en", 1), 1: (passage, "fr", 2), 3: (None, None, 3)}
     assert S.without_repeats(frame.limit(0)).columns == frame.columns and S.digests(frame.limit(0)).count() == 0
+
+
+def test_sketch_of_anchors_never_underestimates_windows(spark):
+    """Exact numbers of documents of every window beside the merged sketch: what is repeated is always told."""
+    span, gram = 12, 6
+    rows = [(d, t) for d, t in corpus(4, span) if d is not None]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    told = {(r.doc_id, h) for r in S.repeated_anchors(S.store(S.anchors(frame, span, gram), "anchors"), 1).collect() for h in r.hot}
+    docs = {}
+    for d, t in rows:
+        words = t.encode().split()
+        for i, a in enumerate(S.window_anchors(S.word_hashes(words), span, gram).view(np.int64).tolist()):
+            docs.setdefault((tuple(words[i : i + span]), a), set()).add(d)
+    assert len({w for w, _ in docs}) == len(docs)  # a window has one anchor wherever it is
+    repeated = {k: v for k, v in docs.items() if len(v) > 1}
+    assert len(repeated) > 100 and all((d, a) in told for (_, a), v in repeated.items() for d in v)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 9973}v{i % 17}" for i in range(200_000))
+    rows = [(1, long, 1, "a"), (2, "before " + " ".join(long.split()[5000:5200]) + " after", 2, "b")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, __of int, __runs string")
+    got = {r.doc_id: r for r in S.without_repeats(frame).collect()}
+    assert got[1].text == long and got[2].text == "before after" and got[2]["__runs"] == "b" and S.without_repeats(frame).columns == frame.columns
