@@ -59,6 +59,7 @@ def _packet(spark, sf_dir: str):
 
 
 def form_spans(spark, sf_dir):
+    """Every fourth order stands for a claim with a form, the others for claims without one; all orders are read."""
     return _packet(spark, sf_dir)[3].withColumn("bbox", F.array_join(F.col("bbox").cast("array<string>"), ","))
 
 

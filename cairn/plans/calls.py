@@ -57,7 +57,7 @@ def call_disposition_counts(spark, sf_dir):
 
 
 def intent_macro_f1(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     actual = F.when(F.col("lang") == "en", "handover").when(F.col("lang") == "de", "article").when(F.col("lang") == "fr", "request").when(F.col("lang") == "es", "greeting")
     rows = docs.select(actual.alias("actual"), V.keyword_intent(F.col("text"), INTENTS).alias("predicted"))
     scores = V.macro_scores(rows, [*INTENTS, "never_seen"], queues=QUEUES)
@@ -65,7 +65,7 @@ def intent_macro_f1(spark, sf_dir):
 
 
 def intent_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(V.keyword_intent(F.col("text"), INTENTS).alias("intent")).agg(F.count("*").alias("documents"))
+    return table(spark, sf_dir, "documents", spread=True).groupBy(V.keyword_intent(F.col("text"), INTENTS).alias("intent")).agg(F.count("*").alias("documents"))
 
 
 def transcript_problems(spark, sf_dir):

@@ -40,7 +40,8 @@ def customer_orders_left(spark, sf_dir):
 
 
 def same_supplier_pairs(spark, sf_dir):
-    """Self-join with an inequality."""
+    """Self-join with an inequality: the pairs are what is asked for, of a table of suppliers that does not grow with the
+    orders; nothing else of this library lists the pairs of a group."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return s.withColumnRenamed("s_suppkey", "left_id").join(s.withColumnRenamed("s_suppkey", "right_id"), "s_nationkey").where("left_id < right_id")
 
@@ -66,10 +67,21 @@ def ordered_lists(spark, sf_dir):
 
 
 def latest_per_user(spark, sf_dir):
-    """Row number with ties broken by id; duplicate counts over a key."""
-    w = Window.partitionBy("user_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value").withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("value").desc(), "event_id")))
-    return rows.where("rank = 1").select("user_id", "event_id", "event_type", F.col("n").alias("events"))
+    """The first row of each user in an order with ties broken by id, and the user's count: partial aggregation, so a
+    user with a third of all rows is neither sorted nor held by one task."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    order = F.struct(F.col("value").isNull(), -F.col("value"), "event_id")
+    first = events.groupBy("user_id").agg(F.count("*").alias("events"), F.min_by(F.struct("event_id", "event_type"), order).alias("x"))
+    return first.select("user_id", "x.event_id", "x.event_type", "events")
+
+
+def ranked_orders(spark, sf_dir):
+    """Windows over a customer's orders: place by price, running total by date, share of the customer's total."""
+    of = Window.partitionBy("o_custkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    rows = rows.withColumn("place", F.row_number().over(of.orderBy(F.col("o_totalprice").desc(), "o_orderkey")))
+    rows = rows.withColumn("so_far", F.count("*").over(of.orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("orders", F.count("*").over(of)).where("place <= 3").select("o_custkey", "o_orderkey", "place", "so_far", "orders")
 
 
 def event_props(spark, sf_dir):
@@ -94,7 +106,7 @@ def sample_by_hash(spark, sf_dir):
 
 def token_statistics(spark, sf_dir):
     """Tokens by language, by JVM functions alone."""
-    return table(spark, sf_dir, "documents").select("lang", F.size(word_tokens(F.col("text"))).alias("n")).groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").cast("bigint").alias("tokens"), F.max("n").cast("bigint").alias("longest"))
+    return table(spark, sf_dir, "documents", spread=True).select("lang", F.size(word_tokens(F.col("text"))).alias("n")).groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").cast("bigint").alias("tokens"), F.max("n").cast("bigint").alias("longest"))
 
 
 def date_differences(spark, sf_dir):
@@ -106,13 +118,14 @@ def date_differences(spark, sf_dir):
 def benchmark_overlap(spark, sf_dir):
     """Documents that hold a run of eight words of a benchmark item: an equi-join of distinct grams, no pairs within either side."""
     gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 7, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 8), " ")))
-    side = lambda name, key: table(spark, sf_dir, name).select(key, word_tokens(F.col("text")).alias("w")).where(F.size("w") >= 8).select(key, F.explode_outer(gram(F.col("w"))).alias("g"))
+    side = lambda name, key: table(spark, sf_dir, name, spread=name == "documents").select(key, word_tokens(F.col("text")).alias("w")).where(F.size("w") >= 8).select(key, F.explode_outer(gram(F.col("w"))).alias("g"))
     items = side("benchmark", "item_id")
     return side("documents", "doc_id").join(F.broadcast(items) if items.count() * 100 < (8 << 20) else items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared_grams"))
 
 
 def output_binding(spark, sf_dir):
-    """Outputs bound to requests by identity, whatever their order."""
+    """Outputs bound to requests by identity, whatever their order. Ids choose which rows stand for requests and which for
+    outputs, so that each kind of binding occurs; both tables are read whole."""
     asked = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey")
     given = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"))
     return V.bound_outputs(asked, given, "o_orderkey").groupBy("binding").agg(F.count("*").alias("keys"), F.sum("outputs").alias("outputs"))
@@ -132,7 +145,7 @@ def validation_counts(spark, sf_dir):
     return reduce(DataFrame.unionByName, _checks(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (order_revenue, customers_without_orders, customers_with_urgent_orders, customer_orders_left, same_supplier_pairs, alias_join, filtered_aggregates, ordered_lists, latest_per_user, event_props, priority_cases, sample_by_hash, token_statistics, date_differences, benchmark_overlap, output_binding, validation_counts)}
+QUERIES = {f.__name__: f for f in (order_revenue, customers_without_orders, customers_with_urgent_orders, customer_orders_left, same_supplier_pairs, alias_join, filtered_aggregates, ordered_lists, latest_per_user, ranked_orders, event_props, priority_cases, sample_by_hash, token_statistics, date_differences, benchmark_overlap, output_binding, validation_counts)}
 _GRAM = "select distinct {k}, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as g from (select {k}, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from {t}) where len(w) >= 8"
 ORACLES = {
     "order_revenue": "select c_mktsegment, n_name, round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue, count(*) as lines from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all",
@@ -144,6 +157,7 @@ ORACLES = {
     "filtered_aggregates": "select event_type, count(*) as events, count(*) filter (value > 50) as large, count(distinct user_id) as users, round(avg(value) filter (value > 50), 6) as mean_large, arg_max(event_id, (value, event_id)) filter (value is not null) as top_event, bool_or(value > 99) as any_top, bool_and(value >= 0) as all_positive from events group by 1",
     "ordered_lists": "select n_regionkey, string_agg(n_name, ', ' order by n_name desc) as names, string_agg(distinct n_name[1], '' order by n_name[1]) as initials from nation group by 1",
     "latest_per_user": "select user_id, event_id, event_type, n as events from (select *, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by value desc nulls last, event_id) as rn from events) where rn = 1",
+    "ranked_orders": "select o_custkey, o_orderkey, place, so_far, orders from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place, count(*) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding) as so_far, count(*) over (partition by o_custkey) as orders from orders) where place <= 3",
     "event_props": "select array_to_string(list_sort(json_keys(props)), ',') as keys, event_type, count(*) as events from events group by all",
     "priority_cases": """select bucket, branch, count(*) as orders from (select case when o_totalprice > 300000 then 'high' when o_totalprice > 100000 then 'middle' else 'low' end || '-' || o_orderstatus as bucket, 'all' as branch from orders
 union all select 'urgent-' || o_orderstatus, 'urgent' from orders where o_orderpriority in ('1-URGENT', '2-HIGH')) group by all""",
