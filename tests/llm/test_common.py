@@ -9,7 +9,7 @@ ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.executi
 
 @pytest.mark.parametrize(
     "rows,size,after",
-    [("10000", "67108864b", ("1000", str(16 << 20))), ("0", "-1", ("1000", str(16 << 20))), ("64", "2m", ("64", "2m")), ("1000", "1g", ("1000", str(16 << 20)))],
+    [("10000", "67108864b", ("1000", str(16 << 20))), ("0", "100m", ("1000", str(16 << 20))), ("64", "2m", ("64", "2m")), ("1000", "1g", ("1000", str(16 << 20)))],
 )
 def test_bounds_are_only_lowered(spark, rows, size, after):
     before = spark.conf.get(ROWS), spark.conf.get(BYTES)

@@ -94,7 +94,7 @@ def test_sketch_of_anchors_never_underestimates_windows(spark):
     told = {(r.doc_id, h) for r in S.repeated_anchors(S.store(S.anchors(frame, span, gram), "anchors"), 1).collect() for h in r.hot}
     docs = {}
     for d, t in rows:
-        words = t.encode().split()
+        words = (t or "").encode().split()
         for i, a in enumerate(S.window_anchors(S.word_hashes(words), span, gram).view(np.int64).tolist()):
             docs.setdefault((tuple(words[i : i + span]), a), set()).add(d)
     assert len({w for w, _ in docs}) == len(docs)  # a window has one anchor wherever it is
