@@ -111,8 +111,8 @@ ORACLES = {
     "stage_call_run_config": "select 2 as runtime_config_version, null::varchar as run_started_at, 'given' as asr_engine, null::varchar as asr_model, null::varchar as asr_language, 10 as min_text_chars, null::varchar as ai_provider, null::varchar as ai_model, 'b' as minio_bucket",
     "stage_claim_material_inputs": _MOVED + "select role, supported, ok as locator_valid, trusted as runtime_locator_valid, count(*) as materials from inside group by all",
     "stage_claim_objects": _MOVED
-    + """, f as (select *, length(object_key) % 3 > 0 as found from inside where trusted)
-select role, found as object_exists, found and role = 'damage_photo' as judged, count(*) as objects, count(*) filter (found) as hashed from f group by all""",
+    + """, f as (select role, length(object_key) % 3 > 0 as hit from inside where trusted)
+select role, hit as object_exists, hit and role = 'damage_photo' as judged, count(*) as objects, count(*) filter (hit) as hashed from f group by all""",
     "stage_claim_validation_inputs": """with p as (select o_orderkey as k, unnest([1, 2]) as i from orders where o_orderkey % 2 = 0)
 select i as file_order, '{}' as photo_quality_json, i = 1 and k % 5 <> 0 and k % 7 <> 0 as answered, count(*) as photos from p group by all""",
     "stage_document_quality_inputs": "select (o_orderkey % 3)::int as material_index, '[\"claim_number\"]' as required_fields_text, 0.5::double as minimum_text_confidence, count(*) as documents, count(*) as bound from orders where o_orderkey % 3 > 0 group by 1",
