@@ -73,8 +73,9 @@ def budgets(capacity: DataFrame, total: int, weights: dict[str, dict[str, int]],
         nodes = nodes.withColumn("budget", F.lit(total).cast("bigint")) if at is None else nodes.join(at, parents)
         whole = Window.partitionBy(*parents)
         sorted_ = whole.orderBy(F.col("cap").cast("double") / F.col("w"), level)
-        nodes = nodes.withColumn("before", F.coalesce(F.sum("cap").over(sorted_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        nodes = nodes.withColumn("still", F.sum("w").over(sorted_.rowsBetween(0, Window.unboundedFollowing)))
+        ahead = sorted_.rowsBetween(Window.unboundedPreceding, -1)  # sums that grow row by row; one to the end would start anew
+        nodes = nodes.withColumn("before", F.coalesce(F.sum("cap").over(ahead), F.lit(0)))
+        nodes = nodes.withColumn("still", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(ahead), F.lit(0)))
         nodes = nodes.withColumn("full", F.expr("cap * still <= greatest(budget - before, 0) * w"))
         nodes = nodes.withColumn("spent", F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0)))
         nodes = nodes.withColumn("rest", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(whole))
