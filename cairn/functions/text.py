@@ -88,6 +88,17 @@ def band_keys(signature: list[int], bands: int = BANDS) -> list[str]:
     return [hashlib.md5(",".join(map(str, signature[i * rows : (i + 1) * rows])).encode()).hexdigest() for i in range(bands)]
 
 
+def numbered_band_keys(signature: list[int], bands: int = BANDS) -> list[str]:
+    """One key a band: its number in three digits and the 64-bit BLAKE2b digest of number and values,
+    the values as unsigned."""
+    rows, unsigned = len(signature) // bands, [v % (1 << 64) for v in signature]
+    payload = lambda i: f"{i}:{','.join(map(str, unsigned[i * rows : (i + 1) * rows]))}".encode()
+    return [f"{i:03d}:{hashlib.blake2b(payload(i), digest_size=8).hexdigest()}" for i in range(bands)]
+
+
+BAND_KEYS = {"affine": band_keys, "blake2b": numbered_band_keys}
+
+
 def fingerprints(docs: DataFrame, hash: str = "affine", text: str = "text") -> DataFrame:
     """``docs`` without the text, and normalized_sha256, token_count, unique_tokens, shingles, signature, bands.
 
@@ -97,7 +108,7 @@ def fingerprints(docs: DataFrame, hash: str = "affine", text: str = "text") -> D
     keep = [f for f in docs.schema.fields if f.name != text]
     added = "normalized_sha256 string, token_count bigint, unique_tokens bigint, shingles array<bigint>, signature array<bigint>, bands array<string>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), added])
-    sign = SIGNATURES[hash]
+    sign, keys = SIGNATURES[hash], BAND_KEYS[hash]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +122,7 @@ def fingerprints(docs: DataFrame, hash: str = "affine", text: str = "text") -> D
                     parts = shingles(tokens)
                     codes = shingle_codes(parts)
                     signature = sign(parts, codes)
-                    rows.append((hashlib.sha256(plain.encode()).hexdigest(), len(tokens), len(set(tokens)), codes, signature, band_keys(signature) if parts else []))
+                    rows.append((hashlib.sha256(plain.encode()).hexdigest(), len(tokens), len(set(tokens)), codes, signature, keys(signature) if parts else []))
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, "normalized_sha256", "token_count", "unique_tokens", "shingles", "signature", "bands"])

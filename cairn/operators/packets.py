@@ -64,16 +64,19 @@ def review_tasks(claims: DataFrame, files: DataFrame, photos: DataFrame, spans:
     return reduce(DataFrame.unionByName, out)
 
 
-def evidence_nodes(claims: DataFrame, files: DataFrame, photos: DataFrame, spans: DataFrame, tasks: DataFrame) -> DataFrame:
-    """A node for each claim, file, photo, span and task: claim_id, node_id, node_type, source_file_id, created_by, needs confirmation."""
+def evidence_nodes(claims: DataFrame, files: DataFrame, photos: DataFrame, spans: DataFrame, tasks: DataFrame, damages: DataFrame | None = None) -> DataFrame:
+    """A node for each claim, file, photo, span, damage finding and task: claim_id, node_id, node_type, source_file_id,
+    payload, created_by, needs confirmation. ``damages`` has model_provider, model_name and
+    prompt_version, which tell what made its nodes; people confirm every one of them."""
 
-    def nodes(rows: DataFrame, kind: str, node: Column, file: Column, by: str, confirm: Column) -> DataFrame:
+    def nodes(rows: DataFrame, kind: str, node: Column, file: Column, by: str | Column, confirm: Column) -> DataFrame:
         payload = F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
-        return rows.select("claim_id", node.alias("node_id"), F.lit(kind).alias("node_type"), file.alias("source_file_id"), payload.alias("payload_json"), F.lit(by).alias("created_by"), confirm.alias("requires_human_confirmation"))
+        return rows.select("claim_id", node.alias("node_id"), F.lit(kind).alias("node_type"), file.alias("source_file_id"), payload.alias("payload_json"), (F.lit(by) if isinstance(by, str) else by).alias("created_by"), confirm.alias("requires_human_confirmation"))
 
     none, own = F.lit(None).cast("string"), F.col("file_id")
+    told = [nodes(damages, "photo_damage", F.col("evidence_node_id"), own, F.concat_ws(":", F.lit("model"), "model_provider", "model_name", "prompt_version"), F.lit(True))] if damages is not None else []
     return reduce(DataFrame.unionByName, [
-        nodes(claims, "claim", F.concat(F.lit("evidence:claim:"), "claim_id"), none, "manifest", F.lit(False)), nodes(files, "file", F.concat(F.lit("evidence:file:"), "file_id"), own, "manifest", ~F.col("file_exists")),
+        *told, nodes(claims, "claim", F.concat(F.lit("evidence:claim:"), "claim_id"), none, "manifest", F.lit(False)), nodes(files, "file", F.concat(F.lit("evidence:file:"), "file_id"), own, "manifest", ~F.col("file_exists")),
         nodes(photos, "photo_quality", F.col("evidence_node_id"), own, "rule:photo_quality_v2", F.col("needs_review")), nodes(spans, "document_span", F.col("evidence_node_id"), own, "gold_annotation:funsd", F.col("needs_review")),
         nodes(tasks, "review_task", F.concat(F.lit("evidence:review_task:"), "task_id"), F.col("source_file_id"), "rule:review_task_v1", F.lit(True)),
     ])

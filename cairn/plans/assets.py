@@ -55,7 +55,20 @@ def _packet(spark, sf_dir: str):
     claims = orders.select("claim_id")
     forms = orders.where("o_orderkey % 4 = 0").select("claim_id", F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("file_id"), F.concat(F.lit('{"form":[{"id":1,"label":"question","text":" ","box":[0,0,5,9],"words":[{"text":"w"},{"text":"v"}]},{"label":"answer","text":"'), F.when(F.col("o_orderkey") % 8 == 0, "").otherwise("ok"), F.lit('","box":[3,3,3,4],"words":[]}]}')).alias("annotation_json"))
     files = photos.select("claim_id", "file_id", F.lit("image/jpeg").alias("media_type"), F.lit(True).alias("file_exists")).unionByName(forms.select("claim_id", "file_id", F.lit("image/png").alias("media_type"), F.lit(True).alias("file_exists")))
-    return claims, files, photos, P.form_spans(forms)
+    return claims, files, photos, P.form_spans(forms), *_answers(photos)
+
+
+def _answers(photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a model said of every photo, and its runs: some failed, with and without a finding."""
+    w = F.col("image_width") / 40
+    damages = photos.where("image_width <> 1960").select(
+        "claim_id", "file_id", F.concat(F.lit("evidence:photo_damage:"), "file_id").alias("evidence_node_id"), (w != 7).alias("vehicle_visible"), (w != 8).alias("target_vehicle_clear"),
+        F.when(w < 10, 0.3).when(w < 20, 0.6).otherwise(0.9).alias("confidence"), F.when(w > 45, F.array(F.lit("blur"), F.lit("glare"))).otherwise(F.array().cast("array<string>")).alias("uncertainty_reasons"),
+        ((w < 20) | (w > 45)).alias("needs_review"), F.lit("given").alias("model_provider"), F.lit("m").alias("model_name"), F.lit("p1").alias("prompt_version"),
+    )
+    status = F.when(w.isin(5, 49), "failed").otherwise("success")
+    runs = photos.select("claim_id", "file_id", F.concat(F.lit("run:"), "file_id").alias("run_id"), status.alias("status"), F.when(status == "failed", "timeout").alias("error_code"), F.when(status == "failed", "late").alias("error_message"))
+    return damages, runs
 
 
 def form_spans(spark, sf_dir):
@@ -63,20 +76,31 @@ def form_spans(spark, sf_dir):
     return _packet(spark, sf_dir)[3].withColumn("bbox", F.array_join(F.col("bbox").cast("array<string>"), ","))
 
 
+def _tasks(spark, sf_dir: str):
+    claims, files, photos, spans, damages, runs = _packet(spark, sf_dir)
+    return claims, files, photos, spans, damages, P.review_tasks(claims, files, photos, spans, damages, runs)
+
+
 def review_tasks(spark, sf_dir):
-    claims, files, photos, spans = _packet(spark, sf_dir)
-    return P.review_tasks(claims, files, photos, spans).select("claim_id", "task_id", "task_type", "priority", "source_file_id", "evidence_node_id", "status")
+    """All seven kinds, with what people are told."""
+    return _tasks(spark, sf_dir)[-1].select("claim_id", "task_id", "task_type", "priority", "source_file_id", "evidence_node_id", "status")
+
+
+def review_reasons(spark, sf_dir):
+    """The reasons of findings and runs that people see."""
+    tasks = _tasks(spark, sf_dir)[-1].where("task_type in ('photo_damage_review', 'model_output_review', 'document_field_review')")
+    return tasks.groupBy("task_type", "priority", "reason").agg(F.count("*").alias("tasks"))
 
 
 def evidence_node_counts(spark, sf_dir):
-    claims, files, photos, spans = _packet(spark, sf_dir)
-    nodes = P.evidence_nodes(claims, files, photos, spans, P.review_tasks(claims, files, photos, spans))
+    claims, files, photos, spans, damages, tasks = _tasks(spark, sf_dir)
+    nodes = P.evidence_nodes(claims, files, photos, spans, tasks, damages)
     return nodes.groupBy("node_type", "created_by").agg(F.count("*").alias("nodes"), F.count_if("requires_human_confirmation").alias("to_confirm"))
 
 
 def claim_summary(spark, sf_dir):
-    claims, files, photos, spans = _packet(spark, sf_dir)
-    return P.claim_summary(claims, files, photos, spans, P.review_tasks(claims, files, photos, spans))
+    claims, files, photos, spans, _, tasks = _tasks(spark, sf_dir)
+    return P.claim_summary(claims, files, photos, spans, tasks)
 
 
 def photo_quality_means(spark, sf_dir):
@@ -115,15 +139,18 @@ q as materialized (select * replace (case when decode_ok then issue_flags else '
 r as materialized (select *, quality_score < 0.6 or issue_flags <> '' as flagged, quality_score < 0.6 or issue_flags <> '' or not decode_ok as needs_review, row_number() over (partition by claim_id, perceptual_hash, decode_ok order by ordinal, file_id) as place from q),
 spans as materialized (select 'C' || o_orderkey as claim_id, 'd' || o_orderkey as file_id, unnest([1, 2]) as k, o_orderkey % 8 = 0 as bare from orders where o_orderkey % 4 = 0),
 s as materialized (select claim_id, file_id, case k when 1 then 'question_1' else 'answer_1' end as field_name, case when k = 1 then 'w v' when bare then '' else 'ok' end as field_value, case k when 1 then 'question' else 'answer' end as field_type, case k when 1 then '0.0,0.0,5.0,9.0' else '3.0,3.0,3.0,4.0' end as bbox, k = 1 as valid_bbox, 'evidence:document_span:' || file_id || ':1' as evidence_node_id, k = 2 as needs_review from spans),
+dam as materialized (select claim_id, file_id, image_width / 40 as w from r),
 lacks as (select 'C' || o_orderkey as claim_id from orders o where o_orderkey % 4 <> 0 or not exists (select 1 from lineitem where l_orderkey = o_orderkey)),
 t as materialized (select claim_id, 'task:photo_decode_review:' || file_id as task_id, 'photo_decode_review' as task_type, 'high' as priority, file_id as source_file_id, 'evidence:photo_quality:' || file_id as evidence_node_id, 'open' as status from r where not decode_ok
 union all select claim_id, 'task:photo_quality_review:' || file_id, 'photo_quality_review', case when quality_score < 0.4 then 'high' else 'medium' end, file_id, 'evidence:photo_quality:' || file_id, 'open' from r where decode_ok and needs_review
 union all select claim_id, 'task:duplicate_photo_review:' || file_id, 'duplicate_photo_review', 'medium', file_id, 'evidence:photo_quality:' || file_id, 'open' from r where decode_ok and place > 1
 union all select claim_id, 'task:document_field_review:' || evidence_node_id, 'document_field_review', 'medium', file_id, evidence_node_id, 'open' from s where needs_review
+union all select claim_id, 'task:model_output_review:run:' || file_id, 'model_output_review', 'high', file_id, 'evidence:' || case when w = 49 then 'photo_quality' else 'photo_damage' end || ':' || file_id, 'open' from dam where w in (5, 49)
+union all select claim_id, 'task:photo_damage_review:' || file_id, 'photo_damage_review', case when w = 7 or w < 10 then 'high' else 'medium' end, file_id, 'evidence:photo_damage:' || file_id, 'open' from dam where w not in (5, 49) and (w < 20 or w > 45)
 union all select claim_id, 'task:missing_material_review:' || claim_id, 'missing_material_review', 'high', null, 'evidence:claim:' || claim_id, 'open' from lacks),
 files as materialized (select claim_id, file_id from r union all select distinct claim_id, file_id from s) """
 QUERIES = {
-    "asset_release": asset_release, "asset_release_summary": asset_release_summary, "photo_quality": photo_quality, "photo_quality_means": photo_quality_means, "html_block_ids": html_block_ids, "packet_form_spans": form_spans, "packet_review_tasks": review_tasks, "packet_node_counts": evidence_node_counts,
+    "asset_release": asset_release, "asset_release_summary": asset_release_summary, "photo_quality": photo_quality, "photo_quality_means": photo_quality_means, "html_block_ids": html_block_ids, "packet_form_spans": form_spans, "packet_review_tasks": review_tasks, "packet_review_reasons": review_reasons, "packet_node_counts": evidence_node_counts,
     "packet_claim_summary": claim_summary, "html_blocks": html_blocks, "page_domains": page_domains,
 }
 ORACLES = {
@@ -137,9 +164,14 @@ select case when broken then 'decode_error' else 'success' end as status, case w
     "photo_quality": _PHOTOS + "select file_id, issue_flags, quality_score, flagged as needs_review from r",
     "packet_form_spans": _PHOTOS + "select * from s",
     "packet_review_tasks": _PHOTOS + "select * from t",
+    "packet_review_reasons": _PHOTOS
+    + """, x as (select 'model_output_review' as task_type, 'high' as priority, 'image model status=failed; error=timeout: late' as reason from dam where w in (5, 49)
+union all select 'document_field_review', 'medium', case when field_value = '' then 'empty field value; invalid bbox' else 'invalid bbox' end from s where needs_review
+union all select 'photo_damage_review', case when w < 10 then 'high' else 'medium' end, concat_ws('; ', case when w = 7 then 'vehicle not visible' end, case when w = 8 then 'target vehicle unclear' end, case when w < 10 then 'low confidence 0.30' when w < 20 then 'low confidence 0.60' end, case when w > 45 then 'uncertainty=blur,glare' end)
+  from dam where w not in (5, 49) and (w < 20 or w > 45)) select task_type, priority, reason, count(*) as tasks from x group by all""",
     "packet_node_counts": _PHOTOS
     + """select 'claim' as node_type, 'manifest' as created_by, count(*) as nodes, 0 as to_confirm from orders union all select 'file', 'manifest', count(*), 0 from files union all select 'photo_quality', 'rule:photo_quality_v2', count(*), count(*) filter (needs_review) from r
-union all select 'document_span', 'gold_annotation:funsd', count(*), count(*) filter (needs_review) from s union all select 'review_task', 'rule:review_task_v1', count(*), count(*) from t""",
+union all select 'photo_damage', 'model:given:m:p1', count(*), count(*) from dam where w <> 49 union all select 'document_span', 'gold_annotation:funsd', count(*), count(*) filter (needs_review) from s union all select 'review_task', 'rule:review_task_v1', count(*), count(*) from t""",
     "packet_claim_summary": _PHOTOS
     + """select claim_id, coalesce(a, 0) as file_count, coalesce(b, 0) as photo_count, coalesce(c, 0) as photos_to_review, coalesce(d, 0) as span_count, coalesce(e, 0) as open_task_count, coalesce(f, 0) as high_priority_count from (select 'C' || o_orderkey as claim_id from orders)
 left join (select claim_id, count(*) as a from files group by 1) using (claim_id) left join (select claim_id, count(*) as b, count(*) filter (needs_review) as c from r group by 1) using (claim_id) left join (select claim_id, count(*) as d from s group by 1) using (claim_id) left join (select claim_id, count(*) as e, count(*) filter (priority = 'high') as f from t group by 1) using (claim_id)""",

@@ -85,6 +85,12 @@ def exact_duplicates(spark, sf_dir):
     return groups.where("copies > 1")
 
 
+def blake2b_bands(spark, sf_dir):
+    """Keyed digests instead of affine permutations, over the benchmark's items: items by band key."""
+    prints = T.fingerprints(table(spark, sf_dir, "benchmark", spread=True).select(F.col("item_id").alias("doc_id"), "text"), "blake2b")
+    return D.exploded_bands(prints).groupBy("band", "key").agg(F.count("*").alias("items"), F.min("doc_id").alias("first_item"))
+
+
 _PERM = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(T.permutations()))
 _BASE = rf"""with recursive perm(i, a, b) as (values {_PERM}),
 norm as materialized (select doc_id, source, n_chars, trim(regexp_replace(lower(strip_accents(text)), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g')) as t from documents),
@@ -111,7 +117,7 @@ chosen as (select * exclude (rn) from (select *, row_number() over (partition by
 QUERIES = {
     "dedup_fingerprint_counts": fingerprint_counts, "dedup_collision_buckets": collision_buckets, "dedup_candidate_pairs": candidate_pairs, "dedup_scored_pairs": scored_pairs,
     "dedup_clusters": clusters, "dedup_representatives": representatives, "dedup_cluster_inspection": cluster_inspection, "dedup_candidate_summary": candidate_summary,
-    "dedup_domain_summary": domain_summary, "dedup_duplicate_summary": duplicate_summary, "dedup_exact_duplicates": exact_duplicates,
+    "dedup_domain_summary": domain_summary, "dedup_duplicate_summary": duplicate_summary, "dedup_exact_duplicates": exact_duplicates, "dedup_blake2b_bands": blake2b_bands,
 }
 _R = "round(shingle_jaccard, 6) as shingle_jaccard, round(signature_overlap, 6) as signature_overlap"
 ORACLES = {

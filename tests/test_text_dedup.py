@@ -59,3 +59,20 @@ def test_scores_tell_reasons(spark):
     prints = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [1] * 64), (2, [1, 2, 3, 4, 5, 6, 7, 8, 9], [1] * 64), (3, [99], [1] * 64)], "doc_id bigint, shingles array<bigint>, signature array<bigint>")
     pairs = spark.createDataFrame([(1, 2, 8), (1, 3, 8)], "left_id bigint, right_id bigint, shared_bands bigint")
     assert {r.right_id: r.reason for r in D.scored_pairs(pairs, prints).collect()} == {2: "jaccard_match", 3: "minhash_only_rejected"}
+
+
+def test_blake2b_signatures_and_keys_by_a_plain_version(spark):
+    import hashlib
+
+    from cairn.functions import text as T
+
+    texts = ["One two, three! four five six seven", "a b", "", None, "Ünïcode wörds ÀND more of them here"]
+    rows = T.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "blake2b").collect()
+    for r in rows:
+        words = T.normalize(texts[r.doc_id] or "").split()
+        grams = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        number = lambda seed, g: int.from_bytes(hashlib.blake2b(f"{seed}:{g}".encode(), digest_size=8).digest(), "little")
+        want = [min(number(42 + i, g) for g in grams) for i in range(64)] if grams else [0] * 64
+        assert [v % 2**64 for v in r.signature] == want
+        keys = [f"{b:03d}:" + hashlib.blake2b((f"{b}:" + ",".join(map(str, want[8 * b : 8 * b + 8]))).encode(), digest_size=8).hexdigest() for b in range(8)]
+        assert r.bands == (keys if grams else [])
