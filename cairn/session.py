@@ -28,6 +28,14 @@ def build_session(name: str = "cairn", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def finish(spark: SparkSession) -> None:
+    """Ends a session and removes what it has stored in the shared folder."""
+    from cairn.storage import clean
+
+    clean(spark)
+    spark.stop()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``, which may be on any store that Spark reads.
 

@@ -41,9 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cairn-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    """A path of its own in this application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this application has stored: to be called once its results are written or read to the end."""
+    remove(spark, _own(spark))
 
 
 def _path(spark: SparkSession, path: str):

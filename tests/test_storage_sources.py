@@ -204,3 +204,27 @@ def test_contracts(spark):
     assert V.invariants(counts, rule) == [f"raw = kept + gone: {counts}"] and V.invariants(counts | {"gone": 2}, rule) == []
     summary = spark.sql("select 18L as pairs, cast(0.9348 as decimal(10,4)) as ratio")
     assert V.expected_results(summary, {"pairs": 18, "ratio": 0.9348}) == [] and V.expected_results(summary, {"pairs": 17, "none": 1}) == ["pairs: expected 17, found 18", "none: expected 1, found None"]
+
+
+def test_stored_tables_are_cleaned_and_clusters_need_a_shared_folder(spark, tmp_path, monkeypatch):
+    from cairn import storage
+
+    kept = storage.store(spark.range(3), "kept")
+    assert kept.df.count() == 3 and f"cairn-{spark.sparkContext.applicationId}/kept-" in kept.path
+    monkeypatch.setattr(storage, "shared_dir", lambda s: f"file://{tmp_path}")
+    other = storage.store(spark.range(2), "other")
+    storage.clean(spark)
+    assert not list(tmp_path.iterdir()) and kept.df.count() == 3
+    with pytest.raises(Exception):
+        other.df.count()
+
+    class Cluster:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+            getConf = staticmethod(lambda: {})
+
+        conf = {}
+
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        storage.shared_dir(Cluster)
