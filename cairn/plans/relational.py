@@ -91,6 +91,24 @@ def event_props(spark, sf_dir):
     return e.groupBy(F.array_join(keys, ",").alias("keys"), "event_type").agg(F.count("*").alias("events"))
 
 
+def json_lists(spark, sf_dir):
+    """Lengths of JSON lists by path, and a field of all their members."""
+    k = F.col("o_orderkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 3 == 0, '{"items":[]}').otherwise(F.concat(F.lit('{"items":[{"id":'), k, F.lit('},{"id":'), k, F.lit("}]}")))
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", text.alias("j"))
+    ids = F.coalesce(F.from_json(F.get_json_object("j", "$.items[*].id"), "array<bigint>"), F.array().cast("array<bigint>"))
+    rows = rows.select("o_orderstatus", F.json_array_length(F.get_json_object("j", "$.items")).alias("n"), F.aggregate(ids, F.lit(0).cast("bigint"), lambda total, x: total + x).alias("ids"))
+    return rows.groupBy("o_orderstatus", "n").agg(F.count("*").alias("orders"), F.sum("ids").cast("bigint").alias("ids"))
+
+
+def filtered_lists(spark, sf_dir):
+    """Lists in an order of another column, of the rows that pass a filter, null members kept."""
+    named = F.struct("n_nationkey", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_name")).alias("name"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 4 > 0, named)))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(listed, lambda x: x["name"]).alias("names"))
+    return rows.select("n_regionkey", F.to_json("names").alias("names"))
+
+
 def priority_cases(spark, sf_dir):
     """A ladder of cases, with a lateral alias and a union of branches."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("cairn_orders")
@@ -145,7 +163,7 @@ def validation_counts(spark, sf_dir):
     return reduce(DataFrame.unionByName, _checks(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (order_revenue, customers_without_orders, customers_with_urgent_orders, customer_orders_left, same_supplier_pairs, alias_join, filtered_aggregates, ordered_lists, latest_per_user, ranked_orders, event_props, priority_cases, sample_by_hash, token_statistics, date_differences, benchmark_overlap, output_binding, validation_counts)}
+QUERIES = {f.__name__: f for f in (order_revenue, customers_without_orders, customers_with_urgent_orders, customer_orders_left, same_supplier_pairs, alias_join, filtered_aggregates, ordered_lists, latest_per_user, ranked_orders, event_props, json_lists, filtered_lists, priority_cases, sample_by_hash, token_statistics, date_differences, benchmark_overlap, output_binding, validation_counts)}
 _GRAM = "select distinct {k}, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as g from (select {k}, regexp_extract_all(lower(text), '[a-z0-9_]+') as w from {t}) where len(w) >= 8"
 ORACLES = {
     "order_revenue": "select c_mktsegment, n_name, round(sum(l_extendedprice * (1 - l_discount)), 0) as revenue, count(*) as lines from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all",
@@ -158,6 +176,9 @@ ORACLES = {
     "ordered_lists": "select n_regionkey, string_agg(n_name, ', ' order by n_name desc) as names, string_agg(distinct n_name[1], '' order by n_name[1]) as initials from nation group by 1",
     "latest_per_user": "select user_id, event_id, event_type, n as events from (select *, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by value desc nulls last, event_id) as rn from events) where rn = 1",
     "ranked_orders": "select o_custkey, o_orderkey, place, so_far, orders from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place, count(*) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding) as so_far, count(*) over (partition by o_custkey) as orders from orders) where place <= 3",
+    "json_lists": """with j as (select o_orderstatus, case when o_orderkey % 3 = 0 then '{"items":[]}' else '{"items":[{"id":' || o_orderkey || '},{"id":' || o_orderkey || '}]}' end as j from orders)
+select o_orderstatus, json_array_length(j, '$.items')::int as n, count(*) as orders, coalesce(sum(list_sum(json_extract(j, '$.items[*].id')::bigint[])), 0)::bigint as ids from j group by all""",
+    "filtered_lists": "select n_regionkey, to_json(list(case when n_nationkey % 3 > 0 then n_name end order by n_nationkey) filter (n_nationkey % 4 > 0))::varchar as names from nation group by 1",
     "event_props": "select array_to_string(list_sort(json_keys(props)), ',') as keys, event_type, count(*) as events from events group by all",
     "priority_cases": """select bucket, branch, count(*) as orders from (select case when o_totalprice > 300000 then 'high' when o_totalprice > 100000 then 'middle' else 'low' end || '-' || o_orderstatus as bucket, 'all' as branch from orders
 union all select 'urgent-' || o_orderstatus, 'urgent' from orders where o_orderpriority in ('1-URGENT', '2-HIGH')) group by all""",
