@@ -254,10 +254,10 @@ def _in_blocks(dealt: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame
     usual = dealt.select("shard", F.lit(0).alias("kind"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("role").alias("part"), "fp")
     if not sizes:
         return usual
-    usual = usual.where(~F.col("shard").isin(*sizes))
     spark = dealt.sparkSession
-    wide = spark.createDataFrame([(s, h, q) for s, (h, q) in sizes.items()], "shard bigint, h int, q int")
-    hot = dealt.join(F.broadcast(wide), "shard").withColumn("b", F.pmod(F.xxhash64("fp"), F.when(F.col("role") == 0, F.col("h")).otherwise(F.col("q"))).cast("int"))
+    wide = F.broadcast(spark.createDataFrame([(s, h, q) for s, (h, q) in sizes.items()], "shard bigint, h int, q int"))  # MAX_SHARDS rows of 16 bytes at most
+    usual = usual.join(wide, "shard", "left_anti")
+    hot = dealt.join(wide, "shard").withColumn("b", F.pmod(F.xxhash64("fp"), F.when(F.col("role") == 0, F.col("h")).otherwise(F.col("q"))).cast("int"))
     own = F.col("role") == 0
     among = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda j: F.struct(F.when(j == F.col("b"), 0).otherwise(1).alias("kind"), F.least(j, F.col("b")).alias("x"), F.greatest(j, F.col("b")).alias("y"), F.when(F.col("b") <= j, 0).otherwise(1).alias("part")))
     asked = F.when(F.col("q") > 0, F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.lit(2).alias("kind"), j.alias("x"), F.col("b").alias("y"), F.lit(0).alias("part")))).otherwise(F.array().cast("array<struct<kind:int,x:int,y:int,part:int>>"))
