@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 _FORM = "struct<form:array<struct<id:string,label:string,text:string,box:array<double>,words:array<struct<text:string>>>>>"
 
@@ -30,6 +29,18 @@ def _task(rows: DataFrame, kind: str, key: str, priority: Column, reason: Column
     )
 
 
+def copied_photos(photos: DataFrame) -> DataFrame:
+    """``photos`` that share claim and perceptual hash with an earlier one (by ordinal, then file_id), and its file_id.
+
+    The first of each group is found by partial aggregation and joined back, so a hash that a third of all photos have
+    lands in no single task. Repeated rows of the first photo are not copies of it.
+    """
+    hashed = photos.where("decode_ok and coalesce(perceptual_hash, '') <> ''")
+    first = hashed.groupBy("claim_id", "perceptual_hash").agg(F.min(F.struct("ordinal", "file_id")).alias("first"))
+    later = hashed.join(first, ["claim_id", "perceptual_hash"]).where("struct(ordinal, file_id) > first")
+    return later.withColumn("first_file_id", F.col("first.file_id")).drop("first")
+
+
 def review_tasks(claims: DataFrame, files: DataFrame, photos: DataFrame, spans: DataFrame, damages: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """What people must look at, of seven kinds.
 
@@ -41,9 +52,7 @@ def review_tasks(claims: DataFrame, files: DataFrame, photos: DataFrame, spans:
         _task(photos.where("not decode_ok"), "photo_decode_review", "file_id", lit("high"), F.concat(lit("photo decode failed: "), F.coalesce("decode_error", lit(""))), "Request a usable replacement damage photo."),
         _task(photos.where("decode_ok and needs_review"), "photo_quality_review", "file_id", F.when(c("quality_score") < 0.4, "high").otherwise("medium"), F.concat(lit("photo quality score "), number("quality_score"), lit("; flags="), F.array_join("issue_flags", ",")), "Review whether the uploaded damage photo is usable."),
     ]
-    alike = Window.partitionBy("claim_id", "perceptual_hash").orderBy("ordinal", "file_id")
-    hashed = photos.where("decode_ok and coalesce(perceptual_hash, '') <> ''").withColumn("place", F.row_number().over(alike)).withColumn("first", F.first("file_id").over(alike))
-    out.append(_task(hashed.where("place > 1"), "duplicate_photo_review", "file_id", lit("medium"), F.concat(lit("photo perceptual hash matches "), "first", lit(": "), "perceptual_hash"), "Confirm whether duplicate photos should be retained."))
+    out.append(_task(copied_photos(photos), "duplicate_photo_review", "file_id", lit("medium"), F.concat(lit("photo perceptual hash matches "), "first_file_id", lit(": "), "perceptual_hash"), "Confirm whether duplicate photos should be retained."))
     if runs is not None:
         failed = runs.where("status <> 'success'").withColumnRenamed("status", "run_status")
         nodes = photos.select("file_id", c("evidence_node_id").alias("photo_node")).distinct()

@@ -8,9 +8,11 @@ clients and models in its worker, never in the driver.
 
 from __future__ import annotations
 
+import concurrent.futures
 import json
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -67,16 +69,94 @@ def register_function(spark: SparkSession, name: str, work: Callable | type, ret
 
 
 class Prompter(Protocol):
-    """Answers prompts, one for one; ``system`` is the instruction that stands before each."""
+    """Answers prompts, one for one; ``system`` is the instruction that stands before each.
+
+    A prompter that also has ``one(prompt, system)``, safe to call from several threads, can be asked concurrently.
+    """
 
     def answer(self, prompts: list[str], system: str | None = None) -> list[str]: ...
 
 
+class Late(TimeoutError):
+    """No answer within the deadline."""
+
+
+class Pool:
+    """At most ``most`` requests at once from one worker; kept from batch to batch.
+
+    Requests are taken from their iterator as places fall free, so no more than ``most`` of them wait in memory, and
+    results come as they are ready, each with the key of its request. A request that is not answered ``deadline``
+    seconds after it began is given up as ``Late``: its thread cannot be stopped, so it keeps its place until it ends,
+    and the service never sees more than ``most`` at once. Errors are results, which the caller may ask again.
+    """
+
+    def __init__(self, one: Callable[[str, str | None], str], most: int, deadline: float | None = None):
+        if most < 1:
+            raise ValueError("a pool needs a place")
+        self.one, self.most, self.deadline = one, most, deadline
+        self.threads = concurrent.futures.ThreadPoolExecutor(most, thread_name_prefix="prompt")
+        self.places = threading.Semaphore(most)
+
+    def _call(self, text: str, system: str | None, began: list[float]) -> str:
+        began.append(time.monotonic())
+        try:
+            return self.one(text, system)
+        finally:
+            self.places.release()
+
+    def ask(self, requests: Iterable[tuple[Hashable, str]], system: str | None = None) -> Iterator[tuple[Hashable, str | Exception]]:
+        """(key, answer or error) of each request, in the order in which they end."""
+        waiting = iter(requests)
+        running: dict[concurrent.futures.Future, tuple[Hashable, list[float]]] = {}
+        more = True
+        while more or running:
+            while more and self.places.acquire(blocking=not running):
+                request = next(waiting, None)
+                if request is None:
+                    more = False
+                    self.places.release()
+                    break
+                began: list[float] = []
+                running[self.threads.submit(self._call, request[1], system, began)] = (request[0], began)
+            if not running:
+                break
+            done, _ = concurrent.futures.wait(running, timeout=self._next_deadline(running), return_when=concurrent.futures.FIRST_COMPLETED)
+            for future in done:
+                key, _ = running.pop(future)
+                error = future.exception()
+                if error is not None and not isinstance(error, Exception):
+                    raise error
+                yield key, error if error is not None else future.result()
+            if self.deadline is not None and not done:
+                now = time.monotonic()
+                for future, (key, began) in list(running.items()):
+                    if began and now - began[0] >= self.deadline and not future.done():
+                        del running[future]
+                        yield key, Late(f"no answer within {self.deadline:g} s")
+
+    def _next_deadline(self, running: dict) -> float | None:
+        if self.deadline is None:
+            return None
+        ends = [began[0] + self.deadline for _, began in running.values() if began]
+        return max(0.001, min(ends) - time.monotonic()) if ends else 0.01
+
+    def __reduce__(self):
+        raise TypeError("a pool belongs to one worker")
+
+
 def messages(*parts: Column | str) -> Column:
     """Columns and texts joined to one prompt; null where a column is."""
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
+def with_image(text: Column | str, content: Column, mime_type: str = "image/png") -> Column:
+    """A prompt of a text and an image's bytes, as a JSON list of parts that ``HttpPrompter`` sends as such."""
+    url = F.concat(F.lit(f"data:{mime_type};base64,"), F.base64(content))
+    said = F.to_json(F.struct(F.lit("text").alias("type"), (text if isinstance(text, Column) else F.lit(text)).alias("text")))
+    shown = F.to_json(F.struct(F.lit("image_url").alias("type"), F.struct(url.alias("url")).alias("image_url")))
+    return F.concat(F.lit("["), said, F.lit(","), shown, F.lit("]"))
+
+
 class Refused(ValueError):
     """An answer is not of the wanted form."""
 
@@ -107,6 +187,7 @@ def _parser(schema: T.StructType) -> Callable[[str], dict]:
 def prompt(
     rows: DataFrame, build: Callable[[], Prompter], key: str, text: str | Column, validate: Callable[[str], Any] | None = None, stricter: str = "", *,
     system: str | None = None, returns: str | None = None, on_error: str = "row", batch_size: int = 32, parts: int | None = None,
+    concurrency: int = 1, deadline: float | None = None,
 ) -> DataFrame:
     """(key, response, status, error) of each row; a null prompt is skipped.
 
@@ -115,7 +196,13 @@ def prompt(
     ``stricter`` before the prompt (the prompt again where it is empty); what is refused twice is a row with an error,
     or, with ``on_error="raise"``, an error of the query that names the row. Rows are bound by key, never by order. The
     prompter is built once a worker; ``parts`` bounds how many tasks ask at once.
+
+    With ``concurrency`` a worker has that many requests of its batch under way at once (``Pool``), each for at most
+    ``deadline`` seconds; the prompter must then have ``one``. A request that fails or is late is asked once more, as
+    refused answers are, and is then a row of status ``failed`` or ``timeout``: no row is lost or asked for a third time.
     """
+    if concurrency < 1:
+        raise ValueError("concurrency is one or more")
     if on_error not in ("row", "raise"):
         raise ValueError("on_error is row or raise")
     kind, name = rows.schema[key].dataType.simpleString(), _name(build)
@@ -123,6 +210,14 @@ def prompt(
     parse = _parser(shape) if shape else (lambda answer: answer)
     accept = lambda answer: validate(parse(answer)) if validate else parse(answer)
 
+    def answers(requests: list[tuple[int, str]]) -> Iterable[tuple[int, str | Exception]]:
+        prompter = once_a_worker(build, name)
+        if concurrency > 1 or deadline is not None:
+            pool = once_a_worker(lambda: Pool(prompter.one, concurrency, deadline), f"{name}-pool")
+            return pool.ask(requests, system)
+        extra = {"system": system} if system else {}
+        return zip((i for i, _ in requests), prompter.answer([p for _, p in requests], **extra), strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, batch_size):
@@ -134,16 +229,21 @@ def prompt(
                     if not todo:
                         break
                     again = []
-                    prompter = once_a_worker(build, name)
-                    extra = {"system": system} if system else {}
-                    for i, answer in zip(todo, prompter.answer([lead + asked[i] for i in todo], **extra), strict=True):
+                    for i, answer in answers([(i, lead + asked[i]) for i in todo]):
                         try:
+                            if isinstance(answer, Exception):
+                                raise answer
                             good = accept(answer)
                             out[i] = (json.dumps(good) if shape else good, "success", None)
+                            continue
+                        except Late as e:
+                            out[i] = (None, "timeout", str(e))
                         except ValueError as e:
                             out[i] = (None, "invalid_response", str(e))
-                            again.append(i)
-                    todo = again
+                        except Exception as e:  # the service's own errors, of a pool alone
+                            out[i] = (None, "failed", f"{type(e).__name__}: {e}")
+                        again.append(i)
+                    todo = sorted(again)
                 if todo and on_error == "raise":
                     raise Refused(f"{key} {keys[todo[0]].as_py()}: {out[todo[0]][2]}")
                 response, status, error = zip(*out, strict=True) if out else ((), (), ())
@@ -220,8 +320,11 @@ class TablePrompter:
     def __init__(self, answers: dict[str, str]):
         self.answers = answers
 
+    def one(self, prompt: str, system: str | None = None) -> str:
+        return self.answers.get(prompt, "")
+
     def answer(self, prompts: list[str], system: str | None = None) -> list[str]:
-        return [self.answers.get(p, "") for p in prompts]
+        return [self.one(p, system) for p in prompts]
 
 
 class HttpPrompter:
@@ -231,7 +334,21 @@ class HttpPrompter:
         self.url, self.model, self.key, self.timeout, self.retries, self.wait = url, model, key, timeout, retries, wait
 
     def answer(self, prompts: list[str], system: str | None = None) -> list[str]:
-        return [self._one([*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": p}]) for p in prompts]
+        return [self.one(p, system) for p in prompts]
+
+    def one(self, prompt: str, system: str | None = None) -> str:
+        return self._one([*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": self.content(prompt)}])
+
+    def content(self, prompt: str) -> str | list[dict]:
+        """What stands for a prompt in the request; parts with images where the prompt is a JSON list of such parts."""
+        if prompt.startswith('[{"type"'):
+            try:
+                parts = json.loads(prompt)
+            except ValueError:
+                return prompt
+            if all(isinstance(p, dict) and p.get("type") in ("text", "image_url") for p in parts):
+                return parts
+        return prompt
 
     def _one(self, said: list[dict]) -> str:
         import urllib.error
@@ -243,8 +360,9 @@ class HttpPrompter:
             try:
                 with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout) as response:
                     return json.loads(response.read())["choices"][0]["message"]["content"]
-            except (urllib.error.URLError, TimeoutError):
-                if attempt + 1 == self.retries:
-                    raise
+            except (urllib.error.URLError, TimeoutError) as e:
+                refused = isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code not in (408, 409, 425, 429)
+                if refused or attempt + 1 == self.retries:
+                    raise  # a request that the service refuses for what it says is not sent again
                 time.sleep(self.wait * 2**attempt)
         raise AssertionError("no attempt was made")

@@ -55,15 +55,13 @@ def alias_join(spark, sf_dir):
 
 def filtered_aggregates(spark, sf_dir):
     """Aggregates with filters, and the value at the extreme of another column, nulls left out."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("cairn_events")
     return spark.sql("""select event_type, count(*) as events, count(*) filter (where value > 50) as large, count(distinct user_id) as users, round(avg(value) filter (where value > 50), 6) as mean_large,
-        max_by(event_id, struct(value, event_id)) filter (where value is not null) as top_event, bool_or(value > 99) as any_top, bool_and(value >= 0) as all_positive from cairn_events group by all having count(*) > 0""")
+        max_by(event_id, struct(value, event_id)) filter (where value is not null) as top_event, bool_or(value > 99) as any_top, bool_and(value >= 0) as all_positive from {events} group by all having count(*) > 0""", events=table(spark, sf_dir, "events"))
 
 
 def ordered_lists(spark, sf_dir):
     """Ordered and distinct string aggregates."""
-    table(spark, sf_dir, "nation").createOrReplaceTempView("cairn_nation")
-    return spark.sql("select n_regionkey, listagg(n_name, ', ') within group (order by n_name desc) as names, listagg(distinct substring(n_name, 1, 1), '') within group (order by substring(n_name, 1, 1)) as initials from cairn_nation group by all")
+    return spark.sql("select n_regionkey, listagg(n_name, ', ') within group (order by n_name desc) as names, listagg(distinct substring(n_name, 1, 1), '') within group (order by substring(n_name, 1, 1)) as initials from {nation} group by all", nation=table(spark, sf_dir, "nation"))
 
 
 def latest_per_user(spark, sf_dir):
@@ -111,10 +109,9 @@ def filtered_lists(spark, sf_dir):
 
 def priority_cases(spark, sf_dir):
     """A ladder of cases, with a lateral alias and a union of branches."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("cairn_orders")
     return spark.sql("""select bucket, branch, count(*) as orders from (
-        select case when o_totalprice > 300000 then 'high' when o_totalprice > 100000 then 'middle' else 'low' end as tier, concat(tier, '-', o_orderstatus) as bucket, 'all' as branch from cairn_orders
-        union all select 'x' as tier, concat('urgent-', o_orderstatus) as bucket, 'urgent' as branch from cairn_orders where o_orderpriority in ('1-URGENT', '2-HIGH')) group by all""")
+        select case when o_totalprice > 300000 then 'high' when o_totalprice > 100000 then 'middle' else 'low' end as tier, concat(tier, '-', o_orderstatus) as bucket, 'all' as branch from {orders}
+        union all select 'x' as tier, concat('urgent-', o_orderstatus) as bucket, 'urgent' as branch from {orders} where o_orderpriority in ('1-URGENT', '2-HIGH')) group by all""", orders=table(spark, sf_dir, "orders"))
 
 
 def sample_by_hash(spark, sf_dir):

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.operators.validation import nulls_as_empty
-from cairn.storage import _path
+from cairn.storage import _path, open_store
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -71,9 +71,19 @@ def from_arrow(spark: SparkSession, table: pa.Table, name: str | None = None) ->
 
 
 def create_table_as(spark: SparkSession, name: str, query: str) -> DataFrame:
-    """The result of a query as a table of the catalog, replaced if it is there."""
-    spark.sql(f"drop table if exists {name}")
-    spark.sql(query).write.saveAsTable(name)
+    """The result of a query as a table of the catalog, replaced if it is there.
+
+    It is written as a table of its own first, and takes the name once it is whole: a query that fails leaves the old
+    table, and one may read the table that it replaces.
+    """
+    fresh = f"{name}_new_{uuid.uuid4().hex[:12]}"
+    try:
+        spark.sql(query).write.saveAsTable(fresh)
+        spark.sql(f"drop table if exists {name}")
+        spark.sql(f"alter table {fresh} rename to {name}")
+    except Exception:
+        spark.sql(f"drop table if exists {fresh}")
+        raise
     return spark.table(name)
 
 
@@ -114,23 +124,47 @@ class SnapshotError(RuntimeError):
     """A file is not the one that was pinned."""
 
 
-def verify_snapshot(path: str, contract: dict, id_column: str | None = None) -> dict:
-    """Size, hash and number of records of a pinned file on the driver's disk against its contract; what was found.
+def _sha256(files: DataFrame) -> str:
+    """SHA-256 of a single file that a task streams from its store, a piece at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, at = open_store(path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at) as file:
+                    while piece := file.read(1 << 20):
+                        digest.update(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["sha256"])
+
+    return files.mapInArrow(run, "sha256 string").first().sha256
+
 
-    Records are the rows of a Parquet file, by its footer, or the lines of any other. ``contract["records"]`` may be a
-    number or, with ``id_column``, the list of record ids that a Parquet file must hold. The file is read in pieces.
+def verify_snapshot(spark: SparkSession, path: str, contract: dict, id_column: str | None = None, ids: DataFrame | None = None) -> dict:
+    """Size, hash and number of records of a pinned file, on any store, against its contract; what was found.
+
+    Records are the rows of a Parquet file or the lines of any other. ``contract`` may hold bytes, sha256, rows or lines, and
+    distinct_ids. ``ids`` (one column) are the record ids that a Parquet file must hold, each once: both sides are compared as
+    frames, and what lacks, is too much or repeated is counted as missing_ids, unknown_ids and repeated_ids, which must be 0.
     """
-    with open(path, "rb") as file:
-        digest = hashlib.file_digest(file, "sha256").hexdigest()
-    found: dict = {"bytes": Path(path).stat().st_size, "sha256": digest}
+    at, store = _path(spark, path)
+    if not store.exists(at):
+        raise SnapshotError(f"{path}: there is no such file")
+    found: dict = {"bytes": store.getFileStatus(at).getLen(), "sha256": _sha256(spark.createDataFrame([(path,)], "path string"))}
+    wanted = dict(contract)
     if path.endswith(".parquet"):
-        found["rows"] = pq.read_metadata(path).num_rows
+        rows = spark.read.parquet(path)
+        found["rows"] = rows.count()
         if id_column:
-            found["records"] = sorted(pq.read_table(path, columns=[id_column]).column(0).to_pylist())
+            held = rows.groupBy(F.col(id_column).alias("id")).agg(F.count("*").alias("n"))
+            found |= held.agg(F.count("*").alias("distinct_ids"), F.count_if(F.col("n") > 1).alias("repeated_ids")).first().asDict()
+            if ids is not None:
+                pinned = ids.select(F.col(ids.columns[0]).cast(held.schema["id"].dataType).alias("id")).distinct()
+                found["missing_ids"], found["unknown_ids"] = pinned.join(held, "id", "left_anti").count(), held.join(pinned, "id", "left_anti").count()
+                wanted |= {"missing_ids": 0, "unknown_ids": 0, "repeated_ids": 0}
     else:
-        with open(path, "rb") as file:
-            found["lines"] = sum(piece.count(b"\n") for piece in iter(lambda: file.read(1 << 20), b""))
-    wrong = [f"{k}: expected {contract[k]}, found {found[k]}" for k in found if k in contract and contract[k] != found[k]]
+        found["lines"] = spark.read.text(path).count()
+    wrong = [f"{k}: expected {wanted[k]}, found {found[k]}" for k in found if k in wanted and wanted[k] != found[k]]
     if wrong:
         raise SnapshotError(f"{path}: " + "; ".join(wrong))
     return found

@@ -8,10 +8,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.sources.versions import KEY, ObjectSink, checked_key, object_rows, write_object
 from cairn.storage import _path, open_store, remove
 
 
@@ -53,7 +55,10 @@ def _write_atomic(df: DataFrame, targets: dict[str, str], **options: str) -> Non
 
 
 def write_parquet_atomic(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames; readers see the old table or the new one, and a failure leaves the old."""
+    """Writes beside the target and renames; a failure leaves the old table.
+
+    Between the two renames there is none for a moment: where readers must always find one, use ``versions``.
+    """
     _write_atomic(df, {path: "parquet"})
 
 
@@ -92,7 +97,8 @@ def flat(df: DataFrame, as_json: bool = True) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, as_json: bool = True) -> None:
-    flat(df, as_json).write.mode("overwrite").csv(path, header=True, escape='"')
+    """Delimited text with a header, nested columns as ``flat`` gives them, replaced as ``write_parquet_atomic`` does."""
+    _write_atomic(flat(df, as_json), {path: "csv"}, header="true", escape='"')
 
 
 def write_dual(df: DataFrame, path: str) -> None:
@@ -101,7 +107,10 @@ def write_dual(df: DataFrame, path: str) -> None:
 
 
 def publish_objects(df: DataFrame, folder: str, key: str) -> DataFrame:
-    """One JSON object a row at ``folder/<key>.json``, written by the executors; returns (key, bytes)."""
+    """One JSON object a row at ``folder/<key>.json``, written by the executors; returns (key, bytes).
+
+    A key that is no plain name is refused. Objects are seen as they are written; ``publish_batch`` shows them at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
@@ -109,27 +118,40 @@ def publish_objects(df: DataFrame, folder: str, key: str) -> DataFrame:
         for batch in batches:
             keys, sizes = batch.column(0).to_pylist(), []
             for name, body in zip(keys, batch.column(1).to_pylist(), strict=True):
-                temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(temporary) as out:
-                    out.write(body.encode())
-                store.move(temporary, f"{root}/{name}.json")
+                write_object(store, root, checked_key(name), body.encode())
                 sizes.append(len(body.encode()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], ["key", "bytes"])
 
-    body = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    return df.select(F.col(key).cast("string"), body).mapInArrow(run, "key string, bytes bigint")
+    return object_rows(df, key).mapInArrow(run, "key string, bytes bigint")
 
 
 def publish_batch(df: DataFrame, folder: str, key: str, batch: str) -> dict:
     """Objects of one batch below ``folder/<batch>/``, a summary, and the batches before it removed.
 
-    The summary ``_summary.json`` is written once every object is there, and names the batch that readers should use;
-    only then do other batches go, each as a whole prefix, so readers never meet a mixture.
+    Spark's commit protocol writes them: tasks tell what they wrote, and only when all have ended well is the summary
+    ``_summary.json`` put in place, which names the batch that readers should use. If the job fails, its batch is removed and
+    the summary is that of before. Only then do other batches go, each as a whole prefix, so readers never meet a
+    mixture. Keys are unique and plain names: repeated ones are an error, found before anything is written.
     """
     spark = df.sparkSession
-    sizes = publish_objects(df, f"{folder}/{batch}", key).agg(F.count("*").alias("objects"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    summary = {"batch": batch, "objects": sizes["objects"], "bytes": sizes["bytes"]}
-    write_manifest(spark, f"{folder}/_summary.json", summary)
+    checked_key(batch)
+    keys = df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n"))
+    for odd in keys.where((F.col("n") > 1) | ~F.coalesce(F.col("key").rlike(f"^(?U:{KEY})\\z"), F.lit(False))).limit(1).collect():
+        checked_key(odd.key)
+        raise ValueError(f"the key {odd.key!r} is there {odd.n} times")
+    summary_at = f"{folder}/_summary.json"
+    store, root = open_store(folder)
+    if store.get_file_info(f"{root}/{batch}").type != fs.FileType.NotFound:
+        raise FileExistsError(f"{folder} has a batch {batch}")
+    spark.dataSource.register(ObjectSink)
+    try:
+        object_rows(df, key).write.format("cairn_objects").options(folder=folder, batch=batch).mode("append").save()
+    except Exception:
+        remove(spark, f"{folder}/{batch}")  # what tasks wrote that ended after the job was given up
+        raise
+    store, root = open_store(summary_at)
+    with store.open_input_stream(root) as file:
+        summary = json.loads(file.read())
     at, store = _path(spark, folder)
     for found in store.listStatus(at):
         if found.isDirectory() and found.getPath().getName() != batch:

@@ -48,10 +48,10 @@ def test_objects_manifests_and_snapshots(spark, tmp_path):
     asked = spark.createDataFrame([("k1.json",), ("k9.json",)], "object_key string")
     assert {r.object_key: r.file_exists for r in files.attach_objects(asked, objects).collect()} == {"k1.json": True, "k9.json": False}
     sinks.write_manifest(spark, f"file://{tmp_path}/m.json", {"b": 1, "a": 2})
-    contract = files.verify_snapshot(str(tmp_path / "m.json"), {})
-    assert files.verify_snapshot(str(tmp_path / "m.json"), contract) == contract
+    contract = files.verify_snapshot(spark, f"file://{tmp_path}/m.json", {})
+    assert files.verify_snapshot(spark, f"file://{tmp_path}/m.json", contract) == contract
     with pytest.raises(files.SnapshotError):
-        files.verify_snapshot(str(tmp_path / "m.json"), {"sha256": "0"})
+        files.verify_snapshot(spark, f"file://{tmp_path}/m.json", {"sha256": "0"})
 
 
 def record(url, html):
