@@ -5,7 +5,7 @@
 * ``html_page_blocks(table(select page_id, html from pages))``: (page_id, title, block_index, block) as of
   ``html.page_blocks``, in Arrow batches;
 * ``claim_form_spans(table(select claim_id, file_id, annotation_json from forms))``: the spans of ``packets.form_spans``;
-* ``leading_rows(table(select group, place, value from t) partition by group order by place, n)``: the first ``n`` rows of each
+* ``leading_rows(table(select group, place, value from t) partition by group order by (place), n)``: the first ``n`` rows of each
   group, after which the rest of the group is not read by the function.
 
 Names of input columns may differ; their order counts. Null pages and annotations, and annotations that are no JSON of a

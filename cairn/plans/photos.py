@@ -10,8 +10,8 @@ from cairn.functions import raster as R
 from cairn.operators import packets as P
 from cairn.session import table
 
-#: Columns of a picture; every so many documents' file is cut in half.
-WIDTH, DAMAGED = 64, 50
+#: Columns of a picture; every so many documents' file is cut in half; what parts ties before figures are rounded.
+WIDTH, DAMAGED, TIE = 64, 50, 1e-9
 
 
 def _files(spark, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def _files(spark, sf_dir: str) -> DataFrame:
 def photo_pixels(spark, sf_dir):
     """Measures of every picture and what the first profile says of them."""
     rows = M.photo_quality(R.photo_metrics(_files(spark, sf_dir)))
-    return rows.select("doc_id", "decode_ok", "image_width", "image_height", F.round("brightness_mean", 4).alias("brightness_mean"), F.round("brightness_std", 4).alias("brightness_std"), F.round("blur_score", 3).alias("blur_score"), F.array_join("issue_flags", ",").alias("issue_flags"), "quality_score", "needs_review")
+    return rows.select("doc_id", "decode_ok", "image_width", "image_height", F.round(F.col("brightness_mean") + TIE, 4).alias("brightness_mean"), F.round(F.col("brightness_std") + TIE, 4).alias("brightness_std"), F.round(F.col("blur_score") + TIE, 3).alias("blur_score"), F.array_join("issue_flags", ",").alias("issue_flags"), "quality_score", "needs_review")
 
 
 def photo_pixel_means(spark, sf_dir):
@@ -56,7 +56,7 @@ QUERIES = {"photo_pixels": photo_pixels, "photo_pixel_means": photo_pixel_means,
 ORACLES = {
     "photo_pixels": _PIXELS + f""", r as (select *, mean as brightness_mean, std as brightness_std, blur as blur_score, {WIDTH} as image_width, h as image_height from m),
 s as (select *, concat_ws(',', {", ".join(f"case when {rule} then '{name}' end" for name, rule, _ in M.PHOTO_RULES)}) flags, round(greatest(0, 1 - {" - ".join(f"(case when {rule} then {price} else 0 end)::double" for _, rule, price in M.PHOTO_RULES)}), 6) score from r)
-select doc_id, not cut as decode_ok, case when cut then 0 else {WIDTH} end as image_width, case when cut then 0 else h end as image_height, case when not cut then round(mean, 4) end as brightness_mean, case when not cut then round(std, 4) end as brightness_std, case when not cut then round(blur, 3) end as blur_score,
+select doc_id, not cut as decode_ok, case when cut then 0 else {WIDTH} end as image_width, case when cut then 0 else h end as image_height, case when not cut then round(mean + {TIE}, 4) end as brightness_mean, case when not cut then round(std + {TIE}, 4) end as brightness_std, case when not cut then round(blur + {TIE}, 3) end as blur_score,
 case when cut then 'decode_error' else flags end as issue_flags, case when cut then 0.0 else score end as quality_score, cut or score < 0.6 or flags <> '' as needs_review from s""",
     "photo_pixel_means": _PIXELS + f""", q as (select *, mean / 255 as b, (across + down) / 2 as s from m),
 v as (select *, (least(1, {WIDTH} / 1280, h / 960) + greatest(0, 1 - abs(b - 0.5) / 0.5) + least(1, std / 40) + least(1, s / 8)) / 4 as score from q)

@@ -38,6 +38,6 @@ def test_form_spans_are_those_of_the_operator(spark):
 def test_leading_rows_end_early(spark):
     X.register(spark)
     rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), F.lpad(F.col("id").cast("string"), 8, "0").alias("at"), F.col("id").cast("string").alias("v"))
-    got = spark.sql("select * from leading_rows(table(select g, at, v from {r}) partition by g order by at desc, 2)", r=rows).collect()
+    got = spark.sql("select * from leading_rows(table(select g, at, v from {r}) partition by g order by (at desc), 2)", r=rows).collect()
     want = rows.groupBy("g").agg(F.slice(F.sort_array(F.collect_list("at"), asc=False), 1, 2).alias("top")).collect()
     assert sorted((r.part, r.place, r["at"]) for r in got) == sorted((r.g, i, a) for r in want for i, a in enumerate(r.top, 1))
