@@ -63,7 +63,8 @@ def budgets(capacity: DataFrame, total: int, weights: dict[str, dict[str, int]],
     """(levels, budget) from (levels, cap): each parent's budget fills its children evenly by weight.
 
     Children are sorted by capacity over weight. As long as a child's even share of what is left is no less than its
-    capacity, it gets its capacity; the others share the rest by weight, rounded down.
+    capacity, it gets its capacity; the others share the rest by weight, rounded down. Products of tokens and weights are
+    decimals of 38 digits, since 1e13 tokens times the weights of a million children exceed a bigint.
     """
     at: DataFrame | None = None
     parents: list[str] = []
@@ -76,10 +77,10 @@ def budgets(capacity: DataFrame, total: int, weights: dict[str, dict[str, int]],
         ahead = sorted_.rowsBetween(Window.unboundedPreceding, -1)  # sums that grow row by row; one to the end would start anew
         nodes = nodes.withColumn("before", F.coalesce(F.sum("cap").over(ahead), F.lit(0)))
         nodes = nodes.withColumn("still", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(ahead), F.lit(0)))
-        nodes = nodes.withColumn("full", F.expr("cap * still <= greatest(budget - before, 0) * w"))
+        nodes = nodes.withColumn("full", F.expr("cast(cap as decimal(19,0)) * still <= cast(greatest(budget - before, 0) as decimal(19,0)) * w"))
         nodes = nodes.withColumn("spent", F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0)))
         nodes = nodes.withColumn("rest", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(whole))
-        at = nodes.select(*keys, F.expr("if(full, cap, greatest(budget - spent, 0) * w div rest)").cast("bigint").alias("budget"))
+        at = nodes.select(*keys, F.expr("if(full, cap, cast(greatest(budget - spent, 0) as decimal(19,0)) * w div rest)").cast("bigint").alias("budget"))
         parents = keys
     return at
 

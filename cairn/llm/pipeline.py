@@ -5,11 +5,11 @@ Every stage reads what its predecessor kept, as written Parquet, and its decisio
 the columns of ``documents``; the last adds token counts, ids and digests in place of the text. Only the first stage
 reads another table (``labels``), and learns from the rows outside the held-out fifth alone.
 
-Defined cases. Null, empty and blank texts: not toxic unless the share of toxic labels alone is, near copies of each
+Defined cases. Null, empty and blank texts: not toxic, near copies of each
 other (one of them stays), without passages, of no tokens, taken by the mix where its prefix reaches them, encoded as no
 ids. Very long texts are processed whole in every stage. Rows that share a doc_id are judged each by its own text; of
 repeated rows the near-dedup stage keeps one. Null lang or source is a node of the mix of its own. An empty
-table gives an empty result, and without labels nothing is rejected. Columns besides those of ``documents``, whatever
+table gives an empty result, and without labels, or with too few for distances to separate, nothing is rejected. Columns besides those of ``documents``, whatever
 their names, pass through every stage but the last, which keeps those that do not clash with what it adds.
 """
 

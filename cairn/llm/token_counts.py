@@ -3,7 +3,8 @@
 Rows are regrouped into batches of about BATCH_BYTES, so that a batch's work does not depend on how long its texts
 are; a text longer than PIECE code points is cut at safe places, and its pieces' counts are added. A place is safe
 where white space follows a character that is not: no match of the splitting pattern crosses it, the pattern never
-looks back, and no special string holds white space, so the pieces' tokens are those of the whole.
+looks back, and a vocabulary with a special string that holds white space is not cut, so the pieces' tokens are those of
+the whole.
 
 A byte-level vocabulary without anything but merges (``as_ranks``) is counted by an encoder that takes its tokens as
 ranks and counts about five times as many bytes a second. Whether a .json file is one is read from the file itself, all
@@ -60,14 +61,15 @@ def _byte_of() -> dict[str, int]:
 def as_ranks(described: dict) -> dict[bytes, int] | None:
     """Ranks by token bytes of a described tokenizer, if merging by rank gives its tokens for every text; else None.
 
-    It must split by ``BYTE_LEVEL``, change nothing before, know no added tokens but special ones, and list its merges
-    in the order of the ids that they make, one merge for each token longer than a byte.
+    It must split by ``BYTE_LEVEL``, change nothing before, know no added tokens but special ones without white space (a
+    text may be cut before any), and list its merges in the order of the ids that they make, one merge for each token
+    longer than a byte.
     """
     model, split = described["model"], described.get("pre_tokenizer") or {}
     plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
     splits = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
     added = described.get("added_tokens") or []
-    if not (plain and splits and described.get("normalizer") is None and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)):
+    if not (plain and splits and described.get("normalizer") is None and all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{SPACE}]", t["content"])) for t in added)):
         return None
     byte, special = _byte_of(), {t["content"] for t in added}
     try:

@@ -19,7 +19,8 @@ out-of-fold distances only. Words are lower-cased (A-Z) and end at ASCII white s
 
 Fitting uses a bounded sample of labelled rows (ROWS a class, ``labelled.SAMPLE_BYTES`` of text a class); scoring reads
 every whole text. Defined cases: null and empty texts have no window and get the score of features nought; without
-labels of both classes every score is the share of toxic labels (0 without any); where samples are too few for
+labels of both classes every score is the share of toxic labels (0 without any); where out-of-fold distances do not tell
+the classes apart (SEPARATES), scores stand but ``keep_ordinary`` rejects nothing; where samples are too few for
 zstandard's trainer, a dictionary is the samples themselves, so the distances are then those of plain text; repeated
 doc_ids and contradicting labels are as in ``labelled.sample``; rows stay as they are, ties are impossible; columns
 besides doc_id and text are ignored by ``scored`` and kept by ``keep_ordinary``.
@@ -52,6 +53,8 @@ BASE_PIECES, CLASS_PIECES = (64, 8), (16, 8)
 TRAIN_WINDOWS, TABLE_BITS = 20_000, 22
 #: Folds; rounds in which toxic windows are chosen anew; the quantiles that choose windows.
 FOLDS, REFINE, NOVEL, CHANCE = 8, 2, 0.8, 0.98
+#: Standard deviations by which out-of-fold distances must tell the classes apart before documents are rejected.
+SEPARATES = 3.0
 #: A document's distances are summed beyond each of so many bytes.
 BEYOND = (1, 2, 3, 4, 6, 8)
 
@@ -62,6 +65,8 @@ class Model:
     toxic: bytes
     weights: tuple[float, ...] | None
     prior: float
+    #: Whether distances that were measured apart from learning tell the classes from each other.
+    separates: bool = True
 
 
 @dataclass
@@ -215,11 +220,23 @@ def _quantile(values: np.ndarray, q: float) -> float:
 def learn(texts: list[bytes], y: np.ndarray, prior: float, seed: int = 17) -> Model:
     """The model of labelled texts; ``prior`` is the share of toxic rows that the calibration assumes."""
     if not (y == 0).any() or not (y == 1).any():
-        return Model(b"", b"", None, prior)
+        return Model(b"", b"", None, prior, False)
     ordinary, toxic, who, x = _Bags(texts, y, np.random.default_rng(seed)).fit()
     y = y[who]
     weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-    return Model(ordinary, toxic, tuple(logistic(x, y, weight).tolist()), prior)
+    return Model(ordinary, toxic, tuple(logistic(x, y, weight).tolist()), prior, separation(x[:, 1:-1].sum(axis=1), y) > SEPARATES)
+
+
+def separation(values: np.ndarray, y: np.ndarray) -> float:
+    """How many standard deviations the rank sum of class 1 lies above that of values without any meaning."""
+    ones, noughts = int((y == 1).sum()), int((y == 0).sum())
+    if not ones or not noughts:
+        return 0.0
+    _, which, size = np.unique(values, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(size) - (size - 1) / 2)[which]  # ties share their mean rank
+    n, ties = ones + noughts, float((size**3 - size).sum())
+    spread = ones * noughts / 12 * ((n + 1) - ties / (n * (n - 1)))
+    return float((rank[y == 1].sum() - ones * (n + 1) / 2) / np.sqrt(spread)) if spread > 0 else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -246,7 +263,13 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold; all columns as they are."""
+    """``docs`` without the rows whose score reaches the threshold; all columns as they are.
+
+    Nothing is rejected by a model that does not separate: with a handful of labels scores are near the share of toxic
+    ones, whatever a text says.
+    """
+    if not model.separates:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)

@@ -80,3 +80,23 @@ def test_threshold_is_the_quantile_with_the_fewest_errors(spark):
     scores, y = model.scores([t for t, _ in learnt]), np.array([g for _, g in learnt])
     errors = lambda cut: int(((scores >= cut) != y).sum())
     assert errors(quality.ACCEPT) == min(errors(c) for c in [0, *scores, 2])
+
+
+def test_parting_is_best_beside_every_other_place():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n = int(rng.integers(4, 40))
+        y = np.array([0, 1] + [int(rng.random() < 0.7) for _ in range(n)])
+        strength, weight = np.round(rng.normal(size=len(y)) + y, 1), np.where(y == 1, 1.0, 2.5)
+        low, high = quality.parting(strength, y, weight)
+        wrong = lambda cut: weight[(strength >= cut) != y].sum()
+        assert low <= high and wrong((low + high) / 2 if low < high else high) <= min(wrong(c) for c in [*strength, 9]) + 1e-9
+
+
+def test_few_bad_rows_do_not_let_new_ones_pass(spark):
+    """sf0.01 has 47 bad rows to learn from and 11 apart; strengths by weights learnt on the same rows let 3 of these pass."""
+    small = SF.replace("0.1", "0.01")
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in quality.scored(docs, quality.fit(docs, labels)).collect() if r.doc_id in y and r.held_out]
+    assert sum(r.predicted for r in rows if y[r.doc_id] == 0) == 0 and all(r.predicted for r in rows if y[r.doc_id] == 1)

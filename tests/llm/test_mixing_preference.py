@@ -116,3 +116,11 @@ def test_preference_of_very_long_turns(spark):
     frame = spark.createDataFrame([(0, 0, "user", long), (1, 0, "user", long), (0, 1, "assistant", long), (1, 1, "assistant", long + "!")], "conv_id bigint, turn bigint, role string, text string")
     (row,) = preference.formatted(frame, F.expr("conv_id div 2"), F.expr("conv_id % 2 = 0")).collect()
     assert row.prompt_turns == 1 and long in row.prompt and long in row.chosen and row.rejected.endswith("!<|end|>\n")
+
+
+def test_budgets_of_very_large_counts(spark):
+    """One child of 5e18 tokens among 10,000: tokens times weights are far beyond a bigint."""
+    large, small, n, total = 5 * 10**18, 10**14, 10_000, 3 * 10**18
+    rows = spark.range(n).select(F.lit("d").alias("domain"), F.lit("l").alias("lang"), F.col("id").cast("string").alias("source"), F.when(F.col("id") == 7, large).otherwise(small).alias("cap"))
+    got = {r.source: r.budget for r in mixing.budgets(rows, total, {}).collect()}
+    assert got.pop("7") == total - small * (n - 1) and set(got.values()) == {small} and len(got) == n - 1

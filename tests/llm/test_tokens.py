@@ -87,6 +87,7 @@ def test_only_plain_byte_level_vocabularies_are_counted_by_ranks():
     for change in (
         {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": described["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": model | {"ignore_merges": True}},
         {"model": model | {"merges": [merges[1], merges[0], *merges[2:]]}}, {"model": model | {"merges": merges[:-1]}}, {"added_tokens": [described["added_tokens"][0] | {"special": False}]},
+        *({"added_tokens": [described["added_tokens"][0] | {"content": c}]} for c in ("<|end of text|>", "<|end\u00a0|>", "a\n")),
     ):
         assert token_counts.as_ranks(described | change) is None
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
@@ -119,3 +120,14 @@ def test_token_count_rows(spark):
     assert got == sorted(((d or -1), len((t or "").encode()), count(t), count(t) > 1024) for d, t in texts)
     assert {n: o for d, _, n, o in got if d in (6, 7)} == {1024: False, 1025: True}
     assert token_counts.token_counts(frame.limit(0), path).count() == 0
+
+
+def test_special_strings_with_white_space_are_counted_as_the_library_does(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        described = json.load(file)
+    described["added_tokens"].append(described["added_tokens"][0] | {"id": 50257, "content": "<|end of text|>"})
+    (tmp_path / "spaced.json").write_text(json.dumps(described))
+    library = Tokenizer.from_file(str(tmp_path / "spaced.json"))
+    text = "some words <|end of text|> and more " * 3000
+    assert len(text) > 2 * token_counts.PIECE
+    assert token_counts.counter(str(tmp_path / "spaced.json"))([text]) == [len(library.encode(text, add_special_tokens=False))]

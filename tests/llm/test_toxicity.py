@@ -100,3 +100,25 @@ def test_sample_takes_contradictions_repeats_and_bytes_as_stated(spark):
     texts, y, _ = sample(docs, labels, "toxic", {1: 100, 0: 100}, max_bytes=350)
     assert all(sum(len(t) for t, k in zip(texts, y, strict=True) if k == c) <= 350 for c in (0, 1)) and len(texts) >= 6
     assert sorted(sample(docs.repartition(7), labels, "toxic", {1: 5, 0: 5})[0]) == sorted(sample(docs, labels.repartition(3), "toxic", {1: 5, 0: 5})[0])
+
+
+def test_separation_is_the_rank_sum_beyond_chance():
+    rng = np.random.default_rng(1)
+    y = np.repeat([0, 1], 200)
+    assert abs(T.separation(rng.normal(size=400), y)) < 3 < T.separation(rng.normal(size=400) + y, y)
+    assert T.separation(np.zeros(400), y) == T.separation(np.arange(5), np.zeros(5)) == 0.0
+    assert T.separation(np.arange(7), np.array([0, 0, 0, 1, 1, 1, 1])) < T.SEPARATES  # however well so few are told apart
+
+
+def test_a_handful_of_labels_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i} of words " * 9) for i in range(13)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(9)], "doc_id bigint, toxic int")
+    model = T.fit(docs, labels)
+    assert not model.separates and T.keep_ordinary(docs, model).count() == 13
+    assert all(0 <= r.score <= 1 for r in T.scored(docs, model).collect())
+
+
+def test_a_fit_that_separates_rejects():
+    texts, y = made_up(4, 400)[:2]
+    model = T.learn(texts, np.array(y), 0.3)
+    assert model.separates
