@@ -20,8 +20,9 @@ from cairn.storage import store
 
 #: Similarity from which a pair is a duplicate; pairs that candidates may come to.
 THRESHOLD, PAIR_BUDGET = 0.7, 1_000_000
-#: Classes of a bucket that one task searches; a fuller bucket is dealt into blocks, every two of which meet.
-BLOCK = 4096
+#: Classes of a bucket that one task searches, and their shingles (32 MB of them), about; a fuller bucket is dealt into
+#: blocks, every two of which meet.
+BLOCK, BLOCK_SHINGLES = 4096, 4 << 20
 
 
 class PairBudgetExceeded(RuntimeError):
@@ -76,10 +77,26 @@ def scored_pairs(pairs: DataFrame, prints: DataFrame, threshold: float = THRESHO
     return both.select("left_id", "right_id", "shared_bands", "shingle_jaccard", "signature_overlap", "is_duplicate", reason.alias("reason"))
 
 
-def bucket_links(heads: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that span the components of all duplicate pairs which share a band; pairs are never listed."""
+def distinct_buckets(heads: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """(band, key, blocks) of shared keys, one of each set of buckets with the same members: near copies that agree in
+    several bands are searched once. Sets are told apart by their size and 128 bits of their members' hashes."""
+    sized = heads.select("doc_id", "bands", F.size("shingles").cast("bigint").alias("n"))
+    bands = sized.select("doc_id", "n", F.posexplode_outer("bands").alias("band", "key")).where("key is not null")
+    buckets = bands.groupBy("band", "key").agg(
+        F.count("*").alias("members"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")
+    ).where("members > 1")
+    one = buckets.groupBy("members", "x", "y").agg(F.min(F.struct("band", "key")).alias("b"), F.first("shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / block_shingles))
+    return one.select("b.band", "b.key", blocks.cast("int").alias("blocks"))
+
+
+def bucket_links(heads: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b): links that span the components of all duplicate pairs which share a band; pairs are never listed.
+
+    A task holds two blocks: at most about twice ``block`` classes and ``block_shingles`` shingles, beside a single longer text.
+    """
     bands = exploded_bands(heads)
-    buckets = collision_buckets(bands).select("band", "key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    buckets = distinct_buckets(heads, block, block_shingles)
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != own) | (F.col("blocks") == 1))
     dealt = bands.join(buckets, ["band", "key"]).select("doc_id", "band", "key", F.explode(F.transform(others, lambda j: F.struct(F.least(j, own).alias("x"), F.greatest(j, own).alias("y")))).alias("t"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Settings of a run of the claims and of the call pipeline, with their types; fixed values.
@@ -21,14 +21,22 @@ CALL_SETTINGS = (
 SECRET = re.compile(r"secret|password|token|api_key|access_key|credential", re.IGNORECASE)
 
 
-def run_config(spark: SparkSession, settings: dict[str, object], schema: str) -> DataFrame:
-    """The one row of a run's settings, of the given columns and types; others are left out, secrets are refused."""
+def run_config(settings: DataFrame, schema: str) -> DataFrame:
+    """The one row of a run's settings, of the given columns and types, from a table of (name, value) rows.
+
+    Settings that the table lacks are null, others are left out, and a schema that would show a secret is refused. A name
+    with two different values fails the query.
+    """
     shown = [part.strip().split() for part in schema.split(",")]
     secret = [name for name, _ in shown if SECRET.search(name)]
     if secret:
         raise ValueError(f"settings must not hold secrets: {', '.join(secret)}")
-    values = [F.lit(None if settings.get(name) is None else str(settings[name])).cast(kind).alias(name) for name, kind in shown]
-    return spark.range(1).select(*values)
+
+    def value(name: str) -> Column:
+        of = F.when(F.col("name") == name, F.col("value").cast("string"))
+        return F.when(F.min(of) == F.max(of), F.min(of)).when(F.min(of).isNotNull(), F.raise_error(F.lit(f"the setting {name} has two values")).cast("string"))
+
+    return settings.agg(*(value(name).cast(kind).alias(name) for name, kind in shown))
 
 
 def with_config(rows: DataFrame, config: DataFrame, *columns: str) -> DataFrame:

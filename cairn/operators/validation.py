@@ -20,6 +20,7 @@ class ValidationError(RuntimeError):
 class Report:
     facts: dict[str, int] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
     def raise_if_failed(self) -> Report:
         if self.errors:
@@ -107,6 +108,20 @@ class Rule:
     refers_to: tuple[DataFrame, str] | None = None
 
 
+def broken(column: str, rule: Rule) -> list[tuple[str, Column]]:
+    """What is told of rows that break a rule of a column, and which do; references are checked by joins."""
+    c, out = F.col(column), []
+    if rule.required:
+        out.append(("missing", c.isNull() | (F.trim(c.cast("string")) == "")))
+    if rule.one_of:
+        out.append(("unknown", c.isNotNull() & ~c.isin(*rule.one_of)))
+    if rule.between:
+        out.append(("out_of_range", c.isNotNull() & ~c.between(*rule.between)))
+    if rule.pattern:
+        out.append(("malformed", c.isNotNull() & ~c.rlike(rule.pattern)))
+    return out
+
+
 def mart_contract(name: str, table: DataFrame, schema: StructType, rules: dict[str, Rule], key: tuple[str, ...] = ()) -> Report:
     """Schema, key, required columns, sets of values, ranges, patterns and references of a table, all failures together.
 
@@ -118,15 +133,7 @@ def mart_contract(name: str, table: DataFrame, schema: StructType, rules: dict[s
         return Report(errors=[f"{name}: {w}" for w in wrong])
     told, checks = [], []
     for c, rule in rules.items():
-        empty = F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
-        if rule.required:
-            told.append((f"{c}_missing", empty))
-        if rule.one_of:
-            told.append((f"{c}_unknown", F.col(c).isNotNull() & ~F.col(c).isin(*rule.one_of)))
-        if rule.between:
-            told.append((f"{c}_out_of_range", F.col(c).isNotNull() & ~F.col(c).between(*rule.between)))
-        if rule.pattern:
-            told.append((f"{c}_malformed", F.col(c).isNotNull() & ~F.col(c).rlike(rule.pattern)))
+        told += [(f"{c}_{label}", wrong) for label, wrong in broken(c, rule)]
         if rule.refers_to:
             checks.append(orphans(name, table.where(F.col(c).isNotNull()), c, *rule.refers_to))
     checks += [counted(name, table, *told)] if told else []
@@ -134,6 +141,59 @@ def mart_contract(name: str, table: DataFrame, schema: StructType, rules: dict[s
     return report(checks) if checks else Report()
 
 
+@dataclass(frozen=True)
+class Published:
+    """A published table and what it must be: schema, key, rules of columns, number of rows, rules that only warn."""
+
+    rows: DataFrame
+    schema: StructType
+    key: tuple[str, ...] = ()
+    rules: dict[str, Rule] = field(default_factory=dict)
+    expected: int | None = None
+    warn: dict[str, Column] = field(default_factory=dict)
+
+
+#: (name, child table, child column, parent table, parent column): every value of the child is one of the parent's.
+Identity = tuple[str, str, str, str, str]
+
+
+def suite(tables: dict[str, Published], identities: tuple[Identity, ...] = (), *counts: tuple[str, Callable[[dict[str, int]], bool]]) -> Report:
+    """All tables of one publication at once: schemas, keys, columns, numbers of rows and identities across tables.
+
+    Tables whose schema is wrong are told and left out of what reads rows; everything else runs as one action. Empty
+    tables are errors unless ``expected`` is 0. Rules of ``warn`` that rows break are warnings, which do not fail the suite.
+    ``counts`` are rules over the numbers of rows by table.
+    """
+    out = Report()
+    for name, t in tables.items():
+        out.errors += [f"{name}: {w}" for w in schema_errors(t.rows, t.schema)]
+    sound = {n: t for n, t in tables.items() if not schema_errors(t.rows, t.schema)}
+    checks, soft = [], set()
+    for name, t in sound.items():
+        told = [("rows", F.lit(True)), *((f"warn_{k}", c) for k, c in t.warn.items()), *((f"{c}_{label}", rule) for c, r in t.rules.items() for label, rule in broken(c, r))]
+        soft |= {f"{name}.rows", *(f"{name}.warn_{k}" for k in t.warn)}
+        checks += [counted(name, t.rows, *told), *([duplicate_keys(name, t.rows, *t.key)] if t.key else [])]
+        checks += [orphans(name, t.rows.where(F.col(c).isNotNull()), c, *r.refers_to) for c, r in t.rules.items() if r.refers_to]
+    for label, child, column, parent, of in identities:
+        if child in sound and parent in sound:
+            left = sound[child].rows.select(F.col(column).alias("__value")).where("__value is not null")
+            checks.append(violations(label, left.join(sound[parent].rows.select(F.col(of).alias("__value")).distinct(), "__value", "left_anti")))
+        else:
+            out.errors.append(f"{label}: not checked, a table of it is unsound")
+    out.facts = {r["check"]: r.violations for r in reduce(DataFrame.unionByName, checks).collect()} if checks else {}
+    found = {n: out.facts[f"{n}.rows"] for n in sound}
+    out.errors += [f"{check}: {n}" for check, n in out.facts.items() if n and check not in soft]
+    out.warnings += [f"{check.replace('.warn_', '.')}: {n}" for check, n in out.facts.items() if n and check in soft and ".warn_" in check]
+    for name, t in sound.items():
+        if t.expected is None and not found[name]:
+            out.errors.append(f"{name}: no rows")
+        elif t.expected is not None and found[name] != t.expected:
+            out.errors.append(f"{name}: {found[name]} rows, not {t.expected}")
+    if len(sound) == len(tables):
+        out.errors += invariants(found, *counts)
+    return out
+
+
 def ensure_columns(table: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """``table`` with the columns that it lacks."""
     return table.withColumns({n: c for n, c in defaults.items() if n not in table.columns})

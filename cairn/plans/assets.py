@@ -9,6 +9,7 @@ from cairn.functions import html as H
 from cairn.functions import media as M
 from cairn.operators import packets as P
 from cairn.session import table
+from cairn.storage import store
 
 
 def _assets(spark, sf_dir: str) -> DataFrame:
@@ -45,12 +46,17 @@ def _photos(spark, sf_dir: str) -> DataFrame:
     return M.photo_quality(lines).withColumn("evidence_node_id", F.concat(F.lit("evidence:photo_quality:"), "file_id"))
 
 
+def _stored_photos(spark, sf_dir: str) -> DataFrame:
+    """The photos, written once for all the branches that read them."""
+    return store(_photos(spark, sf_dir), "photos").df
+
+
 def photo_quality(spark, sf_dir):
     return _photos(spark, sf_dir).select("file_id", F.array_join("issue_flags", ",").alias("issue_flags"), "quality_score", "needs_review")
 
 
 def _packet(spark, sf_dir: str):
-    photos = _photos(spark, sf_dir).withColumn("needs_review", F.col("needs_review") | ~F.col("decode_ok"))
+    photos = _stored_photos(spark, sf_dir).withColumn("needs_review", F.col("needs_review") | ~F.col("decode_ok"))
     orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("claim_id"), "o_orderkey")
     claims = orders.select("claim_id")
     forms = orders.where("o_orderkey % 4 = 0").select("claim_id", F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("file_id"), F.concat(F.lit('{"form":[{"id":1,"label":"question","text":" ","box":[0,0,5,9],"words":[{"text":"w"},{"text":"v"}]},{"label":"answer","text":"'), F.when(F.col("o_orderkey") % 8 == 0, "").otherwise("ok"), F.lit('","box":[3,3,3,4],"words":[]}]}')).alias("annotation_json"))
@@ -78,12 +84,13 @@ def form_spans(spark, sf_dir):
 
 def _tasks(spark, sf_dir: str):
     claims, files, photos, spans, damages, runs = _packet(spark, sf_dir)
-    return claims, files, photos, spans, damages, P.review_tasks(claims, files, photos, spans, damages, runs)
+    return claims, files, photos, spans, damages, store(P.review_tasks(claims, files, photos, spans, damages, runs), "tasks").df
 
 
 def review_tasks(spark, sf_dir):
     """All seven kinds, with what people are told."""
-    return _tasks(spark, sf_dir)[-1].select("claim_id", "task_id", "task_type", "priority", "source_file_id", "evidence_node_id", "status")
+    claims, files, photos, spans, damages, runs = _packet(spark, sf_dir)
+    return P.review_tasks(claims, files, photos, spans, damages, runs).select("claim_id", "task_id", "task_type", "priority", "source_file_id", "evidence_node_id", "status")
 
 
 def review_reasons(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import dedup as D
+from cairn.operators import pairs as E
 from cairn.session import table
 from cairn.storage import store
 
@@ -114,13 +115,26 @@ members as materialized (select doc_id, 'cluster-' || root as cluster_id, count(
 chosen as (select * exclude (rn) from (select *, row_number() over (partition by cluster_id order by n_chars desc, token_count desc, doc_id) as rn from members) where rn = 1)
 """
 
+def exact_pairs(spark, sf_dir):
+    """Every pair of classes of equal texts with the similarity, whatever bands they share, and how many texts each has."""
+    pairs, member = E.similar_pairs(_prints(spark, sf_dir), D.THRESHOLD)
+    sizes = member.groupBy("class").agg(F.count("*").alias("texts"))
+    side = lambda s: sizes.select(F.col("class").alias(f"{s}_id"), F.col("texts").alias(f"{s}_texts"))
+    return pairs.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("shingle_jaccard", F.round("shingle_jaccard", 6))
+
+
 QUERIES = {
+    "dedup_exact_pairs": exact_pairs,
     "dedup_fingerprint_counts": fingerprint_counts, "dedup_collision_buckets": collision_buckets, "dedup_candidate_pairs": candidate_pairs, "dedup_scored_pairs": scored_pairs,
     "dedup_clusters": clusters, "dedup_representatives": representatives, "dedup_cluster_inspection": cluster_inspection, "dedup_candidate_summary": candidate_summary,
     "dedup_domain_summary": domain_summary, "dedup_duplicate_summary": duplicate_summary, "dedup_exact_duplicates": exact_duplicates, "dedup_blake2b_bands": blake2b_bands,
 }
 _R = "round(shingle_jaccard, 6) as shingle_jaccard, round(signature_overlap, 6) as signature_overlap"
 ORACLES = {
+    "dedup_exact_pairs": _BASE + f""", digests as (select doc_id, md5(string_agg(x, '|' order by x)) as d from grams group by 1),
+firsts as (select d, min(doc_id) as id, count(*) as texts from digests group by 1), g as materialized (select id, texts, x from grams join firsts on id = doc_id),
+met as (select l.id as left_id, r.id as right_id, l.texts as left_texts, r.texts as right_texts, count(*) as c from g l join g r on l.x = r.x and l.id < r.id group by all)
+select left_id, right_id, left_texts, right_texts, round(c / (a.n + b.n - c), 6) as shingle_jaccard from met join sizes a on a.doc_id = left_id join sizes b on b.doc_id = right_id where c / (a.n + b.n - c) >= {D.THRESHOLD}""",
     "dedup_fingerprint_counts": _BASE + f"select doc_id, len(w)::bigint as token_count, len(list_distinct(w))::bigint as unique_tokens, coalesce(n, 0)::bigint as shingle_count, coalesce((select string_agg(m::varchar, ',' order by i) from sig where sig.doc_id = words.doc_id), '{','.join(['0'] * T.PERMUTATIONS)}') as signature from words left join sizes using (doc_id)",
     "dedup_collision_buckets": _BASE + "select * from buckets",
     "dedup_candidate_pairs": _BASE + "select * from pairs",

@@ -11,24 +11,38 @@ from cairn.operators import stages as S
 from cairn.plans import claims as P
 from cairn.plans import dedup as W
 from cairn.session import table
+from cairn.storage import store
 
-CLAIM_RUN = {"runtime_config_version": 3, "run_started_at": "2026-01-01 00:00:00", "ocr_engine": "given", "required_fields_json": '["claim_number"]', "minimum_text_confidence": 0.5, "ai_model": "given", "minio_bucket": "b", "database_password": "x"}
-CALL_RUN = {"runtime_config_version": "2", "asr_engine": "given", "min_text_chars": 10, "minio_bucket": "b"}
+def _settings(spark, sf_dir: str, kind: str) -> DataFrame:
+    """(name, value): a run's settings as its own tables tell them; a password is among them, and must not be shown."""
+    orders = table(spark, sf_dir, "orders").agg(F.concat(F.max("o_orderdate").cast("date").cast("string"), F.lit(" 00:00:00")).alias("day"))
+    regions = table(spark, sf_dir, "region").agg(F.count("*").cast("string").alias("version"), F.min("r_name").alias("engine"), F.max("r_name").alias("model"))
+    told = {
+        "claim": {"runtime_config_version": "version", "run_started_at": "day", "ocr_engine": "engine", "required_fields_json": "'[\"claim_number\"]'", "minimum_text_confidence": "'0.5'", "ai_model": "model", "minio_bucket": "'b'", "database_password": "'x'"},
+        "call": {"runtime_config_version": "version", "asr_engine": "engine", "min_text_chars": "'10'", "minio_bucket": "'b'", "database_password": "'x'"},
+    }[kind]
+    pairs = ", ".join(f"named_struct('name', '{n}', 'value', {v})" for n, v in told.items())
+    return regions.crossJoin(orders).selectExpr(f"inline(array({pairs}))")
+
+
+def _config(spark, sf_dir: str, kind: str) -> DataFrame:
+    """The settings, written as a table once and read from it by whatever needs them."""
+    return S.run_config(store(_settings(spark, sf_dir, kind), "settings").df, {"claim": S.CLAIM_SETTINGS, "call": S.CALL_SETTINGS}[kind])
 
 
 def claim_run_config(spark, sf_dir):
-    return S.run_config(spark, CLAIM_RUN, S.CLAIM_SETTINGS).withColumn("run_started_at", F.col("run_started_at").cast("string"))
+    return _config(spark, sf_dir, "claim").withColumn("run_started_at", F.col("run_started_at").cast("string"))
 
 
 def call_run_config(spark, sf_dir):
-    return S.run_config(spark, CALL_RUN, S.CALL_SETTINGS)
+    return _config(spark, sf_dir, "call")
 
 
 def _inputs(spark, sf_dir: str) -> DataFrame:
     """Materials of the claims; those of some claims lie in another bucket."""
     materials = P.inputs(spark, sf_dir)["materials"]
     moved = materials.withColumn("bucket", F.when(F.substring("claim_id", 2, 20).cast("bigint") % 9 == 0, "elsewhere").otherwise(F.col("bucket")))
-    return S.claim_material_inputs(moved, S.run_config(spark, CLAIM_RUN, S.CLAIM_SETTINGS))
+    return store(S.claim_material_inputs(moved, _config(spark, sf_dir, "claim")), "material-inputs").df
 
 
 def claim_material_inputs(spark, sf_dir):
@@ -58,7 +72,7 @@ def claim_validation_inputs(spark, sf_dir):
 def document_quality_inputs(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("claim_id"), (F.col("o_orderkey") % 3).cast("int").alias("material_index"))
     ocr, found = orders.withColumn("document_ocr_text", F.lit("{}")), orders.where("material_index > 0").withColumn("document_fields_text", F.lit("{}"))
-    rows = S.document_quality_inputs(ocr, found, S.run_config(spark, CLAIM_RUN, S.CLAIM_SETTINGS))
+    rows = S.document_quality_inputs(ocr, found, _config(spark, sf_dir, "claim"))
     return rows.groupBy("material_index", "required_fields_text", "minimum_text_confidence").agg(F.count("*").alias("documents"), F.count_if(F.col("claim_id") == F.col("claim_id_text")).alias("bound"))
 
 
@@ -107,8 +121,8 @@ QUERIES = {
 }
 _MOVED = P._BASE + ", moved as (select *, substr(claim_id, 2)::bigint % 9 = 0 as away from valid), inside as (select *, ok and not away as trusted from moved) "
 ORACLES = {
-    "stage_claim_run_config": """select 3 as runtime_config_version, '2026-01-01 00:00:00' as run_started_at, 'given' as ocr_engine, null::varchar as ocr_device, '["claim_number"]' as required_fields_json, 0.5::double as minimum_text_confidence, null::varchar as ai_provider, 'given' as ai_model, 'b' as minio_bucket""",
-    "stage_call_run_config": "select 2 as runtime_config_version, null::varchar as run_started_at, 'given' as asr_engine, null::varchar as asr_model, null::varchar as asr_language, 10 as min_text_chars, null::varchar as ai_provider, null::varchar as ai_model, 'b' as minio_bucket",
+    "stage_claim_run_config": """select count(*)::int as runtime_config_version, (select max(o_orderdate)::date::varchar || ' 00:00:00' from orders) as run_started_at, min(r_name) as ocr_engine, null::varchar as ocr_device, '["claim_number"]' as required_fields_json, 0.5::double as minimum_text_confidence, null::varchar as ai_provider, max(r_name) as ai_model, 'b' as minio_bucket from region""",
+    "stage_call_run_config": "select count(*)::int as runtime_config_version, null::varchar as run_started_at, min(r_name) as asr_engine, null::varchar as asr_model, null::varchar as asr_language, 10 as min_text_chars, null::varchar as ai_provider, null::varchar as ai_model, 'b' as minio_bucket from region",
     "stage_claim_material_inputs": _MOVED + "select role, supported, ok as locator_valid, trusted as runtime_locator_valid, count(*) as materials from inside group by all",
     "stage_claim_objects": _MOVED
     + """, f as (select role, length(object_key) % 3 > 0 as hit from inside where trusted)

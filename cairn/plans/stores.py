@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import tables as X
 from cairn.operators import prompts as M
+from cairn.operators import validation as V
 from cairn.session import table
 from cairn.sources import files, records, sinks, versions
 from cairn.storage import open_store, scratch
@@ -199,6 +200,20 @@ def leading_events(spark, sf_dir):
     return spark.sql(f"select part as user_id, place, value as event_id from leading_rows(table({asked}) partition by user order by (at), 3)", events=table(spark, sf_dir, "events"))
 
 
+def published_suite(spark, sf_dir):
+    """A suite over three published tables: what it counted, and whether that is an error, a warning or neither."""
+    read = lambda n: table(spark, sf_dir, n)
+    orders, items, customers = read("orders"), read("lineitem"), read("customer")
+    tables = {
+        "orders": V.Published(orders, orders.schema, ("o_orderkey",), {"o_orderstatus": V.Rule(required=True, one_of=("F", "O", "P")), "o_totalprice": V.Rule(between=(0, 400_000))}, warn={"low": F.col("o_totalprice") < 2000}),
+        "customer": V.Published(customers, customers.schema, ("c_custkey",), {"c_mktsegment": V.Rule(pattern="^[A-Z]+$")}),
+        "lineitem": V.Published(items, items.schema, (), {"l_quantity": V.Rule(required=True, between=(1, 49))}),
+    }
+    found = V.suite(tables, (("orders.customer", "orders", "o_custkey", "customer", "c_custkey"), ("lineitem.order", "lineitem", "l_orderkey", "orders", "o_orderkey")), ("an order has lines", lambda n: n["lineitem"] >= n["orders"]))
+    kind = lambda check: "warning" if ".warn_" in check else "fact" if check.endswith(".rows") else "rule"
+    return spark.createDataFrame([(c, n, kind(c)) for c, n in sorted(found.facts.items())], "rule string, n bigint, kind string")
+
+
 def run_manifest(spark, sf_dir):
     """Facts of a run, written as a manifest and read back."""
     at, counts = scratch(spark, "manifest"), {n: table(spark, sf_dir, n).count() for n in ("region", "nation", "supplier")}
@@ -212,7 +227,7 @@ def run_manifest(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (
         csv_round_trip, csv_without_nested, jsonl_round_trip, json_inferred, json_lenient, dual_round_trip, parquet_union, ordered_table, table_versions, observed_counts, keyed_objects,
-        objects_of_manifest, table_of_query, path_scan, captured_records, captured_of_urls, html_blocks_by_sql, form_spans_by_sql, leading_events, run_manifest,
+        objects_of_manifest, table_of_query, path_scan, captured_records, captured_of_urls, html_blocks_by_sql, form_spans_by_sql, leading_events, published_suite, run_manifest,
     )
 }
 ORACLES = {
@@ -235,5 +250,12 @@ select object_key, strlen(body) as length, sha256(body) as sha256, s_name from o
     "captured_of_urls": "select url, strlen(html)::bigint as n_bytes from pages where url like 'https%'",
     "form_spans_by_sql": "select 'answer_0' as field_name, case when o_orderkey % 8 = 0 then '' else o_orderpriority end as field_value, o_orderkey % 5 > 1 as valid_bbox, o_orderkey % 8 = 0 or o_orderkey % 5 <= 1 as needs_review, count(*) as spans from orders group by all",
     "leading_events": "select user_id::varchar as user_id, place, event_id::varchar as event_id from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as place from events) where place <= 3",
+    "published_suite": """select 'orders.rows' as rule, count(*) as n, 'fact' as kind from orders union all select 'customer.rows', count(*), 'fact' from customer union all select 'lineitem.rows', count(*), 'fact' from lineitem
+union all select 'orders.warn_low', count(*) filter (o_totalprice < 2000), 'warning' from orders union all select 'orders.o_orderstatus_missing', count(*) filter (coalesce(trim(o_orderstatus), '') = ''), 'rule' from orders
+union all select 'orders.o_orderstatus_unknown', count(*) filter (o_orderstatus not in ('F', 'O', 'P')), 'rule' from orders union all select 'orders.o_totalprice_out_of_range', count(*) filter (o_totalprice not between 0 and 400000), 'rule' from orders
+union all select 'orders.duplicate_key', count(*), 'rule' from (select 1 from orders group by o_orderkey having count(*) > 1) union all select 'customer.duplicate_key', count(*), 'rule' from (select 1 from customer group by c_custkey having count(*) > 1)
+union all select 'customer.c_mktsegment_malformed', count(*) filter (not regexp_full_match(c_mktsegment, '[A-Z]+')), 'rule' from customer union all select 'lineitem.l_quantity_missing', count(*) filter (l_quantity is null), 'rule' from lineitem
+union all select 'lineitem.l_quantity_out_of_range', count(*) filter (l_quantity not between 1 and 49), 'rule' from lineitem
+union all select 'orders.customer', count(*), 'rule' from orders where o_custkey is not null and o_custkey not in (select c_custkey from customer) union all select 'lineitem.order', count(*), 'rule' from lineitem where l_orderkey is not null and l_orderkey not in (select o_orderkey from orders)""",
     "run_manifest": "select 'region' as name, count(*) as n_rows from region union all select 'nation', count(*) from nation union all select 'supplier', count(*) from supplier",
 }

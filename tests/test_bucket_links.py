@@ -20,3 +20,13 @@ def test_large_family_beyond_the_budget(spark, block):
     else:
         parts = D.connected_components(D.bucket_links(prints, block=block)).collect()
         assert {(r.node, r.component) for r in parts} == {(i, 0) for i in range(520)}
+
+
+def test_buckets_with_the_same_members_are_searched_once(spark):
+    rows = [(1, ["a", "b"], [1] * 3), (2, ["a", "b"], [2] * 3), (3, ["c", "b"], [3] * 3), (4, ["c", None], [4] * 90)]
+    heads = spark.createDataFrame(rows, "doc_id bigint, bands array<string>, shingles array<bigint>")
+    got = {(r.band, r.key): r.blocks for r in D.distinct_buckets(heads, 4096, 1000).collect()}
+    assert got == {(0, "a"): 1, (1, "b"): 1, (0, "c"): 1}
+    assert {r.blocks for r in D.distinct_buckets(heads, 4096, 31).where("key = 'c'").collect()} == {3}  # 93 shingles
+    same = heads.where("doc_id < 3")
+    assert D.distinct_buckets(same, 4096, 1000).count() == 1
