@@ -62,8 +62,11 @@ def queue_place(state: Column) -> Column:
 
 
 def review_queue(context: DataFrame) -> DataFrame:
-    """Cases that are not ready; ``queue_place`` orders them."""
-    return context.where("review_state <> 'ready'").withColumn("queue_place", queue_place(F.col("review_state")))
+    """Cases that are not ready, in the order in which they are to be reviewed: by ``queue_place``, then by case.
+
+    The order is a sort by ranges; a limit on it keeps the first rows of each task alone.
+    """
+    return context.where("review_state <> 'ready'").withColumn("queue_place", queue_place(F.col("review_state"))).orderBy("queue_place", context.columns[0])
 
 
 def status_summary(context: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from cairn.functions import jsonguard as J
 from cairn.operators import prompts as M
 from cairn.session import table
 
@@ -101,13 +102,23 @@ def turn_error_budget(spark, sf_dir):
     return spark.createDataFrame(list(counts.items()), "status string, turns bigint")
 
 
+def salvaged_answers(spark, sf_dir):
+    """Answers with text around their JSON, plain ones, and some that hold none, about every turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    told = F.to_json(F.struct(F.col("turn").alias("place"), "role", F.col("conv_id").alias("call")))
+    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Sure, here it is: "), told, F.lit(" - anything else?"))).when(F.col("turn") % 3 == 1, told).otherwise(F.concat(F.lit("{no answer about "), "role"))
+    return turns.select("conv_id", "turn", J.salvage(raw).alias("answer"))
+
+
 _TURNS = "with t as (select conv_id || '-' || turn as turn_id, role, text, length(text) as n from conversations) "
 _JUDGED = _TURNS + ", j as (select *, case when text is null then 'skipped' when n % 17 = 0 then 'invalid_response' else 'success' end as status from t) "
 QUERIES = {
     "turn_judgments": turn_judgments, "turn_lengths": turn_lengths, "turn_questions": turn_questions, "turn_tags": turn_tags, "turn_error_budget": turn_error_budget,
+    "salvaged_answers": salvaged_answers,
 }
 ORACLES = {
     "turn_judgments": _JUDGED + "select turn_id, status, case when status = 'success' then contains(text, '?') end as asks, case when status = 'success' then case when contains(text, '!') then 'loud' else 'calm' end end as tone, case when status = 'success' then (n >= 40)::bigint + (n >= 200)::bigint end as length from j",
+    "salvaged_answers": """select conv_id, turn, case when turn % 3 < 2 then '{"call":' || conv_id || ',"place":' || turn || ',"role":"' || role || '"}' end as answer from conversations""",
     "turn_lengths": _TURNS + "select turn_id, coalesce(n, 0)::bigint as n_chars, len(regexp_extract_all(coalesce(text, ''), '\\S+'))::bigint as n_words from t",
     "turn_questions": _TURNS + "select turn_id, role from t where contains(text, '?')",
     "turn_tags": "select case role when 'user' then 'asked' when 'assistant' then 'answered' else role end || ':' || case when trim(coalesce(text, '')) = '' then 'empty' else 'said' end as tag, count(*) as turns from conversations group by 1",

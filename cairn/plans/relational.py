@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cairn.functions.text import word_tokens
 from cairn.operators import validation as V
 from cairn.session import table
+from cairn.storage import broadcast_if_small, store
 
 
 def order_revenue(spark, sf_dir):
@@ -134,8 +135,12 @@ def benchmark_overlap(spark, sf_dir):
     """Documents that hold a run of eight words of a benchmark item: an equi-join of distinct grams, no pairs within either side."""
     gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 7, F.lit(1))), lambda i: F.array_join(F.slice(c, i, 8), " ")))
     side = lambda name, key: table(spark, sf_dir, name, spread=name == "documents").select(key, word_tokens(F.col("text")).alias("w")).where(F.size("w") >= 8).select(key, F.explode_outer(gram(F.col("w"))).alias("g"))
-    items = side("benchmark", "item_id")
-    return side("documents", "doc_id").join(F.broadcast(items) if items.count() * 100 < (8 << 20) else items, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared_grams"))
+    hashed = lambda rows: rows.withColumn("h", F.xxhash64("g"))
+    items = store(hashed(side("benchmark", "item_id")), "benchmark-grams").df
+    keys = items.select("item_id", "h")
+    # A row of the hash table is two longs and its overhead, below 48 bytes; texts of grams are compared on hits alone.
+    hits = hashed(side("documents", "doc_id")).join(broadcast_if_small(keys, 48 * items.count()), "h")
+    return hits.join(items, ["item_id", "h", "g"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared_grams"))
 
 
 def output_binding(spark, sf_dir):
