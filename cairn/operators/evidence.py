@@ -73,38 +73,51 @@ def status_summary(context: DataFrame) -> DataFrame:
     return context.groupBy("review_state").agg(F.count("*").alias("cases"), F.sum("evidence_count").cast("bigint").alias("evidence_records"))
 
 
-def _told(table: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(check, violations) of rules about single rows, in one pass."""
-    once = table.agg(*(F.count_if(F.coalesce(rule, F.lit(False))).alias(f"r{i}") for i, rule in enumerate(rules.values())))
-    return once.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.col(f"r{i}").alias("violations")) for i, name in enumerate(rules)))).alias("x")).select("x.*")
+def _listed(once: DataFrame, names: list[str]) -> DataFrame:
+    """(check, violations) of a single row whose columns r0, r1 ... are the counts of ``names``."""
+    return once.select(F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.coalesce(f"r{i}", F.lit(0)).cast("bigint").alias("violations")) for i, name in enumerate(names)))).alias("x")).select("x.*")
 
 
-def _rows(name: str, rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+def _told(table: DataFrame, rules: dict[str, Column], repeated: str | None = None, *keys: str) -> DataFrame:
+    """(check, violations) of rules about single rows and, under the name ``repeated``, of keys that occur twice: one pass."""
+    counts = [F.count_if(F.coalesce(rule, F.lit(False))).alias(f"r{i}") for i, rule in enumerate(rules.values())]
+    if repeated is None:
+        return _listed(table.agg(*counts), list(rules))
+    by_key = table.groupBy(*keys).agg(*counts, F.count("*").alias("n"))
+    sums = [F.sum(f"r{i}").alias(f"r{i}") for i in range(len(rules))]
+    return _listed(by_key.agg(*sums, F.count_if(F.col("n") > 1).alias(f"r{len(rules)}")), [*rules, repeated])
+
+
+def _met(key: str, **tables: DataFrame) -> DataFrame:
+    """Rows of each table by a key that they share, as columns: one exchange of keys, summed up before it."""
+    rows = reduce(DataFrame.unionByName, (t.select(F.col(key).alias("key"), F.lit(name).alias("of")) for name, t in tables.items()))
+    return rows.groupBy("key").agg(*(F.count_if(F.col("of") == name).alias(name) for name in tables))
 
 
 def source_integrity(cases: DataFrame, requirements: DataFrame, evidence: DataFrame, assets: DataFrame) -> DataFrame:
-    """(check, violations): the eighteen named counts that must all be nought before anything is governed."""
+    """(check, violations): the eighteen named counts that must all be nought before anything is governed.
+
+    Rules of rows and repeated keys of a table are counted in one pass, references in one exchange of keys for all tables
+    that share them. A null key refers to nothing.
+    """
     c = F.col
     blank = lambda name: F.trim(F.coalesce(name, F.lit(""))) == ""
     any_blank = lambda *names: reduce(lambda a, b: a | b, map(blank, names))
-    twice = lambda table, *keys: table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    known = cases.select("case_id").distinct()
+    by_case, by_asset = _met("case_id", cases=cases, needs=requirements, proofs=evidence), _met("asset_id", media=assets, proofs=evidence)
+    unknown = lambda of, n: F.sum(F.when(c("key").isNull() | (c(of) == 0), c(n)).otherwise(0))
     checks = [
         _told(cases, {"empty case field": any_blank("case_id", "account_id", "business_question"), "case with invalid review date": c("review_due_at").isNull()}),
-        _rows("duplicate case_id", twice(cases, "case_id")),
-        _told(requirements, {"empty requirement field": any_blank("case_id", "evidence_type"), "unsupported requirement modality": ~c("evidence_type").isin(*MODALITIES)}),
-        _rows("duplicate requirement", twice(requirements, "case_id", "evidence_type")),
+        _told(requirements, {"empty requirement field": any_blank("case_id", "evidence_type"), "unsupported requirement modality": ~c("evidence_type").isin(*MODALITIES)}, "duplicate requirement", "case_id", "evidence_type"),
         _told(evidence, {
             "empty evidence field": any_blank("record_id", "case_id", "asset_id", "source_system", "evidence_title"), "evidence with invalid observation date": c("observed_at").isNull(),
             "evidence with incomplete claim": blank("claim_key") != blank("claim_value"),
-        }),
-        _rows("duplicate evidence record_id", twice(evidence, "record_id")),
+        }, "duplicate evidence record_id", "record_id"),
         _told(assets, {"empty asset field": any_blank("asset_id", "modality", "source_uri", "license_id", "mime_type", "expected_sha256"), "invalid asset SHA-256": ~c("expected_sha256").rlike("^[0-9a-fA-F]{64}$")}),
-        _rows("duplicate asset_id", twice(assets, "asset_id")),
-        _rows("requirement with unknown case", requirements.join(known, "case_id", "left_anti")), _rows("evidence with unknown case", evidence.join(known, "case_id", "left_anti")),
-        _rows("evidence with unknown asset", evidence.join(assets.select("asset_id").distinct(), "asset_id", "left_anti")),
-        _rows("case without requirement", cases.join(requirements.select("case_id").distinct(), "case_id", "left_anti")),
-        _rows("evidence observed after review date", evidence.join(cases.select("case_id", "review_due_at"), "case_id").where(c("observed_at") > c("review_due_at"))),
+        _listed(
+            by_case.agg(F.count_if(c("cases") > 1).alias("r0"), unknown("cases", "needs").alias("r1"), unknown("cases", "proofs").alias("r2"), unknown("needs", "cases").alias("r3")),
+            ["duplicate case_id", "requirement with unknown case", "evidence with unknown case", "case without requirement"],
+        ),
+        _listed(by_asset.agg(F.count_if(c("media") > 1).alias("r0"), unknown("media", "proofs").alias("r1")), ["duplicate asset_id", "evidence with unknown asset"]),
+        _listed(evidence.join(cases.select("case_id", "review_due_at"), "case_id").where(c("observed_at") > c("review_due_at")).agg(F.count("*").alias("r0")), ["evidence observed after review date"]),
     ]
     return reduce(DataFrame.unionByName, checks)
