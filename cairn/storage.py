@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast if its rows are known to take no more than this.
 BROADCAST_BYTES = 24 << 20
 
+#: Whether Spark removes an execution's shuffle files as soon as it ends, instead of when the driver's collector finds
+#: that nothing refers to them.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _fallback: dict[str, str] = {}
 
 
@@ -101,11 +105,25 @@ class Stored:
         remove(self.spark, self.path)
 
 
+def write(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Writes ``df`` as Parquet; the shuffles that made it leave the executors' disks with it.
+
+    Later reads go to the table alone, so that disks hold the shuffles of one step, not those of all steps.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path, partitionBy=list(partition_by) or None)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
+
+
 def store(df: DataFrame, name: str) -> Stored:
     """Writes ``df`` to the shared folder. Who has read it to the end may ``remove()`` it."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    write(df, path)
     return Stored(spark, path, df.schema)
 
 

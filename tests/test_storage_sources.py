@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cairn import storage
 from cairn.operators import validation as V
 from cairn.operators.graph import connected_components
 from cairn.sources import files, records, sinks
@@ -228,3 +229,20 @@ def test_stored_tables_are_cleaned_and_clusters_need_a_shared_folder(spark, tmp_
     monkeypatch.undo()
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         storage.shared_dir(Cluster)
+
+
+def test_shuffles_of_a_stored_table_are_removed_and_settings_stay(spark, tmp_path):
+    frame = spark.range(50_000).groupBy(F.xxhash64("id").alias("k")).count()
+    before = spark.conf.get(storage.SHUFFLE_CLEANUP, None)
+    made = storage.store(frame, "once")
+    assert spark.conf.get(storage.SHUFFLE_CLEANUP, None) == before
+    # The frame itself, and a join of the table with it, can be run again.
+    assert made.df.join(frame, "k").count() == frame.count() == 50_000
+    again = storage.store(frame.join(made.df.select("k"), "k"), "twice")
+    assert again.df.count() == 50_000
+    storage.write(made.df.select((F.col("k") % 2).alias("odd"), "count"), f"{tmp_path}/parts", "odd")
+    assert spark.read.parquet(f"{tmp_path}/parts").count() == 50_000
+    with pytest.raises(Exception, match="(?i)exists"):
+        storage.write(made.df, f"{tmp_path}/parts")
+    assert spark.conf.get(storage.SHUFFLE_CLEANUP, None) == before
+    made.remove(), again.remove()
