@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import bounded, slices, utf8
 from cairn.session import table
-from cairn.storage import Stored, remove, scratch, store
+from cairn.storage import Stored, remove, scratch, store, write
 
 #: Words of the longest n-gram; the largest count that is discounted; the remainder of crc32(doc_id), modulo FOLDS, of the
 #: documents that are not learnt from.
@@ -168,7 +168,7 @@ class Model:
     def __init__(self, docs: DataFrame, order: int = ORDER):
         self.spark, self.order = docs.sparkSession, order
         self.path = scratch(self.spark, "grams")
-        gram_counts(docs, order).write.partitionBy("level").parquet(self.path)
+        write(gram_counts(docs, order), self.path, "level")
         rows = self.spark.read.schema("ctx bigint, suf bigint, c bigint, level int").parquet(self.path)
         self.level = [rows.where(F.col("level") == k).select("ctx", "suf", "c") for k in range(1, order + 1)]
         seen = rows.groupBy("level", F.least("c", F.lit(LARGEST + 2)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("total"))
