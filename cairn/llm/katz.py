@@ -188,13 +188,15 @@ class Model:
         return self.level[0].select(F.col("suf").alias("key"), lp.alias("lp"), F.col("c").alias("known"))
 
     def probabilities(self) -> Stored:
-        """(key, lp, known) of every n-gram of the highest order, by recursion from the lowest."""
+        """(key, lp, known) of every n-gram of the highest order, by recursion from the lowest; the counts are used up."""
         at = store(self.first(), "order1")
         for k in range(2, self.order + 1):
             d = self.discounts[k - 1]
             lower = self.level[k - 1].join(at.df.withColumnRenamed("key", "suf"), "suf")
             lower = store(lower.select("ctx", F.xxhash64("ctx", "suf").alias("key"), "c", "lp", "known"), f"lower{k}")
             at.remove()
+            if k == self.order:
+                self.remove()
             seen = lower.df.where("c > 0")
             sums = seen.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(F.col("c") - _discounted(d)).alias("left"), F.sum(F.pow(F.lit(10.0), F.col("lp"))).alias("low"))
             none = F.col("left") <= 0
@@ -205,6 +207,8 @@ class Model:
             lp = F.when(F.col("c") > 0, F.log10(_discounted(d) / F.col("total"))).otherwise(F.coalesce("back", F.lit(0.0)) + F.col("lp"))
             at = store(both.select("key", lp.alias("lp"), "known"), f"order{k}")
             lower.remove()
+        if self.order == 1:
+            self.remove()
         return at
 
     def remove(self) -> None:
@@ -214,7 +218,6 @@ class Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of the model's documents."""
     made = model.probabilities()
-    model.remove()
     base = F.log10((F.col("known") + 0.5) / F.lit(model.tokens + 0.5 * (model.words + 1)))
     met = gram_uses(docs, model.order).join(made.df, "key")
     sums = met.groupBy("row", "doc_id").agg(
