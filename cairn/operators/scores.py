@@ -18,6 +18,13 @@ AWARD = ("EXP-003-award-impact", "high", "project", "winner_changed_without_expe
 _FACT = "document_type string, expert_id string, supplier_name string, recommended boolean, participated boolean, recused boolean, evidence_quote string, confidence double"
 
 
+def mean_score(holds: Column | None = None) -> Column:
+    """The mean of the scores (of those that hold): the sum of whole millionths by their number, so that equal means are
+    equal whatever order the rows come in, and a tie is a tie."""
+    score = F.col("score") if holds is None else F.when(holds, F.col("score"))
+    return F.sum(F.round(score * 1_000_000).cast("bigint")) / F.count(score) / 1_000_000
+
+
 def valid_scores(scores: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Scores of known suppliers within 0 to 100."""
     return scores.where("score between 0 and 100").join(suppliers.select("project_id", "supplier_id"), ["project_id", "supplier_id"])
@@ -42,7 +49,7 @@ def matrix_problems(scores: DataFrame, experts: DataFrame, suppliers: DataFrame,
     seen = cells.groupBy("project_id").agg(
         F.count_if("known").alias("cells"), F.max("n").alias("most"), F.sum("out").alias("out"), F.sum("no_supplier").alias("no_supplier"), F.sum("no_expert").alias("no_expert"),
     )
-    winner = _winner(scores.groupBy("project_id", "supplier_id").agg(F.avg("score").alias("a")), "winner", "a").select("project_id", "winner")
+    winner = _winner(scores.groupBy("project_id", "supplier_id").agg(mean_score().alias("a")), "winner", "a").select("project_id", "winner")
     all_ = project.select("project_id", F.col("original_winner_supplier_id").alias("declared")).join(seen, "project_id", "left").join(winner, "project_id", "left")
     all_ = all_.join(size(experts, "expert_id", "e"), "project_id", "left").join(size(suppliers, "supplier_id", "s"), "project_id", "left")
     nought = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -88,11 +95,11 @@ def score_metrics(facts: DataFrame, project: DataFrame, suppliers: DataFrame, sc
     keys = ["project_id", "flagged_expert_id", "related_supplier_id"]
     related = signal.select(*keys).distinct().join(scores.withColumnRenamed("supplier_id", "related_supplier_id"), ["project_id", "related_supplier_id"])
     own = F.col("expert_id") == F.col("flagged_expert_id")
-    compared = related.groupBy(*keys).agg(F.max(F.when(own, F.col("score"))).alias("expert_score"), F.avg(F.when(~own, F.col("score"))).alias("peer"))
+    compared = related.groupBy(*keys).agg(F.max(F.when(own, F.col("score"))).alias("expert_score"), mean_score(~own).alias("peer"))
     compared = compared.where("expert_score is not null and peer is not null")
-    first = _winner(scores.groupBy("project_id", "supplier_id").agg(F.avg("score").alias("a")), "computed_original_winner_supplier_id", "first_average")
+    first = _winner(scores.groupBy("project_id", "supplier_id").agg(mean_score().alias("a")), "computed_original_winner_supplier_id", "first_average")
     others = scores.join(signal.select("project_id", "flagged_expert_id"), "project_id").where("expert_id <> flagged_expert_id")
-    second = _winner(others.groupBy("project_id", "supplier_id").agg(F.avg("score").alias("a")), "winner_without_flagged_expert", "second_average")
+    second = _winner(others.groupBy("project_id", "supplier_id").agg(mean_score().alias("a")), "winner_without_flagged_expert", "second_average")
     joined = signal.join(compared, keys).join(first, "project_id").join(second, "project_id")
     out = joined.withColumns({
         "peer_average": F.round("peer", 4), "score_delta": F.round(F.col("expert_score") - F.col("peer"), 4), "original_winner_avg_score": F.round("first_average", 4),

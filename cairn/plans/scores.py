@@ -11,17 +11,20 @@ from cairn.storage import store
 
 
 def inputs(spark, sf_dir: str) -> dict[str, DataFrame]:
-    """The score matrix is small beside the lines it comes from: it is stored, and all else is made from it."""
+    """The score matrix is small beside the lines it comes from: it is stored, and all else is made from it.
+
+    A score is twice the mean quantity, rounded half up to tenths in whole numbers: quantities count in hundredths.
+    """
     year = F.year("l_shipdate")
     items = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), year.cast("string")).alias("project_id"), F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("expert_id"),
         F.concat(F.lit("S"), (F.col("l_suppkey") % 6).cast("string")).alias("supplier_id"), "l_quantity", year.alias("y"),
     )
-    matrix = store(items.groupBy("project_id", "y", "expert_id", "supplier_id").agg(F.round(F.avg("l_quantity") * 2, 1).alias("score")), "matrix").df
+    matrix = store(items.groupBy("project_id", "y", "expert_id", "supplier_id").agg((F.expr("(2 * sum(cast(round(l_quantity * 100) as bigint)) + 5 * count(l_quantity)) div (10 * count(l_quantity))") / 10).alias("score")), "matrix").df
     scores = matrix.drop("y")
     names = matrix.select("project_id", "supplier_id").distinct()
     suppliers = names.select("*", F.concat(F.lit("Supplier "), "supplier_id").alias("supplier_name"), F.to_json(F.array(F.concat(F.lit("alias-"), "supplier_id"))).alias("aliases_json"))
-    best = S._winner(scores.groupBy("project_id", "supplier_id").agg(F.avg("score").alias("a")), "original_winner_supplier_id", "a").drop("a")
+    best = S._winner(scores.groupBy("project_id", "supplier_id").agg(S.mean_score().alias("a")), "original_winner_supplier_id", "a").drop("a")
     years = store(matrix.select("project_id", "y").distinct().join(best, "project_id"), "years").df
     project = years.select("project_id", F.concat(F.lit("Audit "), "project_id").alias("title"), "original_winner_supplier_id", F.lit(1.0).alias("score_bias_threshold"), F.lit(0.75).alias("ai_min_confidence"))
     name = F.when(F.col("y") % 2 == 0, F.concat(F.lit("Supplier S"), (F.col("y") % 6).cast("string"))).otherwise(F.concat(F.lit("alias-S"), (F.col("y") % 6).cast("string")))
@@ -69,13 +72,16 @@ def audit_summary(spark, sf_dir):
     return S.audit_summary(i["project"], metrics, S.audit_findings(metrics))
 
 
-_BASE = """with items as (select 'P' || year(l_shipdate) as project_id, 'E' || l_linenumber as expert_id, 'S' || (l_suppkey % 6) as supplier_id, l_quantity, year(l_shipdate) as y from lineitem),
-scores as materialized (select project_id, expert_id, supplier_id, round(avg(l_quantity) * 2, 1) as score from items group by all),
+#: The mean of scores as ``S.mean_score`` has it: whole millionths by their number.
+_MEAN = "sum(round(score * 1000000)::bigint){0} / count(score){0} / 1000000"
+_ALL = _MEAN.format("")
+_BASE = f"""with items as (select 'P' || year(l_shipdate) as project_id, 'E' || l_linenumber as expert_id, 'S' || (l_suppkey % 6) as supplier_id, l_quantity, year(l_shipdate) as y from lineitem),
+scores as materialized (select project_id, expert_id, supplier_id, ((2 * sum(round(l_quantity * 100)::bigint) + 5 * count(l_quantity)) // (10 * count(l_quantity))) / 10 as score from items group by all),
 years as (select distinct project_id, y from items),
-best as materialized (select project_id, supplier_id, avg(score) as a, row_number() over (partition by project_id order by avg(score) desc, supplier_id) as rn from scores group by 1, 2),
+best as materialized (select project_id, supplier_id, {_ALL} as a, row_number() over (partition by project_id order by {_ALL} desc, supplier_id) as rn from scores group by 1, 2),
 base as materialized (select y.project_id, y, 'E' || (y % 4 + 1) as expert_id, case when y % 2 = 0 then 'Supplier S' else 'alias-S' end || (y % 6) as label, 'S' || (y % 6) as related, y % 7 = 0 as recused, 0.7::double + (y % 5) * 0.05::double as confidence, y % 11 <> 0 as bound, b.supplier_id as declared from years y join best b on b.project_id = y.project_id and rn = 1),
-compared as (select base.project_id, max(score) filter (where s.expert_id = base.expert_id) as es, avg(score) filter (where s.expert_id <> base.expert_id) as pa from base join scores s on s.project_id = base.project_id and s.supplier_id = related group by 1),
-without as materialized (select s.project_id, s.supplier_id, avg(score) as a, row_number() over (partition by s.project_id order by avg(score) desc, s.supplier_id) as rn from scores s join base on base.project_id = s.project_id and s.expert_id <> base.expert_id group by 1, 2),
+compared as (select base.project_id, max(score) filter (where s.expert_id = base.expert_id) as es, {_MEAN.format(' filter (where s.expert_id <> base.expert_id)')} as pa from base join scores s on s.project_id = base.project_id and s.supplier_id = related group by 1),
+without as materialized (select s.project_id, s.supplier_id, {_ALL} as a, row_number() over (partition by s.project_id order by {_ALL} desc, s.supplier_id) as rn from scores s join base on base.project_id = s.project_id and s.expert_id <> base.expert_id group by 1, 2),
 metrics as materialized (select base.*, es, pa, round(es - pa, 4) as delta, b.a as fa, w.supplier_id as second, w.a as sa, declared <> w.supplier_id as changed from base join compared using (project_id) join best b on b.project_id = base.project_id and b.rn = 1 join without w on w.project_id = base.project_id and w.rn = 1 where bound and es is not null and pa is not null),
 eligible as (select * from metrics where confidence >= 0.75 and not recused)"""
 _RULES = "\nunion all\n".join(
@@ -93,7 +99,7 @@ ORACLES = {
     + """, bad as (select * from scores where not (substr(project_id, 2, 4)::int % 2 = 0 and expert_id = 'E3' and supplier_id = 'S1') union all select * from scores where substr(project_id, 2, 4)::int % 3 = 0 and expert_id = 'E1'
 union all select project_id, 'E99', 'S99', 101.0 from years where substr(project_id, 2, 4)::int % 5 = 0),
 size as (select project_id, count(distinct expert_id) * count(distinct supplier_id) as want from scores group by 1), cell as (select project_id, expert_id, supplier_id, count(*) as n from bad group by all),
-win as (select project_id, supplier_id, row_number() over (partition by project_id order by avg(score) desc, supplier_id) as rn from bad group by 1, 2)
+win as (select project_id, supplier_id, row_number() over (partition by project_id order by """ + _ALL + """ desc, supplier_id) as rn from bad group by 1, 2)
 select project_id, 'incomplete_matrix' as problem from size left join (select project_id, count(*) as n from cell where expert_id <> 'E99' group by 1) using (project_id) where coalesce(n, 0) <> want
 union all select distinct project_id, 'duplicate_score' from cell where n > 1 union all select distinct project_id, 'score_out_of_range' from bad where not score between 0 and 100
 union all select distinct project_id, 'unknown_supplier' from bad where supplier_id = 'S99' union all select distinct project_id, 'unknown_expert' from bad where expert_id = 'E99'

@@ -31,3 +31,13 @@ def test_low_confidence_or_swapped_roles(spark):
     for args in ({"confidence": 0.6}, {"roles": ("committee_minutes", "expert_recommendation")}):
         _, findings, (summary,) = run(spark, **args)
         assert not findings and summary.status == "insufficient_evidence"
+
+
+def test_equal_means_are_ties_in_any_order(spark):
+    """0.1 + 0.2 + 0.3 depends on the order of the sum; the mean of a supplier must not."""
+    for tenths in ((0.1, 0.2, 0.3), (0.3, 0.2, 0.1)):
+        rows = [("P", f"E{k}", "S2", x) for k, x in enumerate(tenths)] + [("P", f"E{k}", "S1", 0.2) for k in range(2)]
+        scores = spark.createDataFrame(rows, "project_id string, expert_id string, supplier_id string, score double").coalesce(1)
+        means = scores.groupBy("project_id", "supplier_id").agg(S.mean_score().alias("a"))
+        assert {r.a for r in means.collect()} == {0.2}
+        assert S._winner(means, "winner", "a").first().winner == "S1"
