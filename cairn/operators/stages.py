@@ -131,9 +131,9 @@ def analysis_validation_inputs(answers: DataFrame, transcripts: DataFrame) -> Da
 
 
 def bucket_members(bands: DataFrame, docs: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(band, key, member_count, member_doc_ids, member_domains, pair_slots) of buckets that passed the pair budget.
+    """(band, key, member_count, member_doc_ids, member_domains, pair_slots) of shared buckets.
 
-    Members are listed because the audit shows them; a bucket within a budget of 1,000,000 slots has 1,414 at most.
+    Members are listed because the audit shows them: a row is as long as its bucket, and no pair is made.
     """
     rows = bands.join(docs.select("doc_id", "domain"), "doc_id").join(buckets.select("band", "key", "pair_slots"), ["band", "key"])
     return rows.groupBy("band", "key", "pair_slots").agg(

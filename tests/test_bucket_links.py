@@ -30,3 +30,29 @@ def test_buckets_with_the_same_members_are_searched_once(spark):
     assert {r.blocks for r in D.distinct_buckets(heads, 4096, 31).where("key = 'c'").collect()} == {3}  # 93 shingles
     same = heads.where("doc_id < 3")
     assert D.distinct_buckets(same, 4096, 1000).count() == 1
+
+
+def test_pairs_of_copies_are_counted_not_listed(spark):
+    """A family beyond the budget: linear rows, and the counts of all pairs of texts."""
+    rows = [(i, list(range(50)), [1] * 8, [f"b{k}" for k in range(8)], "ab"[i % 2]) for i in range(600)]
+    rows += [(600 + i, [*range(49), 99], [1] * 8, [f"b{k}" for k in range(8)], "a") for i in range(3)]
+    prints = spark.createDataFrame(rows, SCHEMA + ", source string")
+    with pytest.raises(D.PairBudgetExceeded):
+        D.candidate_pairs(prints)
+    member, heads = D.folded(prints)
+    pairs = D.candidate_pairs(heads, None)
+    assert [tuple(r) for r in pairs.collect()] == [(0, 600, 8)]
+    links = D.copies(member).collect()
+    assert len(links) == 599 + 2 and {r.left_id for r in links} == {0, 600} and {r.shared_bands for r in links} == {8}
+    scored = D.scored_pairs(pairs, heads)
+    every = 603 * 602 // 2
+    assert D.candidate_summary(prints, pairs, member).first().candidate_pair_rows == every
+    domains = {r.domain: (r.candidate_pair_rows, r.duplicate_pair_rows) for r in D.domain_summary(prints.withColumnRenamed("source", "domain"), scored, member).collect()}
+    assert domains == {"a": (303 * 302 // 2,) * 2, "b": (300 * 299 // 2,) * 2}
+    record = prints.selectExpr("doc_id", "source as record", "if(doc_id < 2, '', 'u') as url")
+    exact = 600 * 599 // 2 + 3
+    within = (303 * 302 + 300 * 299) // 2
+    assert tuple(D.duplicate_summary(scored, record, member).first()) == (every, exact, every - exact, within, every - within, 0)
+    members = prints.selectExpr("doc_id", "'c' as cluster_id", "603L as cluster_size", "source")
+    (one,) = D.cluster_inspection(members, spark.createDataFrame([("c", 0)], "cluster_id string, doc_id bigint"), scored, member).collect()
+    assert one.duplicate_edge_rows == every and one.weakest_shingle_jaccard == 49 / 51 and one.weakest_signature_overlap == 1.0
