@@ -76,3 +76,13 @@ def test_blake2b_signatures_and_keys_by_a_plain_version(spark):
         assert [v % 2**64 for v in r.signature] == want
         keys = [f"{b:03d}:" + hashlib.blake2b((f"{b}:" + ",".join(map(str, want[8 * b : 8 * b + 8]))).encode(), digest_size=8).hexdigest() for b in range(8)]
         assert r.bands == (keys if grams else [])
+
+
+def test_signatures_and_marks_as_plain_arithmetic(spark):
+    from cairn.functions import text as T
+
+    for n in (1, 511, 512, 513, 1100):
+        parts = [f"a{i} b c d e" for i in range(n)]
+        h = [int(c) >> 32 for c in T.shingle_codes(parts)]
+        assert T.affine_signature(parts) == [min((a * x + b) % T.PRIME for x in h) for a, b in T.permutations()]
+    assert T.normalize("Été  ậx_İI 1²") == "ete ax ii 1²"
