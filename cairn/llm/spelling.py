@@ -10,7 +10,7 @@ the one edit, so its first half or its last is whole too and joins the key: of 7
 
 Words are counted in each task before they are shuffled; all else is a join or an aggregation of Spark. The
 vocabulary is written once, and a chunk that many words share is a hot key of a plain join of two exchanges, which
-adaptive execution splits. A word has at most some 200 near words a code point (the alphabet bounds them), and forms at
+adaptive execution splits; words are never sent to the driver or broadcast. A word has at most some 200 near words a code point (the alphabet bounds them), and forms at
 least double in count, so chains of forms end within 63 steps and pointers that double their reach within six rounds.
 
 Defined cases: null texts and texts without letters have no words; a null doc_id is an empty string in the hash; repeated
@@ -115,7 +115,8 @@ def grams(words: DataFrame) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(short, short_n, long, long_n): each pair of near words of (word, n), once."""
-    met = chunks(words).join(grams(words), ["size", "place", "piece", "end"])
+    # Never a broadcast: sizes are judged by the vocabulary, of which each word is up to twenty rows here.
+    met = chunks(words).hint("merge").join(grams(words).hint("merge"), ["size", "place", "piece", "end"])
     ordered = (F.col("size") < F.char_length("long")) | (F.col("short") < F.col("long"))
     near = met.where(ordered & (F.levenshtein("short", "long", 1) == 1))
     return near.groupBy("short", "long").agg(F.first("short_n").alias("short_n"), F.first("long_n").alias("long_n"))
@@ -127,7 +128,7 @@ def forms(words: DataFrame, pairs: DataFrame, times: int = TIMES) -> DataFrame:
     sides = pairs.select(both.alias("side")).select("side.*")
     # The largest count first, then the smallest word: the least of (-count, word).
     best = sides.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    joined = words.join(best, "word", "left").withColumn("is_form", F.expr(f"-best.less >= {times} * n"))
+    joined = words.hint("merge").join(best, "word", "left").withColumn("is_form", F.expr(f"-best.less >= {times} * n"))
     return joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.expr("if(is_form, best.near, null)").alias("form"), F.expr("if(is_form, -best.less, null)").alias("form_n"),
@@ -139,11 +140,11 @@ def with_roots(rows: DataFrame) -> DataFrame:
     at = store(rows.where("form is not null").select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while at.df.where("moved").limit(1).count():
         onward = at.df.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = at.df.select("word", "root").join(onward, "root", "left")
+        moved = at.df.select("word", "root").hint("merge").join(onward, "root", "left")
         moved = store(moved.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         at.remove()
         at = moved
-    return rows.join(at.df.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return rows.hint("merge").join(at.df.select("word", "root"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame) -> DataFrame:

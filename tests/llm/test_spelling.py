@@ -95,3 +95,11 @@ def test_empty_table(spark):
 
 def test_same_as_sql(spark):
     assert same_rows(spark, spelling.op11_spelling_variants, spelling.ORACLES["op11_spelling_variants"], "/root/testdata/sf0.001") > 1000
+
+
+def test_no_join_of_words_is_a_broadcast(spark, capsys):
+    """The vocabulary's size says little of what its chunks and grams take on the driver."""
+    words = spark.createDataFrame([("colour", 9), ("color", 4)], "word string, n bigint")
+    spelling.forms(words, spelling.near_pairs(words)).explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
