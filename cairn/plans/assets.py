@@ -51,7 +51,8 @@ def photo_quality(spark, sf_dir):
 
 
 def _packet(spark, sf_dir: str):
-    photos = _photos(spark, sf_dir).withColumn("needs_review", F.col("needs_review") | ~F.col("decode_ok"))
+    """Photos are told apart by one exchange and stored: tasks, nodes and summaries read them up to ten times."""
+    photos = store(_photos(spark, sf_dir).withColumn("needs_review", F.col("needs_review") | ~F.col("decode_ok")), "packet-photos").df
     orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("claim_id"), "o_orderkey")
     claims = orders.select("claim_id")
     forms = orders.where("o_orderkey % 4 = 0").select("claim_id", F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("file_id"), F.concat(F.lit('{"form":[{"id":1,"label":"question","text":" ","box":[0,0,5,9],"words":[{"text":"w"},{"text":"v"}]},{"label":"answer","text":"'), F.when(F.col("o_orderkey") % 8 == 0, "").otherwise("ok"), F.lit('","box":[3,3,3,4],"words":[]}]}')).alias("annotation_json"))
@@ -79,7 +80,7 @@ def form_spans(spark, sf_dir):
 
 def _tasks(spark, sf_dir: str):
     claims, files, photos, spans, damages, runs = _packet(spark, sf_dir)
-    return claims, files, photos, spans, damages, store(P.review_tasks(claims, files, photos, spans, damages, runs), "tasks").df
+    return claims, files, photos, spans, damages, P.review_tasks(claims, files, photos, spans, damages, runs)
 
 
 def review_tasks(spark, sf_dir):

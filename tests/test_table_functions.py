@@ -41,3 +41,12 @@ def test_leading_rows_end_early(spark):
     got = spark.sql("select * from leading_rows(table(select g, at, v from {r}) partition by g order by (at desc), 2)", r=rows).collect()
     want = rows.groupBy("g").agg(F.slice(F.sort_array(F.collect_list("at"), asc=False), 1, 2).alias("top")).collect()
     assert sorted((r.part, r.place, r["at"]) for r in got) == sorted((r.g, i, a) for r in want for i, a in enumerate(r.top, 1))
+
+
+def test_photos_of_packets_are_told_apart_once(spark, capsys):
+    """Every part of the summary reads the stored photos: none makes them from the lines again."""
+    from cairn.plans import assets
+
+    assets.claim_summary(spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "lineitem.parquet" not in plan and "packet-photos" in plan
