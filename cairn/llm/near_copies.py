@@ -13,7 +13,10 @@ similarity, so that none of the first 40 by hash is shared has a chance below 3
 than that of equal hashes. Texts that share one, and whose sets' sizes allow the similarity, are joined into rough
 groups by links to the least of them, never as pairs; the groups hold all pairs that are sought. Each group is searched exactly
 in memory, breadth first: what has been reached leaves the index, so a family of near copies is not compared pair by
-pair. A group beyond TASK_ROWS or TASK_SHINGLES is dealt into blocks, every two of which meet in one task.
+pair. A group beyond TASK_ROWS or TASK_SHINGLES is first parted anew: chance grows it with the data, through passages that
+few texts share. Half of all hashes (COUNTED) are counted over its texts, and those of one text alone come first in its
+order, as they meet nothing: most texts then have no shingle left to meet on. What is still beyond is dealt into
+blocks, every two of which meet in one task.
 
 The order comes from document frequencies in a bounded sample; it only decides how large the rough groups are.
 
@@ -37,7 +40,7 @@ from cairn.llm import simhash
 from cairn.llm.common import bounded, slices, utf8
 from cairn.operators.graph import connected_components
 from cairn.operators.similar import search
-from cairn.storage import broadcast_if_small, store, stored_bytes
+from cairn.storage import Stored, broadcast_if_small, store, stored_bytes
 
 #: Words of a shingle, and the similarity in hundredths from which two texts are near copies.
 SHINGLE, PERCENT = 5, 80
@@ -50,6 +53,9 @@ SAMPLE, FREQUENT = 1 << 23, 1 << 19
 #: A task searches about twice so many texts and shingles at most, but one text at least.
 TASK_ROWS, TASK_SHINGLES = 1 << 14, 1 << 22
 
+#: One of so many hashes is counted in groups that are parted anew.
+COUNTED = 2
+
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The XXH64 hashes of one UTF-8 text's word shingles, repeats included."""
@@ -104,10 +110,30 @@ def _frequencies(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return h[order], rows.column("count").to_numpy()[order]
 
 
-def _prints(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def later_prefix(found: np.ndarray, alone: int, frequent: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """``prefix`` in an order that begins with counted hashes of one text alone, of which this set has ``alone``.
+
+    They meet nothing and are left out. The hashes that are not counted come next, rare ones first; where they are too
+    few, the whole set is taken, which is more than a prefix needs.
+    """
+    n = len(found)
+    room = n - -(-percent * n // 100) + 1 - alone
+    if room <= 0:
+        return found[:0]
+    rest = found[found % np.uint64(COUNTED) != 0]
+    if len(rest) < room:
+        return found
+    rank = np.zeros(len(rest), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, rest), len(frequent) - 1)
+        rank = np.where(frequent[at] == rest, counts[at], 0)
+    return rest[np.argsort(rank, kind="stable")[:room]]
+
+
+def _prints(docs: DataFrame, shingle: int, percent: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, key, code, n, fp, prefix), a row a document: hashes of the text and of its set, the set's size, the
     fingerprint and the prefix."""
-    frequent, counts = _frequencies(docs, shingle)
+    frequent, counts = known or _frequencies(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,16 +165,56 @@ def _task_links(percent: int):
     return run
 
 
-def links(spark: SparkSession, docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = TASK_ROWS, shingles: int = TASK_SHINGLES) -> DataFrame:
-    """(a, b): links between codes that span the components of all pairs of sets of the wanted similarity."""
+def _rough(firsts: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of (code, n, prefix): sets that share a shingle of their prefixes and may be similar by size."""
     # Sizes of two such sets differ by one step of 100 / percent at most: a set is filed under its own step and the next.
     step = F.floor(F.log(100 / percent * 1.0000001, F.greatest("n", F.lit(1))))
-    firsts = prints.select("code", step.alias("step"), F.explode("prefix").alias("h"))
+    firsts = firsts.select("code", step.alias("step"), F.explode("prefix").alias("h"))
     firsts = firsts.select("code", F.explode(F.array(F.xxhash64("h", "step"), F.xxhash64("h", F.col("step") + 1))).alias("h"))
     met = store(firsts.groupBy("h").agg(F.min("code").alias("least"), F.max("code").alias("most")).where("least < most").select("h", "least"), "met")
-    shared = firsts.join(broadcast_if_small(met.df, stored_bytes(spark, met.path)), "h").where("code <> least")
+    shared = firsts.join(broadcast_if_small(met.df, stored_bytes(firsts.sparkSession, met.path)), "h").where("code <> least")
     rough = connected_components(shared.select(F.col("code").alias("a"), F.col("least").alias("b")).distinct())
     met.remove()
+    return rough
+
+
+def _full(sets: DataFrame, rows: int, shingles: int) -> DataFrame:
+    """(component, n, s): rows and shingles of the rough groups that are more than one task's."""
+    return sets.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.size("found")).alias("s")).where(f"n > {rows} or s > {shingles}")
+
+
+def parted(sets: DataFrame, wide: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> Stored:
+    """``sets`` (component, code, found) with the groups of ``wide`` (component) parted anew; sets that meet nothing leave."""
+    frequent, counts = known
+    large = store(sets.join(wide.select("component"), "component", "left_semi").select("code", "found"), "large-groups")
+    counted = large.df.select("code", F.explode("found").alias("h")).where(F.col("h").bitwiseAND(COUNTED - 1) == 0)
+    single = counted.groupBy("h").agg(F.min("code").alias("code"), F.max("code").alias("most")).where("code = most")
+    alone = single.groupBy("code").agg(F.count("*").alias("alone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("found")
+            values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+            found = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            firsts = [later_prefix(x, k, frequent, counts, percent).view(np.int64) for x, k in zip(found, batch.column("alone").to_pylist(), strict=True)]
+            columns = [batch.column("code"), pa.array([len(x) for x in found], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["code", "n", "prefix"])
+
+    told = large.df.join(alone, "code", "left").select("code", "found", F.coalesce("alone", F.lit(0)).alias("alone"))
+    firsts = store(bounded(told).mapInArrow(run, "code bigint, n bigint, prefix array<bigint>"), "later-prefixes")
+    rough = _rough(firsts.df, percent)
+    again = large.df.join(rough.withColumnRenamed("node", "code"), "code").select("component", "code", "found")
+    out = store(sets.join(wide.select("component"), "component", "left_anti").select("component", "code", "found").unionByName(again), "sets")
+    large.remove(), firsts.remove()
+    return out
+
+
+def links(spark: SparkSession, docs: DataFrame, prints: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, rows: int = TASK_ROWS, shingles: int = TASK_SHINGLES, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(a, b): links between codes that span the components of all pairs of sets of the wanted similarity.
+
+    ``known``: the frequent shingles, ascending, and their counts, which only order the shingles.
+    """
+    rough = _rough(prints, percent)
     chosen = prints.groupBy("code").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one"))
     chosen = store(chosen.join(rough.withColumnRenamed("node", "code"), "code").select("code", "component", F.col("one.doc_id").alias("id"), F.col("one.key").alias("k")), "chosen")
 
@@ -161,7 +227,12 @@ def links(spark: SparkSession, docs: DataFrame, prints: DataFrame, shingle: int
     small = broadcast_if_small(chosen.df, stored_bytes(spark, chosen.path))
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(small, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
     sets = store(bounded(texts.select("component", "code", "text")).mapInArrow(run, "component bigint, code bigint, found array<bigint>"), "sets")
-    full = sets.df.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.size("found")).alias("s")).where(f"n > {rows} or s > {shingles}")
+    wide = store(_full(sets.df, rows, shingles), "wide")
+    if wide.df.limit(1).count():
+        whole, sets = sets, parted(sets.df, wide.df, known or (np.zeros(0, np.uint64), np.zeros(0, np.int64)), percent)
+        whole.remove()
+    wide.remove()
+    full = _full(sets.df, rows, shingles)
     wide = store(full.select("component", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("s") / shingles)).cast("int").alias("blocks")), "wide")
     dealt = sets.df.join(broadcast_if_small(wide.df, stored_bytes(spark, wide.path)), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
@@ -191,8 +262,9 @@ def near_copies(
     """(doc_id, key, component_id, group), one row a document; component_id is the smallest doc_id that links reach,
     group names the component also where no row of it has a doc_id."""
     spark = docs.sparkSession
-    prints = store(_prints(docs, shingle, percent), "prints").df
-    found = links(spark, docs, prints, shingle, percent, rows, shingles).unionByName(tree_links(spark, prints))
+    known = _frequencies(docs, shingle)
+    prints = store(_prints(docs, shingle, percent, known), "prints").df
+    found = links(spark, docs, prints, shingle, percent, rows, shingles, known).unionByName(tree_links(spark, prints))
     parts = connected_components(found)
     sets = prints.groupBy("code").agg(F.min("doc_id").alias("least_id")).join(parts.withColumnRenamed("node", "code"), "code", "left")
     sets = store(sets.select("code", "least_id", F.coalesce("component", "code").alias("component")), "sets").df

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from test_simhash import brute_fingerprint
@@ -74,3 +75,29 @@ def test_empty_table_and_null_ids(spark):
     frame = spark.createDataFrame([(5, "one two three four", "x"), (3, "one two three four", "y"), (None, None, None), (9, "quite another text here", "z")], SCHEMA)
     assert sorted((r.doc_id or -1) for r in near_copies.keep_first(frame).collect()) == [-1, 3, 9]
     assert near_copies.keep_first(frame.limit(0)).count() == 0
+
+
+def test_group_grown_by_shared_passages_is_parted_anew(spark):
+    """A chain of texts, each sharing a passage with the next: one rough group, in which two texts alone are near."""
+    words = lambda name, n: [f"{name}-{i}" for i in range(n)]
+    texts = [[*words(f"p{i}", 60), *words(f"own{i}", 200), *words(f"p{i + 1}", 60)] for i in range(40)]
+    texts.append([*texts[7][:300], "changed", *texts[7][301:]])
+    sets = [near_copies.shingle_set(" ".join(t).encode()) for t in texts]
+    rows = spark.createDataFrame([(1, k, x.view(np.int64).tolist()) for k, x in enumerate(sets)], "component bigint, code bigint, found array<bigint>")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    prints = spark.createDataFrame([(k, len(x), near_copies.prefix(x, *none).view(np.int64).tolist()) for k, x in enumerate(sets)], "code bigint, n bigint, prefix array<bigint>")
+    assert {(r.node, r.component) for r in near_copies._rough(prints, 80).collect()} == {(k, 0) for k in range(41)}
+    again = near_copies.parted(rows, spark.createDataFrame([(1,)], "component bigint"), none).df.collect()
+    assert {(r.component, r.code) for r in again} == {(7, 7), (7, 40)}
+
+
+def test_later_prefix_meets_whatever_is_near():
+    rng = np.random.default_rng(5)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for n in (1, 2, 5, 6, 30, 200):
+        a = np.unique(rng.integers(0, 1 << 62, n, np.uint64))
+        b = np.unique(np.concatenate((a[n // 10 :], rng.integers(0, 1 << 62, n // 10, np.uint64))))
+        if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.8:
+            continue
+        first = [near_copies.later_prefix(x, int(np.sum(np.setdiff1d(x, y) % np.uint64(2) == 0)), *none) for x, y in ((a, b), (b, a))]
+        assert len(np.intersect1d(*first))
