@@ -56,3 +56,16 @@ def test_pairs_of_copies_are_counted_not_listed(spark):
     members = prints.selectExpr("doc_id", "'c' as cluster_id", "603L as cluster_size", "source")
     (one,) = D.cluster_inspection(members, spark.createDataFrame([("c", 0)], "cluster_id string, doc_id bigint"), scored, member).collect()
     assert one.duplicate_edge_rows == every and one.weakest_shingle_jaccard == 49 / 51 and one.weakest_signature_overlap == 1.0
+
+
+def test_classes_by_the_digest_of_the_fingerprints(spark):
+    from cairn.functions import text as T
+    from cairn.operators.pairs import classes
+
+    texts = ["a b c d e f g", "A, b c d e f g!", "b c d e f a b c d e", "c d e f a b c d e f", "c d e f g", "", None, "c d e f a b c d e f"]
+    prints = T.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).cache()
+    rows = prints.collect()
+    alike = {(a.doc_id, b.doc_id) for a in rows for b in rows if a.doc_id < b.doc_id and a.shingles_sha256 == b.shingles_sha256}
+    assert alike == {(a.doc_id, b.doc_id) for a in rows for b in rows if a.doc_id < b.doc_id and sorted(a.shingles) == sorted(b.shingles)}
+    plain = classes(prints.drop("shingles_sha256"))
+    assert sorted(map(tuple, classes(prints).collect())) == sorted(map(tuple, plain.collect())) and classes(prints).where("doc_id <> class").count() == 3
