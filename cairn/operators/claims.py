@@ -39,6 +39,12 @@ def _all(*flags: Column) -> Column:
     return reduce(lambda a, b: a & b, flags)
 
 
+def _repeated(among: str) -> Column:
+    """The values that an array holds more than once; most arrays have none, which their distinct values show."""
+    twice = F.filter(among, lambda x: F.size(F.filter(among, lambda y: y == x)) > 1)
+    return F.when(F.size(F.array_distinct(among)) < F.size(among), twice).otherwise(F.slice(among, 1, 0))
+
+
 def claim_materials(claims: DataFrame) -> DataFrame:
     """A row a material of each claim's JSON list, with its place, and whether its locator may be trusted.
 
@@ -47,14 +53,15 @@ def claim_materials(claims: DataFrame) -> DataFrame:
     """
     listed = claims.select("claim_id", F.from_json("materials_json", _MATERIAL).alias("ms"))
     place = lambda x: x.try_cast("int")
-    listed = listed.withColumns({"ids": F.transform("ms", lambda m: m["file_id"]), "places": F.transform("ms", lambda m: place(m["file_order"]))})
+    ids, places = F.transform("ms", lambda m: m["file_id"]), F.transform("ms", lambda m: place(m["file_order"]))
+    listed = listed.withColumns({"ids": ids, "places": places}).select("claim_id", "ms", _repeated("ids").alias("ids"), _repeated("places").alias("places"))
     rows = listed.select("claim_id", "ids", "places", F.posexplode("ms").alias("material_index", "m")).select("claim_id", "ids", "places", "material_index", "m.*")
     rows = rows.withColumn("file_order", place(F.col("file_order")))
     supported, path = F.lit(False), F.lit(None).cast("string")
     for role, (media, folder, extension) in ROLES.items():
         supported = supported | ((F.col("role") == role) & (F.col("media_type") == media))
         path = F.when(F.col("role") == role, F.concat(F.lit("claims/"), "claim_id", F.lit(f"/{folder}/"), "file_id", F.lit(f".{extension}"))).otherwise(path)
-    twice = lambda among, c: F.coalesce(F.size(F.filter(among, lambda x: x == F.col(c))) > 1, F.lit(False))
+    twice = lambda among, c: F.coalesce(F.array_contains(among, F.col(c)), F.lit(False))
     rows = rows.withColumns({"supported": F.coalesce(supported, F.lit(False)), "duplicate_file_id": twice("ids", "file_id"), "duplicate_file_order": twice("places", "file_order")})
     rows = rows.drop("ids", "places")
     named = (F.trim("file_id") != "") & (F.trim("bucket") != "") & (F.col("file_order") > 0)
@@ -68,11 +75,15 @@ def material_facts(claims: DataFrame, materials: DataFrame, objects: DataFrame,
     ``objects`` holds what the file probes gave: claim_id, material_index, object_exists, photo_quality_json,
     document_quality_json; a material without a row does not exist.
     """
-    flag = lambda c, path: F.coalesce(F.expr(f"try_cast(get_json_object({c}, '{path}') as boolean)"), F.lit(False))
-    rows = materials.join(objects, ["claim_id", "material_index"], "left").withColumns({
-        "there": F.col("locator_valid") & F.coalesce("object_exists", F.lit(False)), "photo_ok": flag("photo_quality_json", "$.photo_usable"), "document_ok": flag("document_quality_json", "$.document_usable"),
-        "photo_read": F.coalesce(F.get_json_object("photo_quality_json", "$.status") == "success", F.lit(False)), "photo_score": F.coalesce(F.expr("try_cast(get_json_object(photo_quality_json, '$.quality_score') as double)"), F.lit(0.0)),
-    })
+    yes = lambda c: F.coalesce(F.col(c).try_cast("boolean"), F.lit(False))
+    told = objects.select("claim_id", "material_index", "object_exists", "document_quality_json", F.json_tuple("photo_quality_json", "photo_usable", "status", "quality_score").alias("usable", "read", "score"))
+    probed = told.select(  # before they meet the materials, so that flags are sent instead of texts
+        "claim_id", "material_index", F.coalesce("object_exists", F.lit(False)).alias("there"), yes("usable").alias("photo_ok"), F.coalesce(F.get_json_object("document_quality_json", "$.document_usable").try_cast("boolean"), F.lit(False)).alias("document_ok"),
+        F.coalesce(F.col("read") == "success", F.lit(False)).alias("photo_read"), F.coalesce(F.col("score").try_cast("double"), F.lit(0.0)).alias("photo_score"),
+    )
+    flags = ("there", "photo_ok", "document_ok", "photo_read")
+    rows = materials.join(probed, ["claim_id", "material_index"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in flags} | {"photo_score": F.coalesce("photo_score", F.lit(0.0))})
+    rows = rows.withColumn("there", F.col("locator_valid") & F.col("there"))
     photo, document, ok = F.col("role") == "damage_photo", F.col("role") == "supporting_document", F.col("locator_valid")
     typed = {k: (F.col("role") == k) & (F.col("media_type") == v[0]) for k, v in ROLES.items()}
     n = F.count_if
@@ -97,9 +108,11 @@ def damage_results(answers: DataFrame) -> DataFrame:
 
     Each field is read on its own: one of a wrong type is null and spoils no other.
     """
-    text = lambda field: F.get_json_object("damage_json", f"$.{field}")
+    fields = ("status", "vehicle_visible", "target_vehicle_clear", "damage_visible", "finding_determinate", "confidence", "severity_hint", "damaged_parts", "damage_types", "uncertainty_reasons")
+    told = answers.select("claim_id", "file_id", "file_order", "damage_json", F.json_tuple("damage_json", *fields).alias(*(f"a_{f}" for f in fields)))
+    text = lambda field: F.col(f"a_{field}")
     listed = lambda field: F.from_json(text(field), "array<string>")
-    rows = answers.select(
+    rows = told.select(
         "claim_id", "file_id", "file_order", "damage_json", text("status").alias("status"),
         *(text(f).try_cast("boolean").alias(f) for f in ("vehicle_visible", "target_vehicle_clear", "damage_visible", "finding_determinate")),
         text("confidence").try_cast("double").alias("confidence"), text("severity_hint").alias("severity_hint"),

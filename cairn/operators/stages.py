@@ -60,9 +60,13 @@ def readable(inputs: DataFrame, objects: DataFrame) -> DataFrame:
     return found.select("claim_id", "material_index", F.coalesce("there", F.lit(False)).alias("object_exists"), "sha256")
 
 
+def is_judged() -> Column:
+    """Whether a row of object facts goes on to be judged: damage photos that are there, of the one type that is decoded."""
+    return F.coalesce(F.expr("object_exists and role = 'damage_photo' and media_type = 'image/jpeg'"), F.lit(False))
+
+
 def photos_to_judge(object_facts: DataFrame) -> DataFrame:
-    """Damage photos that are there, of the one type that is decoded."""
-    return object_facts.where("object_exists and role = 'damage_photo' and media_type = 'image/jpeg'")
+    return object_facts.where(is_judged())
 
 
 def document_quality_inputs(ocr: DataFrame, fields: DataFrame, config: DataFrame) -> DataFrame:

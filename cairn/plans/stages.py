@@ -40,9 +40,9 @@ def call_run_config(spark, sf_dir):
 
 def _inputs(spark, sf_dir: str) -> DataFrame:
     """Materials of the claims; those of some claims lie in another bucket."""
-    materials = P.inputs(spark, sf_dir)["materials"]
+    materials = P.materials(spark, sf_dir)
     moved = materials.withColumn("bucket", F.when(F.substring("claim_id", 2, 20).cast("bigint") % 9 == 0, "elsewhere").otherwise(F.col("bucket")))
-    return store(S.claim_material_inputs(moved, _config(spark, sf_dir, "claim")), "material-inputs").df
+    return S.claim_material_inputs(moved, _config(spark, sf_dir, "claim"))
 
 
 def claim_material_inputs(spark, sf_dir):
@@ -51,12 +51,10 @@ def claim_material_inputs(spark, sf_dir):
 
 def claim_objects(spark, sf_dir):
     """What the trusted locators find, and which photos go on to be judged."""
-    inputs = _inputs(spark, sf_dir)
+    inputs = store(_inputs(spark, sf_dir), "material-inputs").df
     objects = inputs.where("length(object_key) % 3 > 0").select("bucket", "object_key", F.sha2("object_key", 256).alias("sha256")).distinct()
     found = S.readable(inputs, objects).join(inputs.select("claim_id", "material_index", "role", "media_type"), ["claim_id", "material_index"])
-    judged = S.photos_to_judge(found).select("claim_id", "material_index", F.lit(True).alias("judged"))
-    rows = found.join(judged, ["claim_id", "material_index"], "left").withColumn("judged", F.coalesce("judged", F.lit(False)))
-    return rows.groupBy("role", "object_exists", "judged").agg(F.count("*").alias("objects"), F.count("sha256").alias("hashed"))
+    return found.withColumn("judged", S.is_judged()).groupBy("role", "object_exists", "judged").agg(F.count("*").alias("objects"), F.count("sha256").alias("hashed"))
 
 
 def claim_validation_inputs(spark, sf_dir):

@@ -252,3 +252,17 @@ def test_judge(spark):
     state = F.when(F.col("said").isNotNull(), F.struct("said"))
     got = {r.id: (r.status, r.response and tuple(r.response)) for r in R.judge(rows, Judge, "id", state, questions).collect()}
     assert got == {1: ("success", (True, "card", 2)), 2: ("success", (False, "card", 2)), 3: ("skipped", None), 4: ("invalid_response", None)}
+
+
+def test_materials_are_read_without_the_facts(spark, monkeypatch):
+    from cairn.operators import claims as C
+    from cairn.plans import claims as P
+
+    def refused(*_):
+        raise AssertionError("facts were made")
+
+    monkeypatch.setattr(C, "material_facts", refused)
+    assert P.claim_materials(spark, "/root/testdata/sf0.001").count() > 0
+    listed = '[{"file_id":"a","file_order":"1"},{"file_id":"a","file_order":"2"},{"file_id":null,"file_order":"2"},{"file_id":null,"file_order":"x"},{"file_id":"b","file_order":"y"}]'
+    rows = C.claim_materials(spark.createDataFrame([("C1", listed)], "claim_id string, materials_json string")).orderBy("material_index").collect()
+    assert [(r.duplicate_file_id, r.duplicate_file_order) for r in rows] == [(True, False), (True, True), (False, True), (False, False), (False, False)]
