@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import media as M
 from cairn.functions import raster as R
 from cairn.operators import packets as P
-from cairn.session import table
+from cairn.session import bounded, table
 
 #: Columns of a picture; every so many documents' file is cut in half; what parts ties before figures are rounded.
 WIDTH, DAMAGED, TIE = 64, 50, 1e-9
@@ -16,7 +16,7 @@ WIDTH, DAMAGED, TIE = 64, 50, 1e-9
 
 def _files(spark, sf_dir: str) -> DataFrame:
     """Each document's whole text as a lossless PNG; some files are cut off, as uploads are."""
-    docs = table(spark, sf_dir, "documents", spread=True)
+    docs = bounded(table(spark, sf_dir, "documents", spread=True))
     drawn = docs.select("doc_id", "source", R.rendered(F.encode("text", "utf-8"), WIDTH).alias("png"))
     cut = F.when(F.col("doc_id") % DAMAGED == 0, F.substring("png", F.lit(1), (F.octet_length("png") / 2).cast("int"))).otherwise(F.col("png"))
     return drawn.select("doc_id", "source", cut.alias("content"))

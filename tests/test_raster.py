@@ -157,3 +157,16 @@ def test_first_photo_of_a_group_is_no_copy(spark):
     random.Random(1).shuffle(rows)
     frame = spark.createDataFrame(rows, "claim_id string, ordinal int, file_id string, decode_ok boolean, perceptual_hash string")
     assert [(r.file_id, r.first_file_id) for r in P.copied_photos(frame).collect()] == [("b", "z")]
+
+
+def test_batches_of_photos_are_bounded(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "10000")
+        spark.conf.set(names[1], "64m")
+        photos.photo_pixels(spark, "/root/testdata/sf0.001")
+        assert [spark.conf.get(n) for n in names] == ["1000", str(16 << 20)]
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
