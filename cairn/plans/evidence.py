@@ -29,7 +29,9 @@ _ITEM = {
 
 
 def inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    features = table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} as {n}" for n, e in _ITEM.items())).withColumn("record_id", F.concat_ws("-", "case_id", F.col("seq").cast("string")))
+    # Lines are numbered as they are read: texts made of them would be sent and sorted with them.
+    placed = table(spark, sf_dir, "lineitem").withColumn("seq", F.expr(_ITEM["seq"]))
+    features = placed.selectExpr(*(n if n == "seq" else f"{e} as {n}" for n, e in _ITEM.items())).withColumn("record_id", F.concat_ws("-", "case_id", F.col("seq").cast("string")))
     orders = table(spark, sf_dir, "orders")
     cases = orders.select(F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("case_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("account_id"), F.date_add(F.col("o_orderdate").cast("date"), 90).alias("review_due_at"))
     needed = orders.where("o_orderkey % 3 <> 0").select(F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("case_id"), F.when(F.col("o_orderkey") % 2 == 0, "N").otherwise("R").alias("evidence_type"))

@@ -25,3 +25,11 @@ def test_every_count_is_found(spark):
         dated(made(proofs, "record_id string, case_id string, asset_id string, source_system string, evidence_title string, observed_at string, claim_key string, claim_value string"), "observed_at"),
         made(media, "asset_id string, modality string, source_uri string, license_id string, mime_type string, expected_sha256 string"),
     ))).where("violations <> 0").count() == 0
+
+
+def test_lines_are_numbered_before_texts_are_made(spark):
+    from cairn.plans import evidence as P
+
+    plan = P.inputs(spark, "/root/testdata/sf0.001")[2]._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Window [", 1)
+    assert "source_system" in above and "source_system" not in below
