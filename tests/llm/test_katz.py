@@ -129,6 +129,45 @@ def test_same_as_plain_rows_on_odd_tables(spark, order):
     same(got.collect(), plain_rows(docs, order))
 
 
+def test_packed_columns_come_back():
+    columns = [np.arange(5), np.array([0, 2**64 - 1, 3, 4, 5], np.uint64), np.array([1, 300, 70_000, 2, 2**31]), np.array([True, False, True, True, False]), np.linspace(-1, 1, 5)]
+    for n in (5, 1, 0):
+        cut = [c[:n] for c in columns]
+        assert all(a.tolist() == b.tolist() for a, b in zip(cut, katz.unpack(katz.pack(*cut)), strict=True))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_many_chunks_buckets_and_frequent_contexts_change_nothing(spark, monkeypatch, order):
+    docs = corpus(150) + [(None, "null id"), (900, "w1 " * 300), (901, "")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    for name, value in {"CHUNK_BYTES": 900, "BUCKET_ENTRIES": 400, "HOT_FLOOR": 25, "HOT_CONTEXTS": 1 << 14}.items():
+        monkeypatch.setattr(katz, name, value)
+    model = katz.Model(frame, order)
+    assert model.chunks.df.count() > 5 and model.levels[1].buckets > 1 and len(model.levels[1].hot[0]) > 3
+    same(katz.scored(frame, model).collect(), plain_rows(docs, order))
+
+
+def test_shuffles_do_not_hold_a_row_for_each_ngram_of_each_text(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").coalesce(1)
+    docs = spark.range(4).select(F.col("id").alias("copy")).coalesce(1).crossJoin(F.broadcast(texts)).drop("copy")
+    written = lambda: sum(e.totalShuffleWrite() for e in _seq(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    limits = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = written()
+    for limit in limits:
+        spark.conf.set(limit, "-1")  # as on tables whose n-grams are too many to broadcast
+    try:
+        assert len(katz.scored(docs, katz.Model(docs)).collect()) == 4000
+    finally:
+        for limit in limits:
+            spark.conf.unset(limit)
+    assert written() - before < 0.75 * n  # 3.7 times the text before, 0.55 now
+
+
+def _seq(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def test_tables_without_training_texts(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert katz.scored(none, katz.Model(none)).collect() == []
