@@ -13,7 +13,7 @@ training, to buckets; a bucket adds up what the chunks sent, numbers its n-grams
 So an n-gram is one entry a chunk however frequent it is. All n-grams of a context go to one bucket, which therefore knows what
 the context leaves; contexts of more occurrences than ``Level.hot_above``, of which HOT_CONTEXTS are possible at most, are dealt out
 by n-gram instead, and their sums are added up by Spark. In the last round texts are scored beside the answers to their
-chunk. The driver sees counts of counts, LARGEST + 2 numbers an order, and the sums of frequent contexts.
+chunk. The driver sees counts of counts, LARGEST + 4 numbers an order, and the sums of frequent contexts.
 
 Where counts of counts give no estimate between 0 and 1 for a count r, as in small corpora, its discount is 1 - D / r with
 D = n1 / (n1 + 2 n2), or none without words that occur once.
