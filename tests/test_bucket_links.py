@@ -69,3 +69,33 @@ def test_classes_by_the_digest_of_the_fingerprints(spark):
     assert alike == {(a.doc_id, b.doc_id) for a in rows for b in rows if a.doc_id < b.doc_id and sorted(a.shingles) == sorted(b.shingles)}
     plain = classes(prints.drop("shingles_sha256"))
     assert sorted(map(tuple, classes(prints).collect())) == sorted(map(tuple, plain.collect())) and classes(prints).where("doc_id <> class").count() == 3
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_pairs_of_classes_become_all_pairs_of_texts(spark, chunk):
+    """Beside the plain join of bands: copies, near copies with copies, smallest ids on either side, texts without shingles."""
+    bands = lambda *names: [*names, *(f"x{k}" for k in range(len(names), 8))]
+    kinds = [(list(range(50)), bands("a", "b")), ([*range(49), 99], bands("a", "c")), (list(range(200, 230)), [f"y{k}" for k in range(8)])]
+    rows = [(i, *kinds[i % 2], [i % 2] * 4) for i in range(1, 20)] + [(i, *kinds[2], [7] * 4) for i in (40, 41)]
+    rows += [(50, [], None, [0] * 4), (51, [], None, [0] * 4), (60, [900], [f"z{k}" for k in range(8)], [8] * 4)]
+    prints = spark.createDataFrame(rows, "doc_id bigint, shingles array<bigint>, bands array<string>, signature array<bigint>")
+    plain = D.candidate_pairs(prints)
+    member, heads = D.folded(prints)
+    listed = D.candidate_pairs(heads, None)
+    got = D.unfolded(listed, member, D.equal_scores(), chunk)
+    want = sorted(map(tuple, plain.collect()))
+    assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == want and len(want) == 19 * 18 // 2 + 1
+    scored = D.unfolded(D.scored_pairs(listed, heads), member, D.equal_scores(), chunk)
+    whole = D.scored_pairs(plain, prints)
+    assert scored.columns == whole.columns and sorted(map(tuple, scored.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("name", ["dedup_candidate_pairs"])
+def test_queries_list_the_pairs_of_further_texts(spark, tmp_path, name):
+    from cairn.plans.dedup import QUERIES
+
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61))
+    rows = [(1, same), (2, same), (3, near), (4, same), (5, near)]
+    spark.createDataFrame([(i, "s", len(t), t) for i, t in rows], "doc_id bigint, source string, n_chars bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.left_id, r.right_id) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert found == [(a, b) for a in range(1, 6) for b in range(a + 1, 6)]
