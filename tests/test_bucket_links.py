@@ -90,7 +90,7 @@ def test_pairs_of_classes_become_all_pairs_of_texts(spark, chunk):
     assert scored.columns == whole.columns and sorted(map(tuple, scored.collect())) == sorted(map(tuple, whole.collect()))
 
 
-@pytest.mark.parametrize("name", ["dedup_candidate_pairs"])
+@pytest.mark.parametrize("name", ["dedup_candidate_pairs", "dedup_scored_pairs"])
 def test_queries_list_the_pairs_of_further_texts(spark, tmp_path, name):
     from cairn.plans.dedup import QUERIES
 
