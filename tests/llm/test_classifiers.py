@@ -100,3 +100,44 @@ def test_few_bad_rows_do_not_let_new_ones_pass(spark):
     y = {r.doc_id: r.quality for r in labels.collect()}
     rows = [r for r in quality.scored(docs, quality.fit(docs, labels)).collect() if r.doc_id in y and r.held_out]
     assert sum(r.predicted for r in rows if y[r.doc_id] == 0) == 0 and all(r.predicted for r in rows if y[r.doc_id] == 1)
+
+
+def test_weights_are_those_of_every_pair(spark):
+    """Beside all pairs listed; then beside a class that no sample of 4,000 rows holds whole."""
+    rng = np.random.default_rng(7)
+    good, bad = rng.normal(0.3, 1, (60, quality.FEATURES)), rng.normal(0, 1, (40, quality.FEATURES))
+    good[0, 3], bad[1, 3] = 90.0, -70.0  # rows far from the others
+    x, y = np.concatenate((good, bad)), np.repeat([1, 0], [60, 40])
+    rows = spark.createDataFrame([(int(k), i % 5, v.tolist()) for i, (k, v) in enumerate(zip(y, x, strict=True))], "y int, fold int, x array<double>").repartition(3)
+    fold = np.arange(100) % 5
+    sizes = {-1: (40, 60), 2: tuple(int(((y == k) & (fold != 2)).sum()) for k in (0, 1))}
+    middle, scale = x.mean(axis=0), x.std(axis=0)
+    got = quality.all_pairs_weights(rows, sizes, middle, scale)
+    for m in sizes:
+        g, b = (x[(y == k) & (fold != m)] / scale for k in (1, 0))
+        want = quality.bradley_terry(np.repeat(g, len(b), axis=0), np.tile(b, (len(g), 1)))
+        assert np.abs(got[m] - want).max() < 2e-6
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    """Beyond the former 4,000 rows a class: the weights are those of all rows, whatever rows a sample would hold."""
+    texts = {1: "plain words here. they go on.", 0: "### $$ ### odd $$"}
+    rows = [(i, texts[i % 2] + " more" * (i % 7) + (" Xx" * (i % 11) if i % 2 else "")) for i in range(11_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    told = quality.usable(labels, "quality", [0, 1])
+    learnt = quality.learnt_rows(quality.featured(docs), told, {0: 4400, 1: 4400})
+    counts = {(r.y, r.fold): r["count"] for r in learnt.groupBy("y", "fold").count().collect()}
+    want = {k: sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(k, 11_000, 2)) for k in (0, 1)}
+    assert all(sum(n for (y, _), n in counts.items() if y == k) == want[k] > 4000 for k in want)
+    assert all(abs(n - want[y] / 5) <= 4400 // quality.DEALT + 1 for (y, _), n in counts.items())
+
+
+@pytest.mark.parametrize("ties", [1, 60])
+def test_parting_by_ranges_is_that_of_the_arrays(spark, ties):
+    rng = np.random.default_rng(ties)
+    for shift in (0.0, 1.0, 9.0, -9.0):
+        y = (rng.random(400) < 0.6).astype(int)
+        s = np.round((rng.normal(size=400) + shift * y) * 60 / ties) / 60 * ties
+        told = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s, strict=True)], "y int, s double")
+        assert quality._parted(told, 400, 100) == quality.parting(s, y, np.ones(400))
