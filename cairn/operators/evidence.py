@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of evidence; fixed values.
@@ -28,30 +28,48 @@ def evidence_conflicts(features: DataFrame) -> DataFrame:
     return found.select("case_id", "claim_key", F.size("v").cast("bigint").alias("distinct_values"), F.array_join("v", ", ").alias("claim_values"), F.array_join("r", ", ").alias("evidence_ids"))
 
 
-def evidence_rollup(features: DataFrame, cases: DataFrame, days: int = FRESHNESS_DAYS) -> DataFrame:
-    """One row a case with evidence: counts, and its evidence in order of observation, the latest first."""
-    rows = features.join(cases.select("case_id", "review_due_at"), "case_id")
+def evidence_rollup(features: DataFrame) -> DataFrame:
+    """One row a case with evidence: counts, its evidence ``e`` in order of observation, the latest first, the kinds of evidence
+    it has, and how many of its claims have evidence of more than one value. One grouping by case: features that are already
+    dealt out by case are not sent again, whatever texts they hold."""
     key = F.struct((-F.unix_date("observed_at")).alias("late"), "record_id", "asset_id", F.concat(F.lit("["), "modality", F.lit("/"), "source_system", F.lit("] "), "evidence_title", F.lit(": "), "evidence_text").alias("context"))
-    listed = rows.groupBy("case_id").agg(
-        F.count("*").alias("evidence_count"), F.countDistinct("source_system").alias("source_count"), F.countDistinct("modality").alias("modality_count"), F.count_if(F.col("asset_decision") == "rejected").alias("rejected_asset_count"),
-        F.sum("risk_count").cast("bigint").alias("risk_count"), F.sum("blocking_risk_count").cast("bigint").alias("blocking_risk_count"), F.count_if(F.datediff("review_due_at", "observed_at") > days).alias("stale_evidence_count"),
+    told = F.when(F.expr("claim_key <> '' and claim_value <> ''"), F.struct("claim_key", "claim_value"))
+    listed = features.groupBy("case_id").agg(
+        F.count("*").alias("evidence_count"), F.count_if(F.col("asset_decision") == "rejected").alias("rejected_asset_count"),
+        F.sum("risk_count").cast("bigint").alias("risk_count"), F.sum("blocking_risk_count").cast("bigint").alias("blocking_risk_count"),
         F.array_sort(F.collect_list(key)).alias("e"), F.array_sort(F.collect_set("source_system")).alias("source_systems"), F.array_sort(F.collect_set("modality")).alias("modalities"), F.array_sort(F.collect_set("license_id")).alias("license_ids"),
+        F.collect_set("evidence_type").alias("types"), F.collect_set(told).alias("told"),
     )
-    each = lambda name: F.transform("e", lambda x: x[name])
-    return listed.withColumns({"evidence_ids": each("record_id"), "asset_ids": each("asset_id"), "context_text": F.array_join(each("context"), "\n")}).drop("e")
+    keys = F.transform("told", lambda x: x["claim_key"])
+    several = F.filter(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x == k)) > 1)
+    sizes = {n: F.size(c).cast("bigint") for n, c in (("source_count", "source_systems"), ("modality_count", "modalities"), ("conflict_count", several))}
+    return listed.withColumns(sizes).drop("told")
 
 
 def agent_context(cases: DataFrame, requirements: DataFrame, features: DataFrame, days: int = FRESHNESS_DAYS) -> DataFrame:
-    """Every case with what is known of it and its state: blocked, needs_review or ready."""
-    gaps = evidence_gaps(requirements, features).groupBy("case_id").agg(F.count("*").alias("missing_evidence_count"))
-    conflicts = evidence_conflicts(features).groupBy("case_id").agg(F.count("*").alias("conflict_count"))
-    rows = cases.join(evidence_rollup(features, cases, days), "case_id", "left").join(gaps, "case_id", "left").join(conflicts, "case_id", "left")
-    counts = [c for c in rows.columns if c.endswith("_count")]
-    lists = ["evidence_ids", "asset_ids", "source_systems", "modalities", "license_ids"]
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts} | {c: F.coalesce(c, F.array().cast("array<string>")) for c in lists} | {"context_text": F.coalesce("context_text", F.lit(""))})
+    """Every case with what is known of it and its state: blocked, needs_review or ready.
+
+    Cases, requirements and evidence meet by case alone. A case_id that several cases have gets the evidence of each of them.
+    """
+    same = Window.partitionBy("case_id")
+    named = cases.withColumns({"n": F.when(F.col("case_id").isNotNull(), F.count("*").over(same)), "dues": F.collect_list(F.struct("review_due_at")).over(same)})
+    needed = requirements.groupBy("case_id").agg(F.collect_list(F.struct("evidence_type")).alias("needed"))
+    rows = named.join(evidence_rollup(features), "case_id", "left").join(needed, "case_id", "left")
+    lacks = F.size(F.filter("needed", lambda x: ~F.coalesce(F.array_contains("types", x["evidence_type"]), F.lit(False))))
+    stale = F.aggregate("dues", F.lit(0), lambda n, d: n + F.size(F.filter("e", lambda x: F.unix_date(d["review_due_at"]) + x["late"] > days)))
+    each = lambda name: F.transform("listed", lambda x: x[name])
+    counts = {c: F.col(c) * F.col("n") for c in ("evidence_count", "rejected_asset_count", "risk_count", "blocking_risk_count")}
+    counts |= {c: F.col(c) for c in ("source_count", "modality_count", "conflict_count")} | {"stale_evidence_count": F.when(F.col("e").isNotNull(), stale), "missing_evidence_count": F.when(F.col("needed").isNotNull(), lacks)}
+    order = ["evidence_count", "source_count", "modality_count", "rejected_asset_count", "risk_count", "blocking_risk_count", "stale_evidence_count"]
+    rows = rows.withColumn("listed", F.when(F.col("n") > 1, F.flatten(F.transform("e", lambda x: F.array_repeat(x, F.col("n").cast("int"))))).otherwise(F.col("e")))
+    whole = {c: F.coalesce(counts[c], F.lit(0)).cast("bigint") for c in counts}
+    texts = {"evidence_ids": each("record_id"), "asset_ids": each("asset_id")} | {c: F.col(c) for c in ("source_systems", "modalities", "license_ids")}
+    texts = {c: F.coalesce(x, F.array().cast("array<string>")) for c, x in texts.items()} | {"context_text": F.coalesce(F.array_join(each("context"), "\n"), F.lit(""))}
+    names = ["source_systems", "modalities", "license_ids", "evidence_ids", "asset_ids", "context_text"]
+    rows = rows.select(*cases.columns, *(whole[c].alias(c) for c in order), *(texts[c].alias(c) for c in names), *(whole[c].alias(c) for c in ("missing_evidence_count", "conflict_count")))
     blocked = (F.col("missing_evidence_count") > 0) | (F.col("conflict_count") > 0) | (F.col("blocking_risk_count") > 0)
     state = F.when(blocked, "blocked").when((F.col("stale_evidence_count") > 0) | (F.col("risk_count") > 0), "needs_review").otherwise("ready")
-    return rows.withColumn("context_id", F.concat(F.lit("ctx-"), "case_id")).withColumn("review_state", state)
+    return rows.withColumn("context_id", F.concat(F.lit("ctx-"), F.col("case_id").cast("string"))).withColumn("review_state", state)
 
 
 def queue_place(state: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import evidence as E
@@ -28,16 +28,32 @@ _ITEM = {
 }
 
 
-def inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _numbered(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cases, requirements and evidence with the order's number as case_id."""
     # Lines are numbered as they are read: texts made of them would be sent and sorted with them.
     placed = table(spark, sf_dir, "lineitem").withColumn("seq", F.expr(_ITEM["seq"]))
-    features = placed.selectExpr(*(n if n == "seq" else f"{e} as {n}" for n, e in _ITEM.items())).withColumn("record_id", F.concat_ws("-", "case_id", F.col("seq").cast("string")))
+    made = {n: n if n == "seq" else "l_orderkey" if n == "case_id" else e for n, e in _ITEM.items()}
+    features = placed.selectExpr(*(f"{e} as {n}" for n, e in made.items())).withColumn("record_id", F.concat_ws("-", _name("case_id"), F.col("seq").cast("string")))
     orders = table(spark, sf_dir, "orders")
-    cases = orders.select(F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("case_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("account_id"), F.date_add(F.col("o_orderdate").cast("date"), 90).alias("review_due_at"))
-    needed = orders.where("o_orderkey % 3 <> 0").select(F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("case_id"), F.when(F.col("o_orderkey") % 2 == 0, "N").otherwise("R").alias("evidence_type"))
+    cases = orders.select(F.col("o_orderkey").alias("case_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("account_id"), F.date_add(F.col("o_orderdate").cast("date"), 90).alias("review_due_at"))
+    needed = orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderkey") % 2 == 0, "N").otherwise("R").alias("evidence_type"))
     return cases, needed, features
 
 
+def _name(key: str) -> Column:
+    return F.concat(F.lit("K"), F.col(key).cast("string"))
+
+
+def inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(rows.withColumn("case_id", _name("case_id")) for rows in _numbered(spark, sf_dir))
+
+
+def _context(spark, sf_dir: str) -> DataFrame:
+    """Cases are grouped by number, by which lines are dealt out once, as numbers; names are made of the result."""
+    found = E.agent_context(*_numbered(spark, sf_dir)).withColumn("case_id", _name("case_id"))
+    return found.withColumn("context_id", F.concat(F.lit("ctx-"), "case_id"))
+
+
 _LISTS = ["evidence_ids", "asset_ids", "source_systems", "modalities", "license_ids"]
 
 
@@ -55,15 +71,15 @@ def evidence_conflicts(spark, sf_dir):
 
 
 def agent_context(spark, sf_dir):
-    return _joined(E.agent_context(*inputs(spark, sf_dir)))
+    return _joined(_context(spark, sf_dir))
 
 
 def review_queue(spark, sf_dir):
-    return E.review_queue(E.agent_context(*inputs(spark, sf_dir))).select("case_id", "review_state", "queue_place", "missing_evidence_count", "conflict_count", "stale_evidence_count")
+    return E.review_queue(_context(spark, sf_dir)).select("case_id", "review_state", "queue_place", "missing_evidence_count", "conflict_count", "stale_evidence_count")
 
 
 def status_summary(spark, sf_dir):
-    return E.status_summary(E.agent_context(*inputs(spark, sf_dir)))
+    return E.status_summary(_context(spark, sf_dir))
 
 
 #: Columns of four tables with some rows of every kind of violation; the same text runs in Spark and in the oracle.
